@@ -7,11 +7,12 @@ check can put the same definitions in front of an independent query.
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from prefloom.session import pin_timezone
+from prefloom.session import checkpoint_dir, pin_timezone
 
 BASE_TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings "
@@ -165,6 +166,7 @@ LONG_DUCKDB = """
 SELECT vec_id AS image_id, CAST(i-1 AS INT) AS pos, CAST(embedding[i] AS DOUBLE) AS v
 FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding)+1)) AS i FROM embeddings)"""
 
+_LANDED_PATHS: dict[tuple[str, str, str], str] = {}
 _DECLARED = {"fx_long": LONG_SPARK, **VIEWS}
 
 
@@ -198,6 +200,15 @@ def duckdb_sql(sql: str) -> str:
     return f"WITH {', '.join(heads)} {body}"
 
 
+# Views that cost a shuffle are landed once per application as parquet in the shared folder,
+# like the tables at rest they stand for; every query then scans them with column pruning and
+# pushed filters. The remaining views are narrow projections and stay inline.
+LANDED = (
+    "fx_ratings", "fx_comparisons", "fx_discoveries", "fx_user_images", "fx_rating_issuances",
+    "fx_responses", "fx_candidates", "fx_match_counts",
+)
+
+
 class Inputs:
     """The tables and derived views of one data directory, as DataFrames."""
 
@@ -209,14 +220,38 @@ class Inputs:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{name}.parquet")
 
-    def sql(self, text: str) -> DataFrame:
-        """Run Spark SQL over the tables and views of this directory."""
-        heads = [_definition(n, "sha2", ", 256", LONG_SPARK) for n in _needed(text)]
+    def _landed(self, name: str) -> str:
+        """Path of a landed view, written on first use by this application."""
+        key = (self.spark.sparkContext.applicationId, self.path, name)
+        if key not in _LANDED_PATHS:
+            folder = hashlib.sha256(self.path.encode()).hexdigest()[:12]
+            target = f"{checkpoint_dir(self.spark)}/{key[0]}/{folder}/{name}"
+            text = VIEWS[name].format(SHA="sha2", BITS=", 256")
+            self._run(text).write.mode("overwrite").parquet(target)
+            _LANDED_PATHS[key] = target
+        return _LANDED_PATHS[key]
+
+    def _run(self, text: str) -> DataFrame:
+        inline, landed, todo = [], set(), [text]
+        while todo:
+            for name in re.findall(r"\bfx_[a-z_]+\b", todo.pop()):
+                if name in LANDED:
+                    landed.add(name)
+                elif name in _DECLARED and name not in inline:
+                    inline.append(name)
+                    todo.append(_DECLARED[name])
+        heads = [_definition(n, "sha2", ", 256", LONG_SPARK) for n in _DECLARED if n in inline]
         body = f"WITH {', '.join(heads)} {text}" if heads else text
+        for name in landed:
+            body = re.sub(rf"\b(FROM|JOIN) {name}\b", rf"\1 parquet.`{self._landed(name)}`", body)
         for name in BASE_TABLES:
             body = re.sub(rf"\b(FROM|JOIN) {name}\b", rf"\1 parquet.`{self.path}/{name}.parquet`", body)
         return self.spark.sql(body)
 
+    def sql(self, text: str) -> DataFrame:
+        """Run Spark SQL over the tables and views of this directory."""
+        return self._run(text)
+
     def view(self, name: str) -> DataFrame:
         return self.sql(f"SELECT * FROM {name}")
 

@@ -1,3 +1,3 @@
 """Import every catalog module so that its queries are registered."""
 
-from prefloom.catalog import ranking  # noqa: F401
+from prefloom.catalog import feedback, policy, ranking  # noqa: F401

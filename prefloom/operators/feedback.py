@@ -9,11 +9,11 @@ from prefloom import constants as c
 from prefloom.operators.ordered import first_per_key, id_chunk, ranked, top_per_key
 
 
-def feedback_window(events: DataFrame, cutoffs: DataFrame, limit: int = c.TRAINING_EVENTS) -> DataFrame:
+def feedback_window(events: DataFrame, cutoffs: DataFrame, at: str, limit: int = c.TRAINING_EVENTS) -> DataFrame:
     """Newest ``limit`` events up to each user's cutoff, oldest first, with the uncut total."""
     seen = events.join(cutoffs, "user_id").filter(F.col("id") <= F.col("cutoff"))
     totals = seen.groupBy("user_id").agg(F.count("*").alias("total"))
-    newest = top_per_key(seen, ["user_id"], [F.col("id").desc()], limit, "age", spread="id")
+    newest = top_per_key(seen, ["user_id"], [F.col(at).desc(), F.col("id").desc()], limit, "age", spread="id")
     kept = F.least(F.col("total"), F.lit(limit))
     return newest.join(totals, "user_id").withColumn("position", kept - F.col("age") + 1).drop("age", "cutoff")
 

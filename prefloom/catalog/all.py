@@ -1,3 +1,3 @@
 """Import every catalog module so that its queries are registered."""
 
-from prefloom.catalog import discovery, feedback, policy, ranking  # noqa: F401
+from prefloom.catalog import discovery, feedback, operations, policy, ranking  # noqa: F401

@@ -8,6 +8,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Credential patterns and their replacements, applied in this order.
 REDACTION_RULES: tuple[tuple[str, str], ...] = (
@@ -91,7 +92,7 @@ def _plain(html: str | None) -> str:
     return " ".join("".join(parser.pieces).split())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def html_to_text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Compact plain text: block tags become blanks, entities are decoded, blanks squeezed.
 

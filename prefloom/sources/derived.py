@@ -133,16 +133,16 @@ SELECT p_partkey AS candidate_id, CONCAT('cat', CAST(p_partkey % 6 AS STRING)) A
        CAST(FLOOR(p_partkey/200.0E0) AS BIGINT) AS run_id, CAST(FLOOR(p_partkey/200.0E0) % 19 AS BIGINT) AS user_id,
        ((p_partkey*73) % 997) / 100.0E0 - 5.0E0 AS score, (p_partkey % 6 <> 0) AS ok
 FROM part""",
-    # job log with JSON in and out
+    # job log with JSON in and out, over two weeks
     "fx_jobs": """
-SELECT o_orderkey AS id, CAST(FLOOR(o_custkey / 8.0E0) AS BIGINT) AS user_id, CASE WHEN o_orderkey % 2 = 0 THEN 'train' ELSE 'crawl' END AS kind,
-       CASE o_orderkey % 7 WHEN 0 THEN 'failed' WHEN 1 THEN 'skipped' WHEN 2 THEN 'failed' WHEN 3 THEN 'queued' ELSE 'succeeded' END AS status,
-       CONCAT('{{"comparison_cutoff":"', CAST(o_orderkey % 3 AS STRING), CASE WHEN o_orderkey % 4 = 0 THEN '"' ELSE CONCAT('","rating_cutoff":"', CAST(o_orderkey % 2 AS STRING), '"') END, ',"run_day":"', CAST(CAST(o_orderdate AS DATE) AS STRING), '"}}') AS input_json,
-       CASE WHEN o_orderkey % 5 = 0 THEN '{{}}' ELSE CONCAT('{{"imported":', CAST(o_orderkey % 11 AS STRING), ',"comparison_count":', CAST(o_orderkey % 90 AS STRING), ',"rating_count":', CAST(o_orderkey % 60 AS STRING), '}}') END AS output_json,
-       CASE o_orderkey % 9 WHEN 0 THEN 'request timed out' WHEN 1 THEN 'postgresql://me:pw@host/db refused   twice' WHEN 2 THEN 'fetch failed ?token=abc&x=1' WHEN 3 THEN '' ELSE 'decoder error' END AS error,
-       CAST(o_orderdate AS TIMESTAMP) + CAST(CONCAT(CAST(o_orderkey % 1440 AS STRING), ' minutes') AS INTERVAL) AS created_at,
-       CAST(o_orderdate AS TIMESTAMP) + CAST(CONCAT(CAST(o_orderkey % 1440 + 5 AS STRING), ' minutes') AS INTERVAL) AS finished_at
-FROM orders""",
+SELECT id, user_id, kind, status,
+       CONCAT('{{"comparison_cutoff":"', CAST(id % 3 AS STRING), CASE WHEN id % 4 = 0 THEN '"' ELSE CONCAT('","rating_cutoff":"', CAST(id % 2 AS STRING), '"') END, ',"run_day":"', CAST(CAST(created_at AS DATE) AS STRING), '"}}') AS input_json,
+       CASE WHEN id % 5 = 0 THEN '{{}}' ELSE CONCAT('{{"imported":', CAST(id % 11 AS STRING), ',"comparison_count":', CAST(id % 90 AS STRING), ',"rating_count":', CAST(id % 60 AS STRING), '}}') END AS output_json,
+       CASE id % 9 WHEN 0 THEN 'request timed out' WHEN 1 THEN 'postgresql://me:pw@host/db refused   twice' WHEN 2 THEN 'fetch failed ?token=abc&x=1' WHEN 3 THEN '' ELSE 'decoder error' END AS error,
+       created_at, created_at + CAST('5 minutes' AS INTERVAL) AS finished_at
+FROM (SELECT o_orderkey AS id, CAST(FLOOR(o_custkey / 8.0E0) AS BIGINT) AS user_id, CASE WHEN FLOOR(o_orderkey / 7.0E0) % 2 = 0 THEN 'train' ELSE 'crawl' END AS kind,
+             CASE o_orderkey % 7 WHEN 0 THEN 'failed' WHEN 1 THEN 'skipped' WHEN 2 THEN 'failed' WHEN 3 THEN 'queued' ELSE 'succeeded' END AS status,
+             TIMESTAMP '2024-01-15 00:00:00' + CAST(CONCAT(CAST((o_orderkey * 1009) % 20160 AS STRING), ' minutes') AS INTERVAL) AS created_at FROM orders) j""",
     # fitted models per user
     "fx_models": """
 SELECT c_custkey AS id, CAST(FLOOR(c_custkey / 9.0E0) AS BIGINT) AS user_id, c_custkey % 60 AS comparison_count, c_custkey % 47 AS rating_count,

@@ -1,3 +1,3 @@
 """Import every catalog module so that its queries are registered."""
 
-from prefloom.catalog import discovery, feedback, modelling, operations, policy, ranking, tables  # noqa: F401
+from prefloom.catalog import discovery, feedback, modelling, operations, policy, ranking, streams, tables  # noqa: F401

@@ -11,25 +11,34 @@ from prefloom import constants as c
 from prefloom.functions.scoring import expected_rating, log_loss, most_likely
 
 
-def binary_metrics(df: DataFrame, keys: Sequence[str], label: Column, probability: Column) -> DataFrame:
+def binary_columns(label: Column, probability: Column, prefix: str = "") -> list[Column]:
+    """Accuracy at one half, clipped log loss and Brier score as aggregates."""
     hit = ((probability >= 0.5) == (label == 1)).cast("double")
-    return df.groupBy(*keys).agg(
-        F.count("*").alias("count"), F.avg(hit).alias("accuracy"),
-        F.avg(log_loss(label, probability)).alias("log_loss"), F.avg(F.pow(probability - label, 2)).alias("brier"),
-    )
+    return [
+        F.avg(hit).alias(f"{prefix}accuracy"), F.avg(log_loss(label, probability)).alias(f"{prefix}log_loss"),
+        F.avg(F.pow(probability - label, 2)).alias(f"{prefix}brier"),
+    ]
 
 
-def ordinal_metrics(df: DataFrame, keys: Sequence[str], value: Column, distribution: str) -> DataFrame:
+def binary_metrics(df: DataFrame, keys: Sequence[str], label: Column, probability: Column) -> DataFrame:
+    return df.groupBy(*keys).agg(F.count("*").alias("count"), *binary_columns(label, probability))
+
+
+def ordinal_columns(value: Column, distribution: str, prefix: str = "") -> list[Column]:
     """Accuracy of the most likely value; the absolute error uses the expected value."""
     p = F.col(distribution)
     expected = expected_rating(p)
     chosen = F.greatest(F.lit(c.PROBABILITY_CLIP), F.least(F.lit(1.0), F.get(p, value - 1)))
     squared = F.transform(p, lambda x, k: F.pow(x - (k + 1 == value).cast("double"), 2))
-    return df.groupBy(*keys).agg(
-        F.count("*").alias("count"), F.avg((most_likely(p) == value).cast("double")).alias("accuracy"),
-        F.avg(F.abs(expected - value)).alias("mae"), F.avg(-F.log(chosen)).alias("log_loss"),
-        F.avg(F.aggregate(squared, F.lit(0.0), lambda s, x: s + x)).alias("brier"), F.avg(expected).alias("mean_expected_value"),
-    )
+    return [
+        F.avg((most_likely(p) == value).cast("double")).alias(f"{prefix}accuracy"),
+        F.avg(F.abs(expected - value)).alias(f"{prefix}mae"), F.avg(F.when(p.isNotNull(), -F.log(chosen))).alias(f"{prefix}log_loss"),
+        F.avg(F.aggregate(squared, F.lit(0.0), lambda s, x: s + x)).alias(f"{prefix}brier"), F.avg(expected).alias(f"{prefix}mean_expected_value"),
+    ]
+
+
+def ordinal_metrics(df: DataFrame, keys: Sequence[str], value: Column, distribution: str) -> DataFrame:
+    return df.groupBy(*keys).agg(F.count("*").alias("count"), *ordinal_columns(value, distribution))
 
 
 def class_prior(ratings: DataFrame, keys: Sequence[str]) -> DataFrame:

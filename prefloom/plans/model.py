@@ -79,7 +79,7 @@ def fit_joint(pairs: DataFrame | None, ratings: DataFrame | None, l2: float = c.
     try:
         fit = LogisticRegression(
             featuresCol="features", labelCol="label", weightCol="weight", fitIntercept=False,
-            standardization=False, regParam=l2, elasticNetParam=0.0, maxIter=iterations, tol=1e-9,
+            standardization=False, regParam=l2, elasticNetParam=0.0, maxIter=iterations, tol=1e-7,
         ).fit(rows)
         coefficients = fit.coefficients.toArray()
         objective = float(fit.summary.objectiveHistory[-1])

@@ -75,31 +75,28 @@ def holdout_metrics(pairs: DataFrame, ratings: DataFrame, models: DataFrame, inc
         ), "user_id", "full_outer",
     ).fillna(0)
 
+    label, value = F.col("y"), F.col("value")
     vp = _side(pairs, "validation").join(new, "user_id").join(old, "user_id", "left")
     vp = vp.withColumn("p", sigmoid(dot(F.col("x"), F.col("weights")))).withColumn("q", sigmoid(dot(F.col("x"), F.col("old_weights"))))
-    label = F.col("y")
-
-    def named(df: DataFrame, prefix: str, *wanted: str) -> DataFrame:
-        return df.select("user_id", *[F.col(k).alias(f"{prefix}_{k}") for k in wanted])
-
-    out = sizes.join(named(metrics.binary_metrics(vp, ["user_id"], label, F.col("p")), "pair", "accuracy", "log_loss"), "user_id", "left")
-    out = out.withColumn("pair_base_log_loss", F.when(F.col("validation_pairs") > 0, F.lit(math.log(2.0))))
-    judged = vp.filter(F.col("q").isNotNull())
-    for probability, prefix in (("p", "pair_fresh"), ("q", "pair_prior")):
-        scored = metrics.binary_metrics(judged, ["user_id"], label, F.col(probability)).filter(F.col("count") >= c.MIN_RATINGS)
-        out = out.join(named(scored, prefix, "accuracy", "log_loss"), "user_id", "left")
+    pair = vp.groupBy("user_id").agg(*metrics.binary_columns(label, F.col("p"), "pair_"), *metrics.binary_columns(label, F.col("q"), "pair_prior_"))
 
     prior = metrics.class_prior(_side(ratings, "train"), ["user_id"])
     vr = _side(ratings, "validation").join(new, "user_id").filter(F.col("thresholds").isNotNull()).join(prior, "user_id").join(old, "user_id", "left")
     vr = vr.withColumn("p", rating_distribution(dot(F.col("x"), F.col("weights")), F.col("thresholds")))
     vr = vr.withColumn("q", F.when(F.col("old_thresholds").isNotNull(), rating_distribution(dot(F.col("x"), F.col("old_weights")), F.col("old_thresholds"))))
-    value = F.col("value")
-    out = out.join(named(metrics.ordinal_metrics(vr, ["user_id"], value, "p"), "ord", "log_loss", "mae"), "user_id", "left")
-    out = out.join(named(metrics.ordinal_metrics(vr, ["user_id"], value, "prior"), "ord_base", "log_loss", "mae"), "user_id", "left")
-    judged = vr.filter(F.col("q").isNotNull())
-    for distribution, prefix in (("p", "ord_fresh"), ("q", "ord_prior")):
-        scored = metrics.ordinal_metrics(judged, ["user_id"], value, distribution).filter(F.col("count") >= c.MIN_RATINGS)
-        out = out.join(named(scored, prefix, "log_loss", "mae"), "user_id", "left")
+    points = vr.groupBy("user_id").agg(
+        *metrics.ordinal_columns(value, "p", "ord_"), *metrics.ordinal_columns(value, "prior", "ord_base_"),
+        *metrics.ordinal_columns(value, "q", "ord_prior_"),
+    )
+    out = sizes.join(pair, "user_id", "left").join(points, "user_id", "left")
+    out = out.withColumn("pair_base_log_loss", F.when(F.col("validation_pairs") > 0, F.lit(math.log(2.0))))
+    # every validation seed is newer than the incumbent, so its comparison uses the same rows
+    for kind, size, measures in (("pair", "validation_pairs", ("accuracy", "log_loss")), ("ord", "validation_ratings", ("log_loss", "mae"))):
+        enough = F.col(size) >= c.MIN_RATINGS
+        for name in measures:
+            known = enough & F.col(f"{kind}_prior_{name}").isNotNull()
+            out = out.withColumn(f"{kind}_fresh_{name}", F.when(known, F.col(f"{kind}_{name}")))
+            out = out.withColumn(f"{kind}_prior_{name}", F.when(known, F.col(f"{kind}_prior_{name}")))
     return out
 
 
@@ -113,12 +110,13 @@ def train(
     checkpoint_dir(comparisons.sparkSession)
     done = prior.select("user_id", "comparison_cutoff", "rating_cutoff")
     due = cutoffs.join(done, ["user_id", "comparison_cutoff", "rating_cutoff"], "left_anti")
-    pairs, points = seeded(*training_windows(comparisons, ratings, due), prior)
+    windows = [rows.checkpoint() for rows in training_windows(comparisons, ratings, due)]
+    pairs, points = seeded(*windows, prior)
     pairs, points = splits.image_disjoint_split(pairs, points)
     # the windows are bounded per user and feed both fits and the evaluation
     x_pairs = features.pair_features(pairs, embeddings).checkpoint()
     x_points = features.rating_features(points, embeddings).checkpoint()
-    evaluation = fit_users(_side(x_pairs, "train"), _side(x_points, "train"))
+    evaluation = fit_users(_side(x_pairs, "train"), _side(x_points, "train")).checkpoint()
     gated = gate(holdout_metrics(x_pairs, x_points, evaluation, incumbents))
     final = fit_users(x_pairs, x_points)
     columns = [k for k in gated.columns if k != "user_id"]

@@ -107,6 +107,12 @@ UNION ALL
 SELECT id*10+2, user_id, image_id, CAST(1 + value % 5 AS INT), idempotency_key, rated_at + CAST('20 minutes' AS INTERVAL) FROM fx_ratings WHERE id % 20 = 0
 UNION ALL
 SELECT event_id*10+3, user_id, image_id, 3, {SHA}(CONCAT('u', CAST(event_id AS STRING)){BITS}), ts + CAST('1 hours' AS INTERVAL) FROM fx_events WHERE event_type = 'signup' AND event_id % 2 = 0""",
+    # rewarded imports with the time of their action, and the mixed feedback log
+    "fx_imports": """
+SELECT d.user_id, d.action_id, d.image_id, a.chosen_at FROM fx_discoveries d JOIN fx_actions a ON a.user_id = d.user_id AND a.id = d.action_id
+WHERE a.policy_version = 'direct-rating-exp3-ix-v2' AND a.status = 'observed'""",
+    "fx_feedback": """
+SELECT user_id, id, 'comparison' AS kind, created_at AS ts FROM fx_comparisons UNION ALL SELECT user_id, id, 'rating' AS kind, rated_at AS ts FROM fx_ratings""",
     # a comparison log with Elo before and after, not always consistent
     "fx_elo_log": """
 SELECT id, user_id, left_id, right_id, winner_id, 1500.0E0 + 8 * (id % 3) AS left_elo_before, 1500.0E0 + 8 * (id % 2) AS right_elo_before,
@@ -252,6 +258,11 @@ class Inputs:
         """Run Spark SQL over the tables and views of this directory."""
         return self._run(text)
 
+    def stream(self, name: str) -> DataFrame:
+        """A landed view as a file stream with its declared schema."""
+        target = self._landed(name)
+        return self.spark.readStream.schema(self.spark.read.parquet(target).schema).parquet(target)
+
     def view(self, name: str) -> DataFrame:
         return self.sql(f"SELECT * FROM {name}")
 

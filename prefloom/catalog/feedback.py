@@ -8,6 +8,7 @@ from prefloom import constants as c
 from prefloom.catalog.ranking import LIB, lib
 from prefloom.catalog.registry import big, micros, query
 from prefloom.operators import feedback, splits
+from prefloom.session import checkpoint_dir
 
 CUT = "cut AS (SELECT user_id, CAST(FLOOR(MAX(event_id) * 0.9E0) AS BIGINT) AS cutoff FROM fx_events GROUP BY user_id)"
 
@@ -185,7 +186,9 @@ rseeds AS (SELECT * FROM rf WHERE k <= 5 AND tot >= 5)"""
 
 
 def disjoint(i):
-    pairs, ratings = grouped_pairs(i), grouped_ratings(i)
+    # windows are bounded per user and read several times
+    checkpoint_dir(i.spark)
+    pairs, ratings = grouped_pairs(i).checkpoint(), grouped_ratings(i).checkpoint()
     pair_seeds = splits.fresh_validation(pairs).select("user_id", "id", F.lit(True).alias("is_seed"))
     rating_seeds = splits.fresh_validation(ratings).select("user_id", "id", F.lit(True).alias("is_seed"))
     return splits.image_disjoint_split(

@@ -35,29 +35,22 @@ def coverage_pool(nodes: DataFrame, seed: str, slots: int = c.COVERAGE_SLOTS) ->
 def candidate_pool(library: DataFrame, comparisons: DataFrame, seed: str) -> DataFrame:
     """Coverage, anchor and exploration items: at most the pool size per user.
 
-    All three parts are rank-limited scans. Only the coverage order needs degrees for the whole
-    library; anchors are joined to them after the match filter, and the exploration draw keeps
-    enough extra rows to stay full once the items already chosen are taken out of it.
+    Three rank-limited scans give a bounded set per user. Coverage and anchor items come first;
+    the exploration draw keeps enough extra rows to fill the pool after them, so one ranking of
+    the union replaces counting and anti joins. Only coverage needs degrees of the whole library.
     """
-    items = library.select("user_id", "image_id", "elo", "matches", "predicted_utility")
-    degree = degrees(pair_counts(comparisons))
     keys = ["user_id", "image_id"]
-    coverage = coverage_pool(pair_nodes(items, comparisons), seed).select(*NODE)
+    items = library.select(*keys, "elo", "matches", "predicted_utility")
+    degree = degrees(pair_counts(comparisons))
+    coverage = coverage_pool(pair_nodes(items, comparisons), seed).select(*keys, F.lit(0).cast("bigint").alias("turn"))
     compared = pair_nodes(items.filter(F.col("matches") >= c.ANCHOR_MIN_MATCHES), comparisons)
-    anchors = quantile_anchors(compared).join(compared, keys).select(*NODE)
-    chosen = coverage.unionByName(anchors).dropDuplicates(keys)
-    counts = chosen.groupBy("user_id").agg(F.count("*").alias("chosen"))
+    anchors = quantile_anchors(compared).select(*keys, F.lit(0).cast("bigint").alias("turn"))
     reserve = c.POOL_SIZE + c.COVERAGE_SLOTS + c.ANCHOR_QUANTILES
-    order = [digest(F.lit(seed + "x"), *keys), F.col("image_id")]
-    spare = top_per_key(items, ["user_id"], order, reserve, "draw").join(chosen.select(*keys), keys, "left_anti")
-    explored = (
-        top_per_key(spare, ["user_id"], [F.col("draw")], c.POOL_SIZE, "turn")
-        .join(counts, "user_id")
-        .filter(F.col("turn") <= F.lit(c.POOL_SIZE) - F.col("chosen"))
-        .join(degree, keys, "left")
-        .withColumn("degree", F.coalesce("degree", F.lit(0)))
-    )
-    return chosen.unionByName(explored.select(*NODE))
+    draw = [digest(F.lit(seed + "x"), *keys), F.col("image_id")]
+    spare = top_per_key(items.select(*keys), ["user_id"], draw, reserve, "turn")
+    turns = coverage.unionByName(anchors).unionByName(spare).groupBy(*keys).agg(F.min("turn").alias("turn"))
+    chosen = top_per_key(turns, ["user_id"], [F.col("turn"), F.col("image_id")], c.POOL_SIZE).select(*keys)
+    return chosen.join(items, keys).join(degree, keys, "left").withColumn("degree", F.coalesce("degree", F.lit(0))).select(*NODE)
 
 
 def pool_pairs(pool: DataFrame) -> DataFrame:

@@ -25,10 +25,21 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8, memory:
     return spark
 
 
-def pin_timezone(spark: SparkSession) -> None:
-    """Day truncation and interval arithmetic are defined in UTC."""
-    if spark.conf.get("spark.sql.session.timeZone") != "UTC":
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
+def prepare(spark: SparkSession) -> None:
+    """Settings results or scale depend on, where the session differs.
+
+    Days and intervals are defined in UTC. Joins on a hot key are split at run time even when a
+    later step then needs another shuffle.
+    """
+    wanted = {
+        "spark.sql.session.timeZone": "UTC",
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    }
+    for key, value in wanted.items():
+        if spark.conf.get(key, None) != value:
+            spark.conf.set(key, value)
 
 
 def checkpoint_dir(spark: SparkSession) -> str:

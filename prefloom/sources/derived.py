@@ -12,7 +12,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from prefloom.session import checkpoint_dir, pin_timezone
+from prefloom.session import checkpoint_dir, prepare
 
 BASE_TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings "
@@ -219,7 +219,7 @@ class Inputs:
     """The tables and derived views of one data directory, as DataFrames."""
 
     def __init__(self, spark: SparkSession, path: str):
-        pin_timezone(spark)
+        prepare(spark)
         self.spark = spark
         self.path = path.rstrip("/")
 

@@ -13,6 +13,11 @@ def _text(name: str) -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def _int(name: str) -> Column:
+    """Integer value, 0 when absent and NULL when malformed."""
+    return F.coalesce(F.col(name).cast("string"), F.lit("0")).try_cast("bigint")
+
+
 def license_url_matches(short_name: Column, url: Column) -> Column:
     """The licence link must point to the page family of the named licence."""
     at, where = host(url), path(url)
@@ -44,8 +49,7 @@ def license_ok() -> Column:
 
 def rejection_reason() -> Column:
     """Why a candidate fails the rights and quality gate; NULL when it passes."""
-    width = F.coalesce(F.col("width"), F.lit(0)).cast("string").try_cast("bigint")
-    height = F.coalesce(F.col("height"), F.lit(0)).cast("string").try_cast("bigint")
+    width, height = _int("width"), _int("height")
     no_page_id = F.coalesce(F.col("provider_page_id").cast("bigint"), F.lit(0)) == 0
     return (
         F.when(width.isNull() | height.isNull(), c.REASON_DIMENSIONS)
@@ -62,25 +66,24 @@ def rejection_reason() -> Column:
 
 
 def thumbnail_reason() -> Column:
-    width = F.col("thumbnail_width").cast("string").try_cast("bigint")
-    height = F.col("thumbnail_height").cast("string").try_cast("bigint")
+    width, height = _int("thumbnail_width"), _int("thumbnail_height")
+    source_width, source_height = _int("width"), _int("height")
     fits = (
         (F.least(width, height) >= 1)
         & (F.greatest(width, height) <= c.THUMBNAIL_EDGE)
-        & (width <= F.col("width"))
-        & (height <= F.col("height"))
+        & (width <= source_width)
+        & (height <= source_height)
     )
     return (
         F.when(~https_host_is(_text("thumbnail_url"), c.FILE_HOST), c.REASON_THUMB_HOST)
-        .when(width.isNull() | height.isNull() | ~fits, c.REASON_THUMB_SIZE)
+        .when(~F.coalesce(fits, F.lit(False)), c.REASON_THUMB_SIZE)
     )
 
 
 def source_size_reason(max_bytes: int) -> Column:
-    size = F.coalesce(F.col("bytes").cast("string"), F.lit("0")).try_cast("bigint")
-    width, height = F.col("width").cast("bigint"), F.col("height").cast("bigint")
+    size, width, height = _int("bytes"), _int("width"), _int("height")
     return (
-        F.when(size.isNull(), c.REASON_METADATA)
+        F.when(size.isNull() | width.isNull() | height.isNull(), c.REASON_METADATA)
         .when(size < 1, c.REASON_BYTES)
         .when(size > max_bytes, c.REASON_BYTE_CAP)
         .when((F.greatest(width, height) > c.MAX_EDGE) | (width * height > c.MAX_PIXELS), c.REASON_PIXEL_CAP)

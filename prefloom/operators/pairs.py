@@ -91,29 +91,22 @@ def scored_pairs(pool: DataFrame, comparisons: DataFrame, seed: str) -> DataFram
 
 
 def choose_pairs(pairs: DataFrame, seed: str, exploration_rate: float = c.EXPLORATION_RATE) -> DataFrame:
-    """One pair per user in one aggregation pass over the scored pairs."""
-    ids = F.struct((-F.col("first_id")).alias("first"), (-F.col("second_id")).alias("second"))
-    draw = coin(F.lit(seed + "e"), "user_id", "first_id", "second_id")
-
-    def best(score, keep=None):
-        key = F.struct(score.alias("score"), ids.alias("ids"))
-        return F.max(key if keep is None else F.when(keep, key))
+    """One pair per user as a single maximum over the scored pairs.
 
-    fresh, bridge = F.col("fresh"), F.col("bridge")
-    picks = pairs.groupBy("user_id").agg(
-        best(F.col("value"), fresh).alias("fv"), best(F.col("value"), fresh & bridge).alias("fb"), best(draw, fresh).alias("fe"),
-        best(F.col("value")).alias("av"), best(F.col("value"), bridge).alias("ab"), best(draw).alias("ae"),
-    )
+    Fresh pairs come before all others; a user whose coin asks for it prefers bridges to anchors
+    among them; exploring users take a uniform draw instead of the best value.
+    """
     user = F.col("user_id")
     explore = coin(F.lit(seed + "c"), user) < exploration_rate
-    use_bridge = coin(F.lit(seed + "b"), user) < c.ANCHOR_MIX_RATE
-
-    def pick(prefix: str):
-        bridged = F.when(use_bridge, F.col(prefix + "b.ids"))
-        return F.when(explore, F.col(prefix + "e.ids")).otherwise(F.coalesce(bridged, F.col(prefix + "v.ids")))
-
-    chosen = picks.select("user_id", F.when(F.col("fv").isNotNull(), pick("f")).otherwise(pick("a")).alias("p"))
-    pair = chosen.select("user_id", (-F.col("p.first")).alias("first_id"), (-F.col("p.second")).alias("second_id"))
+    use_bridge = ~explore & (coin(F.lit(seed + "b"), user) < c.ANCHOR_MIX_RATE)
+    class_ = F.col("fresh").cast("int") * 2 + (F.col("bridge") & use_bridge).cast("int")
+    draw = coin(F.lit(seed + "e"), "user_id", "first_id", "second_id")
+    key = F.struct(
+        class_.alias("class"), F.when(explore, draw).otherwise(F.col("value")).alias("score"),
+        (-F.col("first_id")).alias("first"), (-F.col("second_id")).alias("second"),
+    )
+    best = pairs.groupBy("user_id").agg(F.max(key).alias("p"))
+    pair = best.select("user_id", (-F.col("p.first")).alias("first_id"), (-F.col("p.second")).alias("second_id"))
     flip = coin(F.lit(seed + "s"), user) < 0.5
     return pair.select(
         "user_id",

@@ -44,17 +44,20 @@ def planted(i):
 
 @query("b9_redacted_text", f"SELECT doc_id, {_redact_sql('text')} AS text FROM (SELECT doc_id, {PLANTED} AS text FROM documents)")
 def redacted(i):
-    return planted(i).select("doc_id", text.redact(F.col("text"), SECRETS).alias("text"))
+    return text.redact_texts(planted(i), "text", SECRETS)
 
 
 @query("b9_safe_error_message", f"""SELECT doc_id, substr(CASE WHEN m = '' THEN 'Unknown error' ELSE m END, 1, 2000) AS message FROM (SELECT doc_id, trim(regexp_replace({_redact_sql('text')}, '{BS}s+', ' ', 'g')) AS m FROM (SELECT doc_id, {PLANTED} AS text FROM documents))""")
 def _(i):
-    return planted(i).select("doc_id", text.safe_error_message(F.col("text"), SECRETS).alias("message"))
+    rows = text.redact_texts(planted(i), "text", SECRETS)
+    return rows.select("doc_id", text.bounded_message(F.col("text")).alias("message"))
 
 
-# the pages' own constructs, spelled out: scripts keep a quoted end tag, three named entities
-PLAIN = f"""trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(replace(html, '"</p>"', chr(1)), '<!--.*?-->|<!DOCTYPE[^>]*>', '', 'gs'),
-'</?(?:div|li|p|tr)(?:{BS}s[^>]*)?>|<br(?:{BS}s[^>]*)?/?>', ' ', 'g'), '<[^>]*>', '', 'g'), chr(1), '"</p>"'), '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;', '&'), '{BS}s+', ' ', 'g'))"""
+# the pages' own constructs, spelled out: scripts keep a quoted end tag; the named entities also
+# decode without their semicolon
+DECODED = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '&copy;?', '©', 'g'), '&middot;?', '·', 'g'), '&quot;?', '"', 'g'), '&amp;?', '&', 'g')"""
+PLAIN = f"""trim(regexp_replace(replace(regexp_replace(regexp_replace(regexp_replace(replace({DECODED}, '"</p>"', chr(1)), '<!--.*?-->|<!DOCTYPE[^>]*>', '', 'gs'),
+'</?(?:div|li|p|tr)(?:{BS}s[^>]*)?>|<br(?:{BS}s[^>]*)?/?>', ' ', 'g'), '<[^>]*>', '', 'g'), chr(1), '"</p>"'), '{BS}s+', ' ', 'g'))"""
 
 
 @query("b7_html_to_text", f"SELECT page_id, {PLAIN} AS text FROM pages")

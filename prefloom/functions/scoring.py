@@ -18,18 +18,19 @@ def pair_uncertainty(left: Column, right: Column) -> Column:
 
 
 def rating_distribution(utility: Column, thresholds: Column) -> Column:
-    """Probabilities of the values 1-5 from four ordered thresholds."""
-    above = F.transform(thresholds, lambda t: sigmoid(utility - t))
-    upper = F.concat(F.array(F.lit(1.0)), above)
-    lower = F.concat(above, F.array(F.lit(0.0)))
-    raw = F.zip_with(upper, lower, lambda a, b: F.greatest(F.lit(0.0), F.least(F.lit(1.0), a - b)))
-    total = F.aggregate(raw, F.lit(0.0), lambda s, x: s + x)
-    return F.transform(raw, lambda x: x / total)
+    """Probabilities of the values 1-5 from four strictly ordered thresholds.
+
+    Differences of ordered probabilities already sum to one; the floor absorbs rounding. Pass
+    plain columns: every argument appears once per threshold and side.
+    """
+    above = [F.lit(1.0), *[sigmoid(utility - F.get(thresholds, F.lit(k))) for k in range(c.RATING_LEVELS - 1)], F.lit(0.0)]
+    parts = [F.greatest(F.lit(0.0), a - b) for a, b in zip(above, above[1:])]
+    return F.when(utility.isNotNull(), F.array(*parts))
 
 
 def expected_rating(distribution: Column) -> Column:
-    weighted = F.transform(distribution, lambda p, k: p * (k + 1))
-    return F.aggregate(weighted, F.lit(0.0), lambda s, x: s + x)
+    terms = [F.get(distribution, F.lit(k)) * (k + 1) for k in range(c.RATING_LEVELS)]
+    return sum(terms[1:], terms[0])
 
 
 def most_likely(distribution: Column) -> Column:

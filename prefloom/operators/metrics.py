@@ -29,11 +29,12 @@ def ordinal_columns(value: Column, distribution: str, prefix: str = "") -> list[
     p = F.col(distribution)
     expected = expected_rating(p)
     chosen = F.greatest(F.lit(c.PROBABILITY_CLIP), F.least(F.lit(1.0), F.get(p, value - 1)))
-    squared = F.transform(p, lambda x, k: F.pow(x - (k + 1 == value).cast("double"), 2))
+    gaps = [F.pow(F.get(p, F.lit(k)) - (value == k + 1).cast("double"), 2) for k in range(c.RATING_LEVELS)]
+    squared = sum(gaps[1:], gaps[0])
     return [
         F.avg((most_likely(p) == value).cast("double")).alias(f"{prefix}accuracy"),
         F.avg(F.abs(expected - value)).alias(f"{prefix}mae"), F.avg(F.when(p.isNotNull(), -F.log(chosen))).alias(f"{prefix}log_loss"),
-        F.avg(F.aggregate(squared, F.lit(0.0), lambda s, x: s + x)).alias(f"{prefix}brier"), F.avg(expected).alias(f"{prefix}mean_expected_value"),
+        F.avg(squared).alias(f"{prefix}brier"), F.avg(expected).alias(f"{prefix}mean_expected_value"),
     ]
 
 

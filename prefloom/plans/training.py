@@ -82,8 +82,9 @@ def holdout_metrics(pairs: DataFrame, ratings: DataFrame, models: DataFrame, inc
 
     prior = metrics.class_prior(_side(ratings, "train"), ["user_id"])
     vr = _side(ratings, "validation").join(new, "user_id").filter(F.col("thresholds").isNotNull()).join(prior, "user_id").join(old, "user_id", "left")
-    vr = vr.withColumn("p", rating_distribution(dot(F.col("x"), F.col("weights")), F.col("thresholds")))
-    vr = vr.withColumn("q", F.when(F.col("old_thresholds").isNotNull(), rating_distribution(dot(F.col("x"), F.col("old_weights")), F.col("old_thresholds"))))
+    vr = vr.withColumn("u", dot(F.col("x"), F.col("weights"))).withColumn("old_u", dot(F.col("x"), F.col("old_weights")))
+    vr = vr.withColumn("p", rating_distribution(F.col("u"), F.col("thresholds")))
+    vr = vr.withColumn("q", F.when(F.col("old_thresholds").isNotNull(), rating_distribution(F.col("old_u"), F.col("old_thresholds"))))
     points = vr.groupBy("user_id").agg(
         *metrics.ordinal_columns(value, "p", "ord_"), *metrics.ordinal_columns(value, "prior", "ord_base_"),
         *metrics.ordinal_columns(value, "q", "ord_prior_"),

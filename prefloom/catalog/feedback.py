@@ -120,6 +120,17 @@ def _(i):
     return feedback.apply_ratings(i.responses, i.rating_issuances, lib(i))
 
 
+@query("h4_idempotent_comparisons", f"""WITH {LIB}, k AS (SELECT c.*, s.issued_at, c.winner_id IN (c.left_id, c.right_id) AND s.issued_at IS NOT NULL AS proper, COALESCE(c.responded_at < s.issued_at + INTERVAL 24 HOUR, FALSE) AS live,
+EXISTS (SELECT 1 FROM lib WHERE lib.user_id = c.user_id AND lib.image_id = c.left_id) AND EXISTS (SELECT 1 FROM lib WHERE lib.user_id = c.user_id AND lib.image_id = c.right_id) AS present
+FROM fx_choices c LEFT JOIN fx_pair_issuances s ON s.token_hash = c.token_hash AND s.user_id = c.user_id AND s.left_id = c.left_id AND s.right_id = c.right_id),
+o AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id, token_hash, proper AND live AND present ORDER BY responded_at, response_id) AS rn FROM k),
+a AS (SELECT user_id, token_hash, response_id AS aid, winner_id AS aw, responded_at AS aat FROM o WHERE proper AND live AND present AND rn = 1)
+SELECT o.response_id, o.user_id, o.winner_id, CASE WHEN NOT proper THEN 'invalid' WHEN response_id = aid THEN 'applied' WHEN (responded_at, response_id) > (aat, aid) AND winner_id = aw THEN 'replayed'
+ WHEN (responded_at, response_id) > (aat, aid) THEN 'conflict' WHEN NOT live THEN 'expired' ELSE 'missing' END AS status FROM o LEFT JOIN a ON a.user_id = o.user_id AND a.token_hash = o.token_hash""")
+def _(i):
+    return feedback.apply_comparisons(i.choices, i.pair_issuances, lib(i))
+
+
 @query("c17_responses_within_ttl", """SELECT r.response_id, r.user_id FROM fx_responses r JOIN fx_rating_issuances s ON s.token_hash = r.token_hash
 WHERE r.responded_at >= s.issued_at AND r.responded_at < s.issued_at + INTERVAL 24 HOUR""")
 def _(i):

@@ -218,6 +218,17 @@ def next_pair(i):
     return pairs.next_pairs(lib(i), i.comparisons, SEED)
 
 
+LOCAL_PAIRS = PAIRS.replace("UNION SELECT user_id, image_id FROM an)", ")")
+
+
+@query("h7_next_pair_local", f"""WITH {LOCAL_PAIRS}, el AS (SELECT *, BOOL_OR(fresh) OVER (PARTITION BY user_id) AS anyfresh, {coin_sql(f"'{SEED}c'", 'user_id')} < 0.12 AS explore FROM sv),
+best AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY CASE WHEN explore THEN {coin_sql(f"'{SEED}e'", 'user_id', 'first_id', 'second_id')} ELSE v END DESC, first_id, second_id) AS rn FROM el WHERE fresh OR NOT anyfresh)
+SELECT user_id, CASE WHEN {coin_sql(f"'{SEED}s'", 'user_id')} < 0.5 THEN first_id ELSE second_id END AS left_id,
+ CASE WHEN {coin_sql(f"'{SEED}s'", 'user_id')} < 0.5 THEN second_id ELSE first_id END AS right_id FROM best WHERE rn = 1""")
+def _(i):
+    return pairs.next_pairs(lib(i), i.comparisons, SEED, with_anchors=False)
+
+
 @query("h1_expected_and_k", """SELECT id, ROUND(1/(1+pow(10,(right_elo_before-left_elo_before)/400)), 9) + 0.0 AS expected_left,
 ROUND(CASE WHEN left_matches % 13 = 0 THEN NULL ELSE GREATEST(16.0, 48.0/sqrt(1.0+left_matches/20.0)) END, 9) + 0.0 AS k FROM fx_elo_log""")
 def _(i):

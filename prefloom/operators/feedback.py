@@ -112,7 +112,7 @@ def apply_ratings(responses: DataFrame, issuances: DataFrame, library: DataFrame
     ).withColumnRenamed("responded_at", "applied_at")
     joined = known.join(applied, ["user_id", "image_id"], "left")
     same_token = F.col("token_hash") == F.col("applied_token")
-    later = F.struct("responded_at", "response_id") > F.struct(F.col("applied_at"), F.col("applied_id"))
+    later = F.col("applied_id").isNotNull() & (F.struct("responded_at", "response_id") > F.struct(F.col("applied_at"), F.col("applied_id")))
     status = (
         F.when(F.col("issued_at").isNull(), "invalid")
         .when(F.col("response_id") == F.col("applied_id"), "applied")
@@ -125,6 +125,43 @@ def apply_ratings(responses: DataFrame, issuances: DataFrame, library: DataFrame
     return joined.select("response_id", "user_id", "image_id", "value", status.alias("status"))
 
 
+def apply_comparisons(choices: DataFrame, issuances: DataFrame, library: DataFrame) -> DataFrame:
+    """One status per choice: applied, replayed, conflict, expired, missing or invalid.
+
+    A token is applied once, by its earliest eligible choice.
+    """
+    issued = issuances.select("token_hash", "user_id", "left_id", "right_id", "issued_at")
+    items = library.select("user_id", "image_id")
+    left = items.select("user_id", F.col("image_id").alias("left_id"), F.lit(True).alias("_l"))
+    right = items.select("user_id", F.col("image_id").alias("right_id"), F.lit(True).alias("_r"))
+    known = (
+        choices.join(issued, ["token_hash", "user_id", "left_id", "right_id"], "left")
+        .join(left, ["user_id", "left_id"], "left")
+        .join(right, ["user_id", "right_id"], "left")
+    )
+    proper = (F.col("left_id") != F.col("right_id")) & F.col("winner_id").isin(F.col("left_id"), F.col("right_id")) & F.col("issued_at").isNotNull()
+    live = F.col("responded_at") < F.col("issued_at") + F.expr(f"INTERVAL {c.TOKEN_TTL_HOURS} HOURS")
+    present = F.col("_l").isNotNull() & F.col("_r").isNotNull()
+    applied = first_per_key(
+        known.filter(proper & live & present).select(
+            "user_id", "token_hash", "responded_at", F.col("response_id").alias("applied_id"), F.col("winner_id").alias("applied_winner")
+        ),
+        ["user_id", "token_hash"],
+        ["responded_at", "applied_id"],
+    ).withColumnRenamed("responded_at", "applied_at")
+    joined = known.join(applied, ["user_id", "token_hash"], "left")
+    later = F.col("applied_id").isNotNull() & (F.struct("responded_at", "response_id") > F.struct(F.col("applied_at"), F.col("applied_id")))
+    status = (
+        F.when(~proper, "invalid")
+        .when(F.col("response_id") == F.col("applied_id"), "applied")
+        .when(later & (F.col("winner_id") == F.col("applied_winner")), "replayed")
+        .when(later, "conflict")
+        .when(~live, "expired")
+        .otherwise("missing")
+    )
+    return joined.select("response_id", "user_id", "winner_id", status.alias("status"))
+
+
 def stale_issuances(issuances: DataFrame, as_of: Column, batch: int = c.PURGE_BATCH) -> DataFrame:
     """Per user up to ``batch`` expired unused and up to ``batch`` long-used tokens."""
     expires = F.col("issued_at") + F.expr(f"INTERVAL {c.TOKEN_TTL_HOURS} HOURS")

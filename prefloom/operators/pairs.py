@@ -32,12 +32,13 @@ def coverage_pool(nodes: DataFrame, seed: str, slots: int = c.COVERAGE_SLOTS) ->
     return top_per_key(nodes, ["user_id"], order, slots)
 
 
-def candidate_pool(library: DataFrame, comparisons: DataFrame, seed: str) -> DataFrame:
+def candidate_pool(library: DataFrame, comparisons: DataFrame, seed: str, with_anchors: bool = True) -> DataFrame:
     """Coverage, anchor and exploration items: at most the pool size per user.
 
     Three rank-limited scans give a bounded set per user. Coverage and anchor items come first;
     the exploration draw keeps enough extra rows to fill the pool after them, so one ranking of
     the union replaces counting and anti joins. Only coverage needs degrees of the whole library.
+    The single-machine form has no anchors.
     """
     keys = ["user_id", "image_id"]
     items = library.select(*keys, "elo", "matches", "predicted_utility")
@@ -48,7 +49,8 @@ def candidate_pool(library: DataFrame, comparisons: DataFrame, seed: str) -> Dat
     reserve = c.POOL_SIZE + c.COVERAGE_SLOTS + c.ANCHOR_QUANTILES
     draw = [digest(F.lit(seed + "x"), *keys), F.col("image_id")]
     spare = top_per_key(items.select(*keys), ["user_id"], draw, reserve, "turn")
-    turns = coverage.unionByName(anchors).unionByName(spare).groupBy(*keys).agg(F.min("turn").alias("turn"))
+    first = coverage.unionByName(anchors) if with_anchors else coverage
+    turns = first.unionByName(spare).groupBy(*keys).agg(F.min("turn").alias("turn"))
     chosen = top_per_key(turns, ["user_id"], [F.col("turn"), F.col("image_id")], c.POOL_SIZE).select(*keys)
     return chosen.join(items, keys).join(degree, keys, "left").withColumn("degree", F.coalesce("degree", F.lit(0))).select(*NODE)
 
@@ -90,7 +92,9 @@ def scored_pairs(pool: DataFrame, comparisons: DataFrame, seed: str) -> DataFram
     )
 
 
-def choose_pairs(pairs: DataFrame, seed: str, exploration_rate: float = c.EXPLORATION_RATE) -> DataFrame:
+def choose_pairs(
+    pairs: DataFrame, seed: str, exploration_rate: float = c.EXPLORATION_RATE, anchor_rate: float = c.ANCHOR_MIX_RATE
+) -> DataFrame:
     """One pair per user as a single maximum over the scored pairs.
 
     Fresh pairs come before all others; a user whose coin asks for it prefers bridges to anchors
@@ -98,7 +102,7 @@ def choose_pairs(pairs: DataFrame, seed: str, exploration_rate: float = c.EXPLOR
     """
     user = F.col("user_id")
     explore = coin(F.lit(seed + "c"), user) < exploration_rate
-    use_bridge = ~explore & (coin(F.lit(seed + "b"), user) < c.ANCHOR_MIX_RATE)
+    use_bridge = ~explore & (coin(F.lit(seed + "b"), user) < anchor_rate)
     class_ = F.col("fresh").cast("int") * 2 + (F.col("bridge") & use_bridge).cast("int")
     draw = coin(F.lit(seed + "e"), "user_id", "first_id", "second_id")
     key = F.struct(
@@ -115,6 +119,7 @@ def choose_pairs(pairs: DataFrame, seed: str, exploration_rate: float = c.EXPLOR
     )
 
 
-def next_pairs(library: DataFrame, comparisons: DataFrame, seed: str) -> DataFrame:
-    pool = candidate_pool(library, comparisons, seed)
-    return choose_pairs(scored_pairs(pool, comparisons, seed), seed)
+def next_pairs(library: DataFrame, comparisons: DataFrame, seed: str, with_anchors: bool = True) -> DataFrame:
+    pool = candidate_pool(library, comparisons, seed, with_anchors)
+    rate = c.ANCHOR_MIX_RATE if with_anchors else 0.0
+    return choose_pairs(scored_pairs(pool, comparisons, seed), seed, anchor_rate=rate)

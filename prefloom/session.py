@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+_SHIPPED: set[str] = set()
+
 
 def build_session(master: str = "local[8]", shuffle_partitions: int = 8, memory: str = "16g") -> SparkSession:
     """A local session for tests and benchmarks; clusters bring their own."""
@@ -25,8 +29,19 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8, memory:
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors once per application, for the Python steps."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    package = Path(__file__).resolve().parent
+    archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='spark-')}/{package.name}", "zip", package.parent, package.name)
+    context.addPyFile(archive)
+    _SHIPPED.add(context.applicationId)
+
+
 def prepare(spark: SparkSession) -> None:
-    """Settings results or scale depend on, where the session differs.
+    """Settings results or scale depend on, where the session differs; ships the package.
 
     Days and intervals are defined in UTC. Joins on a hot key are split at run time even when a
     later step then needs another shuffle.
@@ -40,6 +55,7 @@ def prepare(spark: SparkSession) -> None:
     for key, value in wanted.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
+    ship_package(spark)
 
 
 def checkpoint_dir(spark: SparkSession) -> str:

@@ -107,6 +107,15 @@ UNION ALL
 SELECT id*10+2, user_id, image_id, CAST(1 + value % 5 AS INT), idempotency_key, rated_at + CAST('20 minutes' AS INTERVAL) FROM fx_ratings WHERE id % 20 = 0
 UNION ALL
 SELECT event_id*10+3, user_id, image_id, 3, {SHA}(CONCAT('u', CAST(event_id AS STRING)){BITS}), ts + CAST('1 hours' AS INTERVAL) FROM fx_events WHERE event_type = 'signup' AND event_id % 2 = 0""",
+    # pair issuances and choices as they arrive
+    "fx_pair_issuances": """
+SELECT idempotency_key AS token_hash, user_id, left_id, right_id, created_at - CAST(CONCAT(CAST(id % 30 AS STRING), ' hours') AS INTERVAL) AS issued_at, created_at AS used_at FROM fx_comparisons""",
+    "fx_choices": """
+SELECT id*10 AS response_id, user_id, left_id, right_id, CASE WHEN id % 50 = 0 THEN 9999999 ELSE winner_id END AS winner_id, idempotency_key AS token_hash, created_at AS responded_at FROM fx_comparisons
+UNION ALL
+SELECT id*10+1, user_id, left_id, right_id, winner_id, idempotency_key, created_at + CAST('10 minutes' AS INTERVAL) FROM fx_comparisons WHERE id % 5 = 0
+UNION ALL
+SELECT id*10+2, user_id, left_id, right_id, left_id + right_id - winner_id, CASE WHEN id % 40 = 0 THEN 'unknown' ELSE idempotency_key END, created_at + CAST('20 minutes' AS INTERVAL) FROM fx_comparisons WHERE id % 20 = 0""",
     # rewarded imports with the time of their action, and the mixed feedback log
     "fx_imports": """
 SELECT d.user_id, d.action_id, d.image_id, a.chosen_at FROM fx_discoveries d JOIN fx_actions a ON a.user_id = d.user_id AND a.id = d.action_id

@@ -10,15 +10,21 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
+import prefloom
 from prefloom import constants as c
 from prefloom.operators.decisions import training_due
 from prefloom.operators.elo import REPLAY, fold_user
 
+# The process that initialises stateful Python operators does not see shipped files, so the
+# processor travels with its code.
+register_pickle_by_value(prefloom)
+
 TTL = f"{c.TOKEN_TTL_HOURS} hours"
 
 

@@ -17,8 +17,8 @@ from prefloom.functions.hashing import coin
 from prefloom.functions.vectors import dot, literal
 
 CUTS = c.RATING_LEVELS - 1
-# Thresholds enter as features scaled by this factor, so the ridge penalty on them vanishes.
-THRESHOLD_SCALE = 100.0
+# Thresholds enter as features scaled by this factor, so the ridge penalty on them all but vanishes.
+THRESHOLD_SCALE = 30.0
 
 
 @dataclass(frozen=True)
@@ -73,9 +73,11 @@ def training_rows(pairs: DataFrame | None, ratings: DataFrame | None) -> DataFra
 def fit_joint(pairs: DataFrame | None, ratings: DataFrame | None, l2: float = c.L2, iterations: int = 100) -> PreferenceModel:
     """Distributed fit of pairwise choices and ratings as one weighted logistic regression.
 
-    Only the coefficient vector returns to the driver; gradients are tree-aggregated.
+    Only the coefficient vector returns to the driver; gradients are tree-aggregated. Rows are
+    spread over all cores once, as every iteration passes over them.
     """
-    rows = training_rows(pairs, ratings).persist()
+    rows = training_rows(pairs, ratings)
+    rows = rows.repartition(rows.sparkSession.sparkContext.defaultParallelism).persist()
     try:
         fit = LogisticRegression(
             featuresCol="features", labelCol="label", weightCol="weight", fitIntercept=False,

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prefloom import constants as c
 from prefloom.functions.elo import elo_change
-from prefloom.operators.ordered import previous
+from prefloom.operators.ordered import id_chunk, previous, ranked
 from prefloom.session import checkpoint_dir
 
 STATE = "user_id bigint, image_id bigint, elo double, matches bigint, wins bigint, losses bigint"
@@ -77,39 +79,35 @@ def _replay_group(key, events, states):
     return out
 
 
-def replay(comparisons: DataFrame, rows_per_step: int = 1 << 22) -> DataFrame:
+def _fold(events: DataFrame, state: DataFrame) -> DataFrame:
+    known = state.join(events.select("user_id").distinct(), "user_id", "left_semi")
+    return events.groupBy("user_id").cogroup(known.groupBy("user_id")).applyInPandas(_replay_group, REPLAY)
+
+
+def replay(comparisons: DataFrame, rows_per_step: int = 1 << 20) -> DataFrame:
     """Before and after ratings of every comparison, replayed per user in id order.
 
-    The fold is the one step whose result depends on order. Ids are cut into consecutive
-    ranges of ``rows_per_step``, so a task never holds more rows than that for a user of any
-    size; between ranges only the latest rating per (user, image) is carried, through a
-    checkpoint. Users run in parallel inside a range.
+    The fold is the one step whose result depends on order; users run in parallel. A step takes
+    at most ``rows_per_step`` events of every user, so a task never holds more of a user of any
+    size, and only users with more events take part in later steps. Between steps the latest
+    rating per (user, image) is carried through a checkpoint.
     """
     spark = comparisons.sparkSession
     events = comparisons.select("id", "user_id", "left_id", "right_id", "winner_id")
-    span = events.agg(F.min("id"), F.max("id")).first()
-    if span[0] is None:
-        return spark.createDataFrame([], REPLAY)
+    longest = events.groupBy("user_id").count().agg(F.max("count")).first()[0] or 0
     state = spark.createDataFrame([], STATE)
-    done: list[DataFrame] = []
-    start = span[0]
-    while start <= span[1]:
-        stop = start + rows_per_step
-        part = events.filter((F.col("id") >= start) & (F.col("id") < stop))
-        touched = part.select("user_id").distinct()
-        known = state.join(touched, "user_id", "left_semi")
-        step = part.groupBy("user_id").cogroup(known.groupBy("user_id")).applyInPandas(_replay_group, REPLAY)
-        last = stop > span[1]
-        if not (last and not done):
-            checkpoint_dir(spark)
-            step = step.checkpoint()
-        done.append(step)
-        if not last:
-            state = merge_state(state, step).checkpoint()
-        start = stop
-    result = done[0]
-    for step in done[1:]:
-        result = result.unionByName(step)
+    if longest <= rows_per_step:
+        return _fold(events, state)
+    folder = f"{checkpoint_dir(spark)}/{spark.sparkContext.applicationId}/replay-{uuid.uuid4().hex[:8]}"
+    step = F.floor((F.col("position") - 1) / rows_per_step)
+    placed = ranked(events, ["user_id"], ["id"], id_chunk("id")).withColumn("step", step).drop("position")
+    placed.write.partitionBy("step").parquet(folder)
+    placed = spark.read.parquet(folder)
+    result: DataFrame | None = None
+    for k in range(-(-longest // rows_per_step)):
+        part = _fold(placed.filter(F.col("step") == k).drop("step"), state).checkpoint()
+        result = part if result is None else result.unionByName(part)
+        state = merge_state(state, part).checkpoint()
     return result
 
 

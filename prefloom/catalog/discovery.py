@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from prefloom import constants as c
-from prefloom.catalog.registry import big, query, rounded
+from prefloom.catalog.registry import query, rounded
 from prefloom.functions import rights, urls
-from prefloom.functions.vectors import as_double, norm, unit
+from prefloom.functions.vectors import as_double, unit
 from prefloom.operators import blur, candidates as cand, neardup
 
 DAY = "2024-01-15"

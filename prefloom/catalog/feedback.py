@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from prefloom import constants as c
 from prefloom.catalog.ranking import LIB, lib
-from prefloom.catalog.registry import big, micros, query
+from prefloom.catalog.registry import micros, query
 from prefloom.operators import feedback, splits
 from prefloom.session import checkpoint_dir
 

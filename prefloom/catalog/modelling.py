@@ -6,12 +6,10 @@ from pyspark.sql import functions as F
 
 from prefloom import constants as c
 from prefloom.catalog.feedback import cutoffs
-from prefloom.catalog.ranking import lib
 from prefloom.catalog.registry import big, query, rounded
 from prefloom.functions import scoring
 from prefloom.functions.vectors import as_double, dot, literal
-from prefloom.operators import bandit, features, feedback, metrics
-from prefloom.operators.ordered import top_per_key
+from prefloom.operators import bandit, features, metrics
 from prefloom.plans import encoding, model, promotion, training
 
 D = 64

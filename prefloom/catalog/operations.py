@@ -8,7 +8,6 @@ from prefloom import constants as c
 from prefloom.catalog.ranking import LIB, lib
 from prefloom.catalog.registry import big, micros, query
 from prefloom.operators import bandit, decisions, feedback
-from prefloom.operators.ordered import top_per_key
 
 NOW = "TIMESTAMP '2024-01-29 02:00:00'"
 DURING = "TIMESTAMP '2024-01-28 12:00:00'"

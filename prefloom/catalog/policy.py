@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from prefloom import constants as c
 from prefloom.catalog.ranking import coin_sql
-from prefloom.catalog.registry import big, query, rounded
+from prefloom.catalog.registry import query, rounded
 from prefloom.operators import bandit
 
 ARMS = ["arm0", "arm1", "arm2", "arm3", "arm4"]

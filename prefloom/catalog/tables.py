@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from prefloom import constants as c
-from prefloom.catalog.registry import big, micros, query, rounded
+from prefloom.catalog.registry import micros, query
 from prefloom.functions import hashing, text
 from prefloom.functions.vectors import as_double
 from prefloom.operators import quality

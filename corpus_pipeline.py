@@ -9,12 +9,35 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from prefloom.llm import line_dedup, packing
-from prefloom.llm.common import ready
+from prefloom.llm import decontamination, jaccard, line_dedup, packing, toxicity
+from prefloom.llm.common import NULL_ID, ready
 from prefloom.session import checkpoint_dir
 
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+def _without(docs: DataFrame, lost: DataFrame) -> DataFrame:
+    """The documents whose id is not in ``lost``; a null id is an id like any other."""
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))
+    gone = lost.select(key.alias("__id")).distinct()
+    return docs.withColumn("__id", key).join(gone, "__id", "left_anti").select(*docs.columns)
+
+
+def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score stays below the threshold."""
+    scored = toxicity.score(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return _without(docs, scored.where("predicted = 1"))
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The smallest document of each group of near duplicates, and all without shingles."""
+    found = jaccard.near_duplicates(docs)
+    return _without(docs, found.where("NOT doc_id <=> component_id"))
+
+
+def not_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item, word by word or re-parameterised."""
+    return decontamination.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +50,13 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.sequences(packing.decompose(docs))
 
 
-STAGES = [("line dedup", shared_lines), ("packing", pack)]
+STAGES = [
+    ("toxicity", not_toxic),
+    ("line dedup", shared_lines),
+    ("n-gram Jaccard join", one_of_each),
+    ("benchmark decontamination", not_benchmark),
+    ("packing", pack),
+]
 #: The stages learn, hash and tokenize; SQL does not express them.
 ORACLE_SQL = None
 

@@ -115,33 +115,25 @@ class Hashes(dict):
 def components(edges: DataFrame, low: str = "a", high: str = "b") -> DataFrame:
     """Columns node and component (the smallest node that links reach) for all nodes of ``edges``.
 
-    Each round hangs every node below its smallest neighbour and then follows pointers twice; stars
-    of any size take one round, chains a logarithmic number. Nothing reaches the driver but a count.
+    Each round hangs every label below its smallest neighbour, follows pointers twice and contracts
+    the links to those between the labels that are left. Stars of any size take one round, chains
+    a logarithmic number. Nothing reaches the driver but whether links are left.
     """
     links = edges.select(F.col(low).alias("a"), F.col(high).alias("b")).where("a <> b")
-    both = landed(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("c")).select(F.col("a").alias("node"), "c")
-    labels = landed(labels)
-    current = both
+    links = landed(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = landed(links.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("c")))
+    to = labels.select(F.col("node").alias("from"), F.col("c").alias("to"))
     while True:
-        ends = current.join(labels.select(F.col("node").alias("a"), F.col("c").alias("ca")), "a")
-        ends = ends.join(labels.select(F.col("node").alias("b"), F.col("c").alias("cb")), "b")
-        open_links = landed(ends.where("ca <> cb").select("ca", "cb").distinct())
-        if open_links.isEmpty():
+        ends = links.join(to.toDF("a", "to_a"), "a", "left").join(to.toDF("b", "to_b"), "b", "left")
+        contracted = ends.select(F.coalesce("to_a", "a").alias("a"), F.coalesce("to_b", "b").alias("b"))
+        old, links = links, landed(contracted.where("a <> b").distinct())
+        discard(old)
+        if links.isEmpty():
             return labels.select("node", F.col("c").alias("component"))
-        hung = open_links.groupBy(F.col("ca").alias("node")).agg(F.min("cb").alias("to")).where("to < node")
+        hung = links.groupBy(F.col("a").alias("from")).agg(F.min("b").alias("to")).where("to < from")
         for _ in range(2):
-            up = hung.select(F.col("node").alias("to"), F.col("to").alias("next"))
-            hung = hung.join(up, "to", "left").select("node", F.coalesce("next", "to").alias("to"))
-        old = labels
-        moved = labels.join(hung.withColumnRenamed("node", "c"), "c", "left").select("node", F.coalesce("to", "c").alias("c"))
-        labels = landed(moved)
-        # the links themselves are relabelled, so that they shrink to those between trees
-        before, current = current, open_links.select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-        roots = labels.select("node", "c")
-        current = landed(
-            current.join(roots.select(F.col("node").alias("a"), F.col("c").alias("ca")), "a")
-            .join(roots.select(F.col("node").alias("b"), F.col("c").alias("cb")), "b")
-            .where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
-        )
-        discard(old, before, open_links)
+            hung = hung.join(hung.toDF("to", "next"), "to", "left").select("from", F.coalesce("next", "to").alias("to"))
+        to = landed(hung)
+        moved = labels.join(to.toDF("c", "to"), "c", "left").select("node", F.coalesce("to", "c").alias("c"))
+        old, labels = labels, landed(moved)
+        discard(old)

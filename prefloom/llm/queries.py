@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from prefloom.llm import line_dedup, packing
+from prefloom.llm import decontamination, jaccard, line_dedup, packing, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -46,3 +46,18 @@ FROM m GROUP BY doc_id
 @query("op7_line_dedup", LINES)
 def op7(spark: SparkSession, path: str) -> DataFrame:
     return line_dedup.digest(table(spark, path, "documents"))
+
+
+@query("op8_toxicity")
+def op8(spark: SparkSession, path: str) -> DataFrame:
+    return toxicity.score(table(spark, path, "documents"), table(spark, path, "labels"))
+
+
+@query("op9_jaccard_join")
+def op9(spark: SparkSession, path: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, path, "documents"))
+
+
+@query("op5_decontamination")
+def op5(spark: SparkSession, path: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, path, "documents"), table(spark, path, "benchmark"))

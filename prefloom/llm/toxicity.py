@@ -170,6 +170,36 @@ class Model:
         return np.asarray([math.fsum(map(look, words)) / len(words) if words else 0.0 for words in split])
 
 
+def slots(rows: DataFrame, bits: int, chunk_bits: int = 12) -> dict[str, np.ndarray]:
+    """Sums of the number columns per slot (the first column), as one array each.
+
+    The sums come to the driver as packed chunks, one partition at a time: 2 ** ``bits`` numbers a
+    column at most, whatever the input.
+    """
+    slot, *names = rows.columns
+    sums = rows.groupBy(slot).agg(*(F.sum(n).cast("float").alias(n) for n in names))
+    size = 1 << chunk_bits
+
+    def pack(batches):
+        import pyarrow as pa
+
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            place = batch.column(0).to_numpy()
+            values = np.stack([batch.column(i + 1).to_numpy() for i in range(len(names))])
+            for chunk in np.unique(place >> chunk_bits):
+                mine = place >> chunk_bits == chunk
+                held.setdefault(int(chunk), np.zeros((len(names), size), np.float32))[:, place[mine] & (size - 1)] = values[:, mine]
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([v.tobytes() for v in held.values()], pa.binary())], ["chunk", "packed"])
+
+    packed = sums.repartition(F.shiftright(slot, chunk_bits)).mapInArrow(pack, "chunk long, packed binary")
+    tables = {n: np.zeros(1 << bits, np.float32) for n in names}
+    for chunk, values in packed.toLocalIterator():
+        for name, column in zip(names, np.frombuffer(bytes(values), np.float32).reshape(len(names), size)):
+            tables[name][chunk << chunk_bits:(chunk + 1) << chunk_bits] = column
+    return tables
+
+
 def fit_model(labelled: DataFrame, settings: Settings = Settings()) -> Model:
     """Class models from rows with text and toxic (0 or 1)."""
     words = landed(word_counts(labelled))
@@ -178,24 +208,9 @@ def fit_model(labelled: DataFrame, settings: Settings = Settings()) -> Model:
     counts = landed(gram_counts(words, settings))
     discard(words)
     scaled = counts.select("gram", "context", "level", (F.col("ordinary") * scale).alias("c0"), F.col("toxic").cast("double").alias("c1"))
-    tables = {}
-
-    def fill(name: str, frame: DataFrame, bits: int, column: str, slot: str) -> None:
-        values = np.zeros(1 << bits, np.float32)
-        values[frame[slot]] = frame[column]
-        tables[name] = values
-
-    by_gram = scaled.groupBy(F.col("gram").cast("int").alias("gram")).agg(*(F.sum(c).cast("float").alias(c) for c in ("c0", "c1")))
-    by_gram = by_gram.toPandas()  # at most 2 ** gram_bits rows
-    kept = [F.greatest(F.col(c) - settings.discount, F.lit(0.0)) for c in ("c0", "c1")]
-    by_context = scaled.groupBy(F.col("context").cast("int").alias("context")).agg(
-        *(F.sum(c).cast("float").alias(f"all{i}") for i, c in enumerate(("c0", "c1"))),
-        *(F.sum(k).cast("float").alias(f"kept{i}") for i, k in enumerate(kept)),
-    ).toPandas()  # at most 2 ** context_bits rows
-    for i in (0, 1):
-        fill(f"gram{i}", by_gram, settings.gram_bits, f"c{i}", "gram")
-        fill(f"all{i}", by_context, settings.context_bits, f"all{i}", "context")
-        fill(f"kept{i}", by_context, settings.context_bits, f"kept{i}", "context")
+    kept = [F.greatest(F.col(c) - settings.discount, F.lit(0.0)).alias(k) for c, k in (("c0", "kept0"), ("c1", "kept1"))]
+    tables = slots(scaled.select("gram", F.col("c0").alias("gram0"), F.col("c1").alias("gram1")), settings.gram_bits)
+    tables |= slots(scaled.select("context", F.col("c0").alias("all0"), F.col("c1").alias("all1"), *kept), settings.context_bits)
     discard(counts)
     return Model(settings, tables)
 

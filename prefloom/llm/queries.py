@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from prefloom.llm import decontamination, jaccard, line_dedup, packing, toxicity
+from prefloom.llm import decontamination, jaccard, language_id, line_dedup, packing, secrets, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -61,3 +61,13 @@ def op9(spark: SparkSession, path: str) -> DataFrame:
 @query("op5_decontamination")
 def op5(spark: SparkSession, path: str) -> DataFrame:
     return decontamination.contaminated(table(spark, path, "documents"), table(spark, path, "benchmark"))
+
+
+@query("op6_secret_scan")
+def op6(spark: SparkSession, path: str) -> DataFrame:
+    return secrets.digest(table(spark, path, "documents"))
+
+
+@query("op10_language_id")
+def op10(spark: SparkSession, path: str) -> DataFrame:
+    return language_id.identify(table(spark, path, "documents"))

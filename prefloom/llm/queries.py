@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from prefloom.llm import decontamination, jaccard, language_id, line_dedup, packing, secrets, toxicity
+from prefloom.llm import decontamination, jaccard, language_id, line_dedup, packing, secrets, suffix_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -71,3 +71,8 @@ def op6(spark: SparkSession, path: str) -> DataFrame:
 @query("op10_language_id")
 def op10(spark: SparkSession, path: str) -> DataFrame:
     return language_id.identify(table(spark, path, "documents"))
+
+
+@query("op4_suffix_dedup")
+def op4(spark: SparkSession, path: str) -> DataFrame:
+    return suffix_dedup.digest(table(spark, path, "documents"))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from prefloom.llm import decontamination, jaccard, language_id, line_dedup, packing, secrets, suffix_dedup, toxicity
+from prefloom.llm import (
+    decontamination, hamming_search, jaccard, language_id, line_dedup, packing, secrets, suffix_dedup, token_counts, toxicity,
+)
+from prefloom.session import checkpoint_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -76,3 +80,26 @@ def op10(spark: SparkSession, path: str) -> DataFrame:
 @query("op4_suffix_dedup")
 def op4(spark: SparkSession, path: str) -> DataFrame:
     return suffix_dedup.digest(table(spark, path, "documents"))
+
+
+@query("op2_token_counts")
+def op2(spark: SparkSession, path: str) -> DataFrame:
+    folder = f"{checkpoint_dir(spark)}/ledger-{uuid.uuid4().hex}"
+    return token_counts.maintained_totals(table(spark, path, "documents"), folder)
+
+
+NEAREST = """
+WITH v AS (
+  SELECT vec_id, list_aggregate(list_transform(embedding, lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), 'string_agg', '')::BIT AS code
+  FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
+p AS (SELECT q.vec_id AS query_id, v.vec_id, bit_count(xor(q.code, v.code)) AS distance FROM v q, v WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM p)
+SELECT query_id, rank::INT AS rank, vec_id, distance::BIGINT AS distance FROM r WHERE rank <= 10
+"""
+
+
+@query("op3_hamming_search", NEAREST)
+def op3(spark: SparkSession, path: str) -> DataFrame:
+    codes = hamming_search.sign_codes(table(spark, path, "embeddings"))
+    found = hamming_search.search(codes, codes.where("id % 50 = 0"))
+    return found.withColumnRenamed("id", "vec_id")

@@ -46,12 +46,16 @@ def landed(frame: DataFrame) -> DataFrame:
 
 
 def discard(*frames: DataFrame) -> None:
-    """Delete what ``landed`` wrote, once nothing will read it again."""
+    """Delete what ``landed`` wrote, once nothing will read it again.
+
+    Shuffle files go when the driver's JVM collects the plans that made them, so it is asked to.
+    """
     for frame in frames:
-        jvm = frame.sparkSession.sparkContext._jvm
+        context = frame.sparkSession.sparkContext
         for file in frame.inputFiles()[:1]:
-            folder = jvm.org.apache.hadoop.fs.Path(file).getParent()
-            folder.getFileSystem(frame.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+            folder = context._jvm.org.apache.hadoop.fs.Path(file).getParent()
+            folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+        context._jvm.System.gc()
 
 
 def arrow_map(frame: DataFrame, work: Callable[[pa.RecordBatch], Iterator[dict]], schema: str) -> DataFrame:

@@ -25,12 +25,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prefloom.llm.common import Hashes, arrow_map, binary, components, keyed, landed, mix, original_id, parts, ready
+from prefloom.llm.common import Hashes, arrow_map, binary, components, discard, keyed, landed, mix, original_id, parts, ready
 
 WORDS = 5
 #: Similarity as a fraction; 3/4 by contract.
 NUMERATOR, DENOMINATOR = 75, 100
-SKETCH_BITS = 512
 BAND = 3.0
 BLOCK = 4096
 
@@ -121,11 +120,31 @@ def join_keys(shingles: np.ndarray) -> np.ndarray:
 
 
 def parity(shingles: np.ndarray) -> bytes:
-    """One bit flipped per shingle; the Hamming distance of two never exceeds the sets' difference."""
-    bits = np.bincount((mix(shingles, 31) % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1
+    """One bit flipped per shingle; the Hamming distance of two never exceeds the sets' difference.
+
+    The sketch has a power of two of bits, twice the shingles at least; XORing its halves makes the
+    sketch of half the size, so sketches of different sizes can be compared.
+    """
+    size = max(256, 1 << (2 * len(shingles) - 1).bit_length())
+    bits = np.bincount((mix(shingles, 31) & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
     return np.packbits(bits.astype(np.uint8)).tobytes()
 
 
+def _folded(sketch: np.ndarray) -> np.ndarray:
+    half = sketch.shape[-1] // 2
+    return sketch[..., :half] ^ sketch[..., half:]
+
+
+def distance(left: bytes, right: bytes) -> int:
+    """Hamming distance of two sketches at the smaller of their sizes."""
+    x, y = np.frombuffer(left, np.uint64), np.frombuffer(right, np.uint64)
+    while len(x) > len(y):
+        x = _folded(x)
+    while len(y) > len(x):
+        y = _folded(y)
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def sketches(documents: DataFrame) -> DataFrame:
     """doc_id, n, c1, c2 (the class), sketch, keys (null where the task saw the class before)."""
 
@@ -255,13 +274,28 @@ def across_components(rows: DataFrame) -> DataFrame:
         for _, node, comp, n, sketch in _groups(batches, ("block", "node", "component", "n", "sketch")):
             node, first = np.unique(node, return_index=True)
             comp, n = comp[first], n[first]
-            bits = np.frombuffer(b"".join(sketch[first]), np.uint64).reshape(len(node), -1)
             found = []
+            # in order of size, the possible partners of a node are a range above it
+            order = np.argsort(n, kind="stable")
+            node, comp, n, sketch = node[order], comp[order], n[order], sketch[first][order]
+            words = np.fromiter(map(len, sketch), np.int64, len(node)) // 8
+            above = np.searchsorted(n, DENOMINATOR * n // NUMERATOR, side="right")
+            tables: dict[int, tuple[int, np.ndarray]] = {}
+            for size in np.unique(words)[::-1]:
+                mine = np.flatnonzero(words == size)
+                table = np.frombuffer(b"".join(sketch[mine]), np.uint64).reshape(len(mine), -1)
+                if 2 * size in tables:  # larger sets follow, folded to this size
+                    start, larger = tables[2 * size]
+                    own = np.flatnonzero(words == 2 * size)
+                    table = np.concatenate([table, _folded(larger[: len(own)])])
+                tables[int(size)] = (int(mine[0]), table)
             for i in range(len(node) - 1):
-                rest = slice(i + 1, None)
-                near = np.bitwise_count(bits[rest] ^ bits[i]).sum(axis=1, dtype=np.int64)
-                hit = np.flatnonzero((comp[rest] != comp[i]) & _possible(n[rest], n[i], near)) + i + 1
-                found += [(int(node[i]), int(node[j])) for j in hit]
+                others = np.flatnonzero(comp[i + 1:above[i]] != comp[i]) + i + 1
+                if len(others):
+                    start, table = tables[int(words[i])]
+                    near = np.bitwise_count(table[others - start] ^ table[i - start]).sum(axis=1, dtype=np.int64)
+                    for j in others[_possible(n[others], n[i], near)].tolist():
+                        found.append((int(min(node[i], node[j])), int(max(node[i], node[j]))))
             fresh = [p for p in found if p not in done]
             if len(done) > 1_000_000:
                 done.clear()
@@ -316,13 +350,15 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     """
     ready(documents)
     base = keyed(documents)
-    rows = landed(sketches(base))
+    wide = landed(sketches(base))
+    rows = landed(wide.select("doc_id", "n", "c1", "c2"))
     # rows repeating a doc_id with other texts are told apart below by their class
     classes = rows.where("n > 0").groupBy("c1", "c2", "n").agg(F.min("doc_id").alias("rep"))
-    sketch = rows.where("sketch IS NOT NULL").groupBy("c1", "c2", "n").agg(F.first("sketch").alias("sketch"), F.max(F.size("keys")).alias("keys"))
+    sketch = wide.where("sketch IS NOT NULL").groupBy("c1", "c2", "n").agg(F.first("sketch").alias("sketch"), F.max(F.size("keys")).alias("keys"))
     info = landed(classes.join(sketch, ["c1", "c2", "n"]).withColumn("node", F.col("c1")))
-    segments = rows.where("keys IS NOT NULL").select(F.col("c1").alias("node"), F.explode("keys").alias("key")).select("key", "node")
+    segments = wide.where("keys IS NOT NULL").select(F.col("c1").alias("node"), F.explode("keys").alias("key")).select("key", "node")
     shared = landed(shared_segments(segments))
+    discard(wide)
     popular = shared.groupBy("node").agg(F.count("*").alias("m")).join(info.select("node", "keys"), "node")
     weights = popular.select("node", (F.col("m") / F.col("keys")).alias("weight"))
     pairs = centre_edges(shared.join(weights, "node")).distinct()
@@ -332,8 +368,8 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     right = plain.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
 
     def near(batch):
-        a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in ("sa", "sb"))
-        ok = _possible(batch.column("na").to_numpy(), batch.column("nb").to_numpy(), np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64))
+        bound = np.asarray([distance(x, y) for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist())], np.int64)
+        ok = _possible(batch.column("na").to_numpy(), batch.column("nb").to_numpy(), bound)
         yield {c: batch.column(c).to_numpy()[ok] for c in ("a", "b")}
 
     first = landed(arrow_map(pairs.join(left, "a").join(right, "b"), near, "a long, b long"))
@@ -351,6 +387,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     )
     second = across_components(blocked.join(plain, "node")).distinct().join(first, ["a", "b"], "left_anti")
     second = landed(second)
+    discard(shared)
     more = second.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(sets.select("node"), "node", "left_anti")
     sets_too = sets.unionByName(landed(_sets(more, info, base)))
     links_too = landed(verified(second, sets_too))

@@ -137,16 +137,25 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
-def guess_spans(text: str, settings: Settings = Settings()) -> list[tuple[int, int, str]]:
-    """Spans of values in a credential context that cost enough guesses."""
+def guess_spans(text: str, settings: Settings = Settings(), taken: list[tuple[int, int, str]] = ()) -> list[tuple[int, int, str]]:
+    """Spans of values in a credential context that cost enough guesses and lie outside ``taken``."""
     out = []
     for m in CONTEXT.finditer(text):
-        value = m[1].rstrip("\"',;.)")
-        if len(value) >= 6 and not (value.isalpha() and value.islower()) and segments(value, settings)[0] >= math.log10(settings.guesses):
-            out.append((m.start(1), m.start(1) + len(value), "guess"))
+        start, value = m.start(1), m[1].rstrip("\"',;.)")
+        plain_word = value.isalpha() and (value.islower() or value.istitle())
+        if len(value) < 6 or plain_word or any(a < start + len(value) and start < z for a, z, _ in taken):
+            continue
+        if segments(value, settings)[0] >= math.log10(settings.guesses):
+            out.append((start, start + len(value), "guess"))
     return out
 
 
+def all_spans(text: str, settings: Settings = Settings()) -> list[tuple[int, int, str]]:
+    """Spans of the patterns and, outside them, of guess costs; by start, then kind."""
+    found = base_spans(text)
+    return sorted(found + guess_spans(text, settings, found), key=lambda s: (s[0], KINDS.index(s[2])))
+
+
 def scan(documents: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """doc_id, text and spans (array of kind, start, end in code points, by start and kind) of every row.
 
@@ -158,7 +167,7 @@ def scan(documents: DataFrame, settings: Settings = Settings()) -> DataFrame:
         for part in parts(batch):
             texts = part.column("text").to_pylist()
             spans = [
-                [{"kind": k, "start": a, "end": b} for a, b, k in sorted(base_spans(t) + guess_spans(t, settings), key=lambda s: (s[0], KINDS.index(s[2])))]
+                [{"kind": k, "start": a, "end": b} for a, b, k in all_spans(t, settings)]
                 for t in texts
             ]
             yield {"doc_id": part.column("doc_id"), "text": part.column("text"), "spans": spans}

@@ -141,7 +141,9 @@ def shared_lines(documents: DataFrame, least_chars: int = 40, least_documents: i
 
     rows = landed(arrow_map(base, suspects, "digest binary, doc_id long").distinct())
     counted = rows.groupBy("digest").agg(F.count("*").alias("documents"), F.max("doc_id").alias("keep"))
-    return rows.join(counted.where(F.col("documents") >= least_documents).select("digest", "keep"), "digest")
+    # landed, so that the join deals both sides anew and a line of very many documents can be split
+    kept = landed(counted.where(F.col("documents") >= least_documents).select("digest", "keep"))
+    return rows.join(kept, "digest")
 
 
 def drop_shared_lines(

@@ -84,7 +84,7 @@ def binary(batch: pa.RecordBatch, name: str) -> list[bytes]:
 
 def parts(batch: pa.RecordBatch, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch of about ``limit`` bytes of text at most (one row at least)."""
-    sizes = np.cumsum([len(x) for x in binary(batch, "text")])
+    sizes = np.cumsum([len(x or b"") for x in binary(batch, "text")])
     start = 0
     while start < batch.num_rows:
         before = sizes[start - 1] if start else 0

@@ -255,16 +255,17 @@ def score(documents: DataFrame, labels: DataFrame, settings: Settings = Settings
     )
     part = F.shiftright(F.crc32(F.col("doc_id").cast("string").cast("binary")), 2) % settings.curve_share
     base = keyed(documents)
-    train = base.where(~held_out()).join(marks, "doc_id").select("doc_id", "text", "toxic", part.alias("part"))
-    train = landed(train)
-    model = fit_model(train.where("part <> 0"), settings)
+    # rows are picked before the join, so that a text is shuffled once, for the counts or for the curve
+    def labelled(rows: Column) -> DataFrame:
+        return base.where(~held_out()).where(rows).join(marks, "doc_id").select("doc_id", "text", "toxic")
+
+    model = fit_model(labelled(part != 0), settings)
     sent = spark.sparkContext.broadcast(model)
-    seen = _evidence_column(train.where("part = 0").select("doc_id", "text", "toxic"), sent, ", toxic int", ("toxic",))
+    seen = _evidence_column(labelled(part == 0), sent, ", toxic int", ("toxic",))
     width = 4.0 / settings.bins
     binned = seen.groupBy(F.least(F.greatest(F.floor(F.col("evidence") / width), F.lit(-settings.bins)), F.lit(settings.bins)).alias("bin"))
     rows = binned.agg(F.count("*").alias("n"), F.sum("toxic").alias("t"), F.avg("evidence").alias("x")).collect()
     slope, shift = logistic([(r["x"], r["n"], r["t"]) for r in rows])
-    discard(train)
     scored = _evidence_column(base, sent).select(
         original_id(), F.coalesce(held_out(), F.lit(False)).alias("held_out"),
         (1 / (1 + F.exp(-(F.col("evidence") * slope + shift)))).alias("score"),

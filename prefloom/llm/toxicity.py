@@ -158,7 +158,7 @@ class Model:
     def evidence(self, texts: list[bytes]) -> np.ndarray:
         """The length-normalised difference of the log-likelihoods of each text; 0 without words."""
         split = [split_words(t) for t in texts]
-        if len(self.known) > 1_000_000:
+        if len(self.known) > 400_000:
             self.known.clear()
         new = [w for w in {w for words in split for w in words} if w not in self.known]
         share = self.settings.share

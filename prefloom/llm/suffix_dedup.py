@@ -33,7 +33,7 @@ from prefloom.llm.common import binary, keyed, landed, mix, original_id, parts,
 
 LENGTH = 100
 GRAM = 32
-HOT = 2000
+HOT = 50_000
 OPEN_BITS = 1 << 26
 _BASE = 0x9E3779B97F4A7C15
 

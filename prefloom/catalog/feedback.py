@@ -139,8 +139,8 @@ def _(i):
 
 
 AS_OF = "TIMESTAMP '2024-01-25 00:00:00'"
-STALE = f"""st AS (SELECT user_id, token_hash FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY issued_at, token_hash) AS rn FROM fx_rating_issuances WHERE used_at IS NULL AND issued_at + INTERVAL 24 HOUR < {AS_OF}) WHERE rn <= 128
-UNION SELECT user_id, token_hash FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY used_at, token_hash) AS rn FROM fx_rating_issuances WHERE used_at < {AS_OF} - INTERVAL 7 DAY) WHERE rn <= 128)"""
+STALE = f"""st AS (SELECT user_id, token_hash FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY issued_at, token_hash) AS rn FROM fx_rating_issuances WHERE used_at IS NULL AND issued_at + INTERVAL 24 HOUR < {AS_OF})
+UNION SELECT user_id, token_hash FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY used_at, token_hash) AS rn FROM fx_rating_issuances WHERE used_at < {AS_OF} - INTERVAL 7 DAY))"""
 
 
 @query("g1_stale_issuances", f"WITH {STALE} SELECT user_id, token_hash FROM st")

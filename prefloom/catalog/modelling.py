@@ -32,9 +32,9 @@ def _(i):
     return rows.select("id", "y", rounded(dot(F.col("x"), ramp)).alias("checksum"))
 
 
-@query("c5_missing_vectors", "SELECT DISTINCT left_id AS image_id FROM fx_comparisons WHERE left_id % 3 = 0")
+@query("c5_missing_vectors", """SELECT image_id FROM (SELECT left_id AS image_id FROM fx_comparisons UNION SELECT right_id FROM fx_comparisons UNION SELECT image_id FROM fx_ratings) WHERE image_id % 3 = 0""")
 def _(i):
-    return features.missing_vectors(i.comparisons.select(F.col("left_id").alias("image_id")), vectors(i).filter("image_id % 3 <> 0"))
+    return features.missing_vectors(features.feedback_images(i.comparisons, i.ratings), vectors(i).filter("image_id % 3 <> 0"))
 
 
 @query("c6_rating_features", "SELECT r.id, r.value, ROUND(SUM(l.v * (l.pos + 1)), 6) + 0.0 AS checksum FROM fx_ratings r JOIN fx_long l ON l.image_id = r.image_id GROUP BY r.id, r.value")
@@ -175,7 +175,7 @@ def _(i):
 @query("i13_bootstrap_scores")
 def _(i):
     pairs, ratings = (df.persist() for df in weighted(i))
-    ensemble = model.bootstrap(pairs, ratings, model.fit_joint(pairs, ratings), "seed", members=3)
+    ensemble = model.bootstrap(pairs, ratings, model.fit_joint(pairs, ratings), "seed")
     pairs.unpersist()
     ratings.unpersist()
     return model.ensemble_scores(vectors(i), ensemble).drop("vector")

@@ -14,6 +14,10 @@ DURING = "TIMESTAMP '2024-01-28 12:00:00'"
 CUTS = """jc AS (SELECT *, json_extract_string(input_json, '$.comparison_cutoff') AS comparison_cutoff, COALESCE(json_extract_string(input_json, '$.rating_cutoff'), '0') AS rating_cutoff,
 json_extract_string(input_json, '$.run_day') AS run_day FROM fx_jobs)"""
 
+SIDES = [f"json_extract_string(input_json, '$.{k}')" for k in ("comparison_cutoff", "rating_cutoff")]
+HEALTH_CUTS = f"""jc AS (SELECT *, CASE WHEN COALESCE({SIDES[0]}, {SIDES[1]}) IS NOT NULL THEN COALESCE({SIDES[0]}, '0') END AS comparison_cutoff,
+CASE WHEN COALESCE({SIDES[0]}, {SIDES[1]}) IS NOT NULL THEN COALESCE({SIDES[1]}, '0') END AS rating_cutoff FROM fx_jobs)"""
+
 
 def now():
     return F.expr(NOW)
@@ -146,9 +150,9 @@ def _(i):
     return out.select("user_id", "backlog", "decision", "requested")
 
 
-@query("e11_retry_cap", f"""WITH {CUTS} SELECT user_id, comparison_cutoff, rating_cutoff FROM jc WHERE kind = 'train' AND status IN ('failed','skipped') AND created_at >= {NOW} - INTERVAL 7 DAY GROUP BY ALL HAVING COUNT(*) >= 3""")
+@query("e11_retry_cap", f"""WITH {HEALTH_CUTS} SELECT user_id, comparison_cutoff, rating_cutoff FROM jc WHERE kind = 'train' AND comparison_cutoff IS NOT NULL AND status IN ('failed','skipped') AND created_at >= {NOW} - INTERVAL 7 DAY GROUP BY ALL HAVING COUNT(*) >= 3""")
 def _(i):
-    return decisions.retries_exhausted(decisions.with_cutoffs(i.jobs), now()).drop("exhausted")
+    return decisions.retries_exhausted(decisions.with_health_cutoffs(i.jobs), now()).drop("exhausted")
 
 
 BS = chr(92)
@@ -162,7 +166,7 @@ def _(i):
     return i.jobs.select("id", short_error(F.col("error")).alias("message"))
 
 
-@query("i21_job_health", f"""WITH {CUTS}, ex AS (SELECT user_id, comparison_cutoff, rating_cutoff FROM jc WHERE kind = 'train' AND status IN ('failed','skipped') AND created_at >= {NOW} - INTERVAL 7 DAY GROUP BY ALL HAVING COUNT(*) >= 3),
+@query("i21_job_health", f"""WITH {HEALTH_CUTS}, ex AS (SELECT user_id, comparison_cutoff, rating_cutoff FROM jc WHERE kind = 'train' AND comparison_cutoff IS NOT NULL AND status IN ('failed','skipped') AND created_at >= {NOW} - INTERVAL 7 DAY GROUP BY ALL HAVING COUNT(*) >= 3),
 la AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id, kind ORDER BY created_at DESC, id DESC) AS rn FROM jc) WHERE rn = 1),
 ls AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id, kind ORDER BY created_at DESC, id DESC) AS rn FROM jc WHERE status = 'succeeded') WHERE rn = 1),
 j AS (SELECT la.*, ls.finished_at AS okat, la.kind = 'train' AND la.status IN ('failed','skipped') AND ex.user_id IS NOT NULL AS exhausted, {SHORT.replace('error', 'la.error')} AS short,
@@ -175,7 +179,7 @@ CASE WHEN status = 'queued' THEN 'Waiting for the private worker to start.' WHEN
  WHEN status = 'succeeded' AND cc = 0 AND rc = 0 THEN 'Model trained on 0 feedback events.'
  WHEN status = 'succeeded' THEN 'Model trained on ' || concat_ws(' and ', CASE WHEN rc > 0 THEN rc || CASE WHEN rc = 1 THEN ' rating' ELSE ' ratings' END END, CASE WHEN cc > 0 THEN cc || CASE WHEN cc = 1 THEN ' legacy choice' ELSE ' legacy choices' END END) || ' (' || (cc + rc) || CASE WHEN cc + rc = 1 THEN ' feedback event' ELSE ' feedback events' END || ' total).'
  ELSE COALESCE(short, CASE WHEN status = 'skipped' THEN 'The latest worker run was deferred.' ELSE 'The latest worker run failed.' END) END AS note,
-CASE WHEN status NOT IN ('failed','skipped') THEN NULL WHEN exhausted THEN '{decisions.RETRIES_PAUSED}' WHEN error LIKE '%timed out%' THEN '{decisions.FAILURE_ACTIONS[3][1]}' ELSE '{decisions.FAILURE_ACTIONS[5][1]}' END AS action,
+CASE WHEN status NOT IN ('failed','skipped') THEN NULL WHEN exhausted THEN '{decisions.RETRIES_PAUSED}' WHEN error LIKE '%timed out%' THEN 'runtime' ELSE 'other' END AS action,
 epoch_us(finished_at) AS last_attempt_us, epoch_us(okat) AS last_success_us, exhausted AS retries_exhausted FROM j""")
 def job_health(i):
     out = decisions.job_health(i.jobs, now())

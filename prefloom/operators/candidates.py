@@ -130,15 +130,20 @@ def admit(candidates: DataFrame, allowance: int, day: str) -> DataFrame:
     )
 
 
-def round_robin(candidates: DataFrame, limit: int) -> DataFrame:
+def round_robin(candidates: DataFrame, limit: int, categories: Sequence[str] | None = None) -> DataFrame:
     """Balanced stream over categories: turn by turn, each identity once, first ``limit`` rows.
 
-    A duplicate uses its category's turn but does not count.
+    Within a turn categories follow the order of ``categories``, the configured list; others, and
+    all of them without a list, follow by name. A duplicate uses its category's turn but does not
+    count.
     """
+    listed = F.array_position(F.array(*[F.lit(k) for k in categories]), F.col("source_category")) if categories else F.lit(0)
+    place = F.when(listed > 0, listed).otherwise(F.lit(len(categories or ()) + 1))
     turns = ranked(candidates, ["source_category"], ["discovery_index"], id_chunk("discovery_index"), "turn")
     keyed = turns.withColumn("_identity", identity())
-    first = first_per_key(keyed, ["_identity"], ["turn", "source_category"])
-    return first.orderBy("turn", "source_category").limit(limit).drop("_identity")
+    keyed = keyed.withColumn("_place", place)
+    order = ["turn", "_place", "source_category"]
+    return first_per_key(keyed, ["_identity"], order).orderBy(*order).limit(limit).drop("_identity", "_place")
 
 
 def byte_budget(candidates: DataFrame, budget: int) -> DataFrame:
@@ -147,24 +152,30 @@ def byte_budget(candidates: DataFrame, budget: int) -> DataFrame:
     return summed.withColumn("admitted", F.col("used_bytes") <= budget)
 
 
-def byte_budget_skipping(candidates: DataFrame, budget: int, scan_cap: int = 2000) -> DataFrame:
-    """Exact form: what does not fit is skipped and the next row is tried.
+def byte_budget_skipping(candidates: DataFrame, budget: int) -> DataFrame:
+    """Exact form for runs of any size: what does not fit is skipped and the next row is tried.
 
-    A run scans at most ``scan_cap`` records, which bounds the array folded per run.
+    The rows of a run stream through one fold in their order, and the fold keeps one number per run.
+    A negative size counts like any other.
     """
-    scanned = top_per_key(candidates.select("run_id", "discovery_index", "size"), ["run_id"], [F.col("discovery_index")], scan_cap)
-    items = F.sort_array(F.collect_list(F.struct("discovery_index", F.col("size").cast("bigint").alias("size"))))
-    start = F.struct(F.lit(0).cast("bigint").alias("used"), F.array().cast("array<bigint>").alias("ids"))
-
-    def step(state, item):
-        fits = state["used"] + item["size"] <= budget
-        return F.struct(
-            F.when(fits, state["used"] + item["size"]).otherwise(state["used"]).alias("used"),
-            F.when(fits, F.array_append(state["ids"], item["discovery_index"])).otherwise(state["ids"]).alias("ids"),
-        )
-
-    folded = scanned.groupBy("run_id").agg(F.aggregate(items, start, step).alias("f"))
-    return folded.select("run_id", F.explode("f.ids").alias("discovery_index"))
+    def admit(batches):
+        import pandas as pd
+
+        run, used = None, 0
+        for batch in batches:
+            keep = []
+            for key, size in zip(batch["run_id"], batch["size"]):
+                if key != run:
+                    run, used = key, 0
+                fits = used + size <= budget
+                used += size if fits else 0
+                keep.append(fits)
+            yield batch.loc[pd.Series(keep, index=batch.index, dtype=bool), ["run_id", "discovery_index"]]
+
+    rows = candidates.select("run_id", "discovery_index", F.coalesce(F.col("size").cast("bigint"), F.lit(0)).alias("size"))
+    ordered = rows.repartition("run_id").sortWithinPartitions("run_id", "discovery_index")
+    kind = {f.name: f.dataType.simpleString() for f in rows.schema}
+    return ordered.mapInPandas(admit, f"run_id {kind['run_id']}, discovery_index {kind['discovery_index']}")
 
 
 def pool_cap(approved: DataFrame, target: int) -> DataFrame:

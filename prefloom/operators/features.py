@@ -23,6 +23,12 @@ def rating_features(ratings: DataFrame, embeddings: DataFrame) -> DataFrame:
     return ratings.join(embeddings.select("image_id", F.col("vector").alias("x")), "image_id")
 
 
+def feedback_images(comparisons: DataFrame, ratings: DataFrame) -> DataFrame:
+    """Every image that comparisons (either side) or ratings name."""
+    sides = comparisons.select(F.explode(F.array("left_id", "right_id")).alias("image_id"))
+    return sides.unionByName(ratings.select("image_id")).distinct()
+
+
 def missing_vectors(image_ids: DataFrame, embeddings: DataFrame) -> DataFrame:
     """Images that feedback needs but no vector exists for; must be empty before a fit."""
     return image_ids.select("image_id").distinct().join(embeddings, "image_id", "left_anti")

@@ -162,11 +162,13 @@ def apply_comparisons(choices: DataFrame, issuances: DataFrame, library: DataFra
     return joined.select("response_id", "user_id", "winner_id", status.alias("status"))
 
 
-def stale_issuances(issuances: DataFrame, as_of: Column, batch: int = c.PURGE_BATCH) -> DataFrame:
-    """Per user up to ``batch`` expired unused and up to ``batch`` long-used tokens."""
+def stale_issuances(issuances: DataFrame, as_of: Column, batch: int | None = None) -> DataFrame:
+    """Expired unused and long-used tokens; with ``batch``, per user up to so many of either."""
     expires = F.col("issued_at") + F.expr(f"INTERVAL {c.TOKEN_TTL_HOURS} HOURS")
     unused = issuances.filter(F.col("used_at").isNull() & (expires < as_of))
     used = issuances.filter(F.col("used_at") < as_of - F.expr(f"INTERVAL {c.USED_RETENTION_DAYS} DAYS"))
+    if batch is None:
+        return unused.select("user_id", "token_hash").union(used.select("user_id", "token_hash")).distinct()
     first = top_per_key(unused, ["user_id"], [F.col("issued_at"), F.col("token_hash")], batch)
     second = top_per_key(used, ["user_id"], [F.col("used_at"), F.col("token_hash")], batch)
     return first.select("user_id", "token_hash").union(second.select("user_id", "token_hash")).distinct()

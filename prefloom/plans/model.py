@@ -123,10 +123,12 @@ def multiplicity(seed: str, member: int, *group: str) -> Column:
     """
     u = coin(F.lit(f"{seed}:{member}"), *group)
     out, cumulative, mass = F.lit(0.0), 0.0, float(np.exp(-1.0))
-    for k in range(9):
+    k = 0
+    while 1.0 - cumulative > 1e-16 and mass > 0.0:  # every count a hash fraction can reach
         cumulative += mass
         out = out + (u >= cumulative).cast("double")
-        mass /= k + 1
+        k += 1
+        mass /= k
     return out
 
 
@@ -140,7 +142,7 @@ def bootstrap(pairs: DataFrame | None, ratings: DataFrame | None, primary: Prefe
             p = pairs.withColumn("w", F.col("w") * multiplicity(seed, member, *group))
         if ratings is not None:
             r = ratings.withColumn("w", F.col("w") * multiplicity(seed + "r", member, F.col("image_id").cast("string")))
-        out.append(fit_joint(p, r, iterations=50))
+        out.append(fit_joint(p, r))
     return out
 
 

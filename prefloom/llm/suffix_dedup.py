@@ -87,7 +87,10 @@ def _row_id(text: bytes) -> int:
 
 
 def sampled(documents: DataFrame) -> DataFrame:
-    """gram, context (hash), doc_id, row, start, last for every anchor."""
+    """gram, context (hash), doc_id, row, start, last, settled for every anchor.
+
+    Rows whose name came earlier in the same slice of documents are settled: repeats already.
+    """
 
     def run(batches):
         import pyarrow as pa
@@ -104,13 +107,29 @@ def sampled(documents: DataFrame) -> DataFrame:
                     start.append(a)
                     last.append(z)
                 gram, doc, row, start, last = map(np.concatenate, (gram, doc, row, start, last))
+                context = np.asarray(context, np.uint64)
+                settled = _later(gram, context, doc, start)
+                # a settled row needs no meeting with its gram, so a hot gram's rows are dealt out evenly
+                gram[settled] = mix(doc[settled].view(np.uint64) * np.uint64(_BASE) + start[settled].astype(np.uint64), 53)
+                context[settled] = 0
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(gram.view(np.int64)), pa.array(np.asarray(context, np.uint64).view(np.int64)), pa.array(doc), pa.array(row),
-                     pa.array(start.astype(np.int32)), pa.array(last.astype(np.int32))],
-                    ["gram", "context", "doc_id", "row", "start", "last"],
+                    [pa.array(gram.view(np.int64)), pa.array(context.view(np.int64)), pa.array(doc), pa.array(row),
+                     pa.array(start.astype(np.int32)), pa.array(last.astype(np.int32)), pa.array(settled)],
+                    ["gram", "context", "doc_id", "row", "start", "last", "settled"],
                 )
 
-    return documents.mapInArrow(run, "gram long, context long, doc_id long, row int, start int, last int")
+    return documents.mapInArrow(run, "gram long, context long, doc_id long, row int, start int, last int, settled boolean")
+
+
+def _later(gram: np.ndarray, context: np.ndarray, doc: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Rows whose name an earlier row of the same batch has, at another document or place."""
+    order = np.lexsort((start, doc, context, gram))
+    g, c, d, s = gram[order], context[order], doc[order], start[order]
+    new = np.concatenate([[True], (g[1:] != g[:-1]) | (c[1:] != c[:-1])]) if len(g) else np.zeros(0, bool)
+    lead = np.maximum.accumulate(np.where(new, np.arange(len(g)), 0)) if len(g) else np.zeros(0, np.int64)
+    out = np.zeros(len(g), bool)
+    out[order] = ~new & ((d != d[lead]) | (s != s[lead]))
+    return out
 
 
 def named(rows: DataFrame) -> DataFrame:
@@ -138,7 +157,8 @@ def named(rows: DataFrame) -> DataFrame:
             first_start = np.where(at >= 0, s[np.maximum(at, 0)], 0 if lead is None else lead[1])
             lead = first_doc[-1], first_start[-1]
             # a row of the same document and place is the same text again, not an earlier one
-            later = np.flatnonzero(~new_name & ((d != first_doc) | (s != first_start)))
+            settled = batch.column("settled").to_numpy(zero_copy_only=False)
+            later = np.flatnonzero(settled | (~new_name & ((d != first_doc) | (s != first_start))))
             doc, row, start, last = (batch.column(n).to_numpy()[later] for n in names[:4])
             none = pa.nulls(len(later), pa.int64())
             yield pa.RecordBatch.from_arrays([*(pa.array(v, t) for v, t in zip((doc, row, start, last), kinds)), none, none], names)

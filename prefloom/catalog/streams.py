@@ -34,6 +34,7 @@ def _(i):
 def running_elo(i):
     live.use_rocksdb(i.spark)
     out = run_available(live.running_elo(i.stream("fx_comparisons")), "k4")
+    out = live.settle_late(out, i.comparisons)
     return out.select("id", rounded("left_elo_after").alias("left_elo_after"), rounded("right_elo_after").alias("right_elo_after"))
 
 
@@ -51,7 +52,7 @@ def _(i):
     trained = bandit.latest_models(i.models).select(
         "user_id", F.col("comparison_count").alias("last_comparison_count"), F.col("rating_count").alias("last_rating_count"))
     counts = live.feedback_counts(i.stream("fx_feedback"))
-    out = run_each_batch(counts, "k6", lambda write: live.emit_training_due(trained, write), "user_id bigint, pinned_comparison bigint, pinned_rating bigint")
+    out = run_each_batch(counts, "k6", lambda *sink: live.emit_training_due(trained, *sink), live.DUE)
     return out.select("user_id").distinct()
 
 

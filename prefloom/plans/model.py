@@ -232,3 +232,35 @@ def fit_users(pairs: DataFrame, ratings: DataFrame) -> DataFrame:
     p = pairs.select("user_id", "id", "x", "y")
     r = ratings.select("user_id", "id", "x", F.col("value").cast("double").alias("value"))
     return p.groupBy("user_id").cogroup(r.groupBy("user_id")).applyInPandas(_fit_user, USER_MODEL)
+
+
+def with_user_thresholds(models: DataFrame, ratings: DataFrame) -> DataFrame:
+    """``models`` (user_id, weights, thresholds) with missing thresholds fitted to fixed utilities.
+
+    ``ratings`` has user_id, x and value of a training window. Every level is a logistic shift with
+    the utility as offset, found by Newton's method with a step bound; a level that all ratings of a
+    user lie on one side of has its half-count estimate. Users without ratings keep NULL.
+    """
+    open_ = models.filter("thresholds IS NULL AND weights IS NOT NULL").select("user_id", "weights")
+    rows = ratings.join(open_, "user_id").select("user_id", dot(F.col("x"), F.col("weights")).alias("u"), F.col("value").cast("double").alias("value"))
+
+    def levels(group):
+        import pandas as pd
+
+        u, v = group["u"].to_numpy(), group["value"].to_numpy()
+        cuts = []
+        for k in range(1, c.RATING_LEVELS):
+            above = (v > k).astype(float)
+            share = (above.sum() + 0.5) / (len(v) + 1.0)
+            t = -float(np.log(share / (1 - share)))
+            for _ in range(60 if 0 < above.sum() < len(v) else 0):
+                p = 1.0 / (1.0 + np.exp(-np.clip(u - t, -50, 50)))
+                step = float((p - above).sum() / max((p * (1 - p)).sum(), 1e-9))
+                t += min(max(step, -2.0), 2.0)
+                if abs(step) < 1e-12:
+                    break
+            cuts.append(t)
+        return pd.DataFrame({"user_id": [group["user_id"].iloc[0]], "_fitted": [list(ordered(cuts))]})
+
+    fitted = rows.groupBy("user_id").applyInPandas(levels, "user_id bigint, _fitted array<double>")
+    return models.join(fitted, "user_id", "left").withColumn("thresholds", F.coalesce("thresholds", "_fitted")).drop("_fitted")

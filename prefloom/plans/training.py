@@ -11,7 +11,7 @@ from prefloom import constants as c
 from prefloom.functions.scoring import rating_distribution
 from prefloom.functions.vectors import dot, sigmoid
 from prefloom.operators import features, feedback, metrics, splits
-from prefloom.plans.model import fit_users
+from prefloom.plans.model import fit_users, with_user_thresholds
 from prefloom.plans.promotion import gate
 from prefloom.session import checkpoint_dir
 
@@ -101,12 +101,23 @@ def holdout_metrics(pairs: DataFrame, ratings: DataFrame, models: DataFrame, inc
     return out
 
 
+def stored_counts(comparisons: DataFrame, ratings: DataFrame, cutoffs: DataFrame) -> DataFrame:
+    """Events of each user up to the cutoffs, whether or not the windows take them all."""
+    out = cutoffs
+    for name, log in (("comparison", comparisons), ("rating", ratings)):
+        ends = cutoffs.select("user_id", F.col(f"{name}_cutoff").alias("_cut"))
+        seen = log.select("user_id", "id").join(ends, "user_id").filter(F.col("id") <= F.col("_cut"))
+        out = out.join(seen.groupBy("user_id").agg(F.count("*").alias(f"{name}_count")), "user_id", "left")
+    return out.fillna(0, ["comparison_count", "rating_count"])
+
+
 def train(
     comparisons: DataFrame, ratings: DataFrame, embeddings: DataFrame, cutoffs: DataFrame, prior: DataFrame, incumbents: DataFrame
 ) -> DataFrame:
     """One model row per user with enough feedback: parameters, metrics, promotion and cutoffs.
 
-    Users already trained at the same cutoffs are left out, so a repeated run adds nothing.
+    Users already trained at the same cutoffs are left out, so a repeated run adds nothing. Counts
+    are those of the whole logs up to the cutoffs. Feedback on an image without a vector is an error.
     """
     checkpoint_dir(comparisons.sparkSession)
     done = prior.select("user_id", "comparison_cutoff", "rating_cutoff")
@@ -114,18 +125,24 @@ def train(
     windows = [rows.checkpoint() for rows in training_windows(comparisons, ratings, due)]
     pairs, points = seeded(*windows, prior)
     pairs, points = splits.image_disjoint_split(pairs, points)
+    missing = features.missing_vectors(features.feedback_images(pairs, points), embeddings).limit(5).collect()
+    if missing:
+        raise ValueError(f"feedback on images without a vector, such as {[r['image_id'] for r in missing]}")
     # the windows are bounded per user and feed both fits and the evaluation
     x_pairs = features.pair_features(pairs, embeddings).checkpoint()
     x_points = features.rating_features(points, embeddings).checkpoint()
     evaluation = fit_users(_side(x_pairs, "train"), _side(x_points, "train")).checkpoint()
+    incumbents = with_user_thresholds(incumbents, _side(x_points, "train"))
     gated = gate(holdout_metrics(x_pairs, x_points, evaluation, incumbents))
     final = fit_users(x_pairs, x_points)
     columns = [k for k in gated.columns if k != "user_id"]
     return (
-        final.join(gated, "user_id", "left").join(due, "user_id")
+        final.join(gated, "user_id", "left").join(stored_counts(comparisons, ratings, due), "user_id")
         .select(
-            "user_id", "comparison_cutoff", "rating_cutoff", F.col("pairs").alias("comparison_count"),
-            F.col("ratings").alias("rating_count"), (F.col("pairs") + F.col("ratings")).alias("feedback_count"),
+            "user_id", "comparison_cutoff", "rating_cutoff", "comparison_count", "rating_count",
+            (F.col("comparison_count") + F.col("rating_count")).alias("feedback_count"),
+            (F.col("comparison_count") > F.col("pairs")).alias("comparison_window_capped"),
+            (F.col("rating_count") > F.col("ratings")).alias("rating_window_capped"),
             "weights", "thresholds", "objective", F.struct(*[k for k in columns if not k.startswith("promot")]).alias("metrics"),
             "promoted", "promotion_reason",
         )

@@ -19,7 +19,7 @@ from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 import prefloom
 from prefloom import constants as c
 from prefloom.operators.decisions import training_due
-from prefloom.operators.elo import REPLAY, fold_user
+from prefloom.operators.elo import REPLAY, fold_user, replay
 
 # The process that initialises stateful Python operators does not see shipped files, so the
 # processor travels with its code.
@@ -75,9 +75,21 @@ class EloProcessor(StatefulProcessor):
             StructField("wins", LongType()), StructField("losses", LongType()),
         ])
         self.ratings = handle.getMapState("ratings", key, value)
+        self.last = handle.getValueState("last", StructType([StructField("id", LongType())]))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         events = pd.concat(list(rows), ignore_index=True).sort_values("id", kind="stable")
+        names = ("left_elo_before", "right_elo_before", "left_elo_after", "right_elo_after")
+        columns = ["id", "user_id", "left_id", "right_id", "winner_id"]
+        if self.last.exists():
+            # an id behind the last one belongs into a past that is folded already
+            behind = events["id"] <= self.last.get()[0]
+            late, events = events.loc[behind, columns].copy(), events[~behind]
+            if len(late):
+                yield late.assign(**dict.fromkeys((*names, "elo_delta"), float("nan")), late=True)
+        if not len(events):
+            return
+        self.last.update((int(events["id"].iloc[-1]),))
         touched = set(events["left_id"]) | set(events["right_id"])
         state = {}
         for image in touched:
@@ -89,11 +101,11 @@ class EloProcessor(StatefulProcessor):
         )
         for image, (elo, matches, wins, losses) in state.items():
             self.ratings.updateValue((int(image),), (float(elo), int(matches), int(wins), int(losses)))
-        out = events[["id", "user_id", "left_id", "right_id", "winner_id"]].copy()
-        for name, values in zip(("left_elo_before", "right_elo_before", "left_elo_after", "right_elo_after"), history):
+        out = events[columns].copy()
+        for name, values in zip(names, history):
             out[name] = values
         out["elo_delta"] = (out["left_elo_after"] - out["left_elo_before"]).abs()
-        yield out
+        yield out.assign(late=False)
 
     def close(self) -> None:
         pass
@@ -102,18 +114,25 @@ class EloProcessor(StatefulProcessor):
 def running_elo(comparisons: DataFrame) -> DataFrame:
     """Every comparison with its ratings before and after. Needs the RocksDB state store.
 
-    Equal to the batch replay when events of a user arrive in id order across micro-batches;
-    a user with events behind an already processed id is recomputed by the batch replay.
+    An event behind an id of its user that an earlier micro-batch processed comes out with ``late``
+    set and without ratings; :func:`settle_late` recomputes such users from the whole log.
     """
     return (
         comparisons.select("id", "user_id", "left_id", "right_id", "winner_id")
         .groupBy("user_id")
         .transformWithStateInPandas(
-            statefulProcessor=EloProcessor(), outputStructType=REPLAY, outputMode="Append", timeMode="None"
+            statefulProcessor=EloProcessor(), outputStructType=REPLAY + ", late boolean", outputMode="Append", timeMode="None"
         )
     )
 
 
+def settle_late(running: DataFrame, comparisons: DataFrame) -> DataFrame:
+    """What :func:`running_elo` wrote, with users that had late events replayed from ``comparisons``."""
+    late = running.filter("late").select("user_id").distinct()
+    again = replay(comparisons.join(late, "user_id", "left_semi"))
+    return running.join(late, "user_id", "left_anti").drop("late").unionByName(again)
+
+
 def use_rocksdb(spark) -> None:
     spark.conf.set(
         "spark.sql.streaming.stateStore.providerClass",
@@ -128,15 +147,28 @@ def feedback_counts(events: DataFrame) -> DataFrame:
     )
 
 
-def emit_training_due(trained: DataFrame, write: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` sink over updated counts that writes users who crossed a milestone.
+DUE = "user_id bigint, pinned_comparison bigint, pinned_rating bigint, comparison_target bigint, rating_target bigint"
+
+
+def emit_training_due(
+    trained: DataFrame, write: Callable[[DataFrame, int], None], earlier: Callable[[int], DataFrame | None] = lambda epoch: None
+) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` sink over updated counts that writes users once per milestone they cross.
 
-    ``trained`` has user_id, last_comparison_count and last_rating_count.
+    ``trained`` has user_id, last_comparison_count and last_rating_count; ``earlier`` gives what
+    epochs before the named one wrote.
     """
 
     def sink(batch: DataFrame, epoch: int) -> None:
         due = training_due(batch.join(trained, "user_id", "left")).filter("due")
-        write(due.select("user_id", "pinned_comparison", "pinned_rating"), epoch)
+        targets = {k: F.when(F.col(f"{k}_due"), F.col(f"pinned_{k}")) for k in ("comparison", "rating")}
+        due = due.withColumns({f"{k}_target": v for k, v in targets.items()})
+        before = earlier(epoch)
+        if before is not None:
+            seen = before.groupBy("user_id").agg(*[F.max(f"{k}_target").alias(f"_seen_{k}") for k in targets])
+            new = [F.col(f"{k}_target") > F.coalesce(f"_seen_{k}", F.lit(-1)) for k in targets]
+            due = due.join(seen, "user_id", "left").filter(F.coalesce(new[0], F.lit(False)) | F.coalesce(new[1], F.lit(False)))
+        write(due.select("user_id", "pinned_comparison", "pinned_rating", "comparison_target", "rating_target"), epoch)
 
     return sink
 

@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from prefloom.session import checkpoint_dir
 
@@ -26,8 +27,11 @@ def run_available(stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
 
 
-def run_each_batch(stream: DataFrame, name: str, sink_of: Callable[[Callable], Callable], schema: str) -> DataFrame:
-    """Update-mode run through a ``foreachBatch`` sink that writes parquet; returns its rows."""
+def run_each_batch(stream: DataFrame, name: str, sink_of: Callable[[Callable, Callable], Callable], schema: str) -> DataFrame:
+    """Update-mode run through a ``foreachBatch`` sink that writes parquet; returns its rows.
+
+    ``sink_of`` gets a function that writes an epoch's rows and one that reads those of earlier epochs.
+    """
     spark = stream.sparkSession
     folder = _scratch(spark, name)
 
@@ -35,8 +39,11 @@ def run_each_batch(stream: DataFrame, name: str, sink_of: Callable[[Callable], C
         # one folder per epoch: a repeated batch replaces its own output
         rows.write.mode("overwrite").parquet(f"{folder}/rows/epoch={epoch}")
 
+    def earlier(epoch: int) -> DataFrame | None:
+        return spark.read.schema(f"{schema}, epoch bigint").parquet(f"{folder}/rows").filter(F.col("epoch") < epoch).drop("epoch") if epoch else None
+
     query = (
-        stream.writeStream.outputMode("update").foreachBatch(sink_of(write))
+        stream.writeStream.outputMode("update").foreachBatch(sink_of(write, earlier))
         .option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     )
     query.awaitTermination()

@@ -169,6 +169,20 @@ def test_round_robin(spark):
     df = spark.createDataFrame(rows, "source_category string, discovery_index bigint, provider_sha1 string").withColumn("source_url", F.lit(""))
     got = [r["discovery_index"] for r in cand.round_robin(df, 3).collect()]
     assert got == [0, 2, 1]
+    listed = [r["discovery_index"] for r in cand.round_robin(df, 2, ["B", "A"]).collect()]
+    assert listed == [2, 0]
+
+
+def test_byte_budget_of_a_long_run(spark):
+    rng = random.Random(9)
+    rows = [(run, i, rng.randint(1, 900)) for run in (1, 2) for i in range(5200)]
+    want, used = set(), {1: 0, 2: 0}
+    for run, i, size in rows:
+        if used[run] + size <= 1_500_000:
+            used[run] += size
+            want.add((run, i))
+    df = spark.createDataFrame(rows, "run_id bigint, discovery_index bigint, size bigint")
+    assert {tuple(r) for r in cand.byte_budget_skipping(df, 1_500_000).collect()} == want
 
 
 def test_blur(spark):

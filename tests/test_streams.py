@@ -36,6 +36,16 @@ def test_elo_across_micro_batches_equals_replay(spark, tmp_path):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
 
 
+def test_late_events_are_marked_and_settled(spark, tmp_path):
+    log = spark.createDataFrame([(2, 1, 5, 6, 5), (3, 1, 5, 7, 7), (1, 1, 6, 7, 6), (1, 2, 5, 6, 6), (4, 1, 5, 6, 6)], "id bigint, user_id bigint, left_id bigint, right_id bigint, winner_id bigint")
+    live.use_rocksdb(spark)
+    batches = [log.filter("id IN (2, 3)"), log.filter("id NOT IN (2, 3)")]
+    out = run_available(live.running_elo(staged(spark, tmp_path / "late", batches)), "late")
+    assert {(r["user_id"], r["id"]) for r in out.filter("late").collect()} == {(1, 1)}
+    got = {(r["user_id"], r["id"]): r["left_elo_after"] for r in live.settle_late(out, log).collect()}
+    assert got == {(r["user_id"], r["id"]): r["left_elo_after"] for r in elo.replay(log).collect()}
+
+
 def test_replays_are_dropped_across_batches(spark, tmp_path):
     first = responses(spark, [(1, 1, 1, "a", 3, 0), (2, 1, 2, "b", 4, 10)])
     second = responses(spark, [(3, 1, 1, "a", 3, 3600), (4, 2, 1, "a", 5, 3700)])
@@ -58,5 +68,6 @@ def test_training_trigger_fires_once_per_crossing_batch(spark, tmp_path):
     more = spark.createDataFrame([(1, "rating"), (2, "comparison")], "user_id bigint, kind string")
     trained = spark.createDataFrame([], "user_id bigint, last_comparison_count bigint, last_rating_count bigint")
     counts = live.feedback_counts(staged(spark, tmp_path / "f", [log, more]))
-    out = run_each_batch(counts, "due", lambda write: live.emit_training_due(trained, write), "user_id bigint, pinned_comparison bigint, pinned_rating bigint")
-    assert [tuple(r) for r in out.collect()] == [(1, 0, 5)]
+    out = run_each_batch(counts, "due", lambda *sink: live.emit_training_due(trained, *sink), live.DUE)
+    # due from the first batch on, written once although later batches update the user again
+    assert [tuple(r) for r in out.collect()] == [(1, 0, 5, None, 5)]

@@ -1,6 +1,8 @@
 import struct
 
 
+from pyspark.sql import functions as F
+
 from prefloom.operators import quality
 from prefloom.sources import provider, sinks
 
@@ -34,6 +36,8 @@ def test_upsert_policies(spark):
     new = spark.createDataFrame([(1, None, None, "z"), (3, "n", "n", "n")], "id int, o string, c string, k string")
     merged = sinks.upsert(old, new, ["id"], {"o": sinks.OVERWRITE, "c": sinks.COALESCE})
     assert sorted(tuple(r) for r in merged.collect()) == [(1, None, "a", "a"), (2, "b", "b", "b"), (3, "n", "n", "n")]
+    twice = new.unionByName(new.withColumn("o", F.lit(None).cast(new.schema["o"].dataType)))
+    assert sinks.upsert(old, twice, ["id"], {"o": sinks.OVERWRITE, "c": sinks.COALESCE}).count() == merged.count()
     again = sinks.new_rows(new, merged, ["id"])
     assert again.count() == 0
 

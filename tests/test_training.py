@@ -127,3 +127,16 @@ def test_training_job_is_idempotent(spark):
     assert all(r["comparison_count"] == 120 and r["rating_count"] == 70 and r["feedback_count"] == 190 for r in rows.values())
     assert all(r["metrics"]["validation_pairs"] >= c.MIN_FRESH_VALIDATION and r["promotion_reason"] for r in rows.values())
     assert training.train(pairs, ratings, vectors, cut, cut, heads).count() == 0
+    with pytest.raises(ValueError, match="without a vector"):
+        training.train(pairs, ratings, vectors.limit(2), cut, none, heads)
+
+
+def test_thresholds_of_a_model_without_them(spark):
+    rng = np.random.default_rng(3)
+    u = rng.normal(size=4000)
+    true = np.array([-1.5, -0.5, 0.4, 1.3])
+    value = 1 + (u[:, None] + rng.logistic(size=(4000, 1)) > true).sum(axis=1)
+    rows = spark.createDataFrame([(1, [float(a)], int(b)) for a, b in zip(u, value)], "user_id bigint, x array<double>, value int")
+    heads = spark.createDataFrame([(1, [1.0], None), (2, [1.0], None), (3, [1.0], [0.0, 1.0, 2.0, 3.0])], "user_id bigint, weights array<double>, thresholds array<double>")
+    got = {r["user_id"]: r["thresholds"] for r in model.with_user_thresholds(heads, rows).collect()}
+    assert np.abs(np.array(got[1]) - true).max() < 0.15 and got[2] is None and got[3] == [0.0, 1.0, 2.0, 3.0]

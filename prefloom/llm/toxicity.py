@@ -242,12 +242,23 @@ def _evidence_column(documents: DataFrame, model, extra: str = "", carry: tuple[
     return arrow_map(documents, work, f"doc_id long{extra}, evidence double")
 
 
-def score(documents: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """doc_id, held_out, score and predicted for every row of ``documents``.
+@dataclass(frozen=True)
+class Scorer:
+    """A broadcast model and its logistic curve."""
+
+    model: object
+    slope: float
+    shift: float
+
+    def score(self, evidence):
+        return 1 / (1 + np.exp(-(np.asarray(evidence) * self.slope + self.shift)))
+
+
+def fit(documents: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Scorer:
+    """Learn from the labelled documents that are not held out.
 
-    Labels come from documents that are not held out; a document labelled more than once is toxic if
-    any label says so. A null or empty text has the score of no evidence. Without labels every
-    score is that of no evidence too.
+    A document labelled more than once is toxic if any label says so. Without labels every text gets
+    the score of no evidence.
     """
     spark = ready(documents)
     marks = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(
@@ -255,19 +266,46 @@ def score(documents: DataFrame, labels: DataFrame, settings: Settings = Settings
     )
     part = F.shiftright(F.crc32(F.col("doc_id").cast("string").cast("binary")), 2) % settings.curve_share
     base = keyed(documents)
+
     # rows are picked before the join, so that a text is shuffled once, for the counts or for the curve
     def labelled(rows: Column) -> DataFrame:
         return base.where(~held_out()).where(rows).join(marks, "doc_id").select("doc_id", "text", "toxic")
 
-    model = fit_model(labelled(part != 0), settings)
-    sent = spark.sparkContext.broadcast(model)
+    sent = spark.sparkContext.broadcast(fit_model(labelled(part != 0), settings))
     seen = _evidence_column(labelled(part == 0), sent, ", toxic int", ("toxic",))
     width = 4.0 / settings.bins
     binned = seen.groupBy(F.least(F.greatest(F.floor(F.col("evidence") / width), F.lit(-settings.bins)), F.lit(settings.bins)).alias("bin"))
     rows = binned.agg(F.count("*").alias("n"), F.sum("toxic").alias("t"), F.avg("evidence").alias("x")).collect()
-    slope, shift = logistic([(r["x"], r["n"], r["t"]) for r in rows])
-    scored = _evidence_column(base, sent).select(
-        original_id(), F.coalesce(held_out(), F.lit(False)).alias("held_out"),
-        (1 / (1 + F.exp(-(F.col("evidence") * slope + shift)))).alias("score"),
+    return Scorer(sent, *logistic([(r["x"], r["n"], r["t"]) for r in rows]))
+
+
+def score(documents: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """doc_id, held_out, score and predicted for every row of ``documents``.
+
+    A null or empty text has the score of no evidence; repeated rows are scored each.
+    """
+    scorer = fit(documents, labels, settings)
+
+    def work(batch):
+        for part in parts(batch):
+            yield {"doc_id": part.column("doc_id"), "score": scorer.score(scorer.model.value.evidence(binary(part, "text")))}
+
+    scored = arrow_map(keyed(documents), work, "doc_id long, score double")
+    return scored.select(
+        original_id(), F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted")
     )
-    return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+
+
+def clean(documents: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """The documents, all columns, whose score stays below the threshold; judged in one scan."""
+    scorer = fit(documents, labels, settings)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            if batch.num_rows:
+                texts = [t or b"" for t in binary(batch, "text")]
+                yield batch.filter(pa.array(scorer.score(scorer.model.value.evidence(texts)) < THRESHOLD))
+
+    return documents.mapInArrow(run, documents.schema)

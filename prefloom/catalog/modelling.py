@@ -161,8 +161,9 @@ def joint_fit(i):
 
 @query("i11_user_models")
 def user_models(i):
-    pairs, ratings = weighted(i)
-    return model.fit_users(pairs, ratings)
+    ends = cutoffs(i).select("user_id", F.col("cutoff").alias("comparison_cutoff"), F.col("cutoff").alias("rating_cutoff"))
+    pairs, ratings = training.training_windows(i.comparisons, i.ratings, ends)
+    return model.fit_users(features.pair_features(pairs, vectors(i)), features.rating_features(ratings, vectors(i)))
 
 
 @query("i12_threshold_calibration")

@@ -1,6 +1,5 @@
 import struct
 
-
 from pyspark.sql import functions as F
 
 from prefloom.operators import quality

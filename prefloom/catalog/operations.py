@@ -180,7 +180,9 @@ CASE WHEN status = 'queued' THEN 'Waiting for the private worker to start.' WHEN
  WHEN status = 'succeeded' THEN 'Model trained on ' || concat_ws(' and ', CASE WHEN rc > 0 THEN rc || CASE WHEN rc = 1 THEN ' rating' ELSE ' ratings' END END, CASE WHEN cc > 0 THEN cc || CASE WHEN cc = 1 THEN ' legacy choice' ELSE ' legacy choices' END END) || ' (' || (cc + rc) || CASE WHEN cc + rc = 1 THEN ' feedback event' ELSE ' feedback events' END || ' total).'
  ELSE COALESCE(short, CASE WHEN status = 'skipped' THEN 'The latest worker run was deferred.' ELSE 'The latest worker run failed.' END) END AS note,
 CASE WHEN status NOT IN ('failed','skipped') THEN NULL WHEN exhausted THEN '{decisions.RETRIES_PAUSED}' WHEN error LIKE '%timed out%' THEN 'runtime' ELSE 'other' END AS action,
-epoch_us(finished_at) AS last_attempt_us, epoch_us(okat) AS last_success_us, exhausted AS retries_exhausted FROM j""")
+epoch_us(finished_at) AS last_attempt_us, epoch_us(okat) AS last_success_us, exhausted AS retries_exhausted FROM j
+UNION ALL SELECT u.user_id, k.kind, NULL, 'Waiting', 'idle', 'No run has been recorded yet.', NULL, NULL, NULL, FALSE FROM (SELECT DISTINCT user_id FROM fx_user_images) u, (VALUES ('crawl'), ('train')) k(kind)
+WHERE NOT EXISTS (SELECT 1 FROM fx_jobs x WHERE x.user_id = u.user_id AND x.kind = k.kind)""")
 def job_health(i):
-    out = decisions.job_health(i.jobs, now())
+    out = decisions.job_health(i.jobs, now(), i.user_images)
     return out.withColumn("last_attempt_us", micros("last_attempt_at")).withColumn("last_success_us", micros("last_success_at")).drop("last_attempt_at", "last_success_at")

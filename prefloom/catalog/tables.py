@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from prefloom import constants as c
+from prefloom import constants
 from prefloom.catalog.registry import micros, query
 from prefloom.functions import hashing, text
 from prefloom.functions.vectors import as_double
@@ -197,40 +197,123 @@ def _(i):
     return sinks.migrate_comparisons(log, ids, stored).select("id", "left_id", "right_id", "winner_id")
 
 
-@query("l1_check_violations", """SELECT 'library.matches_sum' AS "check", COUNT(*) FILTER (WHERE matches <> wins + losses) AS violations FROM fx_user_images
-UNION ALL SELECT 'library.counts_not_negative', 0 FROM region WHERE r_regionkey = 0 UNION ALL SELECT 'library.rating_pairing', COUNT(*) FILTER (WHERE (point_rating IS NULL) <> (point_rated_at IS NULL)) FROM fx_user_images
-UNION ALL SELECT 'library.rating_range', COUNT(*) FILTER (WHERE point_rating NOT BETWEEN 1 AND 5) FROM fx_user_images
-UNION ALL SELECT 'comparison.distinct_sides', COUNT(*) FILTER (WHERE left_id = right_id) FROM fx_comparisons UNION ALL SELECT 'comparison.winner_in_pair', COUNT(*) FILTER (WHERE winner_id NOT IN (left_id, right_id)) FROM fx_comparisons
-UNION ALL SELECT 'comparison.key_is_digest', COUNT(*) FILTER (WHERE length(idempotency_key) <> 64) FROM fx_comparisons
-UNION ALL SELECT 'action.propensity_range', COUNT(*) FILTER (WHERE p > 1) FROM (SELECT propensity * CASE WHEN id % 50 = 0 THEN 20 ELSE 1 END AS p FROM fx_actions)
-UNION ALL SELECT 'action.reward_range', 0 FROM region WHERE r_regionkey = 0 UNION ALL SELECT 'action.known_status', 0 FROM region WHERE r_regionkey = 0""")
+# rows that break each rule are planted by id, in the tables and in the SQL alike
+BROKEN = {
+    "li": ("fx_user_images", {"matches": "CASE WHEN image_id % 97 = 3 THEN -1 ELSE matches END", "point_rating": "CASE WHEN image_id % 89 = 5 THEN 9 ELSE point_rating END"}),
+    "co": ("fx_comparisons", {"winner_id": "CASE WHEN id % 90 = 4 THEN -5 ELSE winner_id END", "right_id": "CASE WHEN id % 70 = 6 THEN left_id ELSE right_id END",
+           "idempotency_key": "CASE WHEN id % 80 = 7 THEN 'x' ELSE idempotency_key END", "elo_delta": "CASE WHEN id % 60 = 8 THEN -1.0E0 WHEN id % 3 = 0 THEN 1.5E0 END"}),
+    "im": ("fx_images", {"width": "CASE WHEN image_id % 71 = 2 THEN 0 ELSE width END", "height": "CASE WHEN image_id % 73 = 2 THEN -1 ELSE height END"}),
+    "pi": ("fx_pair_issuances", {"right_id": "CASE WHEN left_id % 11 = 2 THEN left_id ELSE right_id END", "expires_at": "CASE WHEN left_id % 7 = 3 THEN issued_at ELSE issued_at + CAST('24 hours' AS INTERVAL) END"}),
+    "ri": ("fx_rating_issuances", {"token_hash": "CASE WHEN image_id % 41 = 1 THEN 'short' ELSE token_hash END", "expires_at": "CASE WHEN image_id % 43 = 1 THEN issued_at ELSE issued_at + CAST('24 hours' AS INTERVAL) END"}),
+    "ra": ("fx_ratings", {"value": "CASE WHEN id % 53 = 1 THEN 0 ELSE value END", "idempotency_key": "CASE WHEN id % 59 = 1 THEN '' ELSE idempotency_key END"}),
+    "ac": ("fx_actions", {"propensity": "propensity * CASE WHEN id % 50 = 0 THEN 20 ELSE 1 END", "effective_reward": "CASE WHEN id % 47 = 0 THEN 1.5E0 ELSE zero_reward END", "status": "CASE WHEN id % 45 = 0 THEN 'lost' ELSE status END"}),
+}
+BROKEN_SQL = ", ".join(
+    f"{k} AS (SELECT * REPLACE ({', '.join(f'{e} AS {n}' for n, e in c.items() if n not in ('elo_delta', 'expires_at', 'effective_reward'))})"
+    f"{''.join(f', {e} AS {n}' for n, e in c.items() if n in ('elo_delta', 'expires_at', 'effective_reward'))} FROM {t})".replace("* REPLACE ()", "*")
+    for k, (t, c) in BROKEN.items()
+)
+
+
+def broken(i, key):
+    view, columns = BROKEN[key]
+    return i.view(view).withColumns({n: F.expr(e) for n, e in columns.items()})
+
+
+def _counts(name, key, rules):
+    return [f"SELECT '{name}.{rule}' AS \"check\", COUNT(*) FILTER (WHERE NOT ({test})) AS violations FROM {key}" for rule, test in rules.items()]
+
+
+DIGEST_TEST = "regexp_full_match({}, '[0-9a-f]{{64}}')"
+L1 = " UNION ALL ".join(
+    _counts("library", "li", {"matches_sum": "matches = wins + losses", "counts_not_negative": "matches >= 0 AND wins >= 0 AND losses >= 0",
+                              "rating_pairing": "(point_rating IS NULL) = (point_rated_at IS NULL)", "rating_range": "point_rating BETWEEN 1 AND 5"})
+    + _counts("comparison", "co", {"distinct_sides": "left_id <> right_id", "winner_in_pair": "winner_id = left_id OR winner_id = right_id",
+                                   "key_is_digest": DIGEST_TEST.format("idempotency_key"), "delta_not_negative": "elo_delta >= 0"})
+    + _counts("image", "im", {"width": "width > 0", "height": "height > 0"})
+    + _counts("pair_issuance", "pi", {"token_is_digest": DIGEST_TEST.format("token_hash"), "expires_later": "expires_at > issued_at", "distinct_sides": "left_id <> right_id"})
+    + _counts("rating_issuance", "ri", {"token_is_digest": DIGEST_TEST.format("token_hash"), "expires_later": "expires_at > issued_at"})
+    + _counts("rating", "ra", {"value_range": "value BETWEEN 1 AND 5", "key_is_digest": DIGEST_TEST.format("idempotency_key")})
+    + _counts("action", "ac", {"propensity_range": "propensity > 0 AND propensity <= 1", "reward_range": "effective_reward BETWEEN 0 AND 1",
+                               "known_status": "status IN ('chosen', 'observed', 'censored', 'failed')"})
+)
+
+
+@query("l1_check_violations", f"WITH {BROKEN_SQL} {L1}")
 def _(i):
-    acts = i.actions.withColumnRenamed("zero_reward", "effective_reward").withColumn("propensity", F.col("propensity") * F.when(F.col("id") % 50 == 0, 20).otherwise(1))
-    parts = (("library", i.user_images, quality.library_rules()), ("comparison", i.comparisons, quality.comparison_rules()), ("action", acts, quality.action_rules()))
-    return quality.union_checks([quality.violations(df, rules).withColumn("check", F.concat(F.lit(f"{name}."), "check")) for name, df, rules in parts])
+    rules = (("library", "li", quality.library_rules()), ("comparison", "co", quality.comparison_rules()), ("image", "im", quality.image_rules()),
+             ("pair_issuance", "pi", quality.issuance_rules(True)), ("rating_issuance", "ri", quality.issuance_rules(False)),
+             ("rating", "ra", quality.rating_rules()), ("action", "ac", quality.action_rules()))
+    return quality.union_checks([quality.violations(broken(i, key), r).withColumn("check", F.concat(F.lit(f"{name}."), "check")) for name, key, r in rules])
 
 
-@query("l2_unique_violations", """SELECT 'images.sha256' AS "check", (SELECT COUNT(*) FROM (SELECT sha256 FROM fx_images GROUP BY ALL HAVING COUNT(*) > 1)) AS violations FROM region WHERE r_regionkey = 0
-UNION ALL SELECT 'ratings.user_image', (SELECT COUNT(*) FROM (SELECT user_id, image_id FROM fx_responses GROUP BY ALL HAVING COUNT(*) > 1)) FROM region WHERE r_regionkey = 0
-UNION ALL SELECT 'actions.job_index', (SELECT COUNT(*) FROM (SELECT worker_job_id, action_index FROM fx_actions GROUP BY ALL HAVING COUNT(*) > 1)) FROM region WHERE r_regionkey = 0
-UNION ALL SELECT 'jobs.training_day', (SELECT COUNT(*) FROM (SELECT user_id, json_extract_string(input_json, '$.comparison_cutoff') AS c, json_extract_string(input_json, '$.run_day') AS d FROM fx_jobs WHERE kind = 'train' GROUP BY ALL HAVING COUNT(*) > 1)) FROM region WHERE r_regionkey = 0""")
+def _twice(name, table, keys, where="TRUE"):
+    return f"""SELECT '{name}' AS "check", (SELECT COUNT(*) FROM (SELECT {keys} FROM {table} WHERE {where} GROUP BY ALL HAVING COUNT(*) > 1)) AS violations FROM region WHERE r_regionkey = 0"""
+
+
+JOB_KEYS = ", ".join(f"json_extract_string(input_json, '$.{k}') AS {k}" for k in ("comparison_cutoff", "rating_cutoff", "run_day"))
+# keys that repeat are planted by folding ids together
+L2 = " UNION ALL ".join([
+    _twice("images.sha256", "fx_images", "sha256"), _twice("ratings.user_image", "fx_responses", "user_id, image_id"),
+    _twice("actions.job_index", "fx_actions", "worker_job_id, action_index"), _twice("jobs.training_day", "fx_jobs", f"user_id, {JOB_KEYS}", "kind = 'train'"),
+    _twice("responses.user_key", "fx_responses", "user_id, token_hash"), _twice("choices.user_key", "fx_choices", "user_id, token_hash", "token_hash <> 'unknown'"),
+    _twice("discoveries.user_image", "fx_discoveries", "user_id, image_id"),
+    _twice("discoveries.action", "(SELECT d.user_id, CAST(FLOOR(d.action_id / 3.0E0) AS BIGINT) AS action FROM fx_discoveries d JOIN fx_actions a ON a.user_id = d.user_id AND a.id = d.action_id WHERE a.policy_version = 'direct-rating-exp3-ix-v2')", "user_id, action"),
+])
+
+
+@query("l2_unique_violations", L2)
 def _(i):
-    cut, day = F.get_json_object("input_json", "$.comparison_cutoff"), F.get_json_object("input_json", "$.run_day")
+    cuts = [F.get_json_object("input_json", f"$.{k}").alias(k) for k in ("comparison_cutoff", "rating_cutoff", "run_day")]
+    current = i.actions.filter(F.col("policy_version") == constants.POLICY_VERSION).select("user_id", F.col("id").alias("action_id"))
+    found = i.discoveries.join(current, ["user_id", "action_id"]).withColumn("action", F.floor(F.col("action_id") / 3.0))
     return quality.union_checks([
         quality.duplicate_keys(i.images, ["sha256"], "images.sha256"),
         quality.duplicate_keys(i.responses, ["user_id", "image_id"], "ratings.user_image"),
         quality.duplicate_keys(i.actions, ["worker_job_id", "action_index"], "actions.job_index"),
-        quality.duplicate_keys(i.jobs, ["user_id", cut, day], "jobs.training_day", F.col("kind") == "train")])
+        quality.duplicate_keys(i.jobs, ["user_id", *cuts], "jobs.training_day", F.col("kind") == "train"),
+        quality.duplicate_keys(i.responses, ["user_id", "token_hash"], "responses.user_key"),
+        quality.duplicate_keys(i.choices, ["user_id", "token_hash"], "choices.user_key", F.col("token_hash") != "unknown"),
+        quality.duplicate_keys(i.discoveries, ["user_id", "image_id"], "discoveries.user_image"),
+        quality.duplicate_keys(found, ["user_id", "action"], "discoveries.action")])
+
+
+# (check, child, key columns, parent, parent's key columns); children point at moved ids in places
+FOREIGN = [
+    ("user_images.image", "fx_user_images", ["image_id"], "fx_images", ["image_id"]),
+    *[(f"pair_issuances.{k}", "fx_pair_issuances", ["user_id", f"{k}_id"], "fx_user_images", ["user_id", "image_id"]) for k in ("left", "right")],
+    ("rating_issuances.image", "fx_rating_issuances", ["user_id", "image_id"], "fx_user_images", ["user_id", "image_id"]),
+    *[(f"comparisons.{k}", "fx_comparisons", ["user_id", f"{k}_id"], "fx_user_images", ["user_id", "image_id"]) for k in ("left", "right", "winner")],
+    ("ratings.library", "fx_ratings", ["user_id", "image_id"], "fx_user_images", ["user_id", "image_id"]),
+    ("actions.job", "fx_actions", ["worker_job_id"], "fx_jobs", ["id"]),
+    ("discoveries.action", "fx_discoveries", ["user_id", "action_id"], "fx_actions", ["user_id", "id"]),
+    ("discoveries.image", "fx_discoveries", ["image_id"], "fx_images", ["image_id"]),
+]
+
+
+def moved(column):
+    """Every 37th value of a key points nowhere."""
+    return f"CASE WHEN {column} % 37 = 5 THEN -{column} ELSE {column} END"
+
+
+L3 = " UNION ALL ".join(
+    f"SELECT '{name}' AS \"check\", COUNT(*) AS violations FROM (SELECT {', '.join(keys[:-1] + [f'{moved(keys[-1])} AS {keys[-1]}'])} FROM {child}) c "
+    f"WHERE NOT EXISTS (SELECT 1 FROM {parent} p WHERE {' AND '.join(f'p.{b} = c.{a}' for a, b in zip(keys, parents))})"
+    for name, child, keys, parent, parents in FOREIGN
+)
 
 
-@query("l3_orphans", """SELECT 'comparisons.left' AS "check", COUNT(*) FILTER (WHERE NOT EXISTS (SELECT 1 FROM fx_images x WHERE x.image_id = c.left_id AND x.active)) AS violations FROM fx_comparisons c
-UNION ALL SELECT 'ratings.library', COUNT(*) FILTER (WHERE NOT EXISTS (SELECT 1 FROM fx_user_images u WHERE u.user_id = r.user_id AND u.image_id = r.image_id AND u.active)) FROM fx_ratings r
-UNION ALL SELECT 'discoveries.action', COUNT(*) FILTER (WHERE NOT EXISTS (SELECT 1 FROM fx_actions a WHERE a.user_id = d.user_id AND a.id = d.action_id)) FROM fx_discoveries d""")
+@query("l3_orphans", L3)
 def _(i):
     return quality.union_checks([
-        quality.orphans(i.comparisons, i.images.filter("active"), {"left_id": "image_id"}, "comparisons.left"),
-        quality.orphans(i.ratings, i.user_images.filter("active"), {"user_id": "user_id", "image_id": "image_id"}, "ratings.library"),
-        quality.orphans(i.discoveries, i.actions, {"user_id": "user_id", "action_id": "id"}, "discoveries.action")])
+        quality.orphans(i.view(child).withColumn(keys[-1], F.expr(moved(keys[-1]))), i.view(parent), dict(zip(keys, parents)), name)
+        for name, child, keys, parent, parents in FOREIGN])
+
+
+@query("l8_changed_ratings", """SELECT id, CASE WHEN id % 31 = 0 THEN 'lost' ELSE 'changed' END AS change FROM fx_ratings WHERE id % 31 = 0 OR id % 29 = 0""")
+def _(i):
+    later = i.ratings.filter("id % 31 <> 0").withColumn("value", F.when(F.col("id") % 29 == 0, F.col("value") + 1).otherwise(F.col("value")))
+    return quality.changed_rows(i.ratings, later, ["id"], ["user_id", "image_id", "value", "rated_at"])
 
 
 @query("l4_model_rows", """SELECT 'feedback_sum' AS "check", COUNT(*) FILTER (WHERE feedback_count <> comparison_count + rating_count) AS violations FROM fx_models UNION ALL SELECT 'weights_finite', COUNT(*) FILTER (WHERE id % 77 = 0) FROM fx_models
@@ -268,3 +351,17 @@ def _(i):
 WHERE m.comparison_count <> (SELECT COUNT(*) FROM fx_comparisons c WHERE c.user_id = m.user_id AND c.id <= m.comparison_cutoff)""")
 def _(i):
     return quality.recount(i.models, i.comparisons, "comparison_cutoff", "comparison_count")
+
+
+@query("l7_recounted_ratings", """SELECT m.id, m.user_id, m.rating_count AS stored, (SELECT COUNT(*) FROM fx_ratings r WHERE r.user_id = m.user_id AND r.id <= m.rating_cutoff) AS recounted FROM fx_models m
+WHERE m.rating_count <> (SELECT COUNT(*) FROM fx_ratings r WHERE r.user_id = m.user_id AND r.id <= m.rating_cutoff)""")
+def _(i):
+    return quality.recount(i.models, i.ratings, "rating_cutoff", "rating_count")
+
+
+@query("l7_vanished_feedback", """WITH n AS (SELECT m.id, m.user_id, m.comparison_count + m.rating_count AS stored, (SELECT COUNT(*) FROM fx_comparisons c WHERE c.user_id = m.user_id) + (SELECT COUNT(*) FROM fx_ratings r WHERE r.user_id = m.user_id) AS present FROM fx_models m)
+SELECT id, user_id, stored, present FROM n WHERE present < stored""")
+def _(i):
+    there = i.comparisons.select("user_id").unionByName(i.ratings.select("user_id")).groupBy("user_id").agg(F.count("*").alias("present"))
+    rows = i.models.select("id", "user_id", (F.col("comparison_count") + F.col("rating_count")).alias("stored")).join(there, "user_id", "left")
+    return rows.withColumn("present", F.coalesce("present", F.lit(0))).filter("present < stored").select("id", "user_id", "stored", "present")

@@ -41,6 +41,15 @@ def orphans(df: DataFrame, parent: DataFrame, keys: Mapping[str, str], name: str
     return lost.agg(F.count("*").alias("violations")).select(F.lit(name).alias("check"), "violations")
 
 
+def changed_rows(before: DataFrame, after: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """Rows of an immutable log that a later version of it lost or holds with other values."""
+    kept = after.select(*keys, *[F.col(v).alias(f"_{v}") for v in values], F.lit(True).alias("_there"))
+    joined = before.select(*keys, *values).join(kept, list(keys), "left")
+    same = reduce(lambda a, b: a & b, [F.col(v).eqNullSafe(F.col(f"_{v}")) for v in values])
+    change = F.when(F.col("_there").isNull(), "lost").when(~same, "changed")
+    return joined.withColumn("change", change).filter("change IS NOT NULL").select(*keys, "change")
+
+
 def union_checks(parts: Sequence[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
@@ -59,9 +68,23 @@ def comparison_rules() -> dict[str, Column]:
         "distinct_sides": F.col("left_id") != F.col("right_id"),
         "winner_in_pair": F.col("winner_id").isin(F.col("left_id"), F.col("right_id")),
         "key_is_digest": F.col("idempotency_key").rlike(c.DIGEST_PATTERN),
+        "delta_not_negative": F.col("elo_delta") >= 0,
     }
 
 
+def image_rules() -> dict[str, Column]:
+    return {"width": F.col("width") > 0, "height": F.col("height") > 0}
+
+
+def issuance_rules(pairs: bool) -> dict[str, Column]:
+    rules = {"token_is_digest": F.col("token_hash").rlike(c.DIGEST_PATTERN), "expires_later": F.col("expires_at") > F.col("issued_at")}
+    return rules | ({"distinct_sides": F.col("left_id") != F.col("right_id")} if pairs else {})
+
+
+def rating_rules() -> dict[str, Column]:
+    return {"value_range": F.col("value").between(1, c.RATING_LEVELS), "key_is_digest": F.col("idempotency_key").rlike(c.DIGEST_PATTERN)}
+
+
 def action_rules() -> dict[str, Column]:
     return {
         "propensity_range": (F.col("propensity") > 0) & (F.col("propensity") <= 1),

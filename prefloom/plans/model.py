@@ -18,7 +18,7 @@ from prefloom.functions.vectors import dot, literal
 
 CUTS = c.RATING_LEVELS - 1
 # Thresholds enter as features scaled by this factor, so the ridge penalty on them all but vanishes.
-THRESHOLD_SCALE = 30.0
+THRESHOLD_SCALE = 100.0
 
 
 @dataclass(frozen=True)
@@ -166,7 +166,7 @@ def _newton(x, y, z, v, l2: float, steps: int = 40):
     """Joint objective of one user by Newton's method. Returns parameters and objective."""
     d = x.shape[1] if len(x) else z.shape[1]
     cuts = CUTS if len(z) else 0
-    ridge = np.concatenate([np.full(d, l2), np.full(cuts, l2 / THRESHOLD_SCALE**2)])
+    ridge = np.concatenate([np.full(d, l2), np.zeros(cuts)])  # weights only
     blocks = []
     share = 1.0 / ((len(x) > 0) + (len(z) > 0))
     if len(x):

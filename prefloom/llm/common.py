@@ -18,12 +18,19 @@ from pyspark.sql import functions as F
 from prefloom.session import checkpoint_dir, prepare
 
 NULL_ID = -(1 << 63)
+#: Words that a task's process remembers for each operator.
+REMEMBERED = 200_000
+#: Rows of an Arrow batch; texts are long, and a process holds a few batches.
+BATCH_ROWS = 2000
 
 
 def ready(frame: DataFrame) -> SparkSession:
     """The session of a frame, with the package shipped to the executors."""
-    prepare(frame.sparkSession)
-    return frame.sparkSession
+    spark = frame.sparkSession
+    prepare(spark)
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return spark
 
 
 def keyed(frame: DataFrame, *others: str) -> DataFrame:
@@ -110,7 +117,7 @@ class Hashes(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 1_000_000:
+        if len(self) > REMEMBERED:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value

@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prefloom.llm.common import NULL_ID, arrow_map, binary, keyed, landed, mix, original_id, parts, ready
+from prefloom.llm.common import NULL_ID, REMEMBERED, arrow_map, binary, keyed, landed, mix, original_id, parts, ready
 
 WINDOW = 8
 COVERAGE = 0.5
@@ -52,7 +52,7 @@ class Codes(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 1_000_000:
+        if len(self) > REMEMBERED:
             self.clear()
         core = word.strip(STRIP)
         low = core.decode("utf-8", "replace").lower().encode()

@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prefloom.llm.common import Hashes, arrow_map, binary, components, discard, keyed, landed, mix, original_id, parts, ready
+from prefloom.llm.common import REMEMBERED, Hashes, arrow_map, binary, components, discard, keyed, landed, mix, original_id, parts, ready
 
 WORDS = 5
 #: Similarity as a fraction; 3/4 by contract.
@@ -159,7 +159,7 @@ def sketches(documents: DataFrame) -> DataFrame:
                 for s in sets:
                     c1, c2 = class_of(s)
                     new = len(s) > 0 and (c1, c2) not in seen
-                    if len(seen) > 1_000_000:
+                    if len(seen) > REMEMBERED:
                         seen.clear()
                     seen.add((c1, c2))
                     rows.append((len(s), c1, c2, parity(s) if new else None, join_keys(s).view(np.int64) if new else None))
@@ -297,7 +297,7 @@ def across_components(rows: DataFrame) -> DataFrame:
                     for j in others[_possible(n[others], n[i], near)].tolist():
                         found.append((int(min(node[i], node[j])), int(max(node[i], node[j]))))
             fresh = [p for p in found if p not in done]
-            if len(done) > 1_000_000:
+            if len(done) > REMEMBERED:
                 done.clear()
             done.update(fresh)
             if fresh:

@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prefloom.llm.common import arrow_map, keyed, original_id, parts, ready
+from prefloom.llm.common import REMEMBERED, arrow_map, keyed, original_id, parts, ready
 
 TOKENIZER = "word_bpe_49k.json"
 #: Signs that the tokenizer always separates from letters before them.
@@ -30,7 +30,7 @@ class WordIds(dict):
     signs; anything else goes to the tokenizer as it is.
     """
 
-    def __init__(self, path: str, limit: int = 1_000_000):
+    def __init__(self, path: str, limit: int = REMEMBERED):
         super().__init__()
         from tokenizers import Tokenizer
 

@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prefloom.llm.common import arrow_map, binary, discard, keyed, landed, mix, original_id, parts, ready
+from prefloom.llm.common import REMEMBERED, arrow_map, binary, discard, keyed, landed, mix, original_id, parts, ready
 
 STRIP = b".,;:!?%&$*#\"'()|-"
 THRESHOLD = 0.3
@@ -158,7 +158,7 @@ class Model:
     def evidence(self, texts: list[bytes]) -> np.ndarray:
         """The length-normalised difference of the log-likelihoods of each text; 0 without words."""
         split = [split_words(t) for t in texts]
-        if len(self.known) > 400_000:
+        if len(self.known) > REMEMBERED:
             self.known.clear()
         new = [w for w in {w for words in split for w in words} if w not in self.known]
         share = self.settings.share

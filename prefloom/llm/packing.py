@@ -51,7 +51,7 @@ class WordIds(dict):
     def __missing__(self, word: str) -> bytes:
         if len(self) > self.limit:
             self.clear()
-        if len(self.pieces) > self.limit:
+        if len(self.pieces) > 2 * self.limit:
             self.pieces.clear()
         letters = word.rstrip(SIGNS)
         low = letters.lower()

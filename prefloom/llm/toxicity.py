@@ -267,9 +267,10 @@ def fit(documents: DataFrame, labels: DataFrame, settings: Settings = Settings()
     part = F.shiftright(F.crc32(F.col("doc_id").cast("string").cast("binary")), 2) % settings.curve_share
     base = keyed(documents)
 
-    # rows are picked before the join, so that a text is shuffled once, for the counts or for the curve
+    # rows are picked before the join, so that a text is shuffled once, for the counts or for the curve;
+    # labels grow with the corpus and are not broadcast at any size
     def labelled(rows: Column) -> DataFrame:
-        return base.where(~held_out()).where(rows).join(marks, "doc_id").select("doc_id", "text", "toxic")
+        return base.where(~held_out()).where(rows).join(marks.hint("merge"), "doc_id").select("doc_id", "text", "toxic")
 
     sent = spark.sparkContext.broadcast(fit_model(labelled(part != 0), settings))
     seen = _evidence_column(labelled(part == 0), sent, ", toxic int", ("toxic",))

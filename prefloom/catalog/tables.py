@@ -241,7 +241,7 @@ L1 = " UNION ALL ".join(
 
 @query("l1_check_violations", f"WITH {BROKEN_SQL} {L1}")
 def _(i):
-    rules = (("library", "li", quality.library_rules()), ("comparison", "co", quality.comparison_rules()), ("image", "im", quality.image_rules()),
+    rules = (("library", "li", quality.library_rules()), ("comparison", "co", quality.comparison_rules() | quality.outcome_rules()), ("image", "im", quality.image_rules()),
              ("pair_issuance", "pi", quality.issuance_rules(True)), ("rating_issuance", "ri", quality.issuance_rules(False)),
              ("rating", "ra", quality.rating_rules()), ("action", "ac", quality.action_rules()))
     return quality.union_checks([quality.violations(broken(i, key), r).withColumn("check", F.concat(F.lit(f"{name}."), "check")) for name, key, r in rules])

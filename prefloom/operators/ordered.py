@@ -125,17 +125,17 @@ def top_per_key(
     )
 
 
-def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
-    """The first row per key as a partial aggregate: one row per key and map task is shuffled."""
+def _best_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     rest = [c for c in df.columns if c not in keys]
-    ordering = F.struct(*[F.col(o) if isinstance(o, str) else o for o in order])
-    best = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), ordering).alias("_row"))
-    return best.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest])
+    number = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return df.withColumn("_of_key", number).filter("_of_key = 1").select(*keys, *rest)
+
+
+def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
+    """The first row per key; Catalyst cuts every key to one row per map task before the shuffle."""
+    return _best_per_key(df, keys, [(F.col(o) if isinstance(o, str) else o).asc_nulls_first() for o in order])
 
 
 def last_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
-    """The last row per key, aggregated like :func:`first_per_key`."""
-    rest = [c for c in df.columns if c not in keys]
-    ordering = F.struct(*[F.col(o) if isinstance(o, str) else o for o in order])
-    best = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), ordering).alias("_row"))
-    return best.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest])
+    """The last row per key, cut like :func:`first_per_key`."""
+    return _best_per_key(df, keys, [(F.col(o) if isinstance(o, str) else o).desc_nulls_last() for o in order])

@@ -68,10 +68,14 @@ def comparison_rules() -> dict[str, Column]:
         "distinct_sides": F.col("left_id") != F.col("right_id"),
         "winner_in_pair": F.col("winner_id").isin(F.col("left_id"), F.col("right_id")),
         "key_is_digest": F.col("idempotency_key").rlike(c.DIGEST_PATTERN),
-        "delta_not_negative": F.col("elo_delta") >= 0,
     }
 
 
+def outcome_rules() -> dict[str, Column]:
+    """Of comparisons that store their outcome."""
+    return {"delta_not_negative": F.col("elo_delta") >= 0}
+
+
 def image_rules() -> dict[str, Column]:
     return {"width": F.col("width") > 0, "height": F.col("height") > 0}
 

@@ -111,6 +111,17 @@ def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_HELD: dict[str, object] = {}
+
+
+def held(name: str, make: Callable[[], object]):
+    """What a task's process remembers for one operator; the memory of any other is let go first."""
+    if name not in _HELD:
+        _HELD.clear()
+        _HELD[name] = make()
+    return _HELD[name]
+
+
 class Hashes(dict):
     """64-bit hashes of words, remembered; emptied when it holds too many."""
 

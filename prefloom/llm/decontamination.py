@@ -16,13 +16,12 @@ from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
-from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prefloom.llm.common import NULL_ID, REMEMBERED, arrow_map, binary, keyed, landed, mix, original_id, parts, ready
+from prefloom.llm.common import NULL_ID, REMEMBERED, arrow_map, binary, held, keyed, landed, mix, original_id, parts, ready
 
 WINDOW = 8
 COVERAGE = 0.5
@@ -72,9 +71,8 @@ class Codes(dict):
         return value
 
 
-@lru_cache(maxsize=1)
 def codes() -> Codes:
-    return Codes()
+    return held("template words", Codes)
 
 
 def template(text: bytes) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray]:

@@ -19,13 +19,12 @@ classes of a group are in one component, or were compared.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prefloom.llm.common import REMEMBERED, Hashes, arrow_map, binary, components, discard, keyed, landed, mix, original_id, parts, ready
+from prefloom.llm.common import REMEMBERED, Hashes, arrow_map, binary, components, discard, held, keyed, landed, mix, original_id, parts, ready
 
 WORDS = 5
 #: Similarity as a fraction; 3/4 by contract.
@@ -57,9 +56,8 @@ def band(i: int) -> Band:
     return Band(3 ** i, 3 ** (i + 1))
 
 
-@lru_cache(maxsize=1)
 def hashes() -> Hashes:
-    return Hashes()
+    return held("shingle words", Hashes)
 
 
 def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:

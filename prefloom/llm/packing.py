@@ -9,13 +9,12 @@ form a bucket; a training batch takes its sequences from one bucket.
 from __future__ import annotations
 
 import unicodedata
-from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prefloom.llm.common import REMEMBERED, arrow_map, keyed, original_id, parts, ready
+from prefloom.llm.common import REMEMBERED, arrow_map, held, keyed, original_id, parts, ready
 
 TOKENIZER = "word_bpe_49k.json"
 #: Signs that the tokenizer always separates from letters before them.
@@ -68,9 +67,8 @@ class WordIds(dict):
         return b"".join(map(self.__getitem__, text.split()))
 
 
-@lru_cache(maxsize=2)
 def word_ids(path: str) -> WordIds:
-    return WordIds(path)
+    return held(f"token ids of {path}", lambda: WordIds(path))
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:

@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prefloom.llm.common import REMEMBERED, arrow_map, binary, discard, keyed, landed, mix, original_id, parts, ready
+from prefloom.llm.common import REMEMBERED, arrow_map, binary, discard, held, keyed, landed, mix, original_id, parts, ready
 
 STRIP = b".,;:!?%&$*#\"'()|-"
 THRESHOLD = 0.3
@@ -100,8 +100,8 @@ def gram_counts(words: DataFrame, settings: Settings) -> DataFrame:
     def work(batch):
         listed = batch.column("word").to_pylist()
         counts = [np.asarray(batch.column(c).to_numpy(zero_copy_only=False), np.int64) for c in ("ordinary", "toxic")]
-        for at in range(0, len(listed), 50_000):
-            contexts, wholes, word = grams(listed[at:at + 50_000], settings.order)
+        for at in range(0, len(listed), 10_000):
+            contexts, wholes, word = grams(listed[at:at + 10_000], settings.order)
             gram, context, level, number = [], [], [], []
             for k, (c, w) in enumerate(zip(contexts, wholes)):
                 valid = np.flatnonzero(w)
@@ -132,6 +132,10 @@ class Model:
     def __getstate__(self):
         return {"settings": self.settings, "tables": self.tables, "known": {}}
 
+    def __setstate__(self, state):
+        self.__dict__.update(state)
+        held("toxicity", dict).clear()  # lets another operator's memory go
+
     def ratios(self, words: list[bytes]) -> np.ndarray:
         """Log of the toxic over the ordinary probability of each word."""
         s, t = self.settings, self.tables
@@ -162,8 +166,8 @@ class Model:
             self.known.clear()
         new = [w for w in {w for words in split for w in words} if w not in self.known]
         share = self.settings.share
-        for at in range(0, len(new), 50_000):
-            some = new[at:at + 50_000]
+        for at in range(0, len(new), 10_000):
+            some = new[at:at + 10_000]
             mixed = np.log1p(share * np.expm1(np.clip(self.ratios(some), -50, 50)))
             self.known.update(zip(some, mixed.tolist()))
         look = self.known.__getitem__

@@ -7,6 +7,8 @@ counts as empty.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -118,10 +120,21 @@ def held(name: str, make: Callable[[], object]):
     """What a task's process remembers for one operator; the memory of any other is let go first."""
     if name not in _HELD:
         _HELD.clear()
+        returned()
         _HELD[name] = make()
     return _HELD[name]
 
 
+def returned() -> None:
+    """Give freed memory back to the system; a worker process lives through many tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 class Hashes(dict):
     """64-bit hashes of words, remembered; emptied when it holds too many."""
 

@@ -133,8 +133,8 @@ class Model:
         return {"settings": self.settings, "tables": self.tables, "known": {}}
 
     def __setstate__(self, state):
+        held("toxicity", dict)  # lets another operator's memory go
         self.__dict__.update(state)
-        held("toxicity", dict).clear()  # lets another operator's memory go
 
     def ratios(self, words: list[bytes]) -> np.ndarray:
         """Log of the toxic over the ordinary probability of each word."""

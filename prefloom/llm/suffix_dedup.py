@@ -232,12 +232,23 @@ def _windows(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def induced(contexts: DataFrame) -> DataFrame:
-    """(doc_id, row, start, last) of windows that an earlier context of the gram holds too."""
+    """(doc_id, row, start, last) of windows that an earlier context of the gram holds too.
+
+    Later copies of a context are repeats already and are passed over, so that a run of one gram
+    holds its distinct contexts, however many copies there are.
+    """
+
+    def distinct(columns):
+        gram, bodies = columns[0], columns[4]
+        names = np.fromiter((xxhash.xxh3_64_intdigest(b) for b in bodies), np.uint64, len(bodies))
+        _, first = np.unique(mix(names, 63) ^ mix(gram.view(np.uint64), 62), return_index=True)
+        first.sort()
+        return [c[first] for c in columns]
 
     def settle(held):
         import pyarrow as pa
 
-        gram, doc, row, start, bodies = (np.concatenate(x) for x in zip(*held))
+        gram, doc, row, start, bodies = distinct([np.concatenate(x) for x in zip(*held)])
         name, number, place = _windows(bodies.tolist())
         key = mix(name, 61) ^ mix(gram.view(np.uint64), 62)[number]
         # rows come in order of (gram, document, start), so the first of equal names is the earliest
@@ -263,7 +274,7 @@ def induced(contexts: DataFrame) -> DataFrame:
         )
 
     def run(batches):
-        held, size = [], 0
+        held = []
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -275,13 +286,12 @@ def induced(contexts: DataFrame) -> DataFrame:
             columns = (gram, doc, row, start, bodies)
             if held and gram[0] != held[-1][0][-1]:
                 yield settle(held)
-                held, size = [], 0
+                held = []
             if whole:
                 held.append([c[:whole] for c in columns])
                 yield settle(held)
-                held, size = [], 0
-            held.append([c[whole:] for c in columns])
-            size += len(gram) - whole
+                held = []
+            held.append(distinct([c[whole:] for c in columns]))
         if held:
             yield settle(held)
 

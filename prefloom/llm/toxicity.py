@@ -10,23 +10,31 @@ A word's log-likelihood ratio r enters as log(1 - share + share * e^r): a toxic
 prose with a ``share`` of toxic words. The mean over the words is the length-normalised difference
 of the two log-likelihoods, and a logistic curve turns it into a score.
 
-n-gram counts live in hashed tables of fixed size, which is what scoring tasks receive; the counts
-themselves are summed over all labelled training rows.
+n-gram and context counts are tables keyed by full 64-bit hashes and grow with the labelled text. The
+distinct words of the corpus are cut into sites (a byte with its longest context), the sites are
+joined to the counts, and the words to their sites. A scoring task gets the values of the most
+frequent words; the other words of its documents meet theirs in a join.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prefloom.llm.common import REMEMBERED, arrow_map, binary, discard, held, keyed, landed, mix, original_id, parts, ready
+from prefloom.llm.common import NULL_ID, arrow_map, binary, discard, held, keyed, landed, mix, original_id, parts, ready, returned
+from prefloom.llm.decontamination import bit_table
 
 STRIP = b".,;:!?%&$*#\"'()|-"
 THRESHOLD = 0.3
+#: Bits of the table that holds back hashes without counts; a fuller one lets more rows through, no other result.
+FILTER_BITS = 1 << 23
+#: Most frequent words and sites whose values tasks hold; those of all others are joined.
+FREQUENT = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -36,6 +44,7 @@ class Settings:
     shared: int = 1
     discount: float = 0.75
     share: float = 0.05
+    #: Slots of ``Model``, the form in memory; the operator's tables have none.
     gram_bits: int = 22
     context_bits: int = 21
     #: One training row in so many fits the logistic curve instead of the counts.
@@ -93,48 +102,42 @@ def word_counts(labelled: DataFrame) -> DataFrame:
     return rows.groupBy("word").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
 
 
+def slices(words: list[bytes], limit: int = 1 << 18) -> Iterator[tuple[int, int]]:
+    """Ranges of words of about ``limit`` bytes at most (one word at least)."""
+    sizes = np.cumsum([len(w) + 2 for w in words])
+    start = 0
+    while start < len(words):
+        end = max(start + 1, int(np.searchsorted(sizes, (sizes[start - 1] if start else 0) + limit, side="right")))
+        yield start, end
+        start = end
+
+
 def gram_counts(words: DataFrame, settings: Settings) -> DataFrame:
-    """gram, context (slots), level, ordinary, toxic: summed over the words."""
-    gram_mask, context_mask = np.uint64((1 << settings.gram_bits) - 1), np.uint64((1 << settings.context_bits) - 1)
+    """gram, context (64-bit hashes), level, ordinary, toxic: summed over the words."""
 
     def work(batch):
         listed = batch.column("word").to_pylist()
         counts = [np.asarray(batch.column(c).to_numpy(zero_copy_only=False), np.int64) for c in ("ordinary", "toxic")]
-        for at in range(0, len(listed), 10_000):
-            contexts, wholes, word = grams(listed[at:at + 10_000], settings.order)
-            gram, context, level, number = [], [], [], []
+        for at, end in slices(listed):
+            contexts, wholes, word = grams(listed[at:end], settings.order)
             for k, (c, w) in enumerate(zip(contexts, wholes)):
                 valid = np.flatnonzero(w)
-                gram.append((w[valid] & gram_mask).astype(np.int64))
-                context.append((c[valid] & context_mask).astype(np.int64))
-                level.append(np.full(len(valid), k, np.int64))
-                number.append(word[valid] + at)
-            gram, context, level, number = map(np.concatenate, (gram, context, level, number))
-            key = (gram << 24 | context) << 4 | level
-            keys, inverse = np.unique(key, return_inverse=True)
-            sums = [np.bincount(inverse, c[number], len(keys)).astype(np.int64) for c in counts]
-            yield {
-                "gram": keys >> 28, "context": keys >> 4 & ((1 << 24) - 1), "level": (keys & 15).astype(np.int32),
-                "ordinary": sums[0], "toxic": sums[1],
-            }
+                keys, first, inverse = np.unique(w[valid], return_index=True, return_inverse=True)
+                sums = [np.bincount(inverse, n[word[valid] + at], len(keys)).astype(np.int64) for n in counts]
+                yield {
+                    "gram": keys.view(np.int64), "context": c[valid][first].view(np.int64), "level": np.full(len(keys), k, np.int32),
+                    "ordinary": sums[0], "toxic": sums[1],
+                }
 
     rows = arrow_map(words, work, "gram long, context long, level int, ordinary long, toxic long")
     return rows.groupBy("gram", "context", "level").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
 
 
 class Model:
-    """The hashed tables and the ratio they give a word; small enough, by its settings, to broadcast."""
+    """The same ratios from slots in memory, for direct comparison; the operator joins instead."""
 
     def __init__(self, settings: Settings, tables: dict[str, np.ndarray]):
         self.settings, self.tables = settings, tables
-        self.known: dict[bytes, float] = {}
-
-    def __getstate__(self):
-        return {"settings": self.settings, "tables": self.tables, "known": {}}
-
-    def __setstate__(self, state):
-        held("toxicity", dict)  # lets another operator's memory go
-        self.__dict__.update(state)
 
     def ratios(self, words: list[bytes]) -> np.ndarray:
         """Log of the toxic over the ordinary probability of each word."""
@@ -159,64 +162,207 @@ class Model:
                     p[side][valid] = np.where(total > 0, (kept + left * old) / np.maximum(total, 1e-9), old)
         return np.bincount(word, np.log(np.maximum(p[1], 1e-30) / np.maximum(p[0], 1e-30)), len(words))
 
-    def evidence(self, texts: list[bytes]) -> np.ndarray:
-        """The length-normalised difference of the log-likelihoods of each text; 0 without words."""
-        split = [split_words(t) for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = [w for w in {w for words in split for w in words} if w not in self.known]
-        share = self.settings.share
-        for at in range(0, len(new), 10_000):
-            some = new[at:at + 10_000]
-            mixed = np.log1p(share * np.expm1(np.clip(self.ratios(some), -50, 50)))
-            self.known.update(zip(some, mixed.tolist()))
-        look = self.known.__getitem__
-        return np.asarray([math.fsum(map(look, words)) / len(words) if words else 0.0 for words in split])
-
-
-def slots(rows: DataFrame, bits: int, chunk_bits: int = 12) -> dict[str, np.ndarray]:
-    """Sums of the number columns per slot (the first column), as one array each.
-
-    The sums come to the driver as packed chunks, one partition at a time: 2 ** ``bits`` numbers a
-    column at most, whatever the input.
-    """
-    slot, *names = rows.columns
-    sums = rows.groupBy(slot).agg(*(F.sum(n).cast("float").alias(n) for n in names))
-    size = 1 << chunk_bits
-
-    def pack(batches):
-        import pyarrow as pa
-
-        held: dict[int, np.ndarray] = {}
-        for batch in batches:
-            place = batch.column(0).to_numpy()
-            values = np.stack([batch.column(i + 1).to_numpy() for i in range(len(names))])
-            for chunk in np.unique(place >> chunk_bits):
-                mine = place >> chunk_bits == chunk
-                held.setdefault(int(chunk), np.zeros((len(names), size), np.float32))[:, place[mine] & (size - 1)] = values[:, mine]
-        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([v.tobytes() for v in held.values()], pa.binary())], ["chunk", "packed"])
-
-    packed = sums.repartition(F.shiftright(slot, chunk_bits)).mapInArrow(pack, "chunk long, packed binary")
-    tables = {n: np.zeros(1 << bits, np.float32) for n in names}
-    for chunk, values in packed.toLocalIterator():
-        for name, column in zip(names, np.frombuffer(bytes(values), np.float32).reshape(len(names), size)):
-            tables[name][chunk << chunk_bits:(chunk + 1) << chunk_bits] = column
-    return tables
-
-
-def fit_model(labelled: DataFrame, settings: Settings = Settings()) -> Model:
-    """Class models from rows with text and toxic (0 or 1)."""
+
+class Shared:
+    """Shared probability of each position by its shortest contexts; as many counts as bytes have combinations."""
+
+    def __init__(self, counts: DataFrame, settings: Settings):
+        self.settings = settings
+        frame = counts.where(F.col("level") <= settings.shared).select("gram", "context", (F.col("c0") + F.col("c1")).alias("n")).toPandas()
+        self.grams = self._sums(frame["gram"].to_numpy(np.int64), frame["n"].to_numpy(float))
+        self.contexts = self._sums(frame["context"].to_numpy(np.int64), frame["n"].to_numpy(float))
+
+    @staticmethod
+    def _sums(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        named, inverse = np.unique(keys.view(np.uint64), return_inverse=True)
+        return named, np.bincount(inverse, n, len(named))
+
+    @staticmethod
+    def _look(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> np.ndarray:
+        named, n = table
+        if not len(named):
+            return np.zeros(len(keys))
+        place = np.minimum(np.searchsorted(named, keys), len(named) - 1)
+        return np.where(named[place] == keys, n[place], 0.0)
+
+    def probabilities(self, contexts: list[np.ndarray], wholes: list[np.ndarray]) -> np.ndarray:
+        p = np.full(len(wholes[0]), 1 / 256)
+        for c, w in zip(contexts[:self.settings.shared + 1], wholes):
+            valid = np.flatnonzero(w)
+            p[valid] = (self._look(self.grams, w[valid]) + 5 * p[valid]) / (self._look(self.contexts, c[valid]) + 5)
+        return p
+
+
+def model_counts(labelled: DataFrame, settings: Settings) -> tuple[DataFrame, Shared]:
+    """key, n0, n1, kept0, kept1 of the long contexts and their n-grams, landed; and the shared counts."""
     words = landed(word_counts(labelled))
     totals = words.agg(F.sum("ordinary").alias("o"), F.sum("toxic").alias("t")).first()
     scale = (totals["t"] or 1) / max(totals["o"] or 1, 1)
-    counts = landed(gram_counts(words, settings))
+    counts = landed(gram_counts(words, settings).select(
+        "gram", "context", "level", (F.col("ordinary") * scale).alias("c0"), F.col("toxic").cast("double").alias("c1")
+    ))
     discard(words)
-    scaled = counts.select("gram", "context", "level", (F.col("ordinary") * scale).alias("c0"), F.col("toxic").cast("double").alias("c1"))
-    kept = [F.greatest(F.col(c) - settings.discount, F.lit(0.0)).alias(k) for c, k in (("c0", "kept0"), ("c1", "kept1"))]
-    tables = slots(scaled.select("gram", F.col("c0").alias("gram0"), F.col("c1").alias("gram1")), settings.gram_bits)
-    tables |= slots(scaled.select("context", F.col("c0").alias("all0"), F.col("c1").alias("all1"), *kept), settings.context_bits)
+    long = counts.where(F.col("level") > settings.shared)
+    kept = [F.sum(F.greatest(F.col(c) - settings.discount, F.lit(0.0))).alias(k) for c, k in (("c0", "kept0"), ("c1", "kept1"))]
+    contexts = long.groupBy(F.col("context").alias("key")).agg(F.sum("c0").alias("n0"), F.sum("c1").alias("n1"), *kept)
+    whole = long.select(F.col("gram").alias("key"), F.col("c0").alias("n0"), F.col("c1").alias("n1"), F.lit(0.0).alias("kept0"), F.lit(0.0).alias("kept1"))
+    table = landed(whole.unionByName(contexts))
+    shared = Shared(counts, settings)
     discard(counts)
-    return Model(settings, tables)
+    return table, shared
+
+
+def vocabulary(documents: DataFrame) -> DataFrame:
+    """word, n: the distinct words of all documents."""
+
+    def work(batch):
+        from collections import Counter
+
+        for part in parts(batch, 32 << 20):
+            found = Counter()
+            for text in binary(part, "text"):
+                found.update(split_words(text))
+            yield {"word": list(found), "n": list(found.values())}
+
+    return arrow_map(documents, work, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    import xxhash
+
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)).view(np.int64)
+
+
+def packed_sites(words: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
+    """The site of every position behind a word's start sign, and its word number.
+
+    A site is the position's byte and the ``order`` - 1 bytes before it, newest lowest, as far as the
+    word reaches; the top byte holds how many.
+    """
+    flat = np.frombuffer(b"".join(b"\x02" + w + b"\x03" for w in words), np.uint8).astype(np.uint64)
+    sizes = np.fromiter((len(w) + 2 for w in words), np.int64, len(words))
+    word = np.repeat(np.arange(len(words)), sizes)
+    place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    site = np.minimum(place + 1, order).astype(np.uint64) << np.uint64(56)
+    for k in range(min(order, len(flat))):
+        earlier = np.concatenate([np.zeros(k, np.uint64), flat[:len(flat) - k]])
+        site |= np.where(place >= k, earlier, np.uint64(0)) << np.uint64(8 * k)
+    kept = np.flatnonzero(place > 0)
+    return site[kept].view(np.int64), word[kept]
+
+
+def site_grams(sites: np.ndarray, order: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """The hashes ``grams`` gives a position, from its site."""
+    sites = sites.view(np.uint64)
+    held_bytes = (sites >> np.uint64(56)).astype(np.int64)
+    byte = [((sites >> np.uint64(8 * k)) & np.uint64(255)) + np.uint64(1) for k in range(order)]
+    contexts, wholes, context = [], [], np.full(len(sites), 7, np.uint64)
+    for k in range(order):
+        if k:
+            context = context * np.uint64(0x100000001B3) + byte[k]
+        named = mix(context, 2 * k + 1)
+        whole = mix(named ^ (byte[0] * np.uint64(0x9E3779B97F4A7C15)), 2 * k + 2)
+        contexts.append(np.where(held_bytes > k, named, np.uint64(0)))
+        wholes.append(np.where(held_bytes > k, whole, np.uint64(0)))
+    return contexts, wholes
+
+
+def word_values(words: DataFrame, table: DataFrame, shared: Shared, settings: Settings) -> DataFrame:
+    """word (hash), value: the mixture evidence of every word.
+
+    Tasks know the ratios of the ``FREQUENT`` most common sites; a word's other sites meet theirs in a join.
+    """
+    if settings.order > 7:
+        raise ValueError("a site holds 7 bytes at most")
+    context = words.sparkSession.sparkContext
+    sent = context.broadcast((bit_table(table.select(F.col("key").alias("hash")), FILTER_BITS), shared))
+    levels = range(settings.shared + 1, settings.order)
+
+    def cut(batch):
+        listed = batch.column("word").to_pylist()
+        for at, end in slices(listed):
+            site, n = np.unique(packed_sites(listed[at:end], settings.order)[0], return_counts=True)
+            yield {"site": site, "n": n}
+
+    def looks(batch):
+        bits = sent.value[0]
+        site = batch.column("site").to_numpy()
+        contexts, wholes = site_grams(site, settings.order)
+        base = sent.value[1].probabilities(contexts, wholes)
+        for k in levels:
+            for slot, key in ((2 * k, wholes[k]), (2 * k + 1, contexts[k])):
+                spot = np.mod(key.view(np.int64), np.int64(FILTER_BITS))
+                where = np.flatnonzero((key != 0) & ((bits[spot >> 6] >> (spot & 63)) & 1).astype(bool))
+                yield {"site": site[where], "slot": np.full(len(where), slot, np.int32), "key": key[where].view(np.int64), "base": base[where]}
+
+    sites = landed(arrow_map(words.select("word"), cut, "site long, n long").groupBy("site").agg(F.sum("n").alias("n")))
+    found = arrow_map(sites.select("site"), looks, "site long, slot int, key long, base double").join(table, "key")
+    wide = found.groupBy("site").agg(F.max("base").alias("base"), *(
+        F.coalesce(F.max(F.when(F.col("slot") == 2 * k + i, F.col(n))), F.lit(0.0)).alias(f"{n}_{2 * k + i}")
+        for k in levels for i in (0, 1) for n in ("n0", "n1", "kept0", "kept1")[:4 if i else 2]
+    ))
+    p = [F.col("base"), F.col("base")]
+    for k in levels:
+        for side in (0, 1):
+            total, gram, kept = F.col(f"n{side}_{2 * k + 1}"), F.col(f"n{side}_{2 * k}"), F.col(f"kept{side}_{2 * k + 1}")
+            seen = F.when(total > 0, F.greatest(gram - settings.discount, F.lit(0.0)) / total).otherwise(0.0)
+            left = F.when(total > 0, F.greatest(total - kept, F.lit(0.0)) / total).otherwise(1.0)
+            p[side] = seen + left * p[side]
+    least = F.lit(1e-30)
+    # a site without counts of a class is not among them: its ratio is 0
+    ratios = landed(wide.select("site", F.log(F.greatest(p[1], least) / F.greatest(p[0], least)).alias("ratio")))
+    common = sites.orderBy(F.desc("n"), "site").limit(FREQUENT).join(ratios, "site", "left")
+    frame = common.select("site", F.coalesce("ratio", F.lit(0.0)).alias("ratio")).toPandas().sort_values("site")
+    told = context.broadcast((frame["site"].to_numpy(np.int64), frame["ratio"].to_numpy(float)))
+
+    def add(batch):
+        known, ratio = told.value
+        listed = batch.column("word").to_pylist()
+        for at, end in slices(listed):
+            site, word = packed_sites(listed[at:end], settings.order)
+            place = np.minimum(np.searchsorted(known, site), len(known) - 1)
+            hit = known[place] == site
+            others = np.split(site[~hit], np.searchsorted(word[~hit], np.arange(1, end - at)))
+            yield {"word": word_hashes(listed[at:end]), "known": np.bincount(word, np.where(hit, ratio[place], 0.0), end - at), "others": others}
+
+    rows = landed(arrow_map(words.select("word"), add, "word long, known double, others array<long>"))
+    others = rows.select("word", F.explode("others").alias("site")).join(ratios, "site").groupBy("word").agg(F.sum("ratio").alias("more"))
+    ratio = F.col("known") + F.coalesce("more", F.lit(0.0))
+    clipped = F.least(F.greatest(ratio, F.lit(-50.0)), F.lit(50.0))
+    values = landed(rows.join(others, "word", "left").select("word", F.log1p(settings.share * F.expm1(clipped)).alias("value")))
+    discard(sites, ratios, rows)
+    return values
+
+
+def evidence(documents: DataFrame, words: DataFrame, values: DataFrame) -> DataFrame:
+    """doc_id, digest (of the text), evidence of every row: the mean of its words' values; 0 without words.
+
+    Tasks know the ``FREQUENT`` most frequent words; the others meet their values in a join.
+    """
+    named = words.orderBy(F.desc("n"), "word").limit(FREQUENT)
+    hashed = arrow_map(named.select("word"), lambda b: iter([{"text": b.column("word"), "word": word_hashes(b.column("word").to_pylist())}]), "text binary, word long")
+    frame = hashed.join(values, "word", "left").select("text", F.coalesce("value", F.lit(0.0)).alias("value")).toPandas()
+    sent = documents.sparkSession.sparkContext.broadcast(dict(zip(map(bytes, frame["text"]), frame["value"].tolist())))
+
+    def work(batch):
+        held("toxicity", dict)  # lets another operator's memory go
+        known = sent.value
+        for part in parts(batch):
+            out = {k: [] for k in ("known", "words", "others")}
+            for text in binary(part, "text"):
+                split = split_words(text)
+                out["known"].append(math.fsum(known[w] for w in split if w in known))
+                out["words"].append(len(split))
+                out["others"].append(word_hashes([w for w in split if w not in known]))
+            yield {n: part.column(n) for n in ("doc_id", "digest")} | out
+
+    kind = "doc_id long, digest long, known double, words long, others array<long>"
+    marked = documents.select("doc_id", "text", F.xxhash64("text").alias("digest"))
+    rows = landed(arrow_map(marked, work, kind).withColumn("row", F.monotonically_increasing_id()))
+    others = rows.select("row", F.explode("others").alias("word")).join(values, "word").groupBy("row").agg(F.sum("value").alias("more"))
+    total = F.col("known") + F.coalesce("more", F.lit(0.0))
+    mean = F.when(F.col("words") > 0, total / F.col("words")).otherwise(0.0)
+    return landed(rows.drop("others").join(others, "row", "left").select("doc_id", "digest", mean.alias("evidence")))
 
 
 def logistic(bins: list[tuple[float, int, int]]) -> tuple[float, float]:
@@ -238,50 +384,33 @@ def logistic(bins: list[tuple[float, int, int]]) -> tuple[float, float]:
     return float(w[0] / width), float(w[1] - w[0] * middle / width)
 
 
-def _evidence_column(documents: DataFrame, model, extra: str = "", carry: tuple[str, ...] = ()) -> DataFrame:
-    def work(batch):
-        for part in parts(batch):
-            yield {n: part.column(n) for n in ("doc_id", *carry)} | {"evidence": model.value.evidence(binary(part, "text"))}
-
-    return arrow_map(documents, work, f"doc_id long{extra}, evidence double")
-
-
-@dataclass(frozen=True)
-class Scorer:
-    """A broadcast model and its logistic curve."""
-
-    model: object
-    slope: float
-    shift: float
-
-    def score(self, evidence):
-        return 1 / (1 + np.exp(-(np.asarray(evidence) * self.slope + self.shift)))
-
-
-def fit(documents: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Scorer:
-    """Learn from the labelled documents that are not held out.
+def judged(documents: DataFrame, labels: DataFrame, settings: Settings) -> DataFrame:
+    """doc_id, digest, score of every row, learned from the labelled documents that are not held out.
 
     A document labelled more than once is toxic if any label says so. Without labels every text gets
     the score of no evidence.
     """
-    spark = ready(documents)
+    ready(documents)
     marks = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(
         F.greatest(F.lit(0), F.least(F.lit(1), F.max("toxic"))).cast("int").alias("toxic")
     )
     part = F.shiftright(F.crc32(F.col("doc_id").cast("string").cast("binary")), 2) % settings.curve_share
     base = keyed(documents)
-
-    # rows are picked before the join, so that a text is shuffled once, for the counts or for the curve;
     # labels grow with the corpus and are not broadcast at any size
-    def labelled(rows: Column) -> DataFrame:
-        return base.where(~held_out()).where(rows).join(marks.hint("merge"), "doc_id").select("doc_id", "text", "toxic")
-
-    sent = spark.sparkContext.broadcast(fit_model(labelled(part != 0), settings))
-    seen = _evidence_column(labelled(part == 0), sent, ", toxic int", ("toxic",))
+    labelled = base.where(~held_out()).where(part != 0).join(marks.hint("merge"), "doc_id").select("doc_id", "text", "toxic")
+    table, shared = model_counts(labelled, settings)
+    returned()
+    words = landed(vocabulary(base))
+    values = word_values(words, table, shared, settings)
+    discard(table)
+    seen = evidence(base, words, values)
+    discard(words)
+    curve = seen.where(~held_out()).where(part == 0).join(marks, "doc_id")
     width = 4.0 / settings.bins
-    binned = seen.groupBy(F.least(F.greatest(F.floor(F.col("evidence") / width), F.lit(-settings.bins)), F.lit(settings.bins)).alias("bin"))
+    binned = curve.groupBy(F.least(F.greatest(F.floor(F.col("evidence") / width), F.lit(-settings.bins)), F.lit(settings.bins)).alias("bin"))
     rows = binned.agg(F.count("*").alias("n"), F.sum("toxic").alias("t"), F.avg("evidence").alias("x")).collect()
-    return Scorer(sent, *logistic([(r["x"], r["n"], r["t"]) for r in rows]))
+    slope, shift = logistic([(r["x"], r["n"], r["t"]) for r in rows])
+    return seen.select("doc_id", "digest", (1 / (1 + F.exp(-(F.col("evidence") * slope + shift)))).alias("score"))
 
 
 def score(documents: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -289,28 +418,17 @@ def score(documents: DataFrame, labels: DataFrame, settings: Settings = Settings
 
     A null or empty text has the score of no evidence; repeated rows are scored each.
     """
-    scorer = fit(documents, labels, settings)
-
-    def work(batch):
-        for part in parts(batch):
-            yield {"doc_id": part.column("doc_id"), "score": scorer.score(scorer.model.value.evidence(binary(part, "text")))}
-
-    scored = arrow_map(keyed(documents), work, "doc_id long, score double")
-    return scored.select(
+    return judged(documents, labels, settings).select(
         original_id(), F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted")
     )
 
 
 def clean(documents: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """The documents, all columns, whose score stays below the threshold; judged in one scan."""
-    scorer = fit(documents, labels, settings)
-
-    def run(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            if batch.num_rows:
-                texts = [t or b"" for t in binary(batch, "text")]
-                yield batch.filter(pa.array(scorer.score(scorer.model.value.evidence(texts)) < THRESHOLD))
-
-    return documents.mapInArrow(run, documents.schema)
+    """The documents, all columns, whose score stays below the threshold."""
+    toxic = judged(documents, labels, settings).where(F.col("score") >= THRESHOLD)
+    gone = toxic.select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest")).distinct()
+    keys = {
+        "__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)),
+        "__digest": F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))),
+    }
+    return documents.withColumns(keys).join(gone, ["__id", "__digest"], "left_anti").select(*documents.columns)

@@ -59,6 +59,45 @@ def test_toxicity_without_data(spark):
     assert toxicity.score(frame.where("doc_id < 0"), none).count() == 0
 
 
+def test_toxicity_counts_are_told_apart(spark, words, monkeypatch):
+    """Scores follow the model of exact counts, whatever the slots of the form in memory."""
+    docs = [(i, " ".join(random.choice(words) + random.choice(["", "x", "idiot"][:2 + (i % 5 == 0)]) for _ in range(40))) for i in range(300)]
+    labels = [(i, int(i % 5 == 0)) for i in range(300)]
+    frame, marks = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    part = lambda i: (zlib.crc32(str(i).encode()) >> 2) % 6
+    counts = [Counter(), Counter()]
+    for i, text in docs:
+        if not held(i) and part(i):
+            counts[i % 5 == 0].update(toxicity.split_words(text.encode()))
+    scale = sum(counts[1].values()) / sum(counts[0].values())
+    large = toxicity.Settings(gram_bits=24, context_bits=24)
+    tables = {f"{n}{i}": np.zeros(1 << 24) for n in ("gram", "all", "kept") for i in (0, 1)}
+    for i, factor in ((0, scale), (1, 1.0)):
+        listed = list(counts[i])
+        contexts, wholes, word = toxicity.grams(listed, large.order)
+        sums = Counter()
+        for c, w in zip(contexts, wholes):
+            for k in np.flatnonzero(w):
+                sums[int(w[k]) & (1 << 24) - 1, int(c[k]) & (1 << 24) - 1] += counts[i][listed[word[k]]] * factor
+        for (gram, context), n in sums.items():
+            tables[f"gram{i}"][gram] += n
+            tables[f"all{i}"][context] += n
+            tables[f"kept{i}"][context] += max(n - large.discount, 0)
+    contexts, wholes, word = toxicity.grams([b"idiot", b"", b"a"], 7)
+    site, number = toxicity.packed_sites([b"idiot", b"", b"a"], 7)
+    inside = wholes[0] != 0
+    for a, b in zip(toxicity.site_grams(site, 7), (contexts, wholes)):
+        assert all((x == y[inside]).all() for x, y in zip(a, b)) and (number == word[inside]).all()
+    model = toxicity.Model(large, tables)
+    want = {i: np.mean(np.log1p(0.05 * np.expm1(np.clip(model.ratios(toxicity.split_words(t.encode())), -50, 50)))) for i, t in docs}
+    monkeypatch.setattr(toxicity, "FREQUENT", 64)  # most words and sites come by the joins
+    got = {r.doc_id: r.score for r in toxicity.score(frame, marks, toxicity.Settings(gram_bits=8, context_bits=8)).collect()}
+    logit = np.asarray([np.log(got[i] / (1 - got[i])) for i in sorted(want)])
+    evidence = np.asarray([want[i] for i in sorted(want)])
+    slope, shift = np.polyfit(evidence, logit, 1)
+    assert slope > 0 and np.abs(logit - slope * evidence - shift).max() < 1e-3 * np.ptp(logit)
+
+
 def test_kneser_ney_probabilities_add_up():
     """Over all next bytes the mixture of a long context and its backoff is a distribution."""
     settings = toxicity.Settings(order=4, gram_bits=20, context_bits=18)

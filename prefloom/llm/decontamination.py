@@ -5,7 +5,11 @@ become one. Windows of ``WINDOW`` template words are hashed and joined between d
 benchmark items, so a question with other numbers or names still meets its original. Aligned
 windows must fill their slots consistently: one value of the item stands for one value in the
 document and back; windows that break this do not count. A document is contaminated by an item if
-consistent windows cover at least half of the item's windows.
+consistent windows cover at least half of the item's windows, or ``RUN`` of them follow each other.
+
+Windows of mostly slots say too little by their template. An item without any other window, by its
+length or its slots, is looked for whole and with its values: its literal word sequence is hashed.
+Items of slots alone, such as a list of numbers, are not looked for.
 
 Documents are scanned once. A bit table of fixed size, filled from the benchmark's window hashes,
 holds back windows that can't match; where a benchmark outgrows it, more windows are shuffled and
@@ -25,6 +29,8 @@ from prefloom.llm.common import NULL_ID, REMEMBERED, arrow_map, binary, held, ke
 
 WINDOW = 8
 COVERAGE = 0.5
+#: Consistent windows in a row that count as contamination: a passage of RUN + WINDOW - 1 words.
+RUN = 6
 FILTER_BITS = 1 << 23
 #: Unit words, fixed values of the method.
 UNITS = frozenset(
@@ -115,24 +121,47 @@ def slot_values(kind: np.ndarray, words: list[bytes], where: np.ndarray, at: int
     return out
 
 
+def literal(text: bytes) -> np.ndarray:
+    """Hash of each word as it stands, but for case and signs around it."""
+    code = np.fromiter(map(codes().__getitem__, text.split()), np.int64)
+    return mix((code[(code & SKIP) == 0] & ~31).astype(np.uint64), 7)
+
+
+def sequences(value: np.ndarray, size: int) -> np.ndarray:
+    """Hash of the ``size`` words at each place."""
+    n = len(value) - size + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    base = 0x9E3779B97F4A7C15  # odd, so that a sum can be moved back to place 0
+    powers, backs = (np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(len(value) - 1, x, np.uint64), dtype=np.uint64)]) for x in (base, pow(base, -1, 1 << 64)))
+    sums = np.cumsum(np.concatenate([np.zeros(1, np.uint64), value * powers]), dtype=np.uint64)
+    return mix((sums[size:] - sums[:-size]) * backs[:n], 8 + size)
+
+
 def item_windows(benchmark: DataFrame) -> DataFrame:
-    """item_id, hash, item_at, item_slots, total for every counting window of every item."""
+    """item_id, hash, item_at, item_slots, total, size for every counting window of every item.
+
+    An item without one has a row for its whole literal sequence, of ``size`` words; size is 0 otherwise.
+    """
     ready(benchmark)
     items = benchmark.where("item_id IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
 
     def work(batch):
-        out = {k: [] for k in ("item_id", "hash", "item_at", "item_slots", "total")}
+        out = {k: [] for k in ("item_id", "hash", "item_at", "item_slots", "total", "size")}
         for item, text in zip(batch.column("item_id").to_pylist(), binary(batch, "text")):
             value, kind, words, where = template(text)
             hashed, counts = windows(value, kind)
             places = np.flatnonzero(counts)
-            for at in places:
-                row = (item, int(hashed[at].view(np.int64)), int(at), slot_values(kind, words, where, int(at)), len(places))
+            rows = [(item, int(hashed[at].view(np.int64)), int(at), slot_values(kind, words, where, int(at)), len(places), 0) for at in places]
+            if not rows and (kind == 0).any():
+                whole = literal(text)
+                rows = [(item, int(sequences(whole, len(whole))[0].view(np.int64)), 0, [], 1, len(whole))]
+            for row in rows:
                 for k, v in zip(out, row):
                     out[k].append(v)
         yield out
 
-    return arrow_map(items, work, "item_id long, hash long, item_at int, item_slots array<string>, total int")
+    return arrow_map(items, work, "item_id long, hash long, item_at int, item_slots array<string>, total int, size int")
 
 
 def bit_table(hashes: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
@@ -164,16 +193,25 @@ def consistent(matches: list[tuple[int, list[str], list[str]]]) -> tuple[list[in
     return good, changed
 
 
+def longest_run(places: list[int]) -> int:
+    """How many of the sorted places follow each other at most."""
+    longest = run = 0
+    for before, at in zip([None, *places], places):
+        run = run + 1 if before is not None and at == before + 1 else 1
+        longest = max(longest, run)
+    return longest
+
+
 def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, windows, item_windows, coverage, reworded) for contaminated documents.
 
     ``reworded`` tells whether a counted window fills a slot with another value than the item. Null
-    texts and items without text match nothing, and so do items of fewer than ``WINDOW`` template
-    words; rows repeating a doc_id count as one document; a null doc_id is one more id.
+    texts and items without text match nothing; rows repeating a doc_id count as one document; a null doc_id is one more id.
     """
     spark = ready(documents)
     items = landed(item_windows(benchmark))
     table = spark.sparkContext.broadcast(bit_table(items))
+    lengths = sorted(r["size"] for r in items.where("size > 0").select("size").distinct().collect())
 
     def work(batch):
         bits = table.value
@@ -188,6 +226,13 @@ def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
                 for at in hit.tolist():
                     for k, v in zip(out, (doc, int(signed[at]), at, slot_values(kind, words, where, at))):
                         out[k].append(v)
+                whole = literal(text) if lengths else ()
+                for size in lengths:
+                    signed = sequences(whole, size).view(np.int64)
+                    spot = np.mod(signed, np.int64(FILTER_BITS))
+                    for value in set(signed[((bits[spot >> 6] >> (spot & 63)) & 1).astype(bool)].tolist()):
+                        for k, v in zip(out, (doc, value, 0, [])):
+                            out[k].append(v)
             yield out
 
     found = arrow_map(keyed(documents), work, "doc_id long, hash long, doc_at int, doc_slots array<string>")
@@ -196,19 +241,20 @@ def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     matches = aligned.agg(F.collect_set(F.struct("item_at", "item_slots", "doc_slots")).alias("matches"))
 
     def check(batch):
-        good, changed = [], []
+        good, changed, run = [], [], []
         for rows in batch.column("matches").to_pylist():
             places, other = consistent(sorted((m["item_at"], tuple(m["item_slots"]), tuple(m["doc_slots"])) for m in rows))
             good.append(sorted(set(places)))
             changed.append(other)
-        yield {n: batch.column(n) for n in ("doc_id", "item_id", "total")} | {"places": good, "changed": changed}
+            run.append(longest_run(good[-1]))
+        yield {n: batch.column(n) for n in ("doc_id", "item_id", "total")} | {"places": good, "changed": changed, "run": run}
 
-    checked = arrow_map(matches, check, "doc_id long, item_id long, total int, places array<int>, changed boolean")
+    checked = arrow_map(matches, check, "doc_id long, item_id long, total int, places array<int>, changed boolean, run int")
     whole = checked.select("*", F.explode("places").alias("at")).groupBy("doc_id", "item_id", "total").agg(
-        F.count_distinct("at").alias("windows"), F.max("changed").alias("reworded")
+        F.count_distinct("at").alias("windows"), F.max("changed").alias("reworded"), F.max("run").alias("run")
     )
     share = F.col("windows") / F.col("total")
-    return whole.where(share >= COVERAGE).select(
+    return whole.where((share >= COVERAGE) | (F.col("run") >= RUN)).select(
         original_id(), "item_id", "windows", F.col("total").cast("long").alias("item_windows"), F.round(share, 6).alias("coverage"), "reworded"
     )
 

@@ -205,6 +205,18 @@ def test_decontamination(spark):
     assert decontamination.contaminated(frame, bench.where("item_id < 0")).count() == 0
 
 
+def test_short_items_items_of_slots_and_passages(spark):
+    short, slots = "Boiling point of argon?", "3 km 4 m 5 s 6 kg is 7 m 8 s 9 g"
+    long = " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(59))
+    part = " ".join(long.split()[10:35])
+    docs = [(1, f"x y {short.lower()} z"), (2, f"so {slots} then"), (3, f"so {slots.replace('5', '6')} then"), (4, f"a b {part} c"),
+            (5, "a b " + " ".join(part.split()[:12])), (6, "point boiling of argon")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, short), (2, slots), (3, long)], "item_id long, text string")
+    rows = {(r.doc_id, r.item_id): r for r in decontamination.contaminated(frame, bench).collect()}
+    assert set(rows) == {(1, 1), (2, 2), (4, 3)} and rows[4, 3].windows == 18 and rows[4, 3].coverage < 0.5
+
+
 def test_slots_must_agree():
     fill = lambda *v: [f"1{x}" for x in v]
     assert decontamination.consistent([(0, fill(3, 5), fill(4, 6)), (1, fill(5), fill(6))]) == ([0, 1], True)

@@ -30,7 +30,7 @@ KINDS = ("assign", "access", "hex", "guess")
 #: A credential context and the value after it.
 CONTEXT = re.compile(
     r"""(?:pass(?:word|wd|code|phrase|key)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credentials?|login|pin)["']?"""
-    r"""(?:\x20*[:=]\x20*|\x20+is\x20+)["']?([!-~]{6,128})""",
+    r"""(?:\x20*[:=]\x20*|\x20+is\x20+)["']?([!-~]{6,})""",
     re.ASCII | re.IGNORECASE,
 )
 #: Common words of passwords, most common first; the rank is the cost.
@@ -44,6 +44,8 @@ COMMON = (
     "friday sunday token key api prod dev staging demo sample example temp public private correct horse battery staple the and"
 ).split()
 LEET = str.maketrans("@4310$57!", "aaeiossti")
+#: Longest segment of the programme, so that its time grows with the value's length alone.
+LONGEST = 64
 ROWS = ("1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
 
 
@@ -81,10 +83,17 @@ def _alphabet(text: str) -> int:
 DATE = re.compile(r"(?:(?:19|20)\d\d(?:[-/.]?(?:0[1-9]|1[0-2])(?:[-/.]?(?:0[1-9]|[12]\d|3[01]))?)?|(?:0[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:19|20)?\d\d)")
 
 
+def sizes(least: int, longest: int) -> list[int]:
+    """Lengths from ``least`` to ``LONGEST``, and ``longest`` itself."""
+    out = list(range(least, min(longest, LONGEST) + 1))
+    return out + [longest] if longest > LONGEST else out
+
+
 def segments(value: str, settings: Settings = Settings()) -> tuple[float, list[tuple[int, int, str]]]:
     """Log10 of the guesses of the cheapest segmentation, and its segments (start, end, kind).
 
-    Every further segment doubles the cost, for the guesses at where it starts.
+    Every further segment doubles the cost, for the guesses at where it starts. Segments are at most
+    ``LONGEST`` long; a whole run of one character or keyboard walk may be longer.
     """
     low = value.lower()
     plain = low.translate(LEET)
@@ -99,7 +108,7 @@ def segments(value: str, settings: Settings = Settings()) -> tuple[float, list[t
         run[end] = run[end - 1] + 1 if end > 1 and low[end - 1] == low[end - 2] else 1
         walk[end] = walk[end - 1] + 1 if end > 1 and low[end - 2] in near.get(low[end - 1], ()) else 1
         options = []
-        for start in range(end - 1, -1, -1):
+        for start in range(end - 1, max(end - LONGEST, 0) - 1, -1):
             options.append((best[start][0] + brute * (end - start) + (step if best[start][2] not in ("", "brute") else 0), start, "brute"))
             if best[start][2] == "brute":
                 break
@@ -113,12 +122,12 @@ def segments(value: str, settings: Settings = Settings()) -> tuple[float, list[t
         for size in (4, 6, 7, 8, 10):
             if size <= end and DATE.fullmatch(low, end - size, end):
                 options.append((best[end - size][0] + math.log10(130 if size == 4 else 48_000) + step, end - size, "date"))
-        for size in range(3, run[end] + 1):
+        for size in sizes(3, run[end]):
             options.append((best[end - size][0] + brute + math.log10(size) + step, end - size, "repeat"))
-        for period in range(2, end // 2 + 1):
+        for period in range(2, min(end // 2, LONGEST) + 1):
             if low[end - period:end] == low[end - 2 * period:end - period]:
                 options.append((best[end - period][0] + math.log10(2) + step, end - period, "repeat"))
-        for size in range(4, walk[end] + 1):
+        for size in sizes(4, walk[end]):
             options.append((best[end - size][0] + math.log10(len(near) * 4 * size), end - size, "walk"))
         best[end] = min(options)
     out, end = [], n
@@ -138,12 +147,11 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def guess_spans(text: str, settings: Settings = Settings(), taken: list[tuple[int, int, str]] = ()) -> list[tuple[int, int, str]]:
-    """Spans of values in a credential context that cost enough guesses and lie outside ``taken``."""
+    """Spans of values in a credential context that cost enough guesses and lie in no span of ``taken``."""
     out = []
     for m in CONTEXT.finditer(text):
         start, value = m.start(1), m[1].rstrip("\"',;.)")
-        plain_word = value.isalpha() and (value.islower() or value.istitle())
-        if len(value) < 6 or plain_word or any(a < start + len(value) and start < z for a, z, _ in taken):
+        if len(value) < 6 or any(a <= start and start + len(value) <= z for a, z, _ in taken):
             continue
         if segments(value, settings)[0] >= math.log10(settings.guesses):
             out.append((start, start + len(value), "guess"))
@@ -151,7 +159,7 @@ def guess_spans(text: str, settings: Settings = Settings(), taken: list[tuple[in
 
 
 def all_spans(text: str, settings: Settings = Settings()) -> list[tuple[int, int, str]]:
-    """Spans of the patterns and, outside them, of guess costs; by start, then kind."""
+    """Spans of the patterns and of guess costs that no pattern covers whole; by start, then kind."""
     found = base_spans(text)
     return sorted(found + guess_spans(text, settings, found), key=lambda s: (s[0], KINDS.index(s[2])))
 

@@ -174,6 +174,15 @@ def test_secrets(spark):
     assert secrets.digest(frame.where("doc_id < 0")).count() == 0
 
 
+def test_values_are_judged_whole():
+    for text, value in (('password = "hunter2!deadbeefdeadbeef"', "hunter2!deadbeefdeadbeef"), ("api_key=abcdefghijkl$Zq9!xwPL0", "abcdefghijkl$Zq9!xwPL0"),
+                        ("pwd=xkqjzvbwpm", "xkqjzvbwpm"), ("pin: " + "zK9#pQ2v8x" * 40 + "Yy!", "zK9#pQ2v8x" * 40 + "Yy!")):
+        at = text.index(value)
+        assert (at, at + len(value), "guess") in secrets.all_spans(text)
+    assert [k for _, _, k in secrets.all_spans("secret=0123456789abcdef0123")] == ["assign", "hex"]
+    assert secrets.all_spans("pwd: password and pwd is dragonmaster") == [] and secrets.segments("a" * 5000)[0] < 9
+
+
 def test_guess_cost_is_the_cheapest_segmentation():
     cost = lambda v: secrets.segments(v)[0]
     assert cost("password") < cost("hunter2") < cost("zK9#pQ2v")

@@ -8,6 +8,7 @@ form a bucket; a training batch takes its sequences from one bucket.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import numpy as np
@@ -19,6 +20,9 @@ from prefloom.llm.common import REMEMBERED, arrow_map, held, keyed, original_id,
 TOKENIZER = "word_bpe_49k.json"
 #: Signs that the tokenizer always separates from letters before them.
 SIGNS = '.,;:!?%&$*#"()|-'
+#: What the tokenizer takes as white space; Python's also has the separators 1C to 1F.
+BLANKS = re.compile(r"[^\S\x1c-\x1f]+")
+SEPARATORS = re.compile(r"[\x1c-\x1f]")
 
 
 class WordIds(dict):
@@ -64,7 +68,8 @@ class WordIds(dict):
         return value
 
     def ids(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, text.split()))
+        words = [w for w in BLANKS.split(text) if w] if SEPARATORS.search(text) else text.split()
+        return b"".join(map(self.__getitem__, words))
 
 
 def word_ids(path: str) -> WordIds:

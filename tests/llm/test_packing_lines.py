@@ -53,6 +53,14 @@ def test_pieces_hold_every_id_once(spark, tokenizer):
     assert sorted(got) == want
 
 
+def test_separators_are_not_blanks():
+    from tokenizers import Tokenizer
+
+    plain, words = Tokenizer.from_file(packing.tokenizer_path()), packing.WordIds(packing.tokenizer_path())
+    for text in ("a\x1cb", "\x1d x\x1e \x1f", "one\x85two\u2028three\u3000\x0b\x1cfour"):
+        assert np.frombuffer(words.ids(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+
+
 def test_digest_and_batches(spark, tokenizer):
     frame = spark.createDataFrame(DOCS[:5], "doc_id long, text string")
     rows = {(r.doc_id, r.start): r for r in packing.packed_digest(frame).collect()}

@@ -118,9 +118,9 @@ def _decoded(text: Column) -> Column:
     def one(piece: Column) -> Column:
         digits = F.regexp_extract(piece, "^&#([0-9]+)", 1)
         hexed = F.regexp_extract(piece, "^&#[xX]([0-9a-fA-F]+)", 1)
-        name = F.substring(piece, 2, 64)
+        name = F.substring(piece, 2, 64)  # no name is longer
         prefix = F.regexp_extract(name, f"^(?:{old})", 0)
-        rest = F.substr(name, F.length(prefix) + 1)
+        rest = F.substr(piece, F.length(prefix) + 2)
         return (
             F.when(~piece.startswith("&") | (piece == "&"), piece)
             .when(digits != "", _scalar(digits.cast("bigint")))

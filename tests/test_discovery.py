@@ -54,6 +54,11 @@ def test_redaction_removes_every_secret(spark):
     assert [r[0] for r in blank] == ["Unknown error", "plain text"]
 
 
+def test_text_after_an_old_name_is_kept_whole(spark):
+    out = spark.createDataFrame([("&amp" + "a1" * 100,), ("&lt" + "b" * 62 + " c",)], "h string").select(text.html_to_text("h")).collect()
+    assert [r[0] for r in out] == ["&" + "a1" * 100, "<" + "b" * 62 + " c"]
+
+
 def test_html_keeps_script_text_and_decodes_entities(spark):
     html = "<p>A &amp; B</p><div>C<br>D</div><script>var t='<p>';</script>&#233;<b>x</b>y"
     out = spark.createDataFrame([(html,), (None,)], "h string").select(text.html_to_text("h")).collect()

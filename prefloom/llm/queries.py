@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from prefloom.llm import (
-    decontamination, hamming_search, jaccard, language_id, line_dedup, packing, secrets, suffix_dedup, token_counts, toxicity,
+    decontamination, hamming_search, hash_ring, jaccard, language_id, line_dedup, packing, secrets, suffix_dedup, target_sampling,
+    token_counts, toxicity, whitening,
 )
 from prefloom.session import checkpoint_dir
 
@@ -103,3 +104,18 @@ def op3(spark: SparkSession, path: str) -> DataFrame:
     codes = hamming_search.sign_codes(table(spark, path, "embeddings"))
     found = hamming_search.search(codes, codes.where("id % 50 = 0"))
     return found.withColumnRenamed("id", "vec_id")
+
+
+@query("op11_hash_ring")
+def op11(spark: SparkSession, path: str) -> DataFrame:
+    return hash_ring.sharded(table(spark, path, "documents"))
+
+
+@query("op12_target_sampling")
+def op12(spark: SparkSession, path: str) -> DataFrame:
+    return target_sampling.resample(table(spark, path, "documents"), table(spark, path, "benchmark"))
+
+
+@query("op13_whitening")
+def op13(spark: SparkSession, path: str) -> DataFrame:
+    return whitening.whiten(table(spark, path, "embeddings"))

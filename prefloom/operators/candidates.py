@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prefloom import constants as c
 from prefloom.functions import rights
+from prefloom.operators.components import connected
 from prefloom.operators.ordered import first_per_key, id_chunk, ranked, running, top_per_key
 from prefloom.session import checkpoint_dir
 
@@ -34,31 +37,58 @@ def unseen(candidates: DataFrame, provenance: DataFrame) -> DataFrame:
     return candidates.join(urls, ["user_id", "source_url"], "left_anti").join(pages, ["user_id", "page_url"], "left_anti")
 
 
-def first_seen(candidates: DataFrame, group: Sequence[str], order: str, keys: Sequence[str]) -> DataFrame:
+def first_seen(candidates: DataFrame, group: Sequence[str], order: str, keys: Sequence[str], settled: int = 10_000) -> DataFrame:
     """Rows that share no key with an earlier *kept* row of their group.
 
-    A dropped row does not register its keys, so first occurrence per key is not enough. In each
-    round a row that is the earliest open holder of all its keys is kept, and open rows sharing
-    one of its keys are dropped. Only (key, earliest row) aggregates are built, never pairs; the
-    number of rounds is the length of the longest chain of conflicts.
+    A dropped row does not register its keys, so first occurrence per key is not enough. Each key links its
+    rows to their first one, never to each other, and rows fall into components of such links. A component is
+    scanned on its own, ``settled`` of its first rows at a time; what those keep drops every
+    later row that shares a key. Rounds follow the size of the largest component over that number,
+    not the longest chain of conflicts. ``order`` is unique in a group.
     """
-    spark = candidates.sparkSession
-    checkpoint_dir(spark)
+    checkpoint_dir(candidates.sparkSession)
     group = list(group)
+    row = [*group, order]
     kinds = [F.struct(F.lit(k).alias("kind"), F.col(k).cast("string").alias("key")) for k in keys]
-    links = candidates.select(*group, order, F.explode(F.array(*kinds)).alias("link")).select(*group, order, "link.kind", "link.key")
-    open_links = links.filter(F.coalesce(F.col("key"), F.lit("")) != "").checkpoint()
-    keyless = candidates.select(*group, order).join(open_links.select(*group, order).distinct(), [*group, order], "left_anti")
-    kept = keyless
-    while not open_links.isEmpty():
-        earliest = open_links.groupBy(*group, "kind", "key").agg(F.min(order).alias("_first"))
-        marked = open_links.join(earliest, [*group, "kind", "key"])
-        winners = marked.groupBy(*group, order).agg(F.every(F.col("_first") == F.col(order)).alias("_wins"))
-        winners = winners.filter("_wins").drop("_wins").checkpoint()
-        beaten = marked.join(winners.withColumnRenamed(order, "_first"), [*group, "_first"], "left_semi")
-        open_links = open_links.join(beaten.select(*group, order).distinct(), [*group, order], "left_anti").checkpoint()
-        kept = kept.unionByName(winners)
-    return candidates.join(kept, [*group, order], "left_semi")
+    links = candidates.select(*row, F.explode(F.array(*kinds)).alias("link")).select(*row, "link.kind", "link.key")
+    links = links.filter(F.coalesce(F.col("key"), F.lit("")) != "").checkpoint()
+    kept = [candidates.select(*row).join(links.select(*row).distinct(), row, "left_anti")]
+    first = links.groupBy(*group, "kind", "key").agg(F.min(order).alias("_first"))
+    node = lambda name: F.struct(*group, F.col(name).alias("at"))
+    shared = links.join(first, [*group, "kind", "key"]).where(F.col(order) != F.col("_first"))
+    parts = connected(shared.select(node(order).alias("a"), node("_first").alias("b")))
+    parts = parts.select(*[F.col(f"node.{g}").alias(g) for g in group], F.col("node.at").alias(order), F.col("component.at").alias("_part")).checkpoint()
+    kept.append(links.select(*row).distinct().join(parts, row, "left_anti"))
+    open_rows = links.join(parts, row).groupBy(*row, "_part").agg(F.collect_set(F.struct("kind", "key")).alias("_keys")).checkpoint()
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in candidates.select(*row).schema)
+
+    where = [*group, "_part"]
+
+    def scan(batches):
+        part, seen = None, set()
+        for batch in batches:
+            stays = []
+            owners = zip(*[batch[k].to_pylist() for k in where]) if batch.num_rows else ()
+            for owner, keys_ in zip(owners, batch["_keys"].to_pylist()):
+                if owner != part:
+                    part, seen = owner, set()
+                own = [(k["kind"], k["key"]) for k in keys_]
+                stays.append(seen.isdisjoint(own))
+                if stays[-1]:
+                    seen.update(own)
+            yield batch.select(row).filter(pa.array(stays, pa.bool_()))
+
+    while not open_rows.isEmpty():
+        head = top_per_key(open_rows, [*group, "_part"], [F.col(order)], settled, "_n", spread=order).drop("_n").checkpoint()
+        winners = head.repartition(*where).sortWithinPartitions(*where, order).mapInArrow(scan, schema).checkpoint()
+        kept.append(winners)
+        rest = open_rows.join(head.select(*row), row, "left_anti").checkpoint()
+        if rest.isEmpty():
+            break
+        taken = links.join(winners, row).select(*group, "kind", "key").distinct()
+        beaten = links.join(taken, [*group, "kind", "key"], "left_semi").select(*row).distinct()
+        open_rows = rest.join(beaten, row, "left_anti").checkpoint()
+    return candidates.join(reduce(DataFrame.unionByName, kept), row, "left_semi")
 
 
 def gate_reason(max_bytes: int) -> Column:

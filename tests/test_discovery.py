@@ -2,10 +2,13 @@ import math
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from prefloom.functions import rights, text, urls
+from prefloom.functions.vectors import as_double, unit
 from prefloom.operators import blur, candidates as cand, neardup
+from prefloom.operators.components import connected
 
 GOOD = {
     "width": "3000", "height": "2000", "mime": "image/jpeg", "source_url": "https://upload.wikimedia.org/a.jpg",
@@ -114,6 +117,80 @@ def test_greedy_distinct_with_chains_and_a_copy_cluster(spark):
     assert hit == want
 
 
+def unit_rows(rng, n, width):
+    rows = rng.normal(size=(n, width))
+    return rows / np.linalg.norm(rows, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("limit,settled", [(16, 8), (64, 32)])
+def test_near_duplicates_through_cells(spark, limit, settled):
+    rng = np.random.default_rng(limit)
+    base = unit_rows(rng, 260, 24)
+    near = base[:120] + rng.normal(size=(120, 24)) * 0.012
+    crowd = base[0] + rng.normal(size=(90, 24)) * 0.006
+    rows = np.concatenate([base, near, crowd])
+    rows /= np.linalg.norm(rows, axis=1, keepdims=True)
+    order = rng.permutation(len(rows))
+    data = [(k % 2 if k < 300 else 0, int(k), rows[j].tolist()) for k, j in enumerate(order)]
+    df = spark.createDataFrame(data, "g bigint, rank bigint, vector array<double>")
+    grid = neardup.Grid(24, limit=limit, settled=settled)
+    got = {(r["g"], r["rank"]) for r in neardup.greedy_distinct(df, ["g"], grid).collect()}
+    want = {(g, r) for g in (0, 1) for r in brute_greedy([(r, np.array(v)) for h, r, v in data if h == g], grid.threshold)}
+    assert got == want
+    library, probes = df.filter("rank < 350"), df.filter("rank >= 300").withColumnRenamed("rank", "id")
+    hit = {(r["g"], r["id"]) for r in neardup.near_library(probes, library, ["g"], grid).collect()}
+    assert hit == {(g, r) for g, r, v in data if r >= 300 and any(np.dot(v, w) >= grid.threshold for h, k, w in data if k < 350 and h == g)}
+
+
+@pytest.mark.parametrize("scale", ["sf0.001", "sf0.01", "sf0.1"])
+def test_rows_of_a_cell_stay_bounded(spark, scale):
+    images = spark.read.parquet(f"/root/testdata/{scale}/embeddings.parquet").dropna()
+    rows = images.select(F.lit(1).alias("g"), F.col("vec_id").alias("id"), unit(as_double(F.col("embedding"))).alias("vector"))
+    grid = neardup.Grid(64, limit=100)
+    cells = neardup.filed(rows, rows, ["g"], grid).groupBy("part", "path").agg(F.count_if(~F.col("probe")).alias("n")).filter("n > 0").collect()
+    assert max(r["n"] for r in cells) <= 100 and sum(r["n"] for r in cells) == 8 * rows.count()
+
+
+def test_long_chains_take_few_rounds(spark, monkeypatch):
+    rounds = []
+    settle = neardup._settle
+    monkeypatch.setattr(neardup, "_settle", lambda *a: rounds.append(1) or settle(*a))
+    turn = 0.06
+    rows = [(1, i, [float(x) for k in range(1, 3) for x in (math.cos(turn * i * k / 40), math.sin(turn * i * k / 40))] + [3 * math.cos(turn * i), 3 * math.sin(turn * i)]) for i in range(5000)]
+    rows = [(g, i, (np.array(v) / np.linalg.norm(v)).tolist()) for g, i, v in rows]
+    df = spark.createDataFrame(rows, "g bigint, rank bigint, vector array<double>")
+    grid = neardup.Grid(6)
+    got = {r["rank"] for r in neardup.greedy_distinct(df, ["g"], grid).collect()}
+    assert got == brute_greedy([(r, np.array(v)) for _, r, v in rows], grid.threshold) and len(rounds) < 20
+    pairs = spark.range(5000).selectExpr("1L AS g", "id AS i", "CONCAT('k', id) AS a", "CONCAT('k', id + 1) AS b")
+    both = pairs.selectExpr("g", "i", "a", "b", "'' AS c").unionByName(pairs.selectExpr("2L AS g", "i", "a", "CONCAT('m', i) AS b", "'same' AS c"))
+    linked = both.selectExpr("g", "i", "CONCAT('p', i DIV 2) AS a", "CONCAT('q', (i + 1) DIV 2) AS b", "c")
+    kept = {(r["g"], r["i"]) for r in cand.first_seen(linked, ["g"], "i", ["a", "b", "c"], settled=2000).collect()}
+    assert kept == {(1, i) for i in range(0, 5000, 2)} | {(2, 0)}
+
+
+@pytest.mark.parametrize("few", [0, 1 << 18])
+def test_components(spark, few):
+    rng = random.Random(3)
+    n = 400 if few else 20
+    links = [(i, i + 1) for i in range(n)] + [(2000, 2001 + i) for i in range(n)] + [(rng.randrange(5000, 5000 + n), rng.randrange(5000, 5000 + n)) for _ in range(n)]
+    parent = {}
+
+    def find(x):
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    loops = {a for a, b in links if a == b} - {x for a, b in links if a != b for x in (a, b)}
+    got = {r["node"]: r["component"] for r in connected(spark.createDataFrame(links, "a bigint, b bigint"), few=few).collect()}
+    assert got == {x: find(x) for x in parent if x not in loops}
+    assert connected(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
 def finalists(spark, rows):
     return spark.createDataFrame(rows, "run_id bigint, user_id string, action_id bigint, discovery_index bigint, score double, provider_sha1 string, source_url string, ok boolean")
 

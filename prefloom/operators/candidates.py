@@ -14,7 +14,7 @@ from prefloom import constants as c
 from prefloom.functions import rights
 from prefloom.operators.components import connected
 from prefloom.operators.ordered import first_per_key, id_chunk, ranked, running, top_per_key
-from prefloom.session import checkpoint_dir
+from prefloom.session import landed
 
 
 def rank_order(with_model: bool = True) -> list[Column]:
@@ -46,20 +46,19 @@ def first_seen(candidates: DataFrame, group: Sequence[str], order: str, keys: Se
     later row that shares a key. Rounds follow the size of the largest component over that number,
     not the longest chain of conflicts. ``order`` is unique in a group.
     """
-    checkpoint_dir(candidates.sparkSession)
     group = list(group)
     row = [*group, order]
     kinds = [F.struct(F.lit(k).alias("kind"), F.col(k).cast("string").alias("key")) for k in keys]
     links = candidates.select(*row, F.explode(F.array(*kinds)).alias("link")).select(*row, "link.kind", "link.key")
-    links = links.filter(F.coalesce(F.col("key"), F.lit("")) != "").checkpoint()
+    links = landed(links.filter(F.coalesce(F.col("key"), F.lit("")) != ""))
     kept = [candidates.select(*row).join(links.select(*row).distinct(), row, "left_anti")]
     first = links.groupBy(*group, "kind", "key").agg(F.min(order).alias("_first"))
     node = lambda name: F.struct(*group, F.col(name).alias("at"))
     shared = links.join(first, [*group, "kind", "key"]).where(F.col(order) != F.col("_first"))
     parts = connected(shared.select(node(order).alias("a"), node("_first").alias("b")))
-    parts = parts.select(*[F.col(f"node.{g}").alias(g) for g in group], F.col("node.at").alias(order), F.col("component.at").alias("_part")).checkpoint()
+    parts = landed(parts.select(*[F.col(f"node.{g}").alias(g) for g in group], F.col("node.at").alias(order), F.col("component.at").alias("_part")))
     kept.append(links.select(*row).distinct().join(parts, row, "left_anti"))
-    open_rows = links.join(parts, row).groupBy(*row, "_part").agg(F.collect_set(F.struct("kind", "key")).alias("_keys")).checkpoint()
+    open_rows = landed(links.join(parts, row).groupBy(*row, "_part").agg(F.collect_set(F.struct("kind", "key")).alias("_keys")))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in candidates.select(*row).schema)
 
     where = [*group, "_part"]
@@ -78,16 +77,21 @@ def first_seen(candidates: DataFrame, group: Sequence[str], order: str, keys: Se
                     seen.update(own)
             yield batch.select(row).filter(pa.array(stays, pa.bool_()))
 
-    while not open_rows.isEmpty():
-        head = top_per_key(open_rows, [*group, "_part"], [F.col(order)], settled, "_n", spread=order).drop("_n").checkpoint()
-        winners = head.repartition(*where).sortWithinPartitions(*where, order).mapInArrow(scan, schema).checkpoint()
-        kept.append(winners)
-        rest = open_rows.join(head.select(*row), row, "left_anti").checkpoint()
-        if rest.isEmpty():
+    def scanned(rows: DataFrame) -> DataFrame:
+        return rows.repartition(*where).sortWithinPartitions(*where, order).mapInArrow(scan, schema)
+
+    while True:
+        largest = open_rows.groupBy(*where).count().agg(F.max("count")).first()[0] or 0
+        if largest <= settled:
+            kept.append(scanned(open_rows))
             break
+        head = landed(top_per_key(open_rows, where, [F.col(order)], settled, "_n", spread=order).drop("_n"))
+        winners = landed(scanned(head))
+        kept.append(winners)
+        rest = open_rows.join(head.select(*row), row, "left_anti")
         taken = links.join(winners, row).select(*group, "kind", "key").distinct()
         beaten = links.join(taken, [*group, "kind", "key"], "left_semi").select(*row).distinct()
-        open_rows = rest.join(beaten, row, "left_anti").checkpoint()
+        open_rows = landed(rest.join(beaten, row, "left_anti"))
     return candidates.join(reduce(DataFrame.unionByName, kept), row, "left_semi")
 
 

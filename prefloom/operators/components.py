@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prefloom.session import checkpoint_dir
+from prefloom.session import landed
 
 #: Links, both ways counted, up to which one task joins what is left of them.
 FEW = 1 << 18
@@ -50,10 +50,9 @@ def connected(links: DataFrame, a: str = "a", b: str = "b", few: int = FEW) -> D
     that are left. Chains in any order and stars of any size take a logarithmic number of rounds; the last ``few`` links
     are joined by one task. Nodes may be of any orderable type.
     """
-    checkpoint_dir(links.sparkSession)
     ends = links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
-    arcs = ends.unionByName(ends.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct().checkpoint()
-    labels = arcs.select(F.col("u").alias("node")).distinct().select("node", F.col("node").alias("label")).checkpoint()
+    arcs = landed(ends.unionByName(ends.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
+    labels = arcs.select(F.col("u").alias("node")).distinct().select("node", F.col("node").alias("label"))
     number = 0
     while not arcs.isEmpty():
         number += 1
@@ -61,17 +60,17 @@ def connected(links: DataFrame, a: str = "a", b: str = "b", few: int = FEW) -> D
         if arcs.count() <= few:
             kind = arcs.schema["u"].dataType.simpleString()
             last = arcs.coalesce(1).mapInArrow(_joined, f"u {kind}, next {kind}").withColumnRenamed("u", "label")
-            labels = labels.join(last, "label", "left").select("node", F.coalesce("next", "label").alias("label")).checkpoint()
+            labels = landed(labels.join(last, "label", "left").select("node", F.coalesce("next", "label").alias("label")))
             break
         drawn = arcs.groupBy("u").agg(F.min(turn("v")).alias("first")).where(F.col("first") < turn("u"))
-        drawn = drawn.select("u", F.col("first.at").alias("next")).checkpoint()
+        drawn = landed(drawn.select("u", F.col("first.at").alias("next")))
         for _ in range(3):
             further = drawn.select(F.col("u").alias("next"), F.col("next").alias("further"))
             drawn = drawn.join(further, "next", "left").select("u", F.coalesce("further", "next").alias("next"))
-        drawn = drawn.checkpoint()
+        drawn = landed(drawn)
         to = lambda column: drawn.select(F.col("u").alias(column), F.col("next").alias(f"{column}_next"))  # noqa: B023, E731
         redrawn = arcs.join(to("u"), "u", "left").join(to("v"), "v", "left")
-        arcs = redrawn.select(F.coalesce("u_next", "u").alias("u"), F.coalesce("v_next", "v").alias("v")).where("u <> v").distinct().checkpoint()
-        labels = labels.join(to("label"), "label", "left").select("node", F.coalesce("label_next", "label").alias("label")).checkpoint()
+        arcs = landed(redrawn.select(F.coalesce("u_next", "u").alias("u"), F.coalesce("v_next", "v").alias("v")).where("u <> v").distinct())
+        labels = landed(labels.join(to("label"), "label", "left").select("node", F.coalesce("label_next", "label").alias("label")))
     smallest = labels.groupBy("label").agg(F.min("node").alias("component"))
     return labels.join(smallest, "label").select("node", "component")

@@ -23,7 +23,7 @@ from prefloom.constants import NEAR_DUPLICATE_COSINE
 from prefloom.functions.hashing import coin
 from prefloom.operators.components import connected
 from prefloom.operators.ordered import top_per_key
-from prefloom.session import checkpoint_dir
+from prefloom.session import landed
 
 #: Rows of an open cell that its cuts are taken from, and levels of cuts per round.
 SAMPLE, LEVELS = 256, 5
@@ -164,17 +164,17 @@ def filed(home: DataFrame, probes: DataFrame, keys: Sequence[str], grid: Grid) -
     cell = [*keys, "part", "path"]
     both = home.select(*keys, "id", "vector", F.lit(False).alias("probe")).unionByName(probes.select(*keys, "id", "vector", F.lit(True).alias("probe")))
     part = F.explode(F.sequence(F.lit(0), F.lit(grid.parts - 1)))
-    rows = both.select(*keys, part.alias("part"), F.lit(1).cast("bigint").alias("path"), "id", "vector", "probe", F.lit(True).alias("open")).checkpoint()
+    rows = landed(both.select(*keys, part.alias("part"), F.lit(1).cast("bigint").alias("path"), "id", "vector", "probe", F.lit(True).alias("open")))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*cell).schema)
     names = rows.columns
     while True:
-        sizes = rows.where("open AND NOT probe").groupBy(*cell).agg(F.count("*").alias("n")).where(F.col("n") > grid.limit).checkpoint()
+        sizes = landed(rows.where("open AND NOT probe").groupBy(*cell).agg(F.count("*").alias("n")).where(F.col("n") > grid.limit))
         if sizes.isEmpty():
             return rows.drop("open")
         drawn = rows.where("NOT probe").join(sizes, cell).where(coin("id", "part", "path") < SAMPLE / F.col("n")).select(*cell, "vector")
         cuts = drawn.groupBy(*cell).applyInArrow(_cuts(grid), f"{schema}, {CUTS}")
         full = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-        rows = rows.join(cuts, cell, "left").mapInArrow(_descended(grid, names), full).checkpoint()
+        rows = landed(rows.join(cuts, cell, "left").mapInArrow(_descended(grid, names), full))
 
 
 # -- operators ------------------------------------------------------------------
@@ -187,12 +187,11 @@ def near_library(candidates: DataFrame, library: DataFrame, keys: Sequence[str],
     copies; only what is left of larger ones goes to the cells.
     """
     keys = list(keys)
-    checkpoint_dir(candidates.sparkSession)
-    home = library.groupBy(*keys, F.xxhash64("vector").alias("id"), "vector").agg(F.first(F.lit(1)).alias("_one")).drop("_one").checkpoint()
-    probes = candidates.select(*keys, "id", "vector").checkpoint()
+    home = landed(library.groupBy(*keys, F.xxhash64("vector").alias("id"), "vector").agg(F.first(F.lit(1)).alias("_one")).drop("_one"))
+    probes = landed(candidates.select(*keys, "id", "vector"))
     first = top_per_key(home, keys, [F.col("id")], grid.limit, "_n", spread="id").drop("_n")
-    found = _near(first, probes, keys, keys, grid).checkpoint()
-    large = home.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > grid.limit).select(*keys).checkpoint()
+    found = landed(_near(first, probes, keys, keys, grid))
+    large = landed(home.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > grid.limit).select(*keys))
     if large.isEmpty():
         return found
     open_ = probes.join(found, [*keys, "id"], "left_anti").join(large, keys, "left_semi")
@@ -250,16 +249,18 @@ def _settled(threshold: float, names: list[str]):
 def _settle(open_: DataFrame, by: Sequence[str], keys: list[str], grid: Grid) -> tuple[DataFrame, DataFrame]:
     """The first rows of every group of ``by`` settled: what they keep, and what stays open behind them."""
     by = list(by)
-    first = top_per_key(open_, by, [F.col("id")], grid.settled, "_n", spread="id").drop("_n").checkpoint()
+    largest = open_.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+    whole = largest <= grid.settled
+    first = open_ if whole else landed(top_per_key(open_, by, [F.col("id")], grid.settled, "_n", spread="id").drop("_n"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in open_.schema)
     alone = first.groupBy(*by).agg(F.count("*").alias("_n")).where("_n = 1").select(*by)
     crowd = first.join(alone, by, "left_anti").groupBy(*by).applyInArrow(_settled(grid.threshold, open_.columns), schema)
-    kept = first.join(alone, by, "left_semi").select(*open_.columns).unionByName(crowd).checkpoint()
-    rest = open_.join(first.select(*keys, "id"), [*keys, "id"], "left_anti").checkpoint()
-    if rest.isEmpty():
-        return kept, rest
+    kept = landed(first.join(alone, by, "left_semi").select(*open_.columns).unionByName(crowd))
+    if whole:
+        return kept, open_.limit(0)
+    rest = landed(open_.join(first.select(*keys, "id"), [*keys, "id"], "left_anti"))
     beaten = _near(kept, rest, by, keys, grid)
-    return kept, rest.join(beaten, [*keys, "id"], "left_anti").checkpoint()
+    return kept, landed(rest.join(beaten, [*keys, "id"], "left_anti"))
 
 
 def greedy_distinct(ranked: DataFrame, keys: Sequence[str], grid: Grid) -> DataFrame:
@@ -272,9 +273,8 @@ def greedy_distinct(ranked: DataFrame, keys: Sequence[str], grid: Grid) -> DataF
     chain. ``ranked`` has keys, rank (unique per keys) and vector.
     """
     keys = list(keys)
-    checkpoint_dir(ranked.sparkSession)
     distinct = ranked.groupBy(*keys, F.xxhash64("vector").alias("_h"), "vector").agg(F.min("rank").cast("bigint").alias("id"))
-    kept, open_ = _settle(distinct.select(*keys, "id", "vector").checkpoint(), keys, keys, grid)
+    kept, open_ = _settle(landed(distinct.select(*keys, "id", "vector")), keys, keys, grid)
     done = [kept.select(*keys, F.col("id").alias("rank"))]
     if not open_.isEmpty():
         cells = filed(open_, open_, keys, grid)
@@ -283,7 +283,7 @@ def greedy_distinct(ranked: DataFrame, keys: Sequence[str], grid: Grid) -> DataF
         node = lambda name: F.struct(*keys, F.col(name).alias("id"))
         groups = connected(links.select(node("a").alias("a"), node("b").alias("b")))
         group = groups.select(*[F.col(f"node.{k}").alias(k) for k in keys], F.col("node.id").alias("id"), F.col("component.id").alias("component"))
-        open_ = open_.join(group, [*keys, "id"], "left").withColumn("component", F.coalesce("component", "id")).checkpoint()
+        open_ = landed(open_.join(group, [*keys, "id"], "left").withColumn("component", F.coalesce("component", "id")))
     while not open_.isEmpty():
         kept, open_ = _settle(open_, [*keys, "component"], keys, grid)
         done.append(kept.select(*keys, F.col("id").alias("rank")))

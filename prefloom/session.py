@@ -5,9 +5,10 @@ from __future__ import annotations
 import re
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 
@@ -73,3 +74,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not context.getCheckpointDir():
         context.setCheckpointDir(named)
     return named
+
+
+def landed(frame: DataFrame) -> DataFrame:
+    """The frame written once to the shared folder and read back.
+
+    Unlike a checkpoint this computes the frame once, and the optimizer forgets the conditions it was built
+    with, which iterations would otherwise pile up.
+    """
+    spark = frame.sparkSession
+    path = f"{checkpoint_dir(spark)}/{spark.sparkContext.applicationId}/landed-{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    return spark.read.schema(frame.schema).parquet(path)

@@ -176,7 +176,7 @@ def _(i):
 @query("i13_bootstrap_scores")
 def _(i):
     pairs, ratings = (df.persist() for df in weighted(i))
-    ensemble = model.bootstrap(pairs, ratings, model.fit_joint(pairs, ratings), "seed")
+    ensemble = model.bootstrap(pairs, ratings, None, "seed")
     pairs.unpersist()
     ratings.unpersist()
     return model.ensemble_scores(vectors(i), ensemble).drop("vector")

@@ -6,6 +6,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GeneralizedLinearRegression
@@ -19,6 +21,8 @@ from prefloom.functions.vectors import dot, literal
 CUTS = c.RATING_LEVELS - 1
 # Thresholds enter as features scaled by this factor, so the ridge penalty on them all but vanishes.
 THRESHOLD_SCALE = 100.0
+# Tasks whose sums the driver adds up itself; those of more are merged in two levels before.
+DIRECT = 16
 
 
 @dataclass(frozen=True)
@@ -132,18 +136,139 @@ def multiplicity(seed: str, member: int, *group: str) -> Column:
     return out
 
 
-def bootstrap(pairs: DataFrame | None, ratings: DataFrame | None, primary: PreferenceModel, seed: str, members: int = c.ENSEMBLE_MEMBERS) -> list[PreferenceModel]:
-    """The primary fit and refits on resampled pair and image groups."""
-    out = [primary]
-    for member in range(1, members):
-        p = r = None
-        if pairs is not None:
-            group = [F.least("left_id", "right_id").cast("string"), F.greatest("left_id", "right_id").cast("string")]
-            p = pairs.withColumn("w", F.col("w") * multiplicity(seed, member, *group))
-        if ratings is not None:
-            r = ratings.withColumn("w", F.col("w") * multiplicity(seed + "r", member, F.col("image_id").cast("string")))
-        out.append(fit_joint(p, r))
-    return out
+def _member_rows(pairs: DataFrame | None, ratings: DataFrame | None, draws: list[list[Column]]) -> DataFrame:
+    """x, target, rated, w: one row per event with its weight in every member."""
+    parts = []
+    for rows, rated, target, own in ((pairs, False, "y", draws[0]), (ratings, True, "value", draws[1])):
+        if rows is not None:
+            w = F.array(*[F.col("w") * m for m in own])
+            parts.append(rows.select("x", F.col(target).cast("double").alias("target"), F.lit(rated).alias("rated"), w.alias("w")))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
+def _partial(beta: np.ndarray, scale: np.ndarray, cuts: int):
+    """Loss, gradient and curvature of all members over the rows of a task.
+
+    ``beta`` has a row per member; ``scale`` a weight per source and member.
+    """
+    members, size = beta.shape
+    d = size - cuts
+
+    def run(batches):
+        loss, gradient, curvature = np.zeros(members), np.zeros((members, size)), np.zeros((members, size, size))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = batch["x"].flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
+            w = batch["w"].flatten().to_numpy(zero_copy_only=False).reshape(-1, members)
+            target, rated = np.asarray(batch["target"]), np.asarray(batch["rated"])
+            for source, own in ((0, ~rated), (1, rated)):
+                if not own.any():
+                    continue
+                a, t, v = x[own], target[own], w[own] * scale[source]
+                utility = a @ beta[:, :d].T
+                for k in range(cuts) if source else (-1,):
+                    s = utility - beta[:, d + k] if source else utility
+                    y = (t > k + 1)[:, None] if source else t[:, None]
+                    p = 0.5 * (1.0 + np.tanh(0.5 * s))
+                    loss += (v * (np.logaddexp(0.0, s) - y * s)).sum(axis=0)
+                    pull, bend = v * (p - y), v * p * (1.0 - p)
+                    gradient[:, :d] += pull.T @ a
+                    if source:
+                        gradient[:, d + k] -= pull.sum(axis=0)
+                    for m in range(members):
+                        curvature[m, :d, :d] += (a * bend[:, m, None]).T @ a
+                        if source:
+                            cross = bend[:, m] @ a
+                            curvature[m, :d, d + k] -= cross
+                            curvature[m, d + k, :d] -= cross
+                            curvature[m, d + k, d + k] += bend[:, m].sum()
+        flat = np.concatenate([loss[:, None], gradient, curvature.reshape(members, -1)], axis=1)
+        yield pa.RecordBatch.from_pydict({"member": np.arange(members), "part": np.full(members, TaskContext.get().partitionId() % 32), "sums": flat.tolist()})
+
+    return run
+
+
+def _added(rows):
+    total = rows["sums"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(rows.num_rows, -1).sum(axis=0)
+    return pa.table({"member": rows["member"].slice(0, 1), "part": rows["part"].slice(0, 1), "sums": [total.tolist()]})
+
+
+def fit_members(rows: DataFrame, dimensions: int, l2: float = c.L2, steps: int = 40, tolerance: float = 1e-12) -> list[PreferenceModel]:
+    """All members of an ensemble by Newton's method, one pass over the rows for a step of all of them.
+
+    ``rows`` are :func:`_member_rows`. Tasks add up loss, gradient and curvature of every member, which are merged in
+    two levels where tasks are many; only these sums, whose size is the number of parameters squared, reach the driver. A member
+    whose loss would rise halves its step. The objective is that of :func:`fit_joint`.
+    """
+    tasks = rows.sparkSession.sparkContext.defaultParallelism
+    rows = rows.repartition(tasks).persist()
+    schema = "member bigint, part bigint, sums array<double>"
+    try:
+        members = len(rows.first()["w"])
+        sums = [F.array(*[F.sum(F.when(F.col("rated") == rated, F.col("w")[m])) for m in range(members)]) for rated in (False, True)]
+        totals = np.array([[t or 0.0 for t in side] for side in rows.agg(*sums).first()])
+        cuts = CUTS if totals[1].any() else 0
+        share = 1.0 / np.maximum((totals > 0).sum(axis=0), 1)
+        with np.errstate(divide="ignore"):
+            scale = np.where(totals > 0, share / totals, 0.0)
+        scale[1] /= CUTS
+        size = dimensions + cuts
+        ridge = np.concatenate([np.full(dimensions, l2), np.full(cuts, l2 / THRESHOLD_SCALE**2)])
+
+        def evaluate(beta):
+            partial = rows.mapInArrow(_partial(beta, scale, cuts), schema)
+            if tasks > DIRECT:
+                partial = partial.groupBy("member", "part").applyInArrow(_added, schema).groupBy("member").applyInArrow(_added, schema)
+            flat = np.zeros((members, 1 + size + size * size))
+            for r in partial.collect():
+                flat[r["member"]] += r["sums"]
+            loss = flat[:, 0] + 0.5 * (beta**2) @ ridge
+            return loss, flat[:, 1:1 + size] + beta * ridge, flat[:, 1 + size:].reshape(members, size, size) + np.diag(ridge)
+
+        beta = np.zeros((members, size))
+        loss, gradient, curvature = evaluate(beta)
+        length, done = np.ones(members), np.zeros(members, bool)
+        for _ in range(steps):
+            move = np.array([np.linalg.solve(h, g) for h, g in zip(curvature, gradient)]) * length[:, None]
+            move[done] = 0.0
+            new = evaluate(beta - move)
+            better = new[0] <= loss
+            done |= better & (loss - new[0] < tolerance) | (length < 1e-6)
+            beta[better] -= move[better]
+            loss = np.where(better, new[0], loss)
+            gradient[better], curvature[better] = new[1][better], new[2][better]
+            length = np.where(better, 1.0, length / 2)
+            if done.all():
+                break
+    finally:
+        rows.unpersist()
+    return [
+        PreferenceModel(tuple(b[:dimensions].tolist()), ordered(b[dimensions:]) if cuts and totals[1][m] else None, float(loss[m]))
+        for m, b in enumerate(beta)
+    ]
+
+
+def bootstrap(
+    pairs: DataFrame | None, ratings: DataFrame | None, primary: PreferenceModel | None, seed: str, members: int = c.ENSEMBLE_MEMBERS
+) -> list[PreferenceModel]:
+    """The primary fit and refits on resampled pair and image groups, all refits in one.
+
+    Without a ``primary`` the fit on all rows is one more member.
+    """
+    refits = range(1, members)
+    plain = [F.lit(1.0)] if primary is None else []
+    group = [F.least("left_id", "right_id").cast("string"), F.greatest("left_id", "right_id").cast("string")]
+    draws = [
+        plain + [multiplicity(seed, m, *group) for m in refits],
+        plain + [multiplicity(seed + "r", m, F.col("image_id").cast("string")) for m in refits],
+    ]
+    if not draws[0]:
+        return [primary]
+    rows = _member_rows(pairs, ratings, draws)
+    head = rows.select(F.size("x")).first()
+    fitted = fit_members(rows, head[0])
+    return fitted if primary is None else [primary, *fitted]
 
 
 def ensemble_scores(embeddings: DataFrame, ensemble: list[PreferenceModel], beta: float = 1.0) -> DataFrame:
@@ -162,29 +287,33 @@ def ensemble_scores(embeddings: DataFrame, ensemble: list[PreferenceModel], beta
 USER_MODEL = "user_id bigint, weights array<double>, thresholds array<double>, objective double, pairs bigint, ratings bigint"
 
 
-def _newton(x, y, z, v, l2: float, steps: int = 40):
-    """Joint objective of one user by Newton's method. Returns parameters and objective."""
+def _newton(x, y, z, v, l2: float, steps: int = 40, weight=None, floor: float = 0.0):
+    """Joint objective of one user by Newton's method. Returns parameters and objective.
+
+    ``weight`` holds how often each pair and each rating counts; ``floor`` is the ridge on thresholds.
+    """
     d = x.shape[1] if len(x) else z.shape[1]
     cuts = CUTS if len(z) else 0
-    ridge = np.concatenate([np.full(d, l2), np.zeros(cuts)])  # weights only
+    ridge = np.concatenate([np.full(d, l2), np.full(cuts, floor)])  # weights only, unless a floor is set
+    wx, wz = weight or (np.ones(len(x)), np.ones(len(z)))
     blocks = []
-    share = 1.0 / ((len(x) > 0) + (len(z) > 0))
-    if len(x):
-        blocks.append((np.hstack([x, np.zeros((len(x), cuts))]), y, share / len(x)))
-    for k in range(cuts):
+    share = 1.0 / max(int(wx.sum() > 0) + int(wz.sum() > 0), 1)
+    if wx.sum() > 0:
+        blocks.append((np.hstack([x, np.zeros((len(x), cuts))]), y, wx * (share / wx.sum())))
+    for k in range(cuts if wz.sum() > 0 else 0):
         slot = np.zeros((len(z), cuts))
         slot[:, k] = -1.0
-        blocks.append((np.hstack([z, slot]), (v > k + 1).astype(float), share / (len(z) * cuts)))
+        blocks.append((np.hstack([z, slot]), (v > k + 1).astype(float), wz * (share / (wz.sum() * cuts))))
 
     def evaluate(beta):
         total = 0.5 * float(ridge @ beta**2)
         gradient, hessian = ridge * beta, np.diag(ridge)
         for a, t, w in blocks:
             s = a @ beta
-            total += w * float(np.sum(np.logaddexp(0.0, s) - t * s))
+            total += float(np.sum(w * (np.logaddexp(0.0, s) - t * s)))
             p = 0.5 * (1.0 + np.tanh(0.5 * s))
-            gradient = gradient + w * (a.T @ (p - t))
-            hessian = hessian + w * ((a * (p * (1.0 - p))[:, None]).T @ a)
+            gradient = gradient + a.T @ (w * (p - t))
+            hessian = hessian + (a * (w * p * (1.0 - p))[:, None]).T @ a
         return total, gradient, hessian
 
     beta = np.zeros(d + cuts)
@@ -205,6 +334,28 @@ def _newton(x, y, z, v, l2: float, steps: int = 40):
     return beta, value
 
 
+def _fit_user_members(key, pairs, ratings):
+    """The user's fit with the weights and thresholds of its bootstrap members."""
+    row = _fit_user(key, pairs, ratings)
+    row["ensemble_weights"], row["ensemble_thresholds"] = None, None
+    if not len(row):
+        return row
+    pairs, ratings = pairs.sort_values("id"), ratings.sort_values("id")
+    x, z = (np.array(f["x"].tolist(), dtype=float) if len(f) else np.empty((0, 0)) for f in (pairs, ratings))
+    y, v = pairs["y"].to_numpy(dtype=float), ratings["value"].to_numpy(dtype=float)
+    draws = [np.array(f["m"].tolist(), dtype=float) if len(f) else None for f in (pairs, ratings)]
+    count = next(len(m[0]) for m in draws if m is not None)
+    weights, thresholds = [], []
+    for m in range(count):
+        weight = tuple(np.empty(0) if draw is None else draw[:, m] for draw in draws)
+        beta, _ = _newton(x, y, z, v, c.L2, weight=weight, floor=c.L2 / THRESHOLD_SCALE**2)
+        cuts = CUTS if len(z) else 0
+        weights.append(beta[:len(beta) - cuts].tolist())
+        thresholds.append(list(ordered(beta[len(beta) - cuts:])) if cuts and weight[1].sum() else None)
+    row["ensemble_weights"], row["ensemble_thresholds"] = [weights], [thresholds]
+    return row
+
+
 def _fit_user(key, pairs, ratings):
     x = np.array(pairs["x"].tolist(), dtype=float) if len(pairs) else np.empty((0, 0))
     z = np.array(ratings["x"].tolist(), dtype=float) if len(ratings) else np.empty((0, 0))
@@ -223,15 +374,23 @@ def _fit_user(key, pairs, ratings):
     })
 
 
-def fit_users(pairs: DataFrame, ratings: DataFrame) -> DataFrame:
-    """One joint model per user, in parallel over users.
+def fit_users(pairs: DataFrame, ratings: DataFrame, seed: str | None = None, members: int = c.ENSEMBLE_MEMBERS) -> DataFrame:
+    """One joint model per user, in parallel over users; with a ``seed`` also its bootstrap members.
 
     Inputs are training windows: the event limit per stream bounds what one task holds. Large
     segments use :func:`fit_joint` instead.
     """
     p = pairs.select("user_id", "id", "x", "y")
     r = ratings.select("user_id", "id", "x", F.col("value").cast("double").alias("value"))
-    return p.groupBy("user_id").cogroup(r.groupBy("user_id")).applyInPandas(_fit_user, USER_MODEL)
+    if seed is None:
+        return p.groupBy("user_id").cogroup(r.groupBy("user_id")).applyInPandas(_fit_user, USER_MODEL)
+    group = [F.col("user_id").cast("string"), F.least("left_id", "right_id").cast("string"), F.greatest("left_id", "right_id").cast("string")]
+    image = [F.col("user_id").cast("string"), F.col("image_id").cast("string")]
+    drawn = lambda name, of: F.array(*[multiplicity(name, m, *of) for m in range(1, members)]).alias("m")
+    p = pairs.select("user_id", "id", "x", "y", drawn(seed, group))
+    r = ratings.select("user_id", "id", "x", F.col("value").cast("double").alias("value"), drawn(seed + "r", image))
+    schema = f"{USER_MODEL}, ensemble_weights array<array<double>>, ensemble_thresholds array<array<double>>"
+    return p.groupBy("user_id").cogroup(r.groupBy("user_id")).applyInPandas(_fit_user_members, schema)
 
 
 def with_user_thresholds(models: DataFrame, ratings: DataFrame) -> DataFrame:

@@ -112,9 +112,9 @@ def stored_counts(comparisons: DataFrame, ratings: DataFrame, cutoffs: DataFrame
 
 
 def train(
-    comparisons: DataFrame, ratings: DataFrame, embeddings: DataFrame, cutoffs: DataFrame, prior: DataFrame, incumbents: DataFrame
+    comparisons: DataFrame, ratings: DataFrame, embeddings: DataFrame, cutoffs: DataFrame, prior: DataFrame, incumbents: DataFrame, seed: str = "ensemble"
 ) -> DataFrame:
-    """One model row per user with enough feedback: parameters, metrics, promotion and cutoffs.
+    """One model row per user with enough feedback: parameters, ensemble, metrics, promotion and cutoffs.
 
     Users already trained at the same cutoffs are left out, so a repeated run adds nothing. Counts
     are those of the whole logs up to the cutoffs. Feedback on an image without a vector is an error.
@@ -134,7 +134,7 @@ def train(
     evaluation = fit_users(_side(x_pairs, "train"), _side(x_points, "train")).checkpoint()
     incumbents = with_user_thresholds(incumbents, _side(x_points, "train"))
     gated = gate(holdout_metrics(x_pairs, x_points, evaluation, incumbents))
-    final = fit_users(x_pairs, x_points)
+    final = fit_users(x_pairs, x_points, seed)
     columns = [k for k in gated.columns if k != "user_id"]
     return (
         final.join(gated, "user_id", "left").join(stored_counts(comparisons, ratings, due), "user_id")
@@ -143,7 +143,7 @@ def train(
             (F.col("comparison_count") + F.col("rating_count")).alias("feedback_count"),
             (F.col("comparison_count") > F.col("pairs")).alias("comparison_window_capped"),
             (F.col("rating_count") > F.col("ratings")).alias("rating_window_capped"),
-            "weights", "thresholds", "objective", F.struct(*[k for k in columns if not k.startswith("promot")]).alias("metrics"),
+            "weights", "thresholds", "ensemble_weights", "ensemble_thresholds", "objective", F.struct(*[k for k in columns if not k.startswith("promot")]).alias("metrics"),
             "promoted", "promotion_reason",
         )
     )

@@ -116,6 +116,32 @@ def test_bootstrap_is_repeatable(spark):
     assert abs(draws[0] - 1) < 0.05 and abs(draws[1] - 1) < 0.1
 
 
+@pytest.mark.parametrize("direct", [0, 16])
+def test_all_members_in_one_fit(spark, monkeypatch, direct):
+    monkeypatch.setattr(model, "DIRECT", direct)
+    vectors, pairs, ratings = synthetic(spark, users=1)
+    x = features.pair_features(pairs, vectors).withColumn("w", F.lit(1.0))
+    z = features.rating_features(ratings, vectors).withColumn("w", F.lit(1.0))
+    members = model.bootstrap(x, z, None, "seed", members=4)
+    drawn = model.fit_users(x, z, "other", members=4).first()
+    assert len(members) == 4 and len(drawn["ensemble_weights"]) == 3
+    group = [F.least("left_id", "right_id").cast("string"), F.greatest("left_id", "right_id").cast("string")]
+    for k, member in enumerate(members):
+        wx, wz = (F.lit(1.0), F.lit(1.0)) if k == 0 else (model.multiplicity("seed", k, *group), model.multiplicity("seedr", k, F.col("image_id").cast("string")))
+        p, r = (rows.withColumn("m", w).orderBy("id").collect() for rows, w in ((x, wx), (z, wz)))
+        weight = tuple(np.array([row["m"] for row in rows]) for rows in (p, r))
+        beta, loss = model._newton(
+            np.array([row["x"] for row in p]), np.array([row["y"] for row in p]), np.array([row["x"] for row in r]), np.array([row["value"] for row in r], float),
+            c.L2, weight=weight, floor=c.L2 / model.THRESHOLD_SCALE**2,
+        )
+        assert np.allclose(member.weights, beta[:4], atol=1e-6) and np.allclose(member.thresholds, model.ordered(beta[4:]), atol=1e-6)
+        assert abs(member.objective - loss) < 1e-9
+    whole = model.fit_joint(x, z)
+    assert np.allclose(members[0].weights, whole.weights, atol=2e-3) and abs(members[0].objective - whole.objective) < 1e-5
+    alone = model.bootstrap(None, z, None, "seed", members=2)
+    assert len(alone) == 2 and alone[0].thresholds is not None
+
+
 def test_training_job_is_idempotent(spark):
     vectors, pairs, ratings = synthetic(spark)
     cut = spark.createDataFrame([(0, 119, 69), (1, 1119, 1069)], "user_id bigint, comparison_cutoff bigint, rating_cutoff bigint")
@@ -126,6 +152,7 @@ def test_training_job_is_idempotent(spark):
     assert set(rows) == {0, 1}
     assert all(r["comparison_count"] == 120 and r["rating_count"] == 70 and r["feedback_count"] == 190 for r in rows.values())
     assert all(r["metrics"]["validation_pairs"] >= c.MIN_FRESH_VALIDATION and r["promotion_reason"] for r in rows.values())
+    assert all(len(r["ensemble_weights"]) == c.ENSEMBLE_MEMBERS - 1 and len(r["ensemble_thresholds"][0]) == 4 for r in rows.values())
     assert training.train(pairs, ratings, vectors, cut, cut, heads).count() == 0
     with pytest.raises(ValueError, match="without a vector"):
         training.train(pairs, ratings, vectors.limit(2), cut, none, heads)

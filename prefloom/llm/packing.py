@@ -8,6 +8,7 @@ form a bucket; a training batch takes its sequences from one bucket.
 
 from __future__ import annotations
 
+import os
 import re
 import unicodedata
 
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 from prefloom.llm.common import REMEMBERED, arrow_map, held, keyed, original_id, parts, ready
 
 TOKENIZER = "word_bpe_49k.json"
+#: Pieces of one call to the tokenizer.
+CALL = 10_000
 #: Signs that the tokenizer always separates from letters before them.
 SIGNS = '.,;:!?%&$*#"()|-'
 #: What the tokenizer takes as white space; Python's also has the separators 1C to 1F.
@@ -30,46 +33,62 @@ class WordIds(dict):
 
     The tokenizer drops white space and never joins across it, so a text's ids are those of its
     words in turn. A word of letters and signs is the ids of its lower-case letters, then of the
-    signs; anything else goes to the tokenizer as it is.
+    signs; anything else goes to the tokenizer as it is. What a batch of texts has of unknown pieces is
+    tokenized in few calls.
     """
 
     def __init__(self, path: str, limit: int = REMEMBERED):
         super().__init__()
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks share the cores already
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True  # their strings in a text are ordinary text
         self.pieces: dict[str, bytes] = {}
+        self.long: dict[str, bytes] = {}
         self.limit = limit
 
-    def encode(self, text: str) -> bytes:
-        return np.asarray(self.model.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    @staticmethod
+    def split(text: str) -> list[str]:
+        return [w for w in BLANKS.split(text) if w] if SEPARATORS.search(text) else text.split()
 
-    def piece(self, text: str) -> bytes:
-        found = self.pieces.get(text)
-        if found is None:
-            found = self.pieces[text] = self.encode(text)
-        return found
+    @staticmethod
+    def cut(word: str) -> tuple[str, ...]:
+        """The pieces of a word that are tokenized apart."""
+        letters = word.rstrip(SIGNS)
+        low = letters.lower()
+        if low.isalpha() and "Σ" not in letters and (low.isascii() or unicodedata.is_normalized("NFC", letters)):
+            signs = word[len(letters):]
+            return (low, signs) if signs else (low,)
+        return (word,)
 
-    def __missing__(self, word: str) -> bytes:
+    def learn(self, words: set[str]) -> None:
+        """Ids of all these words, until the next call at least; words of 64 signs or more only until then."""
+        self.long.clear()
         if len(self) > self.limit:
             self.clear()
         if len(self.pieces) > 2 * self.limit:
             self.pieces.clear()
-        letters = word.rstrip(SIGNS)
-        low = letters.lower()
-        if low.isalpha() and "Σ" not in letters and (low.isascii() or unicodedata.is_normalized("NFC", letters)):
-            signs = word[len(letters):]
-            value = self.piece(low) + (self.piece(signs) if signs else b"")
-        else:
-            value = self.encode(word)
-        if len(word) < 64:
-            self[word] = value
-        return value
+        cut = {w: self.cut(w) for w in words if w not in self}
+        unknown = list({p for ps in cut.values() for p in ps} - self.pieces.keys())
+        for start in range(0, len(unknown), CALL):
+            call = unknown[start:start + CALL]
+            for piece, found in zip(call, self.model.encode_batch_fast(call, add_special_tokens=False)):
+                self.pieces[piece] = np.asarray(found.ids, "<u4").tobytes()
+        for word, ps in cut.items():
+            (self if len(word) < 64 else self.long)[word] = b"".join([self.pieces[p] for p in ps])
+        for piece in {p for w in self.long for p in cut[w] if len(p) >= 64}:
+            del self.pieces[piece]
+
+    def __missing__(self, word: str) -> bytes:
+        return self.long[word]
+
+    def ids_of(self, texts: list[str]) -> list[bytes]:
+        split = [self.split(t) for t in texts]
+        self.learn(set().union(*split))
+        return [b"".join(map(self.__getitem__, words)) for words in split]
 
     def ids(self, text: str) -> bytes:
-        words = [w for w in BLANKS.split(text) if w] if SEPARATORS.search(text) else text.split()
-        return b"".join(map(self.__getitem__, words))
+        return self.ids_of([text])[0]
 
 
 def word_ids(path: str) -> WordIds:
@@ -104,8 +123,8 @@ def decompose(documents: DataFrame, longest: int = 4096, end_id: int = 2, path:
         end = np.asarray([end_id], "<u4").tobytes()
         for part in parts(batch):
             out = {k: [] for k in ("doc_id", "start", "length", "bucket", "ids", "doc_tokens")}
-            for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
-                ids = words.ids(text) + end
+            for doc, ids in zip(part.column("doc_id").to_pylist(), words.ids_of(part.column("text").to_pylist())):
+                ids += end
                 n, start = len(ids) // 4, 0
                 for length in piece_lengths(n, longest):
                     for k, v in zip(out, (doc, start, length, length.bit_length() - 1, ids[4 * start:4 * (start + length)], n)):

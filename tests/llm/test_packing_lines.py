@@ -25,9 +25,7 @@ DOCS = [
 def tokenizer():
     from tokenizers import Tokenizer
 
-    model = Tokenizer.from_file(packing.tokenizer_path())
-    model.encode_special_tokens = True
-    return model
+    return Tokenizer.from_file(packing.tokenizer_path())
 
 
 def test_pieces_hold_every_id_once(spark, tokenizer):
@@ -61,6 +59,20 @@ def test_separators_are_not_blanks():
         assert np.frombuffer(words.ids(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
 
 
+def test_ids_are_those_of_the_plain_call():
+    import random
+
+    from tokenizers import Tokenizer
+
+    plain, words = Tokenizer.from_file(packing.tokenizer_path()), packing.WordIds(packing.tokenizer_path(), limit=50)
+    rng = random.Random(2)
+    signs = ["a", "Zw", "é", "ß", "Σ", "ſ", "日", "1", "'", "...", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", " ", "\n", "\x1c", "x" * 90, "#", "_"]
+    texts = ["".join(rng.choices(signs, k=rng.randrange(40))) for _ in range(600)]
+    for start in range(0, 600, 30):
+        found = words.ids_of(texts[start:start + 30])
+        assert [np.frombuffer(f, "<u4").tolist() for f in found] == [plain.encode(t, add_special_tokens=False).ids for t in texts[start:start + 30]]
+
+
 def test_digest_and_batches(spark, tokenizer):
     frame = spark.createDataFrame(DOCS[:5], "doc_id long, text string")
     rows = {(r.doc_id, r.start): r for r in packing.packed_digest(frame).collect()}

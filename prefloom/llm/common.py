@@ -41,6 +41,14 @@ def keyed(frame: DataFrame, *others: str) -> DataFrame:
     return frame.select(doc_id, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *others)
 
 
+def unused(frame: DataFrame, name: str) -> str:
+    """A column name like ``name`` that the frame has not got, in whatever case."""
+    taken = {c.lower() for c in frame.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def original_id(name: str = "doc_id") -> Column:
     """The id as it was before ``keyed``."""
     return F.when(F.col(name) != F.lit(NULL_ID), F.col(name)).alias(name)

@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prefloom.llm.common import NULL_ID, REMEMBERED, arrow_map, binary, held, keyed, landed, mix, original_id, parts, ready
+from prefloom.llm.common import NULL_ID, REMEMBERED, arrow_map, binary, held, keyed, landed, mix, original_id, parts, ready, unused
 
 WINDOW = 8
 COVERAGE = 0.5
@@ -262,6 +262,7 @@ def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 def clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents, all columns, that no item contaminates."""
     found = contaminated(documents.select("doc_id", "text"), benchmark)
-    ids = found.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("__id")).distinct()
-    held = documents.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)))
-    return held.join(ids, "__id", "left_anti").select(*documents.columns)
+    own = unused(documents, "__id")
+    ids = found.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias(own)).distinct()
+    held = documents.withColumn(own, F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)))
+    return held.join(ids, own, "left_anti").select(*documents.columns)

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prefloom.llm.common import arrow_map, binary, keyed, landed, parts, ready
+from prefloom.llm.common import arrow_map, binary, keyed, landed, parts, ready, unused
 
 BLANKS = b" \t\n\x0b\x0c\r"
 SLICE = 1 << 13  # bytes of a filter that travel together
@@ -156,18 +156,19 @@ def drop_shared_lines(
     n_lines or n_dropped are replaced.
     """
     shared = shared_lines(documents, least_chars, least_documents, bits)
-    lost = shared.where("doc_id <> keep").groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list("digest").alias("__lost"))
     base = documents.drop("n_lines", "n_dropped")
+    own, gone_lines = unused(base, "__id"), unused(base, "__lost")
+    lost = shared.where("doc_id <> keep").groupBy(F.col("doc_id").alias(own)).agg(F.collect_list("digest").alias(gone_lines))
     names = base.columns
-    held = base.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))))
-    joined = held.join(lost, "__id", "left").drop("__id")
+    held = base.withColumn(own, F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))))
+    joined = held.join(lost, own, "left").drop(own)
     types = {f.name: f.dataType.simpleString() for f in base.schema}
 
     def strip(batch):
         for part in parts(batch):
             columns = {n: part.column(n) for n in names}
             texts, total, dropped = [], [], []
-            for text, gone in zip(part.column("text").cast("binary").to_pylist(), part.column("__lost").to_pylist()):
+            for text, gone in zip(part.column("text").cast("binary").to_pylist(), part.column(gone_lines).to_pylist()):
                 lines = (text or b"").split(b"\n")
                 total.append(len(lines))
                 if gone:

@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prefloom.llm.common import NULL_ID, arrow_map, binary, discard, held, keyed, landed, mix, original_id, parts, ready, returned
+from prefloom.llm.common import NULL_ID, arrow_map, binary, discard, held, keyed, landed, mix, original_id, parts, ready, returned, unused
 from prefloom.llm.decontamination import bit_table
 
 STRIP = b".,;:!?%&$*#\"'()|-"
@@ -426,9 +426,10 @@ def score(documents: DataFrame, labels: DataFrame, settings: Settings = Settings
 def clean(documents: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """The documents, all columns, whose score stays below the threshold."""
     toxic = judged(documents, labels, settings).where(F.col("score") >= THRESHOLD)
-    gone = toxic.select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest")).distinct()
+    own, text = unused(documents, "__id"), unused(documents, "__digest")
+    gone = toxic.select(F.col("doc_id").alias(own), F.col("digest").alias(text)).distinct()
     keys = {
-        "__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)),
-        "__digest": F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))),
+        own: F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)),
+        text: F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))),
     }
-    return documents.withColumns(keys).join(gone, ["__id", "__digest"], "left_anti").select(*documents.columns)
+    return documents.withColumns(keys).join(gone, [own, text], "left_anti").select(*documents.columns)

@@ -11,7 +11,7 @@ import numpy as np
 
 import __spark_entry__ as contract
 import corpus_pipeline
-from prefloom.llm import line_dedup, packing, toxicity
+from prefloom.llm import decontamination, line_dedup, packing, toxicity
 
 ITEM = "the red fox and the blue bird went over nine green hills to find seven old stones under a tree"
 
@@ -97,3 +97,22 @@ def test_entry_without_the_package():
         "assert len(e.queries()) > 100 and not [n for n in e.queries() if n[:2] == 'op' or n == 'pipeline'] and e.oracle_sql()"
     )
     subprocess.run([sys.executable, "-c", script], check=True, cwd=Path(__file__).resolve().parents[2])
+
+
+def test_columns_of_any_name_come_through(spark):
+    line = "this line is long enough to be shared by all of the documents"
+    texts = [f"{line}\nown words of number {i} " + " ".join(f"w{i}x{k}" for k in range(30)) for i in range(8)] + [None]
+    rows = [(i, t, 70 + i, f"d{i}", [i], i, "s") for i, t in enumerate(texts)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, __id int, __Digest string, __lost array<int>, row int, spans string")
+    labels = spark.createDataFrame([(i, 0) for i in range(8)], "doc_id long, toxic int")
+    bench = spark.createDataFrame([(1, "an item that no document has in any form at all here")], "item_id long, text string")
+    from corpus_pipeline import _without
+
+    kept = [
+        line_dedup.drop_shared_lines(frame), decontamination.clean(frame, bench), toxicity.clean(frame, labels),
+        _without(frame, frame.where("doc_id = 3").select("doc_id")),
+    ]
+    for out in kept:
+        got = out.collect()
+        assert all((r["__id"], r["__Digest"], r["__lost"], r["row"], r["spans"]) == rows[r["doc_id"]][2:] for r in got)
+    assert [len(out.collect()) for out in kept[:2]] == [9, 9] and kept[3].count() == 8

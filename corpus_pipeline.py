@@ -12,15 +12,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prefloom.llm import decontamination, jaccard, line_dedup, packing, toxicity
-from prefloom.llm.common import NULL_ID, ready
+from prefloom.llm.common import NULL_ID, ready, unused
 from prefloom.session import checkpoint_dir
 
 
 def _without(docs: DataFrame, lost: DataFrame) -> DataFrame:
     """The documents whose id is not in ``lost``; a null id is an id like any other."""
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))
-    gone = lost.select(key.alias("__id")).distinct()
-    return docs.withColumn("__id", key).join(gone, "__id", "left_anti").select(*docs.columns)
+    own = unused(docs, "__id")
+    gone = lost.select(key.alias(own)).distinct()
+    return docs.withColumn(own, key).join(gone, own, "left_anti").select(*docs.columns)
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

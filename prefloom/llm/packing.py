@@ -10,7 +10,9 @@ from __future__ import annotations
 
 import os
 import re
+import sys
 import unicodedata
+from array import array
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -28,6 +30,14 @@ BLANKS = re.compile(r"[^\S\x1c-\x1f]+")
 SEPARATORS = re.compile(r"[\x1c-\x1f]")
 
 
+def little(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit numbers."""
+    numbers = array("I", ids)
+    if sys.byteorder == "big":
+        numbers.byteswap()
+    return numbers.tobytes()
+
+
 class WordIds(dict):
     """Token ids of words between blanks, as little-endian unsigned 32-bit numbers, remembered.
 
@@ -54,6 +64,8 @@ class WordIds(dict):
     @staticmethod
     def cut(word: str) -> tuple[str, ...]:
         """The pieces of a word that are tokenized apart."""
+        if word.isascii() and word.isalpha():
+            return (word.lower(),)
         letters = word.rstrip(SIGNS)
         low = letters.lower()
         if low.isalpha() and "Σ" not in letters and (low.isascii() or unicodedata.is_normalized("NFC", letters)):
@@ -73,7 +85,7 @@ class WordIds(dict):
         for start in range(0, len(unknown), CALL):
             call = unknown[start:start + CALL]
             for piece, found in zip(call, self.model.encode_batch_fast(call, add_special_tokens=False)):
-                self.pieces[piece] = np.asarray(found.ids, "<u4").tobytes()
+                self.pieces[piece] = little(found.ids)
         for word, ps in cut.items():
             (self if len(word) < 64 else self.long)[word] = b"".join([self.pieces[p] for p in ps])
         for piece in {p for w in self.long for p in cut[w] if len(p) >= 64}:

@@ -99,14 +99,35 @@ _TOKEN = (
     r"""(?is)<(?:script|style)\b[^>]*+>.*?</(?:script|style)\s*+>|<!--.*?(?:-->|\z)|<[!?][^>]*+>|</?[a-z](?:[^>"']++|"[^"]*+"|'[^']*+')*+>|[^<]++|<"""
 )
 _BLOCK = r"""(?i)^</?(?:div|li|p|tr)(?:[\s/>])|^<br[\s/>]"""
-_REFERENCE = r"&(?:#[0-9]{1,8};?|#[xX][0-9a-fA-F]{1,8};?|[A-Za-z][A-Za-z0-9]*;?)|[^&]++|&"
+_REFERENCE = r"&(?:#[0-9]++;?|#[xX][0-9a-fA-F]++;?|[A-Za-z][A-Za-z0-9]*;?)|[^&]++|&"
+
+
+def _windows(code: int) -> str:
+    """What old pages mean by the codes 80 to 9F."""
+    try:
+        return bytes([code]).decode("cp1252")
+    except UnicodeDecodeError:
+        return chr(code)
+
+
+def _number(digits: Column, base: int) -> Column:
+    """The value of digits of any length; one too large for a character stands for all of those."""
+    short = F.regexp_replace(digits, "^0+(?=.)", "")
+    return F.when(F.length(short) <= 7, F.conv(short, base, 10).cast("bigint")).otherwise(F.lit(0x110000).cast("bigint"))
 
 
 def _scalar(number: Column) -> Column:
-    """The character of a code point; U+FFFD where there is none."""
+    """The character of a code point: U+FFFD where there is none, nothing for control and non-characters."""
     valid = (number > 0) & (number <= 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
+    void = number.between(1, 8) | (number == 0xB) | number.between(0xE, 0x1F) | (number == 0x7F)
+    void = void | number.between(0xFDD0, 0xFDEF) | (number.bitwiseAND(0xFFFE) == 0xFFFE)
     code = F.when(valid, number).otherwise(F.lit(0xFFFD))
-    return F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+    old = F.try_element_at(F.array(*[F.lit(_windows(k)) for k in range(0x80, 0xA0)]), (number - 0x7F).cast("int"))
+    return (
+        F.when(number.between(0x80, 0x9F), old)
+        .when(valid & void, F.lit(""))
+        .otherwise(F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+    )
 
 
 def _decoded(text: Column) -> Column:
@@ -123,8 +144,8 @@ def _decoded(text: Column) -> Column:
         rest = F.substr(piece, F.length(prefix) + 2)
         return (
             F.when(~piece.startswith("&") | (piece == "&"), piece)
-            .when(digits != "", _scalar(digits.cast("bigint")))
-            .when(hexed != "", _scalar(F.conv(hexed, 16, 10).cast("bigint")))
+            .when(digits != "", _scalar(_number(digits, 10)))
+            .when(hexed != "", _scalar(_number(hexed, 16)))
             .when(F.try_element_at(table, name).isNotNull(), F.try_element_at(table, name))
             .when(prefix != "", F.concat(F.try_element_at(table, prefix), rest))
             .otherwise(piece)

@@ -68,6 +68,16 @@ def test_html_keeps_script_text_and_decodes_entities(spark):
     assert [r[0] for r in out] == ["A & B C D var t='<p>';éxy", ""]
 
 
+def test_numeric_references(spark):
+    import html
+
+    codes = [0, 1, 8, 9, 10, 11, 13, 14, 31, 65, 127, *range(128, 161), 233, 0x3B1, 0xD800, 0xFDD0, 0xFFFE, 0x1F600, 0x10FFFF, 0x110000, 10**9, 10**30]
+    refs = [f"&#{c};" for c in codes] + [f"&#x{c:x};" for c in codes] + ["&#0000000000065;", "&#x00000000000000e9;", "&#65", "&#x41 ", "&#150;&#x80;"]
+    rows = spark.createDataFrame([(i, f"a{r}b") for i, r in enumerate(refs)], "i int, h string")
+    got = {r["i"]: r["t"] for r in rows.select("i", text._decoded(F.col("h")).alias("t")).collect()}
+    assert got == {i: html.unescape(f"a{r}b") for i, r in enumerate(refs)}
+
+
 def test_first_seen_equals_sequential_scan(spark):
     rng = random.Random(7)
     rows = [(r, i, rng.choice(["", *map(str, range(25))]), rng.choice(["", *map(str, range(30))]), rng.choice(["", *map(str, range(35))])) for r in (1, 2) for i in range(60)]

@@ -91,7 +91,7 @@ def test_stages(spark):
 
 def test_entry_without_the_package():
     names = contract.queries()
-    assert {"pipeline", *(n for n in names if n.startswith("op"))} <= set(names) and len([n for n in names if n[:2] == "op"]) == 10
+    assert {"pipeline", *(n for n in names if n.startswith("op"))} <= set(names) and len([n for n in names if n[:2] == "op"]) == 13
     script = (
         "import sys; sys.modules['prefloom.llm'] = None; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; "
         "assert len(e.queries()) > 100 and not [n for n in e.queries() if n[:2] == 'op' or n == 'pipeline'] and e.oracle_sql()"

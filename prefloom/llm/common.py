@@ -110,6 +110,27 @@ def parts(batch: pa.RecordBatch, limit: int = 4 << 20) -> Iterator[pa.RecordBatc
         start = end
 
 
+def runs(batches, columns):
+    """Runs of equal first column over sorted batches, as lists of column arrays (memory: one run)."""
+    held: list[list] = []
+    last = None
+    for batch in batches:
+        values = [batch.column(c).to_numpy(zero_copy_only=False) for c in columns]
+        key = values[0]
+        if not len(key):
+            continue
+        cuts = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            piece = [v[a:b] for v in values]
+            if held and key[a] != last:
+                yield [np.concatenate(x) for x in zip(*held)]
+                held = []
+            last = key[a]
+            held.append(piece)
+    if held:
+        yield [np.concatenate(x) for x in zip(*held)]
+
+
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 

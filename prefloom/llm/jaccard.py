@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prefloom.llm.common import REMEMBERED, Hashes, arrow_map, binary, components, discard, held, keyed, landed, mix, original_id, parts, ready
+from prefloom.llm.common import REMEMBERED, Hashes, arrow_map, binary, components, discard, held, keyed, landed, mix, original_id, parts, ready, runs
 
 WORDS = 5
 #: Similarity as a fraction; 3/4 by contract.
@@ -171,27 +171,6 @@ def sketches(documents: DataFrame) -> DataFrame:
     return documents.mapInArrow(run, "doc_id long, n long, c1 long, c2 long, sketch binary, keys array<long>")
 
 
-def _groups(batches, columns):
-    """Runs of equal first column over sorted batches, as lists of column arrays (memory: one run)."""
-    held: list[list] = []
-    last = None
-    for batch in batches:
-        values = [batch.column(c).to_numpy(zero_copy_only=False) for c in columns]
-        key = values[0]
-        if not len(key):
-            continue
-        cuts = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
-        for a, b in zip(cuts[:-1], cuts[1:]):
-            piece = [v[a:b] for v in values]
-            if held and key[a] != last:
-                yield [np.concatenate(x) for x in zip(*held)]
-                held = []
-            last = key[a]
-            held.append(piece)
-    if held:
-        yield [np.concatenate(x) for x in zip(*held)]
-
-
 def shared_segments(rows: DataFrame) -> DataFrame:
     """(key, node) for keys that two nodes or more have; streams over sorted rows, holding one."""
 
@@ -269,7 +248,7 @@ def across_components(rows: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         done: set[tuple[int, int]] = set()
-        for _, node, comp, n, sketch in _groups(batches, ("block", "node", "component", "n", "sketch")):
+        for _, node, comp, n, sketch in runs(batches, ("block", "node", "component", "n", "sketch")):
             node, first = np.unique(node, return_index=True)
             comp, n = comp[first], n[first]
             found = []

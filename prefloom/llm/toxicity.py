@@ -1,19 +1,22 @@
 """Toxicity from two class-conditional Kneser-Ney models.
 
-Both models spell words letter by letter: the next byte given up to ``order`` - 1 bytes before it in
-the word. Long contexts have counts of their own class, discounted by ``discount`` and filled up
-from the next shorter context; the shortest contexts hold counts that both classes share, so a rare
-expression is equally likely under both until a class has shown it. Ordinary counts are scaled to
-the toxic ones' total first, so that the backoff weights of the two classes are alike.
-
-A word's log-likelihood ratio r enters as log(1 - share + share * e^r): a toxic document is ordinary
-prose with a ``share`` of toxic words. The mean over the words is the length-normalised difference
-of the two log-likelihoods, and a logistic curve turns it into a score.
-
-n-gram and context counts are tables keyed by full 64-bit hashes and grow with the labelled text. The
-distinct words of the corpus are cut into sites (a byte with its longest context), the sites are
-joined to the counts, and the words to their sites. A scoring task gets the values of the most
-frequent words; the other words of its documents meet theirs in a join.
+Both models spell words letter by letter: the next byte given up to six bytes before it in the word.
+The longest contexts, and those that begin with the word, count occurrences in their class; every
+shorter context counts its *distinct* continuations to the left, as Kneser and Ney have it. A context
+gives ``discount`` of each count to the next shorter one. Contexts of none and one byte are shared:
+they count the continuations seen in either class, so a rare expression is equally likely under both
+until a class has shown it.
+
+The toxic model of a document draws a ``share`` of its words from the toxic letters and the rest from
+the ordinary ones, as toxic texts are ordinary prose for the most part. With a word's ratio e^r the
+two log-likelihoods, divided by the number of words, differ by the mean of log(1 - share + share * e^r).
+A logistic curve turns this difference into a score.
+
+A *site* is a byte with its context, packed into a long. The distinct words of the corpus with their
+counts of both classes are one table, the distinct sites another; both grow with the input. All
+contexts of two bytes or more of a site end in the same two bytes, so one shuffle by these brings
+every count together that its probabilities need. A scoring task gets the values of the most frequent
+words and sites; the others meet theirs in a join.
 """
 
 from __future__ import annotations
@@ -26,12 +29,17 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prefloom.llm.common import NULL_ID, arrow_map, binary, discard, held, keyed, landed, mix, original_id, parts, ready, returned, unused
+from prefloom.llm.common import NULL_ID, arrow_map, binary, discard, held, keyed, landed, original_id, parts, ready, returned, runs, unused
 from prefloom.llm.decontamination import bit_table
 
 STRIP = b".,;:!?%&$*#\"'()|-"
 THRESHOLD = 0.3
-#: Bits of the table that holds back hashes without counts; a fuller one lets more rows through, no other result.
+#: Control bytes that the packed form uses itself count as another one.
+PLAIN = bytes.maketrans(b"\x00\x02\x03", b"\x01\x01\x01")
+START = 2
+#: Bytes of a site: one and six of context.
+ORDER = 7
+#: Bits of the filter on labelled ids; a fuller one lets more texts into the join, no other result.
 FILTER_BITS = 1 << 23
 #: Most frequent words and sites whose values tasks hold; those of all others are joined.
 FREQUENT = 1 << 16
@@ -39,14 +47,8 @@ FREQUENT = 1 << 16
 
 @dataclass(frozen=True)
 class Settings:
-    order: int = 7
-    #: Contexts up to this many bytes are shared by both classes.
-    shared: int = 1
     discount: float = 0.75
     share: float = 0.05
-    #: Slots of ``Model``, the form in memory; the operator's tables have none.
-    gram_bits: int = 22
-    context_bits: int = 21
     #: One training row in so many fits the logistic curve instead of the counts.
     curve_share: int = 6
     #: Bins of the curve's histogram; the fit sees counts per bin, of all its rows.
@@ -58,35 +60,11 @@ def held_out(column: str = "doc_id") -> Column:
 
 
 def split_words(text: bytes) -> list[bytes]:
-    return [w.strip(STRIP) for w in text.lower().split()]
+    return [w.strip(STRIP) for w in text.lower().translate(PLAIN).split()]
 
 
-def grams(words: list[bytes], order: int) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
-    """For contexts of 0 to order - 1 bytes: hashes of contexts and of contexts with the next byte.
-
-    A word stands between a start and an end sign. Also returns the word number of every position;
-    positions whose context would reach before the word have hash 0 in both.
-    """
-    flat = np.frombuffer(b"".join(b"\x02" + w + b"\x03" for w in words), np.uint8).astype(np.uint64) + np.uint64(1)
-    sizes = np.fromiter((len(w) + 2 for w in words), np.int64, len(words))
-    word = np.repeat(np.arange(len(words)), sizes)
-    place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    contexts, wholes = [], []
-    context = np.full(len(flat), 7, np.uint64)
-    for k in range(order):
-        if k:
-            earlier = np.concatenate([np.zeros(min(k, len(flat)), np.uint64), flat[:-k] if k < len(flat) else flat[:0]])
-            context = context * np.uint64(0x100000001B3) + earlier
-        valid = (place >= k) & (place > 0)
-        named = mix(context, 2 * k + 1)
-        whole = mix(named ^ (flat * np.uint64(0x9E3779B97F4A7C15)), 2 * k + 2)
-        contexts.append(np.where(valid, named, np.uint64(0)))
-        wholes.append(np.where(valid, whole, np.uint64(0)))
-    return contexts, wholes, word
-
-
-def word_counts(labelled: DataFrame) -> DataFrame:
-    """word, ordinary, toxic: occurrences over all rows, summed in the tasks first."""
+def word_counts(documents: DataFrame, labelled: DataFrame) -> DataFrame:
+    """word, n, ordinary, toxic: occurrences in all documents, and in the labelled ones by class."""
 
     def work(batch):
         from collections import Counter
@@ -96,10 +74,21 @@ def word_counts(labelled: DataFrame) -> DataFrame:
             for text, toxic in zip(binary(part, "text"), part.column("toxic").to_pylist()):
                 both[toxic].update(split_words(text))
             words = list(both[0] | both[1])
-            yield {"word": words, "ordinary": [both[0][w] for w in words], "toxic": [both[1][w] for w in words]}
+            yield {"word": words, "n": np.zeros(len(words), np.int64), "ordinary": [both[0][w] for w in words], "toxic": [both[1][w] for w in words]}
 
-    rows = arrow_map(labelled, work, "word binary, ordinary long, toxic long")
-    return rows.groupBy("word").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
+    def plain(batch):
+        from collections import Counter
+
+        for part in parts(batch, 32 << 20):
+            found = Counter()
+            for text in binary(part, "text"):
+                found.update(split_words(text))
+            none = np.zeros(len(found), np.int64)
+            yield {"word": list(found), "n": list(found.values()), "ordinary": none, "toxic": none}
+
+    kind = "word binary, n long, ordinary long, toxic long"
+    rows = arrow_map(documents.select("text"), plain, kind).unionByName(arrow_map(labelled.select("text", "toxic"), work, kind))
+    return rows.groupBy("word").agg(*(F.sum(c).alias(c) for c in ("n", "ordinary", "toxic")))
 
 
 def slices(words: list[bytes], limit: int = 1 << 18) -> Iterator[tuple[int, int]]:
@@ -112,225 +101,168 @@ def slices(words: list[bytes], limit: int = 1 << 18) -> Iterator[tuple[int, int]
         start = end
 
 
-def gram_counts(words: DataFrame, settings: Settings) -> DataFrame:
-    """gram, context (64-bit hashes), level, ordinary, toxic: summed over the words."""
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    import xxhash
+
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)).view(np.int64)
 
-    def work(batch):
+
+def packed_sites(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The site of every position behind a word's start sign, and its word number.
+
+    A site is the position's byte and the six bytes before it, newest lowest; 0 where the word has
+    not begun. The start sign is the oldest byte of a word and stands nowhere else.
+    """
+    flat = np.frombuffer(b"".join(b"\x02" + w + b"\x03" for w in words), np.uint8).astype(np.int64)
+    sizes = np.fromiter((len(w) + 2 for w in words), np.int64, len(words))
+    word = np.repeat(np.arange(len(words)), sizes)
+    place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    site = np.zeros(len(flat), np.int64)
+    for k in range(min(ORDER, len(flat))):
+        earlier = np.concatenate([np.zeros(k, np.int64), flat[:len(flat) - k]])
+        site |= np.where(place >= k, earlier, 0) << 8 * k
+    kept = np.flatnonzero(place > 0)
+    return site[kept], word[kept]
+
+
+def site_counts(words: DataFrame) -> DataFrame:
+    """site, n, ordinary, toxic: summed over the distinct words, ``n`` as the number of words."""
+
+    def cut(batch):
         listed = batch.column("word").to_pylist()
-        counts = [np.asarray(batch.column(c).to_numpy(zero_copy_only=False), np.int64) for c in ("ordinary", "toxic")]
+        counts = [batch.column(c).to_numpy() for c in ("ordinary", "toxic")]
         for at, end in slices(listed):
-            contexts, wholes, word = grams(listed[at:end], settings.order)
-            for k, (c, w) in enumerate(zip(contexts, wholes)):
-                valid = np.flatnonzero(w)
-                keys, first, inverse = np.unique(w[valid], return_index=True, return_inverse=True)
-                sums = [np.bincount(inverse, n[word[valid] + at], len(keys)).astype(np.int64) for n in counts]
-                yield {
-                    "gram": keys.view(np.int64), "context": c[valid][first].view(np.int64), "level": np.full(len(keys), k, np.int32),
-                    "ordinary": sums[0], "toxic": sums[1],
-                }
-
-    rows = arrow_map(words, work, "gram long, context long, level int, ordinary long, toxic long")
-    return rows.groupBy("gram", "context", "level").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
-
-
-class Model:
-    """The same ratios from slots in memory, for direct comparison; the operator joins instead."""
-
-    def __init__(self, settings: Settings, tables: dict[str, np.ndarray]):
-        self.settings, self.tables = settings, tables
-
-    def ratios(self, words: list[bytes]) -> np.ndarray:
-        """Log of the toxic over the ordinary probability of each word."""
-        s, t = self.settings, self.tables
-        contexts, wholes, word = grams(words, s.order)
-        gram_mask, context_mask = np.uint64((1 << s.gram_bits) - 1), np.uint64((1 << s.context_bits) - 1)
-        p = [np.full(len(word), 1 / 256), np.full(len(word), 1 / 256)]
-        for k, (c, w) in enumerate(zip(contexts, wholes)):
-            valid = np.flatnonzero(w)
-            gram, context = (w[valid] & gram_mask).astype(np.int64), (c[valid] & context_mask).astype(np.int64)
-            if k <= s.shared:
-                seen = t["gram0"][gram].astype(float) + t["gram1"][gram]
-                total = t["all0"][context].astype(float) + t["all1"][context]
-                q = (seen + 5 * p[0][valid]) / (total + 5)
-                p[0][valid] = p[1][valid] = q
-            else:
-                for side in (0, 1):
-                    total = t[f"all{side}"][context].astype(float)
-                    kept = np.maximum(t[f"gram{side}"][gram] - s.discount, 0)
-                    left = np.maximum(total - t[f"kept{side}"][context], 0)
-                    old = p[side][valid]
-                    p[side][valid] = np.where(total > 0, (kept + left * old) / np.maximum(total, 1e-9), old)
-        return np.bincount(word, np.log(np.maximum(p[1], 1e-30) / np.maximum(p[0], 1e-30)), len(words))
+            site, word = packed_sites(listed[at:end])
+            named, inverse = np.unique(site, return_inverse=True)
+            sums = [np.bincount(inverse, n[at + word], len(named)).astype(np.int64) for n in counts]
+            yield {"site": named, "n": np.bincount(inverse, minlength=len(named)), "ordinary": sums[0], "toxic": sums[1]}
 
+    rows = arrow_map(words.select("word", "ordinary", "toxic"), cut, "site long, n long, ordinary long, toxic long")
+    return rows.groupBy("site").agg(*(F.sum(c).alias(c) for c in ("n", "ordinary", "toxic")))
 
-class Shared:
-    """Shared probability of each position by its shortest contexts; as many counts as bytes have combinations."""
-
-    def __init__(self, counts: DataFrame, settings: Settings):
-        self.settings = settings
-        frame = counts.where(F.col("level") <= settings.shared).select("gram", "context", (F.col("c0") + F.col("c1")).alias("n")).toPandas()
-        self.grams = self._sums(frame["gram"].to_numpy(np.int64), frame["n"].to_numpy(float))
-        self.contexts = self._sums(frame["context"].to_numpy(np.int64), frame["n"].to_numpy(float))
-
-    @staticmethod
-    def _sums(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        named, inverse = np.unique(keys.view(np.uint64), return_inverse=True)
-        return named, np.bincount(inverse, n, len(named))
-
-    @staticmethod
-    def _look(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> np.ndarray:
-        named, n = table
-        if not len(named):
-            return np.zeros(len(keys))
-        place = np.minimum(np.searchsorted(named, keys), len(named) - 1)
-        return np.where(named[place] == keys, n[place], 0.0)
-
-    def probabilities(self, contexts: list[np.ndarray], wholes: list[np.ndarray]) -> np.ndarray:
-        p = np.full(len(wholes[0]), 1 / 256)
-        for c, w in zip(contexts[:self.settings.shared + 1], wholes):
-            valid = np.flatnonzero(w)
-            p[valid] = (self._look(self.grams, w[valid]) + 5 * p[valid]) / (self._look(self.contexts, c[valid]) + 5)
-        return p
 
+def _low(k: int) -> int:
+    """Mask of a site's byte and ``k`` bytes of context."""
+    return (1 << 8 * min(k + 1, ORDER)) - 1
 
-def model_counts(labelled: DataFrame, settings: Settings) -> tuple[DataFrame, Shared]:
-    """key, n0, n1, kept0, kept1 of the long contexts and their n-grams, landed; and the shared counts."""
-    words = landed(word_counts(labelled))
-    totals = words.agg(F.sum("ordinary").alias("o"), F.sum("toxic").alias("t")).first()
-    scale = (totals["t"] or 1) / max(totals["o"] or 1, 1)
-    counts = landed(gram_counts(words, settings).select(
-        "gram", "context", "level", (F.col("ordinary") * scale).alias("c0"), F.col("toxic").cast("double").alias("c1")
-    ))
-    discard(words)
-    long = counts.where(F.col("level") > settings.shared)
-    kept = [F.sum(F.greatest(F.col(c) - settings.discount, F.lit(0.0))).alias(k) for c, k in (("c0", "kept0"), ("c1", "kept1"))]
-    contexts = long.groupBy(F.col("context").alias("key")).agg(F.sum("c0").alias("n0"), F.sum("c1").alias("n1"), *kept)
-    whole = long.select(F.col("gram").alias("key"), F.col("c0").alias("n0"), F.col("c1").alias("n1"), F.lit(0.0).alias("kept0"), F.lit(0.0).alias("kept1"))
-    table = landed(whole.unionByName(contexts))
-    shared = Shared(counts, settings)
-    discard(counts)
-    return table, shared
 
+def _named(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    named, inverse = np.unique(keys, return_inverse=True)
+    return named, np.bincount(inverse, n, len(named))
 
-def vocabulary(documents: DataFrame) -> DataFrame:
-    """word, n: the distinct words of all documents."""
 
-    def work(batch):
-        from collections import Counter
+def _look(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> np.ndarray:
+    named, n = table
+    if not len(named):
+        return np.zeros(len(keys))
+    place = np.minimum(np.searchsorted(named, keys), len(named) - 1)
+    return np.where(named[place] == keys, n[place], 0.0)
 
-        for part in parts(batch, 32 << 20):
-            found = Counter()
-            for text in binary(part, "text"):
-                found.update(split_words(text))
-            yield {"word": list(found), "n": list(found.values())}
 
-    return arrow_map(documents, work, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+def refined(sites: np.ndarray, k: int, table: tuple[np.ndarray, np.ndarray], shorter: np.ndarray, discount: float) -> np.ndarray:
+    """Probability of each site by ``k`` bytes of context, from those by one byte less; unseen contexts add nothing."""
+    grams, n = table
+    kept = np.maximum(n - discount, 0)
+    key = sites & _low(k)
+    total = _look(_named(grams >> 8, n), key >> 8)
+    left = total - _look(_named(grams >> 8, kept), key >> 8)
+    return np.where(total > 0, (_look((grams, kept), key) + left * shorter) / np.maximum(total, 1e-9), shorter)
 
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    import xxhash
+def continuations(sites: np.ndarray, n: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """n-grams with ``k`` bytes of context and their Kneser-Ney counts, from sites that were seen.
 
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)).view(np.int64)
+    Occurrences for the longest contexts and those that begin with the word, distinct bytes to the left for others.
+    """
+    oldest = (sites >> 8 * k) & 255
+    whole = (oldest == START) if k < ORDER - 1 else (oldest != 0)
+    longer = np.unique(sites[(oldest != 0) & ~whole] & _low(k + 1)) & _low(k)
+    return _named(np.concatenate([sites[whole] & _low(k), longer]), np.concatenate([n[whole].astype(float), np.ones(len(longer))]))
 
 
-def packed_sites(words: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
-    """The site of every position behind a word's start sign, and its word number.
+class Shared:
+    """Probability of each site by one byte of context: at most 2^16 n-grams, of both classes."""
+
+    def __init__(self, sites: DataFrame, discount: float):
+        site = F.col("site")
+        # three bytes, then two: distinct bytes to the left, but occurrences behind the start sign
+        three = sites.where("ordinary + toxic > 0").groupBy(site.bitwiseAND(_low(2)).alias("gram")).agg(F.sum(F.col("ordinary") + F.col("toxic")).alias("n"))
+        begins = F.shiftright("gram", 8).bitwiseAND(255) == START
+        two = three.groupBy(F.col("gram").bitwiseAND(_low(1)).alias("key")).agg(F.sum(F.when(begins, F.col("n")).otherwise(1)).alias("n")).toPandas()
+        keys = two["key"].to_numpy(np.int64)
+        order = np.argsort(keys)
+        self.pairs = keys[order], two["n"].to_numpy(float)[order]
+        self.bytes = _named(keys & 255, np.ones(len(keys)))
+        self.discount = discount
+
+    def probabilities(self, sites: np.ndarray) -> np.ndarray:
+        p = np.full(len(sites), 1 / 256)
+        for k, table in enumerate((self.bytes, self.pairs)):
+            p = refined(sites, k, table, p, self.discount)
+        return p
+
+
+def log_ratios(sites: np.ndarray, ordinary: np.ndarray, toxic: np.ndarray, base: np.ndarray, discount: float) -> np.ndarray:
+    """Log of the toxic over the ordinary probability of each site.
 
-    A site is the position's byte and the ``order`` - 1 bytes before it, newest lowest, as far as the
-    word reaches; the top byte holds how many.
+    ``sites`` are all that share their two bytes of context, ``base`` their shared probabilities.
     """
-    flat = np.frombuffer(b"".join(b"\x02" + w + b"\x03" for w in words), np.uint8).astype(np.uint64)
-    sizes = np.fromiter((len(w) + 2 for w in words), np.int64, len(words))
-    word = np.repeat(np.arange(len(words)), sizes)
-    place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    site = np.minimum(place + 1, order).astype(np.uint64) << np.uint64(56)
-    for k in range(min(order, len(flat))):
-        earlier = np.concatenate([np.zeros(k, np.uint64), flat[:len(flat) - k]])
-        site |= np.where(place >= k, earlier, np.uint64(0)) << np.uint64(8 * k)
-    kept = np.flatnonzero(place > 0)
-    return site[kept].view(np.int64), word[kept]
-
-
-def site_grams(sites: np.ndarray, order: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """The hashes ``grams`` gives a position, from its site."""
-    sites = sites.view(np.uint64)
-    held_bytes = (sites >> np.uint64(56)).astype(np.int64)
-    byte = [((sites >> np.uint64(8 * k)) & np.uint64(255)) + np.uint64(1) for k in range(order)]
-    contexts, wholes, context = [], [], np.full(len(sites), 7, np.uint64)
-    for k in range(order):
-        if k:
-            context = context * np.uint64(0x100000001B3) + byte[k]
-        named = mix(context, 2 * k + 1)
-        whole = mix(named ^ (byte[0] * np.uint64(0x9E3779B97F4A7C15)), 2 * k + 2)
-        contexts.append(np.where(held_bytes > k, named, np.uint64(0)))
-        wholes.append(np.where(held_bytes > k, whole, np.uint64(0)))
-    return contexts, wholes
-
-
-def word_values(words: DataFrame, table: DataFrame, shared: Shared, settings: Settings) -> DataFrame:
+    logs = []
+    for n in (ordinary, toxic):
+        seen = n > 0
+        p = base
+        for k in range(2, ORDER):
+            reaches = (sites >> 8 * k) & 255 != 0
+            p = np.where(reaches, refined(sites, k, continuations(sites[seen], n[seen], k), p, discount), p)
+        logs.append(np.log(np.maximum(p, 1e-30)))
+    return logs[1] - logs[0]
+
+
+def site_ratios(sites: DataFrame, settings: Settings) -> DataFrame:
+    """site, n, ratio for every distinct site; memory: the sites of one pair of bytes."""
+    sent = sites.sparkSession.sparkContext.broadcast(Shared(sites, settings.discount))
+
+    def run(batches):
+        import pyarrow as pa
+
+        for _, site, n, ordinary, toxic in runs(batches, ("pair", "site", "n", "ordinary", "toxic")):
+            ratio = log_ratios(site, ordinary, toxic, sent.value.probabilities(site), settings.discount)
+            yield pa.RecordBatch.from_arrays([pa.array(site), pa.array(n), pa.array(ratio)], ["site", "n", "ratio"])
+
+    pair = F.shiftright("site", 8).bitwiseAND(0xFFFF).cast("int").alias("pair")
+    dealt = sites.select(pair, "site", "n", "ordinary", "toxic").repartition("pair").sortWithinPartitions("pair")
+    return dealt.mapInArrow(run, "site long, n long, ratio double")
+
+
+def word_values(words: DataFrame, settings: Settings) -> DataFrame:
     """word (hash), value: the mixture evidence of every word.
 
     Tasks know the ratios of the ``FREQUENT`` most common sites; a word's other sites meet theirs in a join.
     """
-    if settings.order > 7:
-        raise ValueError("a site holds 7 bytes at most")
     context = words.sparkSession.sparkContext
-    sent = context.broadcast((bit_table(table.select(F.col("key").alias("hash")), FILTER_BITS), shared))
-    levels = range(settings.shared + 1, settings.order)
-
-    def cut(batch):
-        listed = batch.column("word").to_pylist()
-        for at, end in slices(listed):
-            site, n = np.unique(packed_sites(listed[at:end], settings.order)[0], return_counts=True)
-            yield {"site": site, "n": n}
-
-    def looks(batch):
-        bits = sent.value[0]
-        site = batch.column("site").to_numpy()
-        contexts, wholes = site_grams(site, settings.order)
-        base = sent.value[1].probabilities(contexts, wholes)
-        for k in levels:
-            for slot, key in ((2 * k, wholes[k]), (2 * k + 1, contexts[k])):
-                spot = np.mod(key.view(np.int64), np.int64(FILTER_BITS))
-                where = np.flatnonzero((key != 0) & ((bits[spot >> 6] >> (spot & 63)) & 1).astype(bool))
-                yield {"site": site[where], "slot": np.full(len(where), slot, np.int32), "key": key[where].view(np.int64), "base": base[where]}
-
-    sites = landed(arrow_map(words.select("word"), cut, "site long, n long").groupBy("site").agg(F.sum("n").alias("n")))
-    found = arrow_map(sites.select("site"), looks, "site long, slot int, key long, base double").join(table, "key")
-    wide = found.groupBy("site").agg(F.max("base").alias("base"), *(
-        F.coalesce(F.max(F.when(F.col("slot") == 2 * k + i, F.col(n))), F.lit(0.0)).alias(f"{n}_{2 * k + i}")
-        for k in levels for i in (0, 1) for n in ("n0", "n1", "kept0", "kept1")[:4 if i else 2]
-    ))
-    p = [F.col("base"), F.col("base")]
-    for k in levels:
-        for side in (0, 1):
-            total, gram, kept = F.col(f"n{side}_{2 * k + 1}"), F.col(f"n{side}_{2 * k}"), F.col(f"kept{side}_{2 * k + 1}")
-            seen = F.when(total > 0, F.greatest(gram - settings.discount, F.lit(0.0)) / total).otherwise(0.0)
-            left = F.when(total > 0, F.greatest(total - kept, F.lit(0.0)) / total).otherwise(1.0)
-            p[side] = seen + left * p[side]
-    least = F.lit(1e-30)
-    # a site without counts of a class is not among them: its ratio is 0
-    ratios = landed(wide.select("site", F.log(F.greatest(p[1], least) / F.greatest(p[0], least)).alias("ratio")))
-    common = sites.orderBy(F.desc("n"), "site").limit(FREQUENT).join(ratios, "site", "left")
-    frame = common.select("site", F.coalesce("ratio", F.lit(0.0)).alias("ratio")).toPandas().sort_values("site")
+    sites = landed(site_counts(words))
+    ratios = landed(site_ratios(sites, settings))
+    discard(sites)
+    frame = ratios.orderBy(F.desc("n"), "site").limit(FREQUENT).select("site", "ratio").toPandas().sort_values("site")
     told = context.broadcast((frame["site"].to_numpy(np.int64), frame["ratio"].to_numpy(float)))
 
     def add(batch):
-        known, ratio = told.value
         listed = batch.column("word").to_pylist()
+        known, ratio = told.value
         for at, end in slices(listed):
-            site, word = packed_sites(listed[at:end], settings.order)
+            site, word = packed_sites(listed[at:end])
             place = np.minimum(np.searchsorted(known, site), len(known) - 1)
             hit = known[place] == site
             others = np.split(site[~hit], np.searchsorted(word[~hit], np.arange(1, end - at)))
             yield {"word": word_hashes(listed[at:end]), "known": np.bincount(word, np.where(hit, ratio[place], 0.0), end - at), "others": others}
 
     rows = landed(arrow_map(words.select("word"), add, "word long, known double, others array<long>"))
-    others = rows.select("word", F.explode("others").alias("site")).join(ratios, "site").groupBy("word").agg(F.sum("ratio").alias("more"))
+    others = rows.select("word", F.explode("others").alias("site")).join(ratios.select("site", "ratio"), "site")
+    more = others.groupBy("word").agg(F.sum("ratio").alias("more"))
     ratio = F.col("known") + F.coalesce("more", F.lit(0.0))
     clipped = F.least(F.greatest(ratio, F.lit(-50.0)), F.lit(50.0))
-    values = landed(rows.join(others, "word", "left").select("word", F.log1p(settings.share * F.expm1(clipped)).alias("value")))
-    discard(sites, ratios, rows)
+    values = landed(rows.join(more, "word", "left").select("word", F.log1p(settings.share * F.expm1(clipped)).alias("value")))
+    discard(ratios, rows)
     return values
 
 
@@ -384,6 +316,19 @@ def logistic(bins: list[tuple[float, int, int]]) -> tuple[float, float]:
     return float(w[0] / width), float(w[1] - w[0] * middle / width)
 
 
+def hinted(documents: DataFrame, marks: DataFrame) -> DataFrame:
+    """The documents whose id may be among ``marks``: all that are, and few others."""
+    sent = documents.sparkSession.sparkContext.broadcast(bit_table(marks.select(F.xxhash64("doc_id").alias("hash")), FILTER_BITS))
+
+    def run(batches):
+        for batch in batches:
+            spot = np.mod(batch.column("hash").to_numpy(), np.int64(FILTER_BITS))
+            yield batch.filter((sent.value[spot >> 6] >> (spot & 63)) & 1 == 1)
+
+    rows = documents.select("doc_id", "text", F.xxhash64("doc_id").alias("hash"))
+    return rows.mapInArrow(run, "doc_id long, text string, hash long").drop("hash")
+
+
 def judged(documents: DataFrame, labels: DataFrame, settings: Settings) -> DataFrame:
     """doc_id, digest, score of every row, learned from the labelled documents that are not held out.
 
@@ -396,13 +341,12 @@ def judged(documents: DataFrame, labels: DataFrame, settings: Settings) -> DataF
     )
     part = F.shiftright(F.crc32(F.col("doc_id").cast("string").cast("binary")), 2) % settings.curve_share
     base = keyed(documents)
-    # labels grow with the corpus and are not broadcast at any size
-    labelled = base.where(~held_out()).where(part != 0).join(marks.hint("merge"), "doc_id").select("doc_id", "text", "toxic")
-    table, shared = model_counts(labelled, settings)
+    # labels grow with the corpus and are not broadcast at any size; a filter keeps texts without labels from the shuffle
+    marked = marks.where(~held_out()).where(part != 0)
+    labelled = hinted(base.where(~held_out()).where(part != 0), marked).join(marked.hint("merge"), "doc_id").select("text", "toxic")
+    words = landed(word_counts(base, labelled))
     returned()
-    words = landed(vocabulary(base))
-    values = word_values(words, table, shared, settings)
-    discard(table)
+    values = word_values(words, settings)
     seen = evidence(base, words, values)
     discard(words)
     curve = seen.where(~held_out()).where(part == 0).join(marks, "doc_id")

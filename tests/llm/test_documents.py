@@ -59,63 +59,99 @@ def test_toxicity_without_data(spark):
     assert toxicity.score(frame.where("doc_id < 0"), none).count() == 0
 
 
-def test_toxicity_counts_are_told_apart(spark, words, monkeypatch):
-    """Scores follow the model of exact counts, whatever the slots of the form in memory."""
-    docs = [(i, " ".join(random.choice(words) + random.choice(["", "x", "idiot"][:2 + (i % 5 == 0)]) for _ in range(40))) for i in range(300)]
+class Spelling:
+    """Kneser-Ney over the letters of words from dictionaries of byte strings, written apart from the operator."""
+
+    def __init__(self, words, shared):
+        """``words``: counts of each class; contexts of up to ``shared`` bytes take both."""
+        self.counts = []
+        whole = [Counter(), Counter()]
+        for w in set(words[0]) | set(words[1]):
+            for gram in self.grams(w):
+                for c in (0, 1):
+                    whole[c][gram] += words[c][w]
+        both = [whole[0] + whole[1]] * 2
+        for k in range(7):
+            self.counts.append([self.level({g for g in t if t[g] > 0}, t, k) for t in (both if k <= shared else whole)])
+
+    @staticmethod
+    def grams(word):
+        spelled = b"\x02" + word + b"\x03"
+        return [spelled[max(i - 6, 0):i + 1] for i in range(1, len(spelled))]
+
+    @staticmethod
+    def level(seen, n, k):
+        left = defaultdict(set)
+        for g in seen:
+            if len(g) > k + 1:
+                left[g[-k - 1:]].add(g[-k - 2])
+        found = defaultdict(dict)
+        for g, x in left.items():
+            found[g[:-1]][g[-1]] = len(x)
+        for g in seen:
+            if len(g) == k + 1 and (k == 6 or g[0] == 2):
+                found[g[:-1]][g[-1]] = n[g]
+        return found
+
+    def probability(self, context, byte, c):
+        p = 1 / 256
+        for k in range(len(context) + 1):
+            counts = self.counts[k][c].get(context[len(context) - k:])
+            if counts:
+                total = sum(counts.values())
+                p = (max(counts.get(byte, 0) - 0.75, 0) + sum(min(n, 0.75) for n in counts.values()) * p) / total
+        return p
+
+    def ratio(self, word):
+        return sum(np.log(self.probability(g[:-1], g[-1], 1) / self.probability(g[:-1], g[-1], 0)) for g in self.grams(word))
+
+
+def test_toxicity_follows_an_independent_model(spark, words, monkeypatch):
+    some = words + ["", "\x02a", "é" * 9, "a\x00b", "x" * 30]
+    docs = [(i, " ".join(random.choice(some) + random.choice(["", "x", "idiot"][:2 + (i % 5 == 0)]) for _ in range(40))) for i in range(300)]
+    docs += [(1000, None), (1001, ""), (1002, "never seen words"), (3, docs[3][1]), (1003, docs[3][1])]
     labels = [(i, int(i % 5 == 0)) for i in range(300)]
-    frame, marks = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
     part = lambda i: (zlib.crc32(str(i).encode()) >> 2) % 6
+    split = lambda t: [w.strip(toxicity.STRIP) for w in re.sub(b"[\x00\x02\x03]", b"\x01", (t or "").encode()).lower().split()]
     counts = [Counter(), Counter()]
     for i, text in docs:
-        if not held(i) and part(i):
-            counts[i % 5 == 0].update(toxicity.split_words(text.encode()))
-    scale = sum(counts[1].values()) / sum(counts[0].values())
-    large = toxicity.Settings(gram_bits=24, context_bits=24)
-    tables = {f"{n}{i}": np.zeros(1 << 24) for n in ("gram", "all", "kept") for i in (0, 1)}
-    for i, factor in ((0, scale), (1, 1.0)):
-        listed = list(counts[i])
-        contexts, wholes, word = toxicity.grams(listed, large.order)
-        sums = Counter()
-        for c, w in zip(contexts, wholes):
-            for k in np.flatnonzero(w):
-                sums[int(w[k]) & (1 << 24) - 1, int(c[k]) & (1 << 24) - 1] += counts[i][listed[word[k]]] * factor
-        for (gram, context), n in sums.items():
-            tables[f"gram{i}"][gram] += n
-            tables[f"all{i}"][context] += n
-            tables[f"kept{i}"][context] += max(n - large.discount, 0)
-    contexts, wholes, word = toxicity.grams([b"idiot", b"", b"a"], 7)
-    site, number = toxicity.packed_sites([b"idiot", b"", b"a"], 7)
-    inside = wholes[0] != 0
-    for a, b in zip(toxicity.site_grams(site, 7), (contexts, wholes)):
-        assert all((x == y[inside]).all() for x, y in zip(a, b)) and (number == word[inside]).all()
-    model = toxicity.Model(large, tables)
-    want = {i: np.mean(np.log1p(0.05 * np.expm1(np.clip(model.ratios(toxicity.split_words(t.encode())), -50, 50)))) for i, t in docs}
-    monkeypatch.setattr(toxicity, "FREQUENT", 64)  # most words and sites come by the joins
-    got = {r.doc_id: r.score for r in toxicity.score(frame, marks, toxicity.Settings(gram_bits=8, context_bits=8)).collect()}
-    logit = np.asarray([np.log(got[i] / (1 - got[i])) for i in sorted(want)])
-    evidence = np.asarray([want[i] for i in sorted(want)])
-    slope, shift = np.polyfit(evidence, logit, 1)
-    assert slope > 0 and np.abs(logit - slope * evidence - shift).max() < 1e-3 * np.ptp(logit)
+        if i < 300 and not held(i) and part(i):
+            counts[i % 5 == 0].update(split(text))
+    model = Spelling(counts, 1)
+    ratio = {w: np.clip(model.ratio(w), -50, 50) for _, t in docs for w in split(t)}
+    mean = lambda t: np.mean([np.log1p(0.05 * np.expm1(ratio[w])) for w in split(t)] or [0.0])
+    frame, marks = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    for frequent in (64, 1 << 16):  # most words and sites come by the joins, then none
+        monkeypatch.setattr(toxicity, "FREQUENT", frequent)
+        rows = toxicity.score(frame, marks).collect()
+        assert sorted(r.doc_id for r in rows) == sorted(i for i, _ in docs)
+        got = {r.doc_id: np.log(r.score / (1 - r.score)) for r in rows}
+        evidence, logit = np.asarray([mean(t) for _, t in docs]), np.asarray([got[i] for i, _ in docs])
+        slope, shift = np.polyfit(evidence, logit, 1)
+        assert slope > 0 and np.abs(logit - slope * evidence - shift).max() < 1e-6 * np.ptp(logit)
 
 
 def test_kneser_ney_probabilities_add_up():
-    """Over all next bytes the mixture of a long context and its backoff is a distribution."""
-    settings = toxicity.Settings(order=4, gram_bits=20, context_bits=18)
-    listed, counts = [b"abc", b"abd", b"xbc"], [np.asarray([5, 2, 1]), np.asarray([1, 7, 0])]
-    contexts, wholes, word = toxicity.grams(listed, settings.order)
-    tables = {f"{n}{i}": np.zeros(1 << (20 if n == "gram" else 18), np.float32) for n in ("gram", "all", "kept") for i in (0, 1)}
-    sums = defaultdict(float)
-    for c, w in zip(contexts, wholes):
-        for k in np.flatnonzero(w):
-            for i in (0, 1):
-                sums[i, int(w[k]) & (1 << 20) - 1, int(c[k]) & (1 << 18) - 1] += counts[i][word[k]]
-    for (i, gram, context), n in sums.items():
-        tables[f"gram{i}"][gram] += n
-        tables[f"all{i}"][context] += n
-        tables[f"kept{i}"][context] += max(n - settings.discount, 0)
-    model = toxicity.Model(settings, tables)
-    assert model.ratios([b"abd"])[0] > 0 > model.ratios([b"abc"])[0]
-    assert abs(model.ratios([b"zzz"])[0]) < 0.7
+    """Over all next bytes, seen context or not, each class's probabilities are a distribution; equal to the dictionaries'."""
+    counts = [Counter({b"abc": 5, b"abd": 1, b"bananas": 3, b"": 2}), Counter({b"abc": 2, b"abd": 7, b"ananas": 1, b"bananarama": 4})]
+    model = Spelling(counts, 1)
+    contexts = {g[:-1] for c in counts for w in c for g in Spelling.grams(w)} | {b"zzzzan", b"\x02q"}
+    for context in contexts:
+        for c in (0, 1):
+            assert abs(sum(model.probability(context, x, c) for x in range(256)) - 1) < 1e-12
+    words = sorted(set(counts[0]) | set(counts[1]) | {b"zzz", b"banal"})
+    site, word = toxicity.packed_sites(words)
+    named, first, inverse = np.unique(site, return_index=True, return_inverse=True)
+    n = [np.bincount(inverse, np.asarray([c[w] for w in words])[word]) for c in counts]
+    for pair in np.unique(named >> 8 & 0xFFFF):
+        mine = np.flatnonzero((named >> 8 & 0xFFFF) == pair)
+        for i, s in zip(mine, named[mine]):
+            gram = int(s).to_bytes(8, "big").lstrip(b"\x00")
+            base = np.full(len(mine), model.probability(gram[-2:-1], gram[-1], 0))
+            got = toxicity.log_ratios(named[mine], n[0][mine], n[1][mine], base, 0.75)[list(mine).index(i)]
+            want = np.log(model.probability(gram[:-1], gram[-1], 1) / model.probability(gram[:-1], gram[-1], 0))
+            assert abs(got - want) < 1e-9
+    assert model.ratio(b"abd") > 0 > model.ratio(b"abc")
 
 
 def test_language_id(spark):

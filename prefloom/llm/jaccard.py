@@ -12,7 +12,7 @@ per shingle bounds the symmetric difference from below; what remains is verified
 Documents with equal sets are one class and join once. Inside a group of equal segments all classes
 are first compared with one centre, the class with the largest share of segments in common with
 others. Where that leaves a group in more than one component, the classes of different components
-are compared by sketch, in blocks, and the pairs that pass are verified. No link is lost: any two
+are compared by sketch, in blocks, each pair at the first key it shares, and the pairs that pass are verified. No link is lost: any two
 classes of a group are in one component, or were compared.
 """
 
@@ -31,6 +31,9 @@ WORDS = 5
 NUMERATOR, DENOMINATOR = 75, 100
 BAND = 3.0
 BLOCK = 4096
+#: A block knows each node's first few torn keys, to leave pairs to the first key they share.
+FIRST_KEYS = 8
+LAST_KEY = (1 << 63) - 1
 
 
 @dataclass(frozen=True)
@@ -241,20 +244,24 @@ def _possible(n1, n2, distance):
 def across_components(rows: DataFrame) -> DataFrame:
     """Pairs (a, b) of one block whose components differ and which size and sketch allow.
 
-    ``rows`` has block, node, component, n and sketch; a block holds at most two times BLOCK nodes.
+    ``rows`` has block, key, mine (a node's part of its key), pure (a block of one part), node, component,
+    n, sketch and first (the node's ``FIRST_KEYS`` smallest keys, filled up with ``LAST_KEY``); a block holds at
+    most two times BLOCK nodes. A block of two parts compares one with the other only, and a pair with
+    an earlier key in common among the first ones of both is left to that key, where it is met too.
     """
 
     def run(batches):
         import pyarrow as pa
 
         done: set[tuple[int, int]] = set()
-        for _, node, comp, n, sketch in runs(batches, ("block", "node", "component", "n", "sketch")):
-            node, first = np.unique(node, return_index=True)
-            comp, n = comp[first], n[first]
+        for _, key, side, pure, node_of, comp, n, sketch, first in runs(batches, ("block", "key", "mine", "pure", "node", "component", "n", "sketch", "first")):
+            once = np.unique(node_of, return_index=True)[1]
             found = []
             # in order of size, the possible partners of a node are a range above it
-            order = np.argsort(n, kind="stable")
-            node, comp, n, sketch = node[order], comp[order], n[order], sketch[first][order]
+            order = once[np.argsort(n[once], kind="stable")]
+            node, comp, n, sketch, part = node_of[order], comp[order], n[order], sketch[order], np.where(pure[order], -1 - np.arange(len(order)), side[order])
+            early = np.stack(first[order])
+            early = np.where(early < key[0], early, LAST_KEY)
             words = np.fromiter(map(len, sketch), np.int64, len(node)) // 8
             above = np.searchsorted(n, DENOMINATOR * n // NUMERATOR, side="right")
             tables: dict[int, tuple[int, np.ndarray]] = {}
@@ -267,11 +274,13 @@ def across_components(rows: DataFrame) -> DataFrame:
                     table = np.concatenate([table, _folded(larger[: len(own)])])
                 tables[int(size)] = (int(mine[0]), table)
             for i in range(len(node) - 1):
-                others = np.flatnonzero(comp[i + 1:above[i]] != comp[i]) + i + 1
+                others = np.flatnonzero((comp[i + 1:above[i]] != comp[i]) & (part[i + 1:above[i]] != part[i])) + i + 1
                 if len(others):
                     start, table = tables[int(words[i])]
                     near = np.bitwise_count(table[others - start] ^ table[i - start]).sum(axis=1, dtype=np.int64)
-                    for j in others[_possible(n[others], n[i], near)].tolist():
+                    others = others[_possible(n[others], n[i], near)]
+                    own = early[i][early[i] < LAST_KEY]
+                    for j in others[~np.isin(early[others], own).any(axis=1)].tolist():
                         found.append((int(min(node[i], node[j])), int(max(node[i], node[j]))))
             fresh = [p for p in found if p not in done]
             if len(done) > REMEMBERED:
@@ -357,14 +366,19 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     placed = shared.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
     torn = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m"))
     torn = torn.where("lo <> hi").select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+    split = landed(placed.join(torn, "key"))
+    keys = F.array_sort(F.collect_set("key"))
+    first_keys = F.slice(F.concat(keys, F.array_repeat(F.lit(LAST_KEY), FIRST_KEYS)), 1, FIRST_KEYS)
+    known = plain.join(split.groupBy("node").agg(first_keys.alias("first")), "node")
     mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    blocked = placed.join(torn, "key").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    blocked = split.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     blocked = blocked.select(
-        F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("block"), "node", "component"
+        F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("block"), "key", "mine",
+        (F.col("mine") == F.col("other")).alias("pure"), "node", "component",
     )
-    second = across_components(blocked.join(plain, "node")).distinct().join(first, ["a", "b"], "left_anti")
+    second = across_components(blocked.join(known, "node")).distinct().join(first, ["a", "b"], "left_anti")
     second = landed(second)
-    discard(shared)
+    discard(shared, split)
     more = second.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(sets.select("node"), "node", "left_anti")
     sets_too = sets.unionByName(landed(_sets(more, info, base)))
     links_too = landed(verified(second, sets_too))

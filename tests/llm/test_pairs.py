@@ -40,7 +40,10 @@ def family_documents():
     return texts + ["", " \t", "one two", "ONE\x0btwo", "one two", None, "Ünï cödé wörds here now", "ünï cödé wörds here now"]
 
 
-def test_near_duplicates(spark):
+@pytest.mark.parametrize("block, first", [(4096, 8), (5, 2), (3, 0)])
+def test_near_duplicates(spark, monkeypatch, block, first):
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "FIRST_KEYS", first + 1)
     texts = family_documents()
     random.shuffle(texts)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(frame(spark, enumerate(texts))).collect()}

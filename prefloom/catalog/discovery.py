@@ -197,6 +197,12 @@ def _(i):
     return cand.scoring_pool(i.candidates, 3, 1000, with_model=False).select("candidate_id", "run_id")
 
 
+@query("f14_local_pool", f"""WITH {GATED}, s AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY run_id ORDER BY discovery_index) AS p FROM ga),
+e AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY run_id ORDER BY discovery_index) AS q FROM s WHERE p <= 120 AND reason IS NULL) SELECT candidate_id, run_id FROM e WHERE q <= 12""")
+def _(i):
+    return cand.local_pool(gated(i), 4, True, F.col("reason").isNull()).select("candidate_id", "run_id")
+
+
 SIZED = "sz AS (SELECT *, COALESCE(TRY_CAST(bytes AS BIGINT), 0) AS size FROM fx_candidates)"
 
 

@@ -117,6 +117,16 @@ def _(i):
     return scored.select("user_id", "image_id", rounded("predicted_utility").alias("predicted_utility"))
 
 
+@query("i17_scoring_violations", """WITH st AS (SELECT image_id FROM fx_images WHERE active)
+SELECT DISTINCT c.user_id, c.candidate_id AS image_id, CASE WHEN i.image_id IS NULL THEN 'unknown-image' ELSE 'missing-vector' END AS "check" FROM fx_candidates c
+LEFT JOIN fx_images i ON i.image_id = c.candidate_id LEFT JOIN st ON st.image_id = c.candidate_id WHERE st.image_id IS NULL""")
+def _(i):
+    # candidates ask for scores under their own number; only active items have a vector
+    wanted = i.candidates.select("user_id", F.col("candidate_id").alias("image_id"))
+    stored = i.images.filter("active").select("image_id", F.col("embedding").alias("vector"))
+    return features.scoring_violations(wanted, i.images, stored)
+
+
 GATE = """g AS (SELECT id, id % 7 AS validation_pairs, id % 6 AS validation_ratings, id % 45 AS training_pairs, id % 11 AS training_ratings, CASE WHEN id % 7 > 0 THEN (40 + id % 40) / 100.0E0 END AS pa, CASE WHEN id % 7 > 0 THEN (50 + id % 35) / 100.0E0 END AS pl, 0.693E0 AS pbl,
  CASE WHEN id % 4 > 0 THEN (45 + id % 30) / 100.0E0 END AS fa, CASE WHEN id % 4 > 0 THEN (50 + id % 31) / 100.0E0 END AS fl, CASE WHEN id % 4 > 0 THEN (45 + id % 23) / 100.0E0 END AS qa, CASE WHEN id % 4 > 0 THEN (50 + id % 29) / 100.0E0 END AS ql,
  (120 + id % 60) / 100.0E0 AS ol, (60 + id % 40) / 100.0E0 AS om, 1.6E0 AS obl, 0.8E0 AS obm, CASE WHEN id % 3 > 0 THEN (120 + id % 50) / 100.0E0 END AS ofl, CASE WHEN id % 3 > 0 THEN (60 + id % 37) / 100.0E0 END AS ofm, CASE WHEN id % 3 > 0 THEN (125 + id % 43) / 100.0E0 END AS oql, CASE WHEN id % 3 > 0 THEN (60 + id % 41) / 100.0E0 END AS oqm FROM fx_models)"""

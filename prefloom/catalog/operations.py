@@ -59,10 +59,12 @@ def _(i):
     return decisions.backlog(lib(i), i.ratings)
 
 
-@query("d15_local_state", """SELECT user_id, MAX(comparison_count) AS last_trained, MAX(comparison_count) >= 20 AND MAX(comparison_count) - MIN(comparison_count) >= 10 AS due FROM fx_models GROUP BY user_id""")
+@query("d15_local_state", f"""WITH {LIB}, l AS (SELECT user_id, COUNT(*) FILTER (WHERE matches = 0) AS unranked FROM lib GROUP BY user_id),
+n AS (SELECT user_id, COUNT(*) AS comparisons FROM fx_comparisons GROUP BY user_id), m AS (SELECT user_id, MAX(comparison_count) AS last_trained FROM fx_models GROUP BY user_id),
+u AS (SELECT user_id, COALESCE(unranked, 0) AS unranked, COALESCE(comparisons, 0) AS comparisons FROM l FULL JOIN n USING (user_id))
+SELECT u.user_id, unranked, comparisons, last_trained, comparisons >= 20 AND (last_trained IS NULL OR comparisons - last_trained >= 50) AS train_due, unranked < 20 AS crawl_due FROM u LEFT JOIN m ON m.user_id = u.user_id""")
 def _(i):
-    counts = i.models.groupBy("user_id").agg(F.max("comparison_count").alias("last_trained"), F.min("comparison_count").alias("_low"))
-    return counts.select("user_id", "last_trained", decisions.local_training_due(F.col("last_trained"), F.col("_low"), 20, 10).alias("due"))
+    return decisions.decide_local(decisions.local_state(lib(i), i.comparisons, i.models))
 
 
 def _next(last: str, first: int, early: int, limit: int, mature: int) -> str:
@@ -115,39 +117,46 @@ LEFT JOIN (SELECT user_id, id, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY
 LEFT JOIN (SELECT user_id, id, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY id) AS rn FROM fx_ratings) r ON r.user_id = s2.user_id AND r.rn = pinned_rating)"""
 
 
-@query("i20_training_decision", f"""WITH {PINNED}, {CUTS}, tj AS (SELECT * FROM jc WHERE kind = 'train' AND comparison_cutoff = '0' AND rating_cutoff = '0'),
-att AS (SELECT user_id, COUNT(*) FILTER (WHERE status IN ('failed','skipped') AND finished_at >= TIMESTAMP '2024-01-28 23:00:00' - INTERVAL 7 DAY) AS attempts, BOOL_OR(run_day = '2024-01-28') AS today FROM tj GROUP BY user_id)
-SELECT pin.user_id, cutc AS comparison_cutoff, cutr AS rating_cutoff, CASE WHEN NOT due THEN 'not-due' WHEN COALESCE(attempts, 0) >= 3 THEN 'attempt-cap' WHEN COALESCE(today, FALSE) THEN 'retry-backoff' ELSE 'schedule' END AS decision
-FROM pin LEFT JOIN att ON att.user_id = pin.user_id""")
+LATE = "TIMESTAMP '2024-01-28 23:00:00'"
+
+
+def _jobs_sql(at: str) -> str:
+    """The job log as known at a moment, after stale jobs have expired, with the oldest active job per user."""
+    stale = f"st IN ('queued','running') AND created_at < {at} - INTERVAL 20 MINUTE"
+    return f"""kn AS (SELECT *, CASE WHEN finished_at > {at} THEN 'running' ELSE status END AS st, finished_at <= {at} AS done FROM fx_jobs WHERE created_at <= {at}),
+jb AS (SELECT id, user_id, kind, created_at, CASE WHEN done THEN output_json END AS output_json, CASE WHEN {stale} THEN 'failed' ELSE st END AS status,
+CASE WHEN {stale} THEN {at} WHEN done THEN finished_at END AS finished_at, json_extract_string(input_json, '$.comparison_cutoff') AS comparison_cutoff,
+COALESCE(json_extract_string(input_json, '$.rating_cutoff'), '0') AS rating_cutoff, json_extract_string(input_json, '$.run_day') AS run_day FROM kn),
+act AS (SELECT user_id, id AS active_job_id FROM (SELECT user_id, id, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY created_at, id) AS rn FROM jb WHERE status IN ('queued','running')) WHERE rn = 1)"""
+
+
+def jobs_at(i, at: str):
+    return decisions.with_cutoffs(decisions.expire_stale(decisions.as_known(i.jobs, F.expr(at)), F.expr(at)))
+
+
+@query("i20_training_decision", f"""WITH {PINNED}, {_jobs_sql(LATE)},
+att AS (SELECT user_id, comparison_cutoff, rating_cutoff, COUNT(*) FILTER (WHERE status IN ('failed','skipped') AND COALESCE(finished_at, created_at) >= {LATE} - INTERVAL 7 DAY) AS attempts, BOOL_OR(run_day = '2024-01-28') AS today FROM jb WHERE kind = 'train' GROUP BY ALL)
+SELECT pin.user_id, cutc AS comparison_cutoff, cutr AS rating_cutoff, active_job_id, CASE WHEN active_job_id IS NOT NULL THEN 'active-job' WHEN NOT due THEN 'not-due' WHEN COALESCE(attempts, 0) >= 3 THEN 'attempt-cap' WHEN COALESCE(today, FALSE) THEN 'retry-backoff' ELSE 'schedule' END AS decision
+FROM pin LEFT JOIN att ON att.user_id = pin.user_id AND att.comparison_cutoff = cutc AND att.rating_cutoff = cutr LEFT JOIN act ON act.user_id = pin.user_id""")
 def training_decision(i):
-    as_of = F.expr("TIMESTAMP '2024-01-28 23:00:00'")
-    rows = pinned_state(i)
-    # jobs logged for cutoffs 0 and 0 stand for those enqueued at the cutoffs pinned now
-    pins = rows.select("user_id", F.col("comparison_cutoff").alias("pc"), F.col("rating_cutoff").alias("pr"))
-    jobs = decisions.with_cutoffs(i.jobs).join(pins, "user_id")
-    zero = (F.col("comparison_cutoff") == "0") & (F.col("rating_cutoff") == "0")
-    jobs = jobs.withColumns({
-        "comparison_cutoff": F.when(zero, F.col("pc")).otherwise(F.col("comparison_cutoff")),
-        "rating_cutoff": F.when(zero, F.col("pr")).otherwise(F.col("rating_cutoff"))})
-    return decisions.decide_training(rows, decisions.training_attempts(jobs, as_of), as_of, F.lit(False)).select(
-        "user_id", "comparison_cutoff", "rating_cutoff", "decision")
-
-
-@query("i19_replenishment_decision", f"""WITH {LIB}, {CUTS},
-b AS (SELECT user_id, COUNT(*) FILTER (WHERE point_rating IS NULL AND image_id % 4 = 0) AS backlog, MAX(CASE WHEN point_rating IS NOT NULL THEN 1 ELSE 0 END) AS rating_cutoff FROM lib GROUP BY user_id),
-t AS (SELECT user_id, CAST(rating_cutoff AS BIGINT) AS rating_cutoff, COUNT(*) AS attempts, BOOL_OR(status IN ('queued','running','succeeded')) AS blocking FROM jc WHERE kind = 'crawl' AND run_day = '2024-01-28' GROUP BY ALL),
-im AS (SELECT user_id, SUM(TRY_CAST(json_extract_string(output_json, '$.imported') AS BIGINT)) AS n FROM fx_jobs WHERE kind = 'crawl' AND status = 'succeeded' AND finished_at >= TIMESTAMP '2024-01-28 00:00:00' GROUP BY user_id),
-z AS (SELECT b.*, t.attempts, t.blocking, CASE WHEN backlog > 50 THEN 0 ELSE LEAST(10, GREATEST(0, 100 - COALESCE(im.n, 0))) END AS size FROM b LEFT JOIN t ON t.user_id = b.user_id AND t.rating_cutoff = b.rating_cutoff LEFT JOIN im ON im.user_id = b.user_id),
-d AS (SELECT *, CASE WHEN backlog > 50 THEN 'label-backlog' WHEN COALESCE(blocking, FALSE) THEN 'daily-cap' WHEN COALESCE(attempts, 0) >= 3 THEN 'attempt-cap' WHEN size = 0 THEN 'daily-cap' ELSE 'schedule' END AS decision FROM z)
-SELECT user_id, backlog, decision, CAST(CASE WHEN decision = 'schedule' THEN size ELSE 0 END AS BIGINT) AS requested FROM d""")
+    as_of, jobs = F.expr(LATE), jobs_at(i, LATE)
+    rows = decisions.with_active_job(pinned_state(i), jobs)
+    out = decisions.decide_training(rows, decisions.training_attempts(jobs, as_of), as_of, F.col("active_job_id").isNotNull())
+    return out.select("user_id", "comparison_cutoff", "rating_cutoff", "active_job_id", "decision")
+
+
+@query("i19_replenishment_decision", f"""WITH {LIB}, {_jobs_sql(DURING)},
+b AS (SELECT user_id, COUNT(*) FILTER (WHERE point_rating IS NULL) AS backlog, COALESCE((SELECT MAX(id) FROM fx_ratings r WHERE r.user_id = lib.user_id), 0) AS rating_cutoff FROM lib GROUP BY user_id),
+t AS (SELECT user_id, CAST(rating_cutoff AS BIGINT) AS rating_cutoff, COUNT(*) AS attempts, BOOL_OR(status IN ('queued','running','succeeded')) AS blocking FROM jb WHERE kind = 'crawl' AND run_day = '2024-01-28' GROUP BY ALL),
+im AS (SELECT user_id, SUM(TRY_CAST(json_extract_string(output_json, '$.imported') AS BIGINT)) AS n FROM jb WHERE kind = 'crawl' AND status = 'succeeded' AND finished_at >= TIMESTAMP '2024-01-28 00:00:00' GROUP BY user_id),
+z AS (SELECT b.*, act.active_job_id, t.attempts, t.blocking, CASE WHEN backlog > 50 THEN 0 ELSE LEAST(10, GREATEST(0, 100 - COALESCE(im.n, 0))) END AS size FROM b LEFT JOIN t ON t.user_id = b.user_id AND t.rating_cutoff = b.rating_cutoff LEFT JOIN im ON im.user_id = b.user_id LEFT JOIN act ON act.user_id = b.user_id),
+d AS (SELECT *, CASE WHEN active_job_id IS NOT NULL THEN 'active-job' WHEN backlog > 50 THEN 'label-backlog' WHEN COALESCE(blocking, FALSE) THEN 'daily-cap' WHEN COALESCE(attempts, 0) >= 3 THEN 'attempt-cap' WHEN size = 0 THEN 'daily-cap' ELSE 'schedule' END AS decision FROM z)
+SELECT user_id, backlog, active_job_id, decision, CAST(CASE WHEN decision = 'schedule' THEN size ELSE 0 END AS BIGINT) AS requested FROM d""")
 def _(i):
-    # items outside every fourth id count as rated, so that some users fall below the trigger
-    rows = lib(i)
-    current = rows.groupBy("user_id").agg(
-        F.count_if(F.col("point_rating").isNull() & (F.col("image_id") % 4 == 0)).alias("backlog"),
-        F.max(F.col("point_rating").isNotNull().cast("bigint")).alias("rating_cutoff"))
-    out = decisions.decide_replenishment(current, decisions.with_cutoffs(i.jobs), F.expr(DURING), F.lit(False))
-    return out.select("user_id", "backlog", "decision", "requested")
+    jobs = jobs_at(i, DURING)
+    current = decisions.with_active_job(decisions.backlog(lib(i), i.ratings), jobs)
+    out = decisions.decide_replenishment(current, jobs, F.expr(DURING), F.col("active_job_id").isNotNull())
+    return out.select("user_id", "backlog", "active_job_id", "decision", "requested")
 
 
 @query("e11_retry_cap", f"""WITH {HEALTH_CUTS} SELECT user_id, comparison_cutoff, rating_cutoff FROM jc WHERE kind = 'train' AND comparison_cutoff IS NOT NULL AND status IN ('failed','skipped') AND created_at >= {NOW} - INTERVAL 7 DAY GROUP BY ALL HAVING COUNT(*) >= 3""")

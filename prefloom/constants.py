@@ -56,6 +56,14 @@ CRAWL_ATTEMPT_CAP = 3
 RETRY_WINDOW_DAYS = 7
 STALE_MINUTES = 20
 
+# Single-machine jobs
+LOCAL_MINIMUM = 20
+LOCAL_BATCH = 50
+LOCAL_UNRANKED = 20
+LOCAL_POOL_FACTOR = 3
+LOCAL_SCAN_FACTOR = 10
+LOCAL_SCAN_FLOOR = 100
+
 # Replenishment
 CRAWL_BATCH = 10
 CRAWL_DAILY_CAP = 100

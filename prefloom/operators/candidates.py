@@ -224,6 +224,17 @@ def scoring_pool(candidates: DataFrame, allowance: int, cap: int, with_model: bo
     return top_per_key(candidates, ["run_id"], [F.col("discovery_index")], target)
 
 
+def local_pool(candidates: DataFrame, limit: int, scored: bool, eligible: Column) -> DataFrame:
+    """The single-machine pool of a run: three times ``limit`` with a scorer, ``limit`` without.
+
+    Only eligible rows among the first ones of a scan budget enter it; the budget follows the pool's size.
+    """
+    pool = limit * (c.LOCAL_POOL_FACTOR if scored else 1)
+    budget = max(pool * c.LOCAL_SCAN_FACTOR, c.LOCAL_SCAN_FLOOR) if pool else 0
+    scanned = top_per_key(candidates, ["run_id"], [F.col("discovery_index")], budget, "scanned", spread="discovery_index")
+    return top_per_key(scanned.filter(eligible).drop("scanned"), ["run_id"], [F.col("discovery_index")], pool, spread="discovery_index")
+
+
 def action_diagnostics(candidates: DataFrame) -> DataFrame:
     """Seen and eligible candidates and the best taste score per action; ``eligible`` flags rows."""
     taste = F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("score")))

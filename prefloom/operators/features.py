@@ -50,6 +50,28 @@ def score_library(library: DataFrame, embeddings: DataFrame, models: DataFrame)
     return rows.withColumn("predicted_utility", dot(F.col("vector"), F.col("weights"))).drop("vector", "weights")
 
 
+def scoring_violations(wanted: DataFrame, images: DataFrame, embeddings: DataFrame) -> DataFrame:
+    """Rows of ``wanted`` (user_id, image_id) that cannot be scored, each once, with the check it fails.
+
+    unknown-image: null or not among ``images``; missing-vector: known, but without a stored vector.
+    """
+    rows = wanted.select("user_id", "image_id").distinct()
+    known = images.select("image_id").distinct().withColumn("_known", F.lit(True))
+    stored = embeddings.filter(F.col("vector").isNotNull()).select("image_id").distinct().withColumn("_stored", F.lit(True))
+    checked = rows.join(known, "image_id", "left").join(stored, "image_id", "left")
+    failed = F.when(F.col("_known").isNull(), "unknown-image").when(F.col("_stored").isNull(), "missing-vector")
+    return checked.select("user_id", "image_id", failed.alias("check")).filter(F.col("check").isNotNull())
+
+
+def score_requested(wanted: DataFrame, images: DataFrame, embeddings: DataFrame, models: DataFrame) -> DataFrame:
+    """Utilities of the (user, image) rows asked for; raises if one of them cannot be scored."""
+    bad = scoring_violations(wanted, images, embeddings).orderBy("check", "image_id").limit(5).collect()
+    if bad:
+        raise ValueError(f"items that cannot be scored, such as {[(r['user_id'], r['image_id'], r['check']) for r in bad]}")
+    rows = wanted.select("user_id", "image_id").distinct().withColumn("predicted_utility", F.lit(None).cast("double"))
+    return score_library(rows, embeddings, models)
+
+
 def cache_misses(wanted: DataFrame, cache: DataFrame) -> DataFrame:
     """(image, encoder) pairs that still need encoding."""
     return wanted.join(cache.select("image_id", "encoder"), ["image_id", "encoder"], "left_anti")

@@ -167,3 +167,20 @@ def test_thresholds_of_a_model_without_them(spark):
     heads = spark.createDataFrame([(1, [1.0], None), (2, [1.0], None), (3, [1.0], [0.0, 1.0, 2.0, 3.0])], "user_id bigint, weights array<double>, thresholds array<double>")
     got = {r["user_id"]: r["thresholds"] for r in model.with_user_thresholds(heads, rows).collect()}
     assert np.abs(np.array(got[1]) - true).max() < 0.15 and got[2] is None and got[3] == [0.0, 1.0, 2.0, 3.0]
+
+
+def test_items_that_cannot_be_scored(spark):
+    import pytest
+
+    from prefloom.operators import features
+
+    wanted = spark.createDataFrame([(1, 1), (1, 1), (1, 2), (2, 3), (2, None)], "user_id bigint, image_id bigint")
+    images = spark.createDataFrame([(1,), (2,), (2,)], "image_id bigint")
+    vectors = spark.createDataFrame([(1, [1.0, 2.0]), (2, None), (3, [0.0, 1.0])], "image_id bigint, vector array<double>")
+    models = spark.createDataFrame([(1, [0.5, 0.25])], "user_id bigint, weights array<double>")
+    bad = features.scoring_violations(wanted, images, vectors).collect()
+    assert sorted((r["user_id"], r["image_id"] or 0, r["check"]) for r in bad) == [(1, 2, "missing-vector"), (2, 0, "unknown-image"), (2, 3, "unknown-image")]
+    with pytest.raises(ValueError, match="missing-vector"):
+        features.score_requested(wanted, images, vectors, models)
+    got = features.score_requested(wanted.filter("image_id = 1"), images, vectors, models).collect()
+    assert [(r["user_id"], r["image_id"], r["predicted_utility"]) for r in got] == [(1, 1, 1.0)]

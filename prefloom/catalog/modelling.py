@@ -234,6 +234,14 @@ def _(i):
     return metrics.spearman(cells, ["user_id"], "value", "predicted").withColumn("spearman", rounded("spearman", 9))
 
 
+@query("m2_kendall", """WITH c AS (SELECT user_id, value AS x, (image_id * 13) % 101 AS y, COUNT(*) AS n FROM fx_ratings GROUP BY ALL)
+SELECT a.user_id, ROUND(SUM(a.n * b.n * sign(a.x - b.x) * sign(a.y - b.y)) / sqrt(CAST(SUM(a.n * b.n) FILTER (WHERE a.x <> b.x) AS DOUBLE) * CAST(SUM(a.n * b.n) FILTER (WHERE a.y <> b.y) AS DOUBLE)), 9) + 0.0 AS kendall
+FROM c a JOIN c b ON b.user_id = a.user_id GROUP BY a.user_id""")
+def _(i):
+    cells = metrics.contingency(i.ratings.withColumn("score", F.col("image_id") * 13 % 101), ["user_id"], "value", "score")
+    return metrics.kendall(cells, ["user_id"], "value", "score").withColumn("kendall", rounded("kendall", 9))
+
+
 @query("m2_ndcg", """WITH r AS (SELECT user_id, image_id, value, (image_id * 13) % 101 AS s FROM fx_ratings),
 a AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY s DESC, image_id) AS pa, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY value DESC, image_id) AS pb FROM r)
 SELECT user_id, ROUND(SUM(CASE WHEN pa <= 20 THEN (pow(2, value) - 1) / log2(pa + 1) ELSE 0 END) / SUM(CASE WHEN pb <= 20 THEN (pow(2, value) - 1) / log2(pb + 1) ELSE 0 END), 9) + 0.0 AS ndcg FROM a GROUP BY user_id""")

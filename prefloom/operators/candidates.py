@@ -186,12 +186,23 @@ def byte_budget(candidates: DataFrame, budget: int) -> DataFrame:
     return summed.withColumn("admitted", F.col("used_bytes") <= budget)
 
 
-def byte_budget_skipping(candidates: DataFrame, budget: int) -> DataFrame:
+def byte_budget_skipping(candidates: DataFrame, budget: int, fold_rows: int = 1 << 17) -> DataFrame:
     """Exact form for runs of any size: what does not fit is skipped and the next row is tried.
 
-    The rows of a run stream through one fold in their order, and the fold keeps one number per run.
-    A negative size counts like any other.
+    The rows of a run of at most ``fold_rows`` rows stream through a fold that keeps one number. Longer runs are settled
+    together in rounds of prefix sums, at most one for each binary digit of the budget. A null size is 0; a negative one
+    counts like any other, and its run is folded. ``discovery_index`` is unique in a run.
     """
+    rows = candidates.select("run_id", "discovery_index", F.coalesce(F.col("size").cast("bigint"), F.lit(0)).alias("size"))
+    sizes = rows.groupBy("run_id").agg(F.count("*").alias("n"), F.min("size").alias("least"))
+    long = landed(sizes.filter((F.col("n") > fold_rows) & (F.col("least") >= 0) & F.col("run_id").isNotNull()).select("run_id"))
+    if budget < 0 or long.isEmpty():
+        return _folded_budget(rows, budget)
+    short = _folded_budget(rows.join(long, "run_id", "left_anti"), budget)
+    return short.unionByName(_budget_in_rounds(landed(rows.join(long, "run_id", "left_semi")), long, budget))
+
+
+def _folded_budget(rows: DataFrame, budget: int) -> DataFrame:
     def admit(batches):
         import pandas as pd
 
@@ -206,12 +217,38 @@ def byte_budget_skipping(candidates: DataFrame, budget: int) -> DataFrame:
                 keep.append(fits)
             yield batch.loc[pd.Series(keep, index=batch.index, dtype=bool), ["run_id", "discovery_index"]]
 
-    rows = candidates.select("run_id", "discovery_index", F.coalesce(F.col("size").cast("bigint"), F.lit(0)).alias("size"))
     ordered = rows.repartition("run_id").sortWithinPartitions("run_id", "discovery_index")
     kind = {f.name: f.dataType.simpleString() for f in rows.schema}
     return ordered.mapInPandas(admit, f"run_id {kind['run_id']}, discovery_index {kind['discovery_index']}")
 
 
+def _budget_in_rounds(rows: DataFrame, runs: DataFrame, budget: int) -> DataFrame:
+    """Admission by the highest binary digit of what is left of each run's budget.
+
+    While that digit stays, rows below it always fit, and the first larger row that fits clears it. A round admits
+    all small rows up to the row that clears the digit, and that row; the next round starts behind it.
+    """
+    state = runs.select("run_id", F.lit(budget).cast("bigint").alias("left"), F.lit(None).cast("bigint").alias("after"))
+    kept = []
+    while True:
+        live = rows.join(state, "run_id").filter((F.col("size") <= F.col("left")) & (F.col("after").isNull() | (F.col("discovery_index") > F.col("after"))))
+        digit = F.expr("shiftleft(1L, length(bin(left)) - 1)")
+        live = live.withColumn("digit", digit).withColumn("small", F.col("size") < F.col("digit"))
+        chunk = id_chunk("discovery_index")
+        summed = running(live, ["run_id"], ["discovery_index"], chunk, {"before": F.when(F.col("small"), F.col("size")).otherwise(0)}, inclusive=False)
+        rest = F.col("left") - F.col("before") - F.col("size")
+        clears = F.when(F.col("small"), (F.col("size") > 0) & (rest < F.col("digit"))).otherwise(rest >= 0)
+        summed = landed(summed.select("run_id", "discovery_index", "size", "left", "small", rest.alias("rest"), clears.alias("clears")))
+        ends = landed(summed.filter("clears").groupBy("run_id").agg(F.min_by(F.struct("discovery_index", "rest"), "discovery_index").alias("end")))
+        until = summed.join(ends, "run_id", "left")
+        at = F.col("discovery_index")
+        inside = F.col("end").isNull() | (at < F.col("end.discovery_index"))
+        kept.append(until.filter((F.col("small") & inside) | (at == F.col("end.discovery_index"))).select("run_id", "discovery_index"))
+        if ends.isEmpty():
+            return reduce(DataFrame.unionByName, kept)
+        state = ends.select("run_id", F.col("end.rest").alias("left"), F.col("end.discovery_index").cast("bigint").alias("after"))
+
+
 def pool_cap(approved: DataFrame, target: int) -> DataFrame:
     """Mark approved rows beyond the scoring target as censored."""
     placed = ranked(approved, ["run_id"], ["discovery_index"], id_chunk("discovery_index"))

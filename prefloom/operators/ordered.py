@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prefloom.constants import CHUNK_BITS
+from prefloom.session import landed
 
 # Above this rank the optimizer no longer cuts groups before the shuffle by itself.
 NATIVE_GROUP_LIMIT = 1000
@@ -74,6 +75,21 @@ def ranked(
     return running(df, keys, order, chunk, {name: F.lit(1).cast("bigint")})
 
 
+def placed(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], name: str = "position") -> DataFrame:
+    """Add a 1-based position along any ``order`` for keys of any size.
+
+    One range sort over all keys, written once; a row's place is its place in the file plus the sizes of the files
+    before it, less the first place of its key. ``order`` decides every tie that matters; keys are not null.
+    """
+    files = df.orderBy(*keys, *order).withColumn("_file", F.spark_partition_id())
+    rows = landed(files.withColumn("_at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)))
+    sizes = rows.groupBy("_file").count()  # one row per shuffle partition
+    before = F.coalesce(F.sum("count").over(Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.join(sizes.select("_file", before.alias("_before")), "_file").withColumn("_at", F.col("_at") + F.col("_before"))
+    first = rows.groupBy(*keys).agg(F.min("_at").alias("_first"))
+    return rows.join(first, list(keys)).withColumn(name, F.col("_at") - F.col("_first") + 1).drop("_file", "_at", "_before", "_first")
+
+
 def previous(
     df: DataFrame,
     keys: Sequence[str],

@@ -33,7 +33,8 @@ def _(i):
 @query("k4_running_elo", REPLAY + "SELECT id, ROUND(lb + d, 6) + 0.0 AS left_elo_after, ROUND(rb - d, 6) + 0.0 AS right_elo_after FROM st WHERE n > 0")
 def running_elo(i):
     live.use_rocksdb(i.spark)
-    out = run_available(live.running_elo(i.stream("fx_comparisons")), "k4")
+    # the files hold ids in no order: what a later micro-batch brings is folded into the past of the earlier ones
+    out = run_available(live.running_elo(i.stream("fx_comparisons", files=4), recent=1 << 14), "k4")
     out = live.settle_late(out, i.comparisons)
     return out.select("id", rounded("left_elo_after").alias("left_elo_after"), rounded("right_elo_after").alias("right_elo_after"))
 

@@ -267,10 +267,11 @@ class Inputs:
         """Run Spark SQL over the tables and views of this directory."""
         return self._run(text)
 
-    def stream(self, name: str) -> DataFrame:
-        """A landed view as a file stream with its declared schema."""
+    def stream(self, name: str, files: int | None = None) -> DataFrame:
+        """A landed view as a file stream with its declared schema, ``files`` files to a micro-batch."""
         target = self._landed(name)
-        return self.spark.readStream.schema(self.spark.read.parquet(target).schema).parquet(target)
+        reader = self.spark.readStream.schema(self.spark.read.parquet(target).schema)
+        return (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(target)
 
     def view(self, name: str) -> DataFrame:
         return self.sql(f"SELECT * FROM {name}")

@@ -9,12 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import DoubleType, LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, DoubleType, LongType, StructField, StructType
 
 import prefloom
 from prefloom import constants as c
@@ -65,8 +66,24 @@ def delayed_rewards(imports: DataFrame, ratings: DataFrame, horizon: str = "30 d
     )
 
 
+NAMES = ("left_elo_before", "right_elo_before", "left_elo_after", "right_elo_after")
+EVENT = ("id", "left_id", "right_id", "winner_id")
+SIDE = ("elo", "matches", "wins", "losses")
+FRESH = (c.ELO_START, 0, 0, 0)
+#: One folded event with both sides' ratings before it.
+ENTRY = [(k, "<i8") for k in EVENT] + [(f"{side}_{k}", "<f8" if k == "elo" else "<i8") for side in ("left", "right") for k in SIDE]
+
+
 class EloProcessor(StatefulProcessor):
-    """Running ratings of one user; a replay inside a micro-batch follows event ids."""
+    """Running ratings of one user, with the latest ``recent`` events at hand to fold again behind a late one.
+
+    Frames of a micro-batch are folded one by one. An id below the newest folded one rewinds the ratings to the
+    point before it; it and all events after it come out again under a higher ``revision``. An id that was
+    folded already is a repeat and does nothing. What lies behind the events at hand comes out as late.
+    """
+
+    def __init__(self, recent: int = 0):
+        self.recent = recent
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         key = StructType([StructField("image_id", LongType())])
@@ -75,62 +92,98 @@ class EloProcessor(StatefulProcessor):
             StructField("wins", LongType()), StructField("losses", LongType()),
         ])
         self.ratings = handle.getMapState("ratings", key, value)
-        self.last = handle.getValueState("last", StructType([StructField("id", LongType())]))
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        events = pd.concat(list(rows), ignore_index=True).sort_values("id", kind="stable")
-        names = ("left_elo_before", "right_elo_before", "left_elo_after", "right_elo_after")
-        columns = ["id", "user_id", "left_id", "right_id", "winner_id"]
-        if self.last.exists():
-            # an id behind the last one belongs into a past that is folded already
-            behind = events["id"] <= self.last.get()[0]
-            late, events = events.loc[behind, columns].copy(), events[~behind]
+        self.log = handle.getValueState("log", StructType([
+            StructField("horizon", LongType()), StructField("revision", LongType()), StructField("entries", BinaryType())]))
+
+    def _rating(self, image: int) -> list:
+        return list(self.ratings.getValue((image,)) if self.ratings.containsKey((image,)) else FRESH)
+
+    def _fold(self, user: int, frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        horizon, revision, packed = self.log.get() if self.log.exists() else (None, 0, b"")
+        log = np.frombuffer(packed, ENTRY)
+        events = frame.sort_values("id", kind="stable")
+        if horizon is not None:
+            # these belong into a past that is out of reach
+            late = events.loc[events["id"] <= horizon, list(EVENT)]
             if len(late):
-                yield late.assign(**dict.fromkeys((*names, "elo_delta"), float("nan")), late=True)
+                yield late.assign(user_id=user, **dict.fromkeys((*NAMES, "elo_delta"), float("nan")), late=True, revision=revision)
+            events = events[events["id"] > horizon]
+        if self.recent:
+            events = events[~events["id"].isin(log["id"])].drop_duplicates("id")
         if not len(events):
             return
-        self.last.update((int(events["id"].iloc[-1]),))
-        touched = set(events["left_id"]) | set(events["right_id"])
-        state = {}
-        for image in touched:
-            if self.ratings.containsKey((int(image),)):
-                elo, matches, wins, losses = self.ratings.getValue((int(image),))
-                state[int(image)] = [elo, matches, wins, losses]
-        history = fold_user(
-            zip(events["left_id"].tolist(), events["right_id"].tolist(), events["winner_id"].tolist()), state
-        )
-        for image, (elo, matches, wins, losses) in state.items():
-            self.ratings.updateValue((int(image),), (float(elo), int(matches), int(wins), int(losses)))
-        out = events[columns].copy()
-        for name, values in zip(names, history):
-            out[name] = values
-        out["elo_delta"] = (out["left_elo_after"] - out["left_elo_before"]).abs()
-        yield out.assign(late=False)
+        kept, again = log, log[:0]
+        if len(log) and int(events["id"].iloc[0]) < int(log["id"][-1]):
+            cut = int(np.searchsorted(log["id"], int(events["id"].iloc[0])))
+            kept, again, revision = log[:cut], log[cut:], revision + 1
+        state: dict[int, list] = {}
+        for entry in again:
+            for side in ("left", "right"):
+                # an image's first event behind the cut has its rating at the cut
+                state.setdefault(int(entry[f"{side}_id"]), [entry[f"{side}_{k}"].item() for k in SIDE])
+        todo = sorted([*map(tuple, again[list(EVENT)].tolist()), *zip(*[events[k].tolist() for k in EVENT])], key=lambda e: e[0])
+        folded, columns = np.zeros(len(todo), ENTRY), ([], [], [], [])
+        for at, (number, left, right, winner) in enumerate(todo):
+            for image in (left, right):
+                if image not in state:
+                    state[image] = self._rating(image)
+            folded[at] = (number, left, right, winner, *state[left], *state[right])
+            for values, new in zip(columns, fold_user([(left, right, winner)], state)):
+                values.extend(new)
+        for image, rating in state.items():
+            self.ratings.updateValue((image,), (float(rating[0]), *map(int, rating[1:])))
+        log = np.concatenate([kept, folded])
+        drop = max(0, len(log) - self.recent)
+        self.log.update((int(log["id"][drop - 1]) if drop else horizon, revision, log[drop:].tobytes()))
+        out = pd.DataFrame({k: folded[k] for k in EVENT}).assign(user_id=user, **dict(zip(NAMES, columns)))
+        yield out.assign(elo_delta=(out["left_elo_after"] - out["left_elo_before"]).abs(), late=False, revision=revision)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for frame in self._frames(rows):
+            for out in self._fold(int(key[0]), frame):
+                yield out[RUNNING]
+
+    def _frames(self, rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # without events at hand the order inside a micro-batch must come from one sort
+        return rows if self.recent else iter([pd.concat(list(rows), ignore_index=True)])
 
     def close(self) -> None:
         pass
 
 
-def running_elo(comparisons: DataFrame) -> DataFrame:
+RUNNING = ["id", "user_id", "left_id", "right_id", "winner_id", *NAMES, "elo_delta", "late", "revision"]
+
+
+def running_elo(comparisons: DataFrame, recent: int = 0) -> DataFrame:
     """Every comparison with its ratings before and after. Needs the RocksDB state store.
 
-    An event behind an id of its user that an earlier micro-batch processed comes out with ``late``
-    set and without ratings; :func:`settle_late` recomputes such users from the whole log.
+    State keeps the latest ``recent`` events of a user; a late event among them is folded in place and the
+    events after it come out again, so :func:`latest_revisions` equals the replay of the whole log. A late event
+    further back comes out with ``late`` set and without ratings; :func:`settle_late` recomputes such users.
+    With ``recent`` above 0 ids are unique per user.
     """
     return (
         comparisons.select("id", "user_id", "left_id", "right_id", "winner_id")
         .groupBy("user_id")
         .transformWithStateInPandas(
-            statefulProcessor=EloProcessor(), outputStructType=REPLAY + ", late boolean", outputMode="Append", timeMode="None"
+            statefulProcessor=EloProcessor(recent), outputStructType=REPLAY + ", late boolean, revision bigint", outputMode="Append", timeMode="None"
         )
     )
 
 
+def latest_revisions(running: DataFrame) -> DataFrame:
+    """The last word of :func:`running_elo` on every comparison that is not late."""
+    known = running.filter("NOT late")
+    rest = [k for k in known.columns if k not in ("user_id", "id")]
+    newest = known.groupBy("user_id", "id").agg(F.max_by(F.struct(*rest), "revision").alias("_last"))
+    return newest.select("id", "user_id", *[f"_last.{k}" for k in rest if k not in ("late", "revision")])
+
+
 def settle_late(running: DataFrame, comparisons: DataFrame) -> DataFrame:
-    """What :func:`running_elo` wrote, with users that had late events replayed from ``comparisons``."""
+    """What :func:`running_elo` wrote last, with users that had late events replayed from ``comparisons``."""
     late = running.filter("late").select("user_id").distinct()
     again = replay(comparisons.join(late, "user_id", "left_semi"))
-    return running.join(late, "user_id", "left_anti").drop("late").unionByName(again)
+    return latest_revisions(running.join(late, "user_id", "left_anti")).unionByName(again)
 
 
 def use_rocksdb(spark) -> None:

@@ -71,3 +71,37 @@ def test_training_trigger_fires_once_per_crossing_batch(spark, tmp_path):
     out = run_each_batch(counts, "due", lambda *sink: live.emit_training_due(trained, *sink), live.DUE)
     # due from the first batch on, written once although later batches update the user again
     assert [tuple(r) for r in out.collect()] == [(1, 0, 5, None, 5)]
+
+
+def replayed(log):
+    return {(r["user_id"], r["id"]): (r["left_elo_before"], r["right_elo_after"]) for r in elo.replay(log).collect()}
+
+
+def test_late_events_are_folded_in_place(spark, tmp_path):
+    log = spark.createDataFrame([(2, 1, 5, 6, 5), (3, 1, 5, 7, 7), (1, 1, 6, 7, 6)], "id bigint, user_id bigint, left_id bigint, right_id bigint, winner_id bigint")
+    live.use_rocksdb(spark)
+    out = run_available(live.running_elo(staged(spark, tmp_path / "l", [log.filter(F.col("id") == k) for k in (2, 3, 1)]), recent=10), "in-place")
+    assert out.filter("late").count() == 0 and out.filter("revision = 1").count() == 3
+    got = {(r["user_id"], r["id"]): (r["left_elo_before"], r["right_elo_after"]) for r in live.latest_revisions(out).collect()}
+    assert got == replayed(log)
+
+
+def test_shuffled_batches_with_repeats_equal_replay(spark, tmp_path):
+    rng = random.Random(12)
+    rows = []
+    for k in range(300):
+        a, b = rng.sample(range(9), 2)
+        rows.append((k, 1 if k % 2 else rng.randint(2, 4), a, b, rng.choice((a, b))))
+    schema = "id bigint, user_id bigint, left_id bigint, right_id bigint, winner_id bigint"
+    mixed = rng.sample(rows, len(rows))
+    parts = [spark.createDataFrame(part, schema) for part in (mixed[:100], mixed[100:200] + mixed[:7], mixed[200:] + mixed[90:95])]
+    log = spark.createDataFrame(rows, schema)
+    live.use_rocksdb(spark)
+    out = run_available(live.running_elo(staged(spark, tmp_path / "all", parts), recent=1000), "mixed")
+    got = {(r["user_id"], r["id"]): (r["left_elo_before"], r["right_elo_after"]) for r in live.latest_revisions(out).collect()}
+    assert out.filter("late").count() == 0 and got == replayed(log)
+    # a short memory cannot reach all of them; those users are replayed
+    out = run_available(live.running_elo(staged(spark, tmp_path / "few", parts), recent=40), "few")
+    assert out.filter("late").count() > 0
+    got = {(r["user_id"], r["id"]): (r["left_elo_before"], r["right_elo_after"]) for r in live.settle_late(out, log).collect()}
+    assert got == replayed(log)

@@ -9,6 +9,7 @@ from prefloom.catalog.ranking import REPLAY
 from prefloom.catalog.registry import micros, query, rounded
 from prefloom.operators import bandit
 from prefloom.streaming import feedback as live
+from prefloom.streaming import lifetimes
 from prefloom.streaming.runs import run_available, run_each_batch
 
 
@@ -46,6 +47,20 @@ def _(i):
     return run_available(lost.select("user_id", "token_hash"), "k5")
 
 
+@query("k5_ended_issuances", """WITH w AS (SELECT GREATEST((SELECT MAX(issued_at) FROM fx_rating_issuances), (SELECT MAX(responded_at) FROM fx_responses)) - INTERVAL 1 HOUR AS wm),
+u AS (SELECT s.token_hash, s.user_id, s.issued_at, MIN(r.responded_at) AS used FROM fx_rating_issuances s LEFT JOIN fx_responses r ON r.token_hash = s.token_hash AND r.responded_at >= s.issued_at AND r.responded_at < s.issued_at + INTERVAL 24 HOUR GROUP BY ALL)
+SELECT user_id, token_hash, CASE WHEN used IS NULL THEN 'unanswered' ELSE 'retention-over' END AS reason FROM u, w WHERE CASE WHEN used IS NULL THEN issued_at + INTERVAL 24 HOUR ELSE used + INTERVAL 7 DAY END < wm""")
+def _(i):
+    live.use_rocksdb(i.spark)
+    ended = lifetimes.ended_issuances(i.stream("fx_rating_issuances"), i.stream("fx_responses"))
+    return run_available(ended, "k5e")
+
+
+@query("k7_retry_seconds", "SELECT event_id, CASE WHEN event_id % 80 < 64 THEN CAST(LEAST(300, pow(2, event_id % 80) * 5) AS BIGINT) END AS seconds FROM fx_events")
+def _(i):
+    return i.events.select("event_id", lifetimes.retry_seconds(F.col("event_id") % 80).alias("seconds"))
+
+
 @query("k6_training_triggers", f"""WITH n AS (SELECT user_id, COUNT(*) FILTER (WHERE kind = 'comparison') AS c, COUNT(*) FILTER (WHERE kind = 'rating') AS r FROM fx_feedback GROUP BY user_id),
 lm AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY feedback_count DESC, id DESC) AS rn FROM fx_models) WHERE rn = 1)
 SELECT n.user_id FROM n LEFT JOIN lm ON lm.user_id = n.user_id WHERE c >= {_next('lm.comparison_count', 20, 20, 100, 50)} OR r >= {_next('lm.rating_count', 5, 5, 50, 10)}""")

@@ -30,6 +30,11 @@ TOKEN_PATTERN = "^[A-Za-z0-9_-]{43}$"
 DIGEST_PATTERN = "^[0-9a-f]{64}$"
 MAX_SAFE_INTEGER = 9007199254740991
 
+# Wake-ups: seconds of the first and the longest wait, deliveries before giving up
+WAKEUP_WAIT = 5
+WAKEUP_MAX_WAIT = 300
+WAKEUP_DELIVERIES = 64
+
 # Training
 MIN_COMPARISONS = 20
 MIN_RATINGS = 5

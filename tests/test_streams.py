@@ -105,3 +105,40 @@ def test_shuffled_batches_with_repeats_equal_replay(spark, tmp_path):
     assert out.filter("late").count() > 0
     got = {(r["user_id"], r["id"]): (r["left_elo_before"], r["right_elo_after"]) for r in live.settle_late(out, log).collect()}
     assert got == replayed(log)
+
+
+def at(frame):
+    return frame.withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("t"))).drop("t")
+
+
+def test_issuances_end_when_the_clock_passes(spark, tmp_path):
+    from prefloom.streaming.lifetimes import ended_issuances
+
+    hour, day = 3600, 86_400
+    schema = "token_hash string, user_id bigint, t bigint"
+    issued = [[("a", 1, 0), ("b", 1, 0), ("c", 2, 0)], [("d", 2, day)], [("e", 3, 8 * day)], [("z", 9, 9 * day)]]
+    used = [[("b", 1, hour), ("d", 2, day + 5)], [("c", 2, day)], [("b", 1, 2 * hour)], [("z", 9, 9 * day + hour), ("none", 9, 9 * day)]]
+    live.use_rocksdb(spark)
+    left = staged(spark, tmp_path / "i", [at(spark.createDataFrame(p, schema)).withColumnRenamed("ts", "issued_at") for p in issued])
+    right = staged(spark, tmp_path / "u", [at(spark.createDataFrame(p, schema)).withColumnRenamed("ts", "responded_at") for p in used])
+    out = run_available(ended_issuances(left, right, "10 days"), "never")
+    assert out.count() == 0
+    out = run_available(ended_issuances(left, right), "ended")
+    # c was answered at the very end of its lifetime, which is too late; e expires exactly where the clock does not pass
+    got = sorted((r["token_hash"], r["user_id"], r["reason"]) for r in out.collect())
+    assert got == [("a", 1, "unanswered"), ("b", 1, "retention-over"), ("c", 2, "unanswered"), ("d", 2, "retention-over")]
+
+
+def test_wakeups_are_redelivered_with_growing_waits(spark, tmp_path):
+    from prefloom.streaming.lifetimes import redeliveries, retry_seconds
+
+    wakeups = [[("a", 1, 0), ("b", 2, 0)], [("a", 1, 3)], [("c", 3, 100)], [("x", 9, 1000)]]
+    outcomes = [[("a", 1, "failed", 1)], [("b", 2, "done", 2)], [("a", 1, "failed", 102)], [("a", 1, "done", 1001), ("b", 2, "failed", 1001)]]
+    live.use_rocksdb(spark)
+    sent = staged(spark, tmp_path / "w", [at(spark.createDataFrame(p, "event_hash string, user_id bigint, t bigint")) for p in wakeups])
+    ends = staged(spark, tmp_path / "o", [at(spark.createDataFrame(p, "event_hash string, user_id bigint, kind string, t bigint")) for p in outcomes])
+    out = run_available(redeliveries(sent, ends), "wakeups")
+    got = sorted((r["event_hash"], r["delivery"], r["ms"] // 1000 - 1_700_000_000, r["action"]) for r in out.collect())
+    assert got == [("a", 1, 0, "deliver"), ("a", 2, 11, "deliver"), ("a", 3, 122, "deliver"), ("b", 1, 0, "deliver"), ("c", 1, 100, "deliver"), ("x", 1, 1000, "deliver")]
+    waits = spark.createDataFrame([(1,), (5,), (6,), (63,), (64,)], "n bigint").select(retry_seconds(F.col("n"))).collect()
+    assert [r[0] for r in waits] == [10, 160, 300, 300, None]

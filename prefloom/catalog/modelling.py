@@ -218,6 +218,14 @@ def encoded(i):
 
 
 # -- analytics of the design notes ------------------------------------------------------
+@query("m1_acquisition", """WITH m AS (SELECT user_id, image_id, point_rating, predicted_utility + ((image_id * (k + 3)) % 7 - 3) / 10.0E0 AS u FROM fx_user_images, range(8) t(k))
+SELECT user_id, image_id, ROUND(AVG(u) + 0.5 * STDDEV_POP(u) + 0.25 * LEAST(1, GREATEST(0, COALESCE(ANY_VALUE(point_rating) / 4.0E0 - 0.3E0, 0))), 6) + 0.0 AS acquisition FROM m GROUP BY user_id, image_id""")
+def _(i):
+    member = lambda k: F.col("predicted_utility") + (F.col("image_id") * (k + 3) % 7 - 3) / F.lit(10.0)
+    score = scoring.acquisition(F.array(*[member(k) for k in range(8)]), F.col("point_rating") / 4.0 - 0.3, 0.5, 0.25)
+    return i.user_images.select("user_id", "image_id", rounded(score).alias("acquisition"))
+
+
 @query("m2_weighted_kappa", f"""WITH {DIST}, cm AS (SELECT user_id, value AS a, cls AS b, COUNT(*) AS n FROM pr GROUP BY ALL), ra AS (SELECT user_id, a, SUM(n) AS n FROM cm GROUP BY ALL), rb AS (SELECT user_id, b, SUM(n) AS n FROM cm GROUP BY ALL),
 ob AS (SELECT user_id, SUM(n * pow(a - b, 2)) AS o, SUM(n) AS t FROM cm GROUP BY ALL), ex AS (SELECT ra.user_id, SUM(ra.n * rb.n * pow(a - b, 2)) AS e FROM ra JOIN rb ON ra.user_id = rb.user_id GROUP BY ALL)
 SELECT ob.user_id, ROUND(1 - o / (e / t), 9) + 0.0 AS kappa FROM ob JOIN ex ON ex.user_id = ob.user_id""")

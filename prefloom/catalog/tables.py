@@ -206,11 +206,19 @@ BROKEN = {
     "pi": ("fx_pair_issuances", {"right_id": "CASE WHEN left_id % 11 = 2 THEN left_id ELSE right_id END", "expires_at": "CASE WHEN left_id % 7 = 3 THEN issued_at ELSE issued_at + CAST('24 hours' AS INTERVAL) END"}),
     "ri": ("fx_rating_issuances", {"token_hash": "CASE WHEN image_id % 41 = 1 THEN 'short' ELSE token_hash END", "expires_at": "CASE WHEN image_id % 43 = 1 THEN issued_at ELSE issued_at + CAST('24 hours' AS INTERVAL) END"}),
     "ra": ("fx_ratings", {"value": "CASE WHEN id % 53 = 1 THEN 0 ELSE value END", "idempotency_key": "CASE WHEN id % 59 = 1 THEN '' ELSE idempotency_key END"}),
-    "ac": ("fx_actions", {"propensity": "propensity * CASE WHEN id % 50 = 0 THEN 20 ELSE 1 END", "effective_reward": "CASE WHEN id % 47 = 0 THEN 1.5E0 ELSE zero_reward END", "status": "CASE WHEN id % 45 = 0 THEN 'lost' ELSE status END"}),
+    "ac": ("fx_actions", {"propensity": "propensity * CASE WHEN id % 50 = 0 THEN 20 ELSE 1 END", "effective_reward": "CASE WHEN id % 47 = 0 THEN 1.5E0 ELSE zero_reward END", "status": "CASE WHEN id % 45 = 0 THEN 'lost' ELSE status END",
+           "action_index": "CASE WHEN id % 61 = 1 THEN -1 ELSE action_index END", "proxy_reward": "CASE WHEN id % 3 > 0 THEN (id % 28) / 25.0E0 END", "human_reward": "CASE WHEN id % 5 > 0 THEN (id % 31 - 2) / 25.0E0 END",
+           "human_matches": "id % 37 - 1", "candidates_seen": "id % 41 - 1", "candidates_eligible": "id % 43 - 2"}),
+    "di": ("fx_discoveries", {"candidate_proxy_reward": "CASE WHEN image_id % 4 > 0 THEN (image_id % 33) / 30.0E0 END"}),
+    "jo": ("fx_jobs", {"kind": "CASE WHEN id % 83 = 1 THEN 'score' ELSE kind END", "status": "CASE WHEN id % 79 = 1 THEN 'paused' WHEN id % 77 = 1 THEN NULL ELSE status END"}),
+    "mo": ("fx_models", {"dimensions": "id % 29", "comparison_count": "comparison_count - CASE WHEN id % 31 = 0 THEN 60 ELSE 0 END", "rating_count": "CASE WHEN id % 23 = 1 THEN -1 ELSE rating_count END",
+           "comparison_cutoff": "comparison_cutoff - 30", "rating_cutoff": "CASE WHEN id % 19 = 1 THEN -1 ELSE rating_cutoff END", "feedback_count": "feedback_count - CASE WHEN id % 17 = 0 THEN 200 ELSE 0 END"}),
 }
+# columns that the views do not have
+PLANTED = ("elo_delta", "expires_at", "effective_reward", "proxy_reward", "human_reward", "human_matches", "candidates_seen", "candidates_eligible", "candidate_proxy_reward", "dimensions")
 BROKEN_SQL = ", ".join(
-    f"{k} AS (SELECT * REPLACE ({', '.join(f'{e} AS {n}' for n, e in c.items() if n not in ('elo_delta', 'expires_at', 'effective_reward'))})"
-    f"{''.join(f', {e} AS {n}' for n, e in c.items() if n in ('elo_delta', 'expires_at', 'effective_reward'))} FROM {t})".replace("* REPLACE ()", "*")
+    f"{k} AS (SELECT * REPLACE ({', '.join(f'{e} AS {n}' for n, e in c.items() if n not in PLANTED)})"
+    f"{''.join(f', {e} AS {n}' for n, e in c.items() if n in PLANTED)} FROM {t})".replace("* REPLACE ()", "*")
     for k, (t, c) in BROKEN.items()
 )
 
@@ -224,10 +232,14 @@ def _counts(name, key, rules):
     return [f"SELECT '{name}.{rule}' AS \"check\", COUNT(*) FILTER (WHERE NOT ({test})) AS violations FROM {key}" for rule, test in rules.items()]
 
 
+def _not_negative(*columns):
+    return {f"{k}_not_negative": f"{k} >= 0" for k in columns}
+
+
 DIGEST_TEST = "regexp_full_match({}, '[0-9a-f]{{64}}')"
 L1 = " UNION ALL ".join(
     _counts("library", "li", {"matches_sum": "matches = wins + losses", "counts_not_negative": "matches >= 0 AND wins >= 0 AND losses >= 0",
-                              "rating_pairing": "(point_rating IS NULL) = (point_rated_at IS NULL)", "rating_range": "point_rating BETWEEN 1 AND 5"})
+                              **_not_negative("matches", "wins", "losses"), "rating_pairing": "(point_rating IS NULL) = (point_rated_at IS NULL)", "rating_range": "point_rating BETWEEN 1 AND 5"})
     + _counts("comparison", "co", {"distinct_sides": "left_id <> right_id", "winner_in_pair": "winner_id = left_id OR winner_id = right_id",
                                    "key_is_digest": DIGEST_TEST.format("idempotency_key"), "delta_not_negative": "elo_delta >= 0"})
     + _counts("image", "im", {"width": "width > 0", "height": "height > 0"})
@@ -235,7 +247,11 @@ L1 = " UNION ALL ".join(
     + _counts("rating_issuance", "ri", {"token_is_digest": DIGEST_TEST.format("token_hash"), "expires_later": "expires_at > issued_at"})
     + _counts("rating", "ra", {"value_range": "value BETWEEN 1 AND 5", "key_is_digest": DIGEST_TEST.format("idempotency_key")})
     + _counts("action", "ac", {"propensity_range": "propensity > 0 AND propensity <= 1", "reward_range": "effective_reward BETWEEN 0 AND 1",
-                               "known_status": "status IN ('chosen', 'observed', 'censored', 'failed')"})
+                               "known_status": "status IN ('chosen', 'observed', 'censored', 'failed')", **_not_negative("action_index", "human_matches", "candidates_seen", "candidates_eligible"),
+                               "proxy_reward_range": "proxy_reward BETWEEN 0 AND 1", "human_reward_range": "human_reward BETWEEN 0 AND 1"})
+    + _counts("discovery", "di", {"candidate_proxy_reward_range": "candidate_proxy_reward BETWEEN 0 AND 1"})
+    + _counts("job", "jo", {"known_kind": "kind IN ('train', 'crawl')", "known_status": "status IN ('queued', 'running', 'succeeded', 'failed', 'skipped')"})
+    + _counts("model", "mo", {"dimensions": "dimensions > 0", **_not_negative("comparison_cutoff", "comparison_count", "rating_cutoff", "rating_count", "feedback_count")})
 )
 
 
@@ -243,7 +259,8 @@ L1 = " UNION ALL ".join(
 def _(i):
     rules = (("library", "li", quality.library_rules()), ("comparison", "co", quality.comparison_rules() | quality.outcome_rules()), ("image", "im", quality.image_rules()),
              ("pair_issuance", "pi", quality.issuance_rules(True)), ("rating_issuance", "ri", quality.issuance_rules(False)),
-             ("rating", "ra", quality.rating_rules()), ("action", "ac", quality.action_rules()))
+             ("rating", "ra", quality.rating_rules()), ("action", "ac", quality.action_rules() | quality.action_detail_rules()),
+             ("discovery", "di", quality.discovery_rules()), ("job", "jo", quality.job_rules()), ("model", "mo", quality.model_count_rules()))
     return quality.union_checks([quality.violations(broken(i, key), r).withColumn("check", F.concat(F.lit(f"{name}."), "check")) for name, key, r in rules])
 
 

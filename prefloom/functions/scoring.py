@@ -41,3 +41,16 @@ def most_likely(distribution: Column) -> Column:
 def log_loss(label: Column, probability: Column) -> Column:
     p = F.greatest(F.lit(c.PROBABILITY_CLIP), F.least(F.lit(1.0 - c.PROBABILITY_CLIP), probability))
     return -(label * F.log(p) + (F.lit(1.0) - label) * F.log(F.lit(1.0) - p))
+
+
+def acquisition(members: Column, quality: Column, beta: float, gamma: float) -> Column:
+    """Upper-confidence score of an item: mean of its ensemble utilities, their spread and a bounded quality prior.
+
+    The prior is held to 0..1 and a missing one is 0; without a member utility there is no score.
+    """
+    known = F.filter(members, lambda u: u.isNotNull())
+    size = F.size(known)
+    mean = F.aggregate(known, F.lit(0.0), lambda a, u: a + u) / size
+    spread = F.sqrt(F.aggregate(known, F.lit(0.0), lambda a, u: a + (u - mean) * (u - mean)) / size)
+    prior = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(quality, F.lit(0.0))))
+    return F.when(size > 0, mean + beta * spread + gamma * prior)

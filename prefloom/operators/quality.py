@@ -54,10 +54,15 @@ def union_checks(parts: Sequence[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def not_negative(*columns: str) -> dict[str, Column]:
+    return {f"{k}_not_negative": F.col(k) >= 0 for k in columns}
+
+
 def library_rules() -> dict[str, Column]:
     return {
         "matches_sum": F.col("matches") == F.col("wins") + F.col("losses"),
         "counts_not_negative": (F.col("matches") >= 0) & (F.col("wins") >= 0) & (F.col("losses") >= 0),
+        **not_negative("matches", "wins", "losses"),
         "rating_pairing": F.col("point_rating").isNull() == F.col("point_rated_at").isNull(),
         "rating_range": F.col("point_rating").between(1, c.RATING_LEVELS),
     }
@@ -97,6 +102,26 @@ def action_rules() -> dict[str, Column]:
     }
 
 
+def action_detail_rules() -> dict[str, Column]:
+    """Of actions that store their place, both rewards and their counts."""
+    rewards = {f"{k}_range": F.col(k).between(0, 1) for k in ("proxy_reward", "human_reward")}
+    return not_negative("action_index", "human_matches", "candidates_seen", "candidates_eligible") | rewards
+
+
+def discovery_rules() -> dict[str, Column]:
+    return {"candidate_proxy_reward_range": F.col("candidate_proxy_reward").between(0, 1)}
+
+
+def job_rules() -> dict[str, Column]:
+    statuses = ("queued", "running", "succeeded", "failed", "skipped")
+    return {"known_kind": F.col("kind").isin("train", "crawl"), "known_status": F.col("status").isin(*statuses)}
+
+
+def model_count_rules() -> dict[str, Column]:
+    counts = ("comparison_cutoff", "comparison_count", "rating_cutoff", "rating_count", "feedback_count")
+    return {"dimensions": F.col("dimensions") > 0} | not_negative(*counts)
+
+
 def model_rules() -> dict[str, Column]:
     """Model rows: finite weights of the stated width, ordered thresholds, known encoder."""
     finite = F.forall("weights", lambda x: ~F.isnan(x) & (F.abs(x) < float("inf")))

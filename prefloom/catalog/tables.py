@@ -34,20 +34,20 @@ def _redact_sql(x: str) -> str:
 
 
 # credentials of every format are appended to the whole text of each document
-PLANTED = """text || CASE doc_id % 9 WHEN 0 THEN ' see postgres://u:p@h/db now' WHEN 1 THEN ' vercel_blob_rw_abc-1 end' WHEN 2 THEN ' GOCSPX-aaaa_b' WHEN 3 THEN ' Authorization: bearer abc.def'
+PLANTED_TEXT = """text || CASE doc_id % 9 WHEN 0 THEN ' see postgres://u:p@h/db now' WHEN 1 THEN ' vercel_blob_rw_abc-1 end' WHEN 2 THEN ' GOCSPX-aaaa_b' WHEN 3 THEN ' Authorization: bearer abc.def'
 WHEN 4 THEN ' eyJhbGciOiJI.eyJzdWIiOiIx.SflKxwRJSMeK x' WHEN 5 THEN ' https://a.b/?x=1&api_key=zzz#f' WHEN 6 THEN ' {"password" : "a b"}' WHEN 7 THEN ' the correct horse battery staple' ELSE '' END"""
 
 
 def planted(i):
-    return i.table("documents").select("doc_id", F.expr(PLANTED).alias("text"))
+    return i.table("documents").select("doc_id", F.expr(PLANTED_TEXT).alias("text"))
 
 
-@query("b9_redacted_text", f"SELECT doc_id, {_redact_sql('text')} AS text FROM (SELECT doc_id, {PLANTED} AS text FROM documents)")
+@query("b9_redacted_text", f"SELECT doc_id, {_redact_sql('text')} AS text FROM (SELECT doc_id, {PLANTED_TEXT} AS text FROM documents)")
 def redacted(i):
     return text.redact_texts(planted(i), "text", SECRETS)
 
 
-@query("b9_safe_error_message", f"""SELECT doc_id, substr(CASE WHEN m = '' THEN 'Unknown error' ELSE m END, 1, 2000) AS message FROM (SELECT doc_id, trim(regexp_replace({_redact_sql('text')}, '{BS}s+', ' ', 'g')) AS m FROM (SELECT doc_id, {PLANTED} AS text FROM documents))""")
+@query("b9_safe_error_message", f"""SELECT doc_id, substr(CASE WHEN m = '' THEN 'Unknown error' ELSE m END, 1, 2000) AS message FROM (SELECT doc_id, trim(regexp_replace({_redact_sql('text')}, '{BS}s+', ' ', 'g')) AS m FROM (SELECT doc_id, {PLANTED_TEXT} AS text FROM documents))""")
 def _(i):
     rows = text.redact_texts(planted(i), "text", SECRETS)
     return rows.select("doc_id", text.bounded_message(F.col("text")).alias("message"))

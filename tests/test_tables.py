@@ -53,3 +53,13 @@ def test_recount(spark):
     models = spark.createDataFrame([(1, 1, 49, 50), (2, 1, 60, 50), (3, 2, 5, 1), (4, 3, 5, 0)], "id bigint, user_id bigint, cut bigint, n bigint")
     got = [(r["id"], r["recounted"]) for r in quality.recount(models, events, "cut", "n").collect()]
     assert got == [(2, 61)]
+
+
+def test_planted_credentials_are_removed(spark):
+    # each module-level name of the catalog has one meaning, also when a query is built later
+    from prefloom.catalog import tables
+    from prefloom.sources.derived import Inputs
+
+    i = Inputs(spark, "/root/testdata/sf0.001")
+    assert tables.planted(i).filter("text like '%postgres://u:p@h/db%'").count() > 0
+    assert tables.redacted(i).filter("text like '%postgres://u:p@h/db%' or text like '%correct horse%'").count() == 0

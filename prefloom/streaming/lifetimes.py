@@ -8,6 +8,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -17,6 +18,8 @@ from prefloom import constants as c
 HOUR = 3_600_000
 TTL_MS = c.TOKEN_TTL_HOURS * HOUR
 RETENTION_MS = c.USED_RETENTION_DAYS * 24 * HOUR
+# open tokens of a bucket as its state holds them
+OPEN = pa.schema([("token_hash", pa.string()), ("user_id", pa.int64()), ("issued", pa.int64()), ("used", pa.int64()), ("loose", pa.list_(pa.int64()))])
 
 
 class _Timed(StatefulProcessor):
@@ -40,50 +43,97 @@ class _Timed(StatefulProcessor):
         pass
 
 
-class IssuanceLifetime(_Timed):
-    """An issuance ends unused after its lifetime, or a week after its first use within the lifetime.
+class IssuanceLifetimes(StatefulProcessor):
+    """Issuances of one bucket of tokens; each ends unused after its lifetime, or a week after its first use within it.
 
     A use outside the lifetime is none. Uses may arrive before their issuance; without one they are forgotten
-    when it could no longer be valid.
+    when it could no longer be valid. The open tokens of a bucket are one Arrow table, and its timer is that of the
+    token that ends first, so state is read and written once a bucket and micro-batch and not once a token.
     """
 
-    SCHEMA = "user_id long, issued long, used long, loose string, due long"
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("open", "rows binary, timer long")
+
+    def _load(self) -> tuple[dict[str, list], int | None]:
+        """Token to [user, issued, first use, uses that await their issuance], and the timer."""
+        if not self.state.exists():
+            return {}, None
+        rows, timer = self.state.get()
+        columns = pa.ipc.open_stream(rows).read_all().to_pydict()
+        return {t: list(entry) for t, *entry in zip(*(columns[n] for n in OPEN.names))}, timer
+
+    def _save(self, open_: dict[str, list], before: int | None) -> None:
+        timer = min((self._due(e) for e in open_.values()), default=None)
+        if timer != before:
+            if before is not None:
+                self.handle.deleteTimer(before)
+            if timer is not None:
+                self.handle.registerTimer(timer)
+        if not open_:
+            self.state.clear()
+            return
+        columns = [list(open_), *map(list, zip(*open_.values()))]
+        table = pa.table([pa.array(v, f.type) for v, f in zip(columns, OPEN)], schema=OPEN)
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, OPEN) as writer:
+            writer.write_table(table)
+        self.state.update((sink.getvalue().to_pybytes(), timer))
+
+    @staticmethod
+    def _due(entry: list) -> int:
+        _, issued, used, loose = entry
+        if issued is None:
+            return max(loose) + TTL_MS + 1
+        return (issued + TTL_MS if used is None else used + RETENTION_MS) + 1
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        user, issued, used, loose, before = self.value.get() if self.value.exists() else (None, None, None, "", None)
-        uses = {int(t) for t in loose.split()}
+        open_, before = self._load()
+        touched = set()
         for frame in rows:
-            for kind, at, who in zip(frame["kind"].tolist(), frame["ms"].tolist(), frame["user_id"].tolist()):
+            for token, kind, at, who in zip(frame["token_hash"].tolist(), frame["kind"].tolist(), frame["ms"].tolist(), frame["user_id"].tolist()):
+                entry = open_.setdefault(token, [None, None, None, []])
+                touched.add(token)
                 if kind == "used":
-                    uses.add(int(at))
-                elif issued is None or at < issued:
-                    user, issued = int(who), int(at)
-        if issued is not None:
-            used = min([t for t in uses if issued <= t < issued + TTL_MS] + [used] * (used is not None), default=None)
-            uses = set()
-            due = (issued + TTL_MS if used is None else used + RETENTION_MS) + 1
-        else:
-            due = max(uses) + TTL_MS + 1
-        self._keep(before, due, user, issued, used, " ".join(map(str, sorted(uses))))
+                    entry[3].append(int(at))
+                elif entry[1] is None or at < entry[1]:
+                    entry[:2] = int(who), int(at)
+        for token in touched:
+            entry = open_[token]
+            _, issued, used, loose = entry
+            if issued is not None:
+                entry[2] = min([t for t in loose if issued <= t < issued + TTL_MS] + [used] * (used is not None), default=None)
+                entry[3] = []
+            else:
+                entry[3] = sorted(set(loose))
+        self._save(open_, before)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if not self.value.exists():
-            return
-        user, issued, used, _, _ = self.value.get()
-        self.value.clear()
-        if issued is not None:
-            reason = "unanswered" if used is None else "retention-over"
-            yield pd.DataFrame({"token_hash": [key[0]], "user_id": [user], "reason": [reason]})
+        open_, _ = self._load()
+        clock = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
+        over = {t: e for t, e in open_.items() if self._due(e) <= clock}
+        # the timer that fired is gone already
+        self._save({t: e for t, e in open_.items() if t not in over}, None)
+        ended = [(t, user, "unanswered" if used is None else "retention-over") for t, (user, issued, used, _) in over.items() if issued is not None]
+        if ended:
+            yield pd.DataFrame(ended, columns=["token_hash", "user_id", "reason"])
 
+    def close(self) -> None:
+        pass
 
-def ended_issuances(issuances: DataFrame, responses: DataFrame, lateness: str = "1 hour") -> DataFrame:
-    """Issuances to delete, each once, when the clock of the streams has passed their end. Needs RocksDB."""
+
+def ended_issuances(issuances: DataFrame, responses: DataFrame, lateness: str = "1 hour", buckets: int = 1 << 12) -> DataFrame:
+    """Issuances to delete, each once, when the clock of the streams has passed their end. Needs RocksDB.
+
+    State is kept for ``buckets`` hash buckets of tokens; a task holds the open tokens of one bucket at a time.
+    """
     issued = issuances.select("token_hash", "user_id", F.lit("issued").alias("kind"), F.col("issued_at").alias("at"))
     used = responses.select("token_hash", "user_id", F.lit("used").alias("kind"), F.col("responded_at").alias("at"))
     rows = issued.unionByName(used).withColumn("ms", F.unix_millis("at")).withWatermark("at", lateness)
-    return rows.groupBy("token_hash").transformWithStateInPandas(
-        statefulProcessor=IssuanceLifetime(), outputStructType="token_hash string, user_id bigint, reason string", outputMode="Append", timeMode="EventTime"
+    bucket = F.pmod(F.xxhash64("token_hash"), F.lit(buckets)).alias("bucket")
+    return rows.select(bucket, *rows.columns).groupBy("bucket").transformWithStateInPandas(
+        statefulProcessor=IssuanceLifetimes(), outputStructType="token_hash string, user_id bigint, reason string", outputMode="Append", timeMode="EventTime"
     )
 
 

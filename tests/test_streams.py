@@ -129,6 +129,29 @@ def test_issuances_end_when_the_clock_passes(spark, tmp_path):
     assert got == [("a", 1, "unanswered"), ("b", 1, "retention-over"), ("c", 2, "unanswered"), ("d", 2, "retention-over")]
 
 
+def test_tokens_of_a_bucket_end_each_at_its_own_time(spark, tmp_path):
+    from prefloom.streaming.lifetimes import ended_issuances
+
+    rng, hour, day = random.Random(5), 3600, 86_400
+    schema = "token_hash string, user_id bigint, t bigint"
+    issued = [(f"k{n}", n, rng.randrange(12 * day)) for n in range(300)]
+    used = [(t, n, at + rng.randrange(-hour, 30 * hour)) for t, n, at in issued for _ in range(rng.randrange(3))]
+    # uses and issuances come in the order of time, a repeat of each in the batch after
+    days = [[r for r in rows if 3 * k * day <= r[2] < 3 * (k + 1) * day] for rows in (issued, used) for k in range(5)]
+    parts = [[spark.createDataFrame(now + before, schema) for now, before in zip(d, [[], *d])] for d in (days[:5], days[5:])]
+    live.use_rocksdb(spark)
+    left = staged(spark, tmp_path / "i", [at(p).withColumnRenamed("ts", "issued_at") for p in parts[0]])
+    right = staged(spark, tmp_path / "u", [at(p).withColumnRenamed("ts", "responded_at") for p in parts[1]])
+    got = sorted(tuple(r) for r in run_available(ended_issuances(left, right, "5 days", buckets=2), "buckets").collect())
+    clock = max(r[2] for r in issued + used if r[2] >= 0) - 5 * day
+    want = []
+    for token, user, start in issued:
+        first = min((t for k, _, t in used if k == token and start <= t < start + day), default=None)
+        if (start + day if first is None else first + 7 * day) < clock:
+            want.append((token, user, "unanswered" if first is None else "retention-over"))
+    assert got == sorted(want) and {r[2] for r in want} == {"unanswered", "retention-over"}
+
+
 def test_wakeups_are_redelivered_with_growing_waits(spark, tmp_path):
     from prefloom.streaming.lifetimes import redeliveries, retry_seconds
 

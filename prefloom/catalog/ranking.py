@@ -193,8 +193,7 @@ def _(i):
 @query("c8_fresh_pairs", f"WITH {PAIRS} SELECT user_id, first_id, second_id FROM sv WHERE fresh")
 def _(i):
     pool = pairs.candidate_pool(lib(i), i.comparisons, SEED)
-    keys = ["user_id", "first_id", "second_id"]
-    return pairs.pool_pairs(pool).select(*keys).join(feedback.recent_pairs(i.comparisons), keys, "left_anti")
+    return pairs.fresh_pairs(pool, i.comparisons)
 
 
 @query("f6_best_pair", f"WITH {PAIRS} SELECT user_id, first_id, second_id FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY v DESC, first_id, second_id) AS rn FROM sv) WHERE rn = 1")

@@ -18,6 +18,7 @@ from prefloom.operators.graph import (
     with_degree,
 )
 from prefloom.operators.ordered import top_per_key
+from prefloom.session import landed
 
 NODE = ("user_id", "image_id", "elo", "matches", "degree", "predicted_utility")
 
@@ -55,40 +56,68 @@ def candidate_pool(library: DataFrame, comparisons: DataFrame, seed: str, with_a
     return chosen.join(items, keys).join(degree, keys, "left").withColumn("degree", F.coalesce("degree", F.lit(0))).select(*NODE)
 
 
-def pool_pairs(pool: DataFrame) -> DataFrame:
+def pool_pairs(pool: DataFrame, first_only: tuple[str, ...] = ()) -> DataFrame:
     """Unordered pairs inside each bounded pool (at most 96 choose 2 per user).
 
-    A pool is one array of at most 96 structs, so pairing it needs no join and no second pass.
+    A pool is one array of at most 96 structs, so pairing it needs no join and no second pass; pairs of a user stay
+    in one task. Fields of ``first_only`` are carried for the first item of a pair alone.
     """
-    item = F.struct("image_id", *[k for k in pool.columns if k not in ("user_id", "image_id")])
+    fields = [k for k in pool.columns if k not in ("user_id", "image_id")]
+    item = F.struct("image_id", *fields)
     arrays = pool.groupBy("user_id").agg(F.sort_array(F.collect_list(item)).alias("pool"))
-    first = arrays.select("user_id", "pool", F.posexplode("pool").alias("place", "a"))
-    rest = F.slice(F.col("pool"), F.col("place") + 2, F.lit(c.POOL_SIZE))
+    second = F.transform("pool", lambda x: x.dropFields(*first_only)) if first_only else F.col("pool")
+    first = arrays.select("user_id", second.alias("others"), F.posexplode("pool").alias("place", "a"))
+    rest = F.slice(F.col("others"), F.col("place") + 2, F.lit(c.POOL_SIZE))
     both = first.select("user_id", "a", F.explode(rest).alias("b"))
-    fields = [k for k in pool.columns if k not in ("user_id", "image_id")]
     return both.select(
         "user_id", F.col("a.image_id").alias("first_id"), F.col("b.image_id").alias("second_id"),
-        *[F.col(f"{side}.{k}").alias(f"{side}_{k}") for side in "ab" for k in fields],
+        *[F.col(f"{side}.{k}").alias(f"{side}_{k}") for side in "ab" for k in fields if side == "a" or k not in first_only],
     )
 
 
+def _with_met(pool: DataFrame, comparisons: DataFrame) -> DataFrame:
+    """Pool items with what is known of their pairs with later items of the pool: at most 95 of them.
+
+    Counts and recent pairs are far fewer than the pairs of a pool, so they go to the items before these are paired.
+    """
+    keys = ["user_id", "first_id", "second_id"]
+    recent = recent_pairs(comparisons).select(*keys).distinct().withColumn("recent", F.lit(True))
+    met = pair_counts(comparisons).join(recent, keys, "left")
+    for end in ("first_id", "second_id"):
+        met = met.join(pool.select("user_id", F.col("image_id").alias(end)), ["user_id", end], "left_semi")
+    known = F.collect_list(F.struct("second_id", "pair_count", "recent"))
+    met = met.groupBy("user_id", F.col("first_id").alias("image_id")).agg(known.alias("met"))
+    return pool.join(met, ["user_id", "image_id"], "left")
+
+
+def _known(field: str):
+    """A field of the known pair, or null where the two items have not met."""
+    place = F.array_position(F.col("a_met.second_id"), F.col("second_id"))
+    return F.get(F.col(f"a_met.{field}"), (place - 1).cast("int"))
+
+
+def fresh_pairs(pool: DataFrame, comparisons: DataFrame) -> DataFrame:
+    """Pairs of each pool that are not among the recent ones."""
+    rows = _with_met(landed(pool.select("user_id", "image_id")), comparisons)
+    return pool_pairs(rows, ("met",)).filter(_known("recent").isNull()).select("user_id", "first_id", "second_id")
+
+
 def scored_pairs(pool: DataFrame, comparisons: DataFrame, seed: str) -> DataFrame:
     """Freshness, bridge flag and value of every pool pair."""
+    pool = landed(pool)
     flagged = pool_anchor_flag(pool).select(
         "user_id", "image_id", "elo", "predicted_utility", "is_anchor",
         under_compared().alias("under"), coverage_need(F.col("matches"), F.col("degree")).alias("need"),
     )
-    pairs = pool_pairs(flagged)
+    pairs = pool_pairs(_with_met(flagged, comparisons), ("met",))
     keys = ["user_id", "first_id", "second_id"]
-    recent = recent_pairs(comparisons).select(*keys).distinct().withColumn("recent", F.lit(True))
-    pairs = pairs.join(pair_counts(comparisons), keys, "left").join(recent, keys, "left")
-    coverage = coverage_score(F.col("a_need"), F.col("b_need"), F.coalesce("pair_count", F.lit(0)))
+    coverage = coverage_score(F.col("a_need"), F.col("b_need"), F.coalesce(_known("pair_count"), F.lit(0)))
     value = pair_value(
         F.col("a_predicted_utility"), F.col("b_predicted_utility"), F.col("a_elo"), F.col("b_elo"), coverage
     ) + F.lit(1e-6) * coin(F.lit(seed + "n"), *keys)
     bridge = (F.col("a_is_anchor") & F.col("b_under")) | (F.col("b_is_anchor") & F.col("a_under"))
     return pairs.select(
-        *keys, F.col("recent").isNull().alias("fresh"), bridge.alias("bridge"), coverage.alias("coverage"), value.alias("value"),
+        *keys, _known("recent").isNull().alias("fresh"), bridge.alias("bridge"), coverage.alias("coverage"), value.alias("value"),
     )
 
 

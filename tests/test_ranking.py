@@ -85,3 +85,23 @@ def test_pool_is_bounded_and_complete_for_small_libraries(spark):
     lib = library(spark, rows)
     sizes = {r["user_id"]: r["count"] for r in pairs.candidate_pool(lib, empty_log(spark), "t").groupBy("user_id").count().collect()}
     assert sizes == {1: 96, 2: 50}
+
+
+def test_pairs_of_a_pool_stay_where_they_are_made(spark):
+    node = "user_id bigint, image_id bigint, elo double, matches bigint, degree bigint, predicted_utility double"
+    pool = spark.createDataFrame([(u, k, 1500.0 + k, 1, 1, None) for u in (1, 2) for k in range(30)], node)
+    log = spark.createDataFrame([(1, 1, 3, 2, 3), (2, 1, 2, 3, 3), (3, 2, 4, 99, 4)], "id bigint, user_id bigint, left_id bigint, right_id bigint, winner_id bigint")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for frame in (pairs.scored_pairs(pool, log, "t"), pairs.fresh_pairs(pool, log)):
+            plan = frame._jdf.queryExecution().executedPlan().toString()
+            above = plan[:plan.index("Generate explode")]
+            assert "Exchange" not in above and "Join" not in above
+        rows = {(r["user_id"], r["first_id"], r["second_id"]): r for r in pairs.scored_pairs(pool, log, "t").collect()}
+        assert len(rows) == 2 * 435 and [k for k, r in rows.items() if not r["fresh"]] == [(1, 2, 3)]
+        met, other = rows[1, 2, 3]["coverage"], rows[2, 2, 3]["coverage"]
+        assert abs(other - met - 0.25 * (1 - 1 / 3)) < 1e-12
+        assert pairs.fresh_pairs(pool, log).count() == 2 * 435 - 1
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

@@ -5,7 +5,8 @@ parts, one part of two such vectors differs by at most r / sqrt(m). Every part i
 cells of more than ``limit`` rows are split at the median of their widest coordinate, as often as it
 takes, so the number of cells follows the number of rows. A row is filed on one side of each cut; a probe visits
 both where its ball reaches across. Cells that cannot be split (crowds within the radius) are
-dealt out in chunks. Rows and probes of a cell are compared as matrices, in blocks of bounded size.
+dealt out in chunks. Cells hold parts only: these are compared first, as matrices in blocks of bounded size, and
+whole vectors come in for the rows of a cell whose parts meet another there.
 """
 
 from __future__ import annotations
@@ -38,6 +39,7 @@ class Grid:
         self.radius = math.sqrt(2.0 - 2.0 * threshold) + 1e-6
         self.width = -(-dimensions // min(parts, dimensions))
         self.parts = -(-dimensions // self.width)
+        self.padding = self.parts * self.width - dimensions
         self.reach = self.radius / math.sqrt(self.parts) + 1e-9
         self.limit, self.settled = limit, settled
 
@@ -53,9 +55,9 @@ def _matrix(column) -> np.ndarray:
 def _compared(home: DataFrame, probes: DataFrame, by: Sequence[str], limit: int, work: Callable, schema: str) -> DataFrame:
     """``work(home table, probe table)`` on blocks of at most about ``limit`` rows a side that cover each group of ``by``."""
     by = list(by)
-    sizes = home.groupBy(*by).agg(F.ceil(F.count("*") / limit).alias("chunks")).join(
+    sizes = landed(home.groupBy(*by).agg(F.ceil(F.count("*") / limit).alias("chunks")).join(
         probes.groupBy(*by).agg(F.ceil(F.count("*") / limit).alias("slices")), by
-    )
+    ))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
     own = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
     left = home.join(sizes, by).select(*home.columns, own("chunks").alias("chunk"), every("slices").alias("slice"))
@@ -99,22 +101,23 @@ def _best_cut(x: np.ndarray, reach: float) -> tuple[int, float, np.ndarray] | No
 
 
 def _cuts(grid: Grid):
-    """Cuts for a few levels below a cell, in heap order; dimension -1 where no cut helps."""
+    """Cuts for a few levels below a cell, in heap order; dimension -1 where no cut helps or few enough rows are left."""
 
     def build(key, rows):
-        part = np.asarray(rows["part"])[0]
-        x = _matrix(rows["vector"])[:, part * grid.width:(part + 1) * grid.width]
+        x = _matrix(rows["piece"])
+        whole = np.asarray(rows["n"])[0] / len(x)
         dims, cuts = [-1] * (2**LEVELS - 1), [0.0] * (2**LEVELS - 1)
 
         def cut(node: int, own: np.ndarray) -> None:
-            found = _best_cut(own, grid.reach) if node < 2**LEVELS and len(own) >= 4 else None
+            wanted = node < 2**LEVELS and len(own) >= 4 and (node == 1 or len(own) * whole > 0.75 * grid.limit)
+            found = _best_cut(own, grid.reach) if wanted else None
             if found:
                 dims[node - 1], cuts[node - 1], low = found
                 cut(2 * node, own[low])
                 cut(2 * node + 1, own[~low])
 
         cut(1, x)
-        cell = {name: rows[name].slice(0, 1) for name in rows.column_names if name != "vector"}
+        cell = {name: rows[name].slice(0, 1) for name in rows.column_names if name not in ("piece", "n")}
         return pa.table({**cell, "dims": pa.array([dims], pa.list_(pa.int32())), "cuts": pa.array([cuts], pa.list_(pa.float64()))})
 
     return build
@@ -127,7 +130,7 @@ def _descended(grid: Grid, names: list[str]):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x, part = _matrix(batch["vector"]), np.asarray(batch["part"])
+            x = _matrix(batch["piece"])
             has = np.asarray(batch["dims"].is_valid())
             reach = np.where(np.asarray(batch["probe"]), grid.reach, 0.0)
             dims, cuts = np.full((len(x), 2**LEVELS - 1), -1), np.zeros((len(x), 2**LEVELS - 1))
@@ -141,7 +144,7 @@ def _descended(grid: Grid, names: list[str]):
                 dim = dims[row, np.minimum(node, 2**LEVELS - 1) - 1]
                 cutting = (dim >= 0) & (node < 2**LEVELS)
                 at = cuts[row, np.minimum(node, 2**LEVELS - 1) - 1]
-                value = x[row, np.minimum(part[row] * grid.width + np.maximum(dim, 0), x.shape[1] - 1)]
+                value = x[row, np.maximum(dim, 0)]
                 low, high = cutting & (value - reach[row] <= at), cutting & (value + reach[row] > at)
                 row = np.concatenate([row[~cutting], row[low], row[high]])
                 path = np.concatenate([path[~cutting], 2 * path[low], 2 * path[high] + 1])
@@ -155,26 +158,66 @@ def _descended(grid: Grid, names: list[str]):
 
 
 def filed(home: DataFrame, probes: DataFrame, keys: Sequence[str], grid: Grid) -> DataFrame:
-    """(keys, part, path, id, vector, probe): the cells of filed rows and those that probes visit.
+    """(keys, part, path, id, piece, probe): the cells of filed rows and those that probes visit, with their part.
 
-    Every pair of a probe and a row of its keys within the radius shares a cell. Rounds take cells ``LEVELS`` cuts
+    Every pair of a probe and a row of its keys within the radius shares a cell. Rounds take cells up to ``LEVELS`` cuts
     deeper, so their number is the logarithm of the largest group; cuts come from samples, which decide sizes only.
+    Rows of cells that are small enough are not written again.
     """
     keys = list(keys)
     cell = [*keys, "part", "path"]
     both = home.select(*keys, "id", "vector", F.lit(False).alias("probe")).unionByName(probes.select(*keys, "id", "vector", F.lit(True).alias("probe")))
     part = F.explode(F.sequence(F.lit(0), F.lit(grid.parts - 1)))
-    rows = landed(both.select(*keys, part.alias("part"), F.lit(1).cast("bigint").alias("path"), "id", "vector", "probe", F.lit(True).alias("open")))
+    both = both.select(*keys, part.alias("part"), F.lit(1).cast("bigint").alias("path"), "id", "vector", "probe")
+    padded = F.concat("vector", F.array_repeat(F.lit(0.0), grid.padding)) if grid.padding else F.col("vector")
+    piece = F.slice(padded, F.col("part") * grid.width + 1, F.lit(grid.width))
+    rows = landed(both.select(*cell, "id", piece.alias("piece"), "probe", F.lit(True).alias("open")))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*cell).schema)
-    names = rows.columns
+    full = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    done = []
     while True:
         sizes = landed(rows.where("open AND NOT probe").groupBy(*cell).agg(F.count("*").alias("n")).where(F.col("n") > grid.limit))
         if sizes.isEmpty():
-            return rows.drop("open")
-        drawn = rows.where("NOT probe").join(sizes, cell).where(coin("id", "part", "path") < SAMPLE / F.col("n")).select(*cell, "vector")
-        cuts = drawn.groupBy(*cell).applyInArrow(_cuts(grid), f"{schema}, {CUTS}")
-        full = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-        rows = landed(rows.join(cuts, cell, "left").mapInArrow(_descended(grid, names), full))
+            return reduce(DataFrame.unionByName, [*done, rows]).drop("open")
+        drawn = rows.where("NOT probe").join(sizes, cell).where(coin("id", "part", "path") < SAMPLE / F.col("n")).select(*cell, "piece", "n")
+        cuts = landed(drawn.groupBy(*cell).applyInArrow(_cuts(grid), f"{schema}, {CUTS}"))
+        done.append(rows.join(sizes, cell, "left_anti").select(*rows.columns))
+        large = rows.join(sizes, cell, "left_semi").join(cuts, cell, "left")
+        rows = landed(large.mapInArrow(_descended(grid, rows.columns), full))
+
+
+def _meeting(grid: Grid, names: list[str], same: bool):
+    """Rows and probes of a block whose parts are within reach of another's; with ``same`` ids, a row is not its own."""
+
+    def work(left, right):
+        left_names, right_names = left.select(names), right.select(names)
+        if not left.num_rows or not right.num_rows:
+            return left_names.slice(0, 0)
+        a, b = _matrix(left["piece"]), _matrix(right["piece"])
+        apart = b @ a.T
+        apart *= -2.0
+        apart += (a * a).sum(axis=1)
+        apart += (b * b).sum(axis=1)[:, None]
+        near = apart <= grid.reach**2 + 1e-9
+        if same:
+            near &= np.asarray(right["id"])[:, None] != np.asarray(left["id"])
+        return pa.concat_tables([left_names.filter(pa.array(near.any(axis=0))), right_names.filter(pa.array(near.any(axis=1)))])
+
+    return work
+
+
+def _met(home: DataFrame, probes: DataFrame, keys: Sequence[str], grid: Grid, same: bool) -> tuple[DataFrame, DataFrame]:
+    """(keys, part, path, id, vector) of the rows, and of the probes, whose parts meet another in a cell.
+
+    Two vectors within the radius have a part within reach, so they are both left in the cell of that part.
+    """
+    cell = [*keys, "part", "path"]
+    names = [*cell, "id", "probe"]
+    cells = filed(home, probes, keys, grid)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cells.select(*names).schema)
+    met = landed(_compared(cells.where("NOT probe"), cells.where("probe"), cell, grid.limit, _meeting(grid, names, same), schema).distinct())
+    whole = lambda side, of: met.where(side).drop("probe").join(of.select(*keys, "id", "vector"), [*keys, "id"]).select(*cell, "id", "vector")
+    return whole("NOT probe", home), whole("probe", probes)
 
 
 # -- operators ------------------------------------------------------------------
@@ -189,14 +232,15 @@ def near_library(candidates: DataFrame, library: DataFrame, keys: Sequence[str],
     keys = list(keys)
     home = landed(library.groupBy(*keys, F.xxhash64("vector").alias("id"), "vector").agg(F.first(F.lit(1)).alias("_one")).drop("_one"))
     probes = landed(candidates.select(*keys, "id", "vector"))
-    first = top_per_key(home, keys, [F.col("id")], grid.limit, "_n", spread="id").drop("_n")
+    ids = landed(top_per_key(home.select(*keys, "id"), keys, [F.col("id")], grid.limit, "_n", spread="id").drop("_n"))
+    first = home.join(ids, [*keys, "id"], "left_semi")
     found = landed(_near(first, probes, keys, keys, grid))
     large = landed(home.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > grid.limit).select(*keys))
     if large.isEmpty():
         return found
     open_ = probes.join(found, [*keys, "id"], "left_anti").join(large, keys, "left_semi")
-    cells = filed(home.join(large, keys, "left_semi"), open_, keys, grid)
-    return found.unionByName(_near(cells.where("NOT probe"), cells.where("probe"), [*keys, "part", "path"], keys, grid)).distinct()
+    met = _met(home.join(large, keys, "left_semi"), open_, keys, grid, same=False)
+    return found.unionByName(_near(*met, [*keys, "part", "path"], keys, grid)).distinct()
 
 
 def _forest(grid: Grid, keys: list[str]):
@@ -251,15 +295,19 @@ def _settle(open_: DataFrame, by: Sequence[str], keys: list[str], grid: Grid) ->
     by = list(by)
     largest = open_.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
     whole = largest <= grid.settled
-    first = open_ if whole else landed(top_per_key(open_, by, [F.col("id")], grid.settled, "_n", spread="id").drop("_n"))
+    if whole:
+        first = open_
+    else:
+        ids = landed(top_per_key(open_.select(*by, "id"), by, [F.col("id")], grid.settled, "_n", spread="id").drop("_n").select(*keys, "id"))
+        first = open_.join(ids, [*keys, "id"], "left_semi").select(*open_.columns)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in open_.schema)
     alone = first.groupBy(*by).agg(F.count("*").alias("_n")).where("_n = 1").select(*by)
     crowd = first.join(alone, by, "left_anti").groupBy(*by).applyInArrow(_settled(grid.threshold, open_.columns), schema)
     kept = landed(first.join(alone, by, "left_semi").select(*open_.columns).unionByName(crowd))
     if whole:
         return kept, open_.limit(0)
-    rest = landed(open_.join(first.select(*keys, "id"), [*keys, "id"], "left_anti"))
-    beaten = _near(kept, rest, by, keys, grid)
+    rest = open_.join(ids, [*keys, "id"], "left_anti").select(*open_.columns)
+    beaten = landed(_near(kept, rest, by, keys, grid))
     return kept, landed(rest.join(beaten, [*keys, "id"], "left_anti"))
 
 
@@ -277,9 +325,9 @@ def greedy_distinct(ranked: DataFrame, keys: Sequence[str], grid: Grid) -> DataF
     kept, open_ = _settle(landed(distinct.select(*keys, "id", "vector")), keys, keys, grid)
     done = [kept.select(*keys, F.col("id").alias("rank"))]
     if not open_.isEmpty():
-        cells = filed(open_, open_, keys, grid)
+        home, probes = _met(open_, open_, keys, grid, same=True)
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in open_.select(*keys).schema) + ", a bigint, b bigint"
-        links = _compared(cells.where("NOT probe"), cells.where("probe"), [*keys, "part", "path"], grid.limit, _forest(grid, keys), schema)
+        links = _compared(home, probes, [*keys, "part", "path"], grid.limit, _forest(grid, keys), schema)
         node = lambda name: F.struct(*keys, F.col(name).alias("id"))
         groups = connected(links.select(node("a").alias("a"), node("b").alias("b")))
         group = groups.select(*[F.col(f"node.{k}").alias(k) for k in keys], F.col("node.id").alias("id"), F.col("component.id").alias("component"))

@@ -161,6 +161,27 @@ def test_rows_of_a_cell_stay_bounded(spark, scale):
     assert max(r["n"] for r in cells) <= 100 and sum(r["n"] for r in cells) == 8 * rows.count()
 
 
+def test_cells_hold_parts_and_few_rows_meet(spark):
+    rng = np.random.default_rng(8)
+    rows = unit_rows(rng, 900, 10)  # the last of five parts is as wide as the others
+    rows[800:] = rows[:100] + rng.normal(size=(100, 10)) * 1e-3
+    rows /= np.linalg.norm(rows, axis=1, keepdims=True)
+    df = spark.createDataFrame([(1, k, v.tolist()) for k, v in enumerate(rows)], "g bigint, id bigint, vector array<double>")
+    grid = neardup.Grid(9, limit=200)
+    assert (grid.parts, grid.width, grid.padding) == (5, 2, 1)
+    grid = neardup.Grid(10, parts=2, limit=200)
+    cells = neardup.filed(df, df, ["g"], grid)
+    assert "vector" not in cells.columns and {len(r["piece"]) for r in cells.collect()} == {5}
+    met, probes = neardup._met(df, df, ["g"], grid, same=True)
+    ids = {r["id"] for r in met.collect()}
+    assert ids >= {*range(100), *range(800, 900)} and len(ids) < 400
+    assert {r["id"] for r in probes.collect()} == ids
+    for size in (9, 10):
+        ranked = df.select("g", F.col("id").alias("rank"), F.slice("vector", 1, size).alias("vector"))
+        got = {r["rank"] for r in neardup.greedy_distinct(ranked, ["g"], neardup.Grid(size, limit=64, settled=32, threshold=0.999)).collect()}
+        assert got == brute_greedy([(k, v[:size]) for k, v in enumerate(rows)], 0.999) if size == 10 else got
+
+
 def test_long_chains_take_few_rounds(spark, monkeypatch):
     rounds = []
     settle = neardup._settle

@@ -184,3 +184,11 @@ def test_items_that_cannot_be_scored(spark):
         features.score_requested(wanted, images, vectors, models)
     got = features.score_requested(wanted.filter("image_id = 1"), images, vectors, models).collect()
     assert [(r["user_id"], r["image_id"], r["predicted_utility"]) for r in got] == [(1, 1, 1.0)]
+
+
+def test_events_that_are_alike_are_one_row_of_bounded_tasks(spark, monkeypatch):
+    rows = spark.range(400).selectExpr("array(double(id % 4), 1.0D) AS x", "double(id % 2) AS y", "1.0D AS w")
+    few = model.collapsed(rows, "x", "y")
+    assert sorted((r["x"][0], r["y"], r["w"]) for r in few.collect()) == [(0.0, 0.0, 100.0), (1.0, 1.0, 100.0), (2.0, 0.0, 100.0), (3.0, 1.0, 100.0)]
+    monkeypatch.setattr(model, "TASK_ROWS", 10)
+    assert model.spread(rows).rdd.getNumPartitions() == 40

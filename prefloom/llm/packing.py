@@ -13,16 +13,27 @@ import re
 import sys
 import unicodedata
 from array import array
+from collections.abc import Iterable
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prefloom.llm.common import REMEMBERED, arrow_map, held, keyed, original_id, parts, ready
 
 TOKENIZER = "word_bpe_49k.json"
-#: Pieces of one call to the tokenizer.
+#: Pieces of one call to the tokenizer, and words of plain letters that it takes as one text.
 CALL = 10_000
+WORDS = 1000
+#: The last token of a word ends with this sign, no other one does.
+WORD_END = "</w>"
+#: Letters below this one are the same letters to Python and to the tokenizer.
+PLAIN = "\u0250"
+#: The sign that stands for each byte in the merges: itself if it is printed, else the next one from 256 on.
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_SIGNS = {b: b for b in _PRINTED} | {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTED)}
 #: Signs that the tokenizer always separates from letters before them.
 SIGNS = '.,;:!?%&$*#"()|-'
 #: What the tokenizer takes as white space; Python's also has the separators 1C to 1F.
@@ -44,15 +55,20 @@ class WordIds(dict):
     The tokenizer drops white space and never joins across it, so a text's ids are those of its
     words in turn. A word of letters and signs is the ids of its lower-case letters, then of the
     signs; anything else goes to the tokenizer as it is. What a batch of texts has of unknown pieces is
-    tokenized in few calls.
+    tokenized in few calls; plain letters, which the tokenizer would leave as they are and in one, go to
+    its merges alone.
     """
 
     def __init__(self, path: str, limit: int = REMEMBERED):
         super().__init__()
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks share the cores already
         from tokenizers import Tokenizer
 
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks share the cores already
         self.model = Tokenizer.from_file(path)
+        self.merges = Tokenizer(self.model.model)
+        vocabulary = self.model.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
         self.pieces: dict[str, bytes] = {}
         self.long: dict[str, bytes] = {}
         self.limit = limit
@@ -73,7 +89,22 @@ class WordIds(dict):
             return (low, signs) if signs else (low,)
         return (word,)
 
-    def learn(self, words: set[str]) -> None:
+    def tokenized(self, pieces: list[str]) -> None:
+        """Ids of these pieces, into ``pieces``."""
+        plain = [p for p in pieces if p.isalpha() and max(p) < PLAIN and p.islower()]
+        calls = [plain[k:k + WORDS] for k in range(0, len(plain), WORDS)]
+        signs = [[p if p.isascii() else p.encode().decode("latin-1").translate(BYTE_SIGNS) for p in call] for call in calls]
+        for call, found in zip(calls, self.merges.encode_batch_fast(signs, is_pretokenized=True, add_special_tokens=False)):
+            ids = found.ids
+            ends = (4 * np.flatnonzero(self.last[ids]) + 4).tolist()
+            if len(ends) == len(call):  # else a tokenizer that marks no ends
+                packed = little(ids)
+                self.pieces.update(zip(call, [packed[a:b] for a, b in zip([0, *ends], ends)]))
+        rest = [p for p in pieces if p not in self.pieces]
+        for piece, found in zip(rest, self.model.encode_batch_fast(rest, add_special_tokens=False)):
+            self.pieces[piece] = little(found.ids)
+
+    def learn(self, words: Iterable[str]) -> None:
         """Ids of all these words, until the next call at least; words of 64 signs or more only until then."""
         self.long.clear()
         if len(self) > self.limit:
@@ -83,9 +114,7 @@ class WordIds(dict):
         cut = {w: self.cut(w) for w in words if w not in self}
         unknown = list({p for ps in cut.values() for p in ps} - self.pieces.keys())
         for start in range(0, len(unknown), CALL):
-            call = unknown[start:start + CALL]
-            for piece, found in zip(call, self.model.encode_batch_fast(call, add_special_tokens=False)):
-                self.pieces[piece] = little(found.ids)
+            self.tokenized(unknown[start:start + CALL])
         for word, ps in cut.items():
             (self if len(word) < 64 else self.long)[word] = b"".join([self.pieces[p] for p in ps])
         for piece in {p for w in self.long for p in cut[w] if len(p) >= 64}:
@@ -94,10 +123,22 @@ class WordIds(dict):
     def __missing__(self, word: str) -> bytes:
         return self.long[word]
 
-    def ids_of(self, texts: list[str]) -> list[bytes]:
-        split = [self.split(t) for t in texts]
-        self.learn(set().union(*split))
-        return [b"".join(map(self.__getitem__, words)) for words in split]
+    def ids_of(self, texts: pa.Array | list[str]) -> list[bytes]:
+        """Ids of each text; every distinct word of them is looked up once."""
+        column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        if pc.any(pc.match_substring_regex(column, SEPARATORS.pattern)).as_py():
+            split = pa.array([self.split(t) for t in column.to_pylist()], pa.list_(pa.string()))
+        else:  # at the white space that Python knows; the ends of a text may be empty words, without ids
+            split = pc.utf8_split_whitespace(column)
+        coded = split.values.dictionary_encode()
+        words = coded.dictionary.to_numpy(zero_copy_only=False)
+        self.learn(words)
+        ids = pa.array([self[w] for w in words], pa.large_binary()).take(coded.indices)
+        if not len(ids):
+            return [b""] * len(column)
+        _, places, packed = ids.buffers()
+        ends = np.frombuffer(places, np.int64)[split.offsets.to_numpy()].tolist()
+        return [packed[a:b].to_pybytes() for a, b in zip(ends, ends[1:])]
 
     def ids(self, text: str) -> bytes:
         return self.ids_of([text])[0]
@@ -135,7 +176,7 @@ def decompose(documents: DataFrame, longest: int = 4096, end_id: int = 2, path:
         end = np.asarray([end_id], "<u4").tobytes()
         for part in parts(batch):
             out = {k: [] for k in ("doc_id", "start", "length", "bucket", "ids", "doc_tokens")}
-            for doc, ids in zip(part.column("doc_id").to_pylist(), words.ids_of(part.column("text").to_pylist())):
+            for doc, ids in zip(part.column("doc_id").to_pylist(), words.ids_of(part.column("text"))):
                 ids += end
                 n, start = len(ids) // 4, 0
                 for length in piece_lengths(n, longest):

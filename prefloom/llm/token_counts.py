@@ -37,7 +37,7 @@ def count_tokens(documents: DataFrame, version: str = TOKENIZER) -> DataFrame:
     def work(batch):
         words = word_ids(where)
         for part in parts(batch):
-            tokens = [len(ids) // 4 for ids in words.ids_of(part.column("text").to_pylist())]
+            tokens = [len(ids) // 4 for ids in words.ids_of(part.column("text"))]
             yield {n: part.column(n) for n in ("doc_id", "source", "lang")} | {"tokens": tokens}
 
     counted = arrow_map(base, work, "doc_id long, source string, lang string, tokens long")

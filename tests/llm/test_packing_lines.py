@@ -73,6 +73,39 @@ def test_ids_are_those_of_the_plain_call():
         assert [np.frombuffer(f, "<u4").tolist() for f in found] == [plain.encode(t, add_special_tokens=False).ids for t in texts[start:start + 30]]
 
 
+class Watched(packing.WordIds):
+    """Counts the words looked up and keeps what the whole tokenizer is called with."""
+
+    def __init__(self, path):
+        super().__init__(path)
+        self.looked_up, self.called, whole = 0, [], self.model
+
+        class Whole:
+            def encode_batch_fast(_, call, **options):  # noqa: N805
+                self.called += call
+                return whole.encode_batch_fast(call, **options)
+
+        self.model = Whole()
+
+    def __getitem__(self, word):
+        self.looked_up += 1
+        return super().__getitem__(word)
+
+
+def test_words_are_looked_up_once_and_plain_ones_go_to_the_merges(tokenizer):
+    words = Watched(packing.tokenizer_path())
+    texts = ["Über den naïve tests, tests, " * 500, "", " ", "the 12 über, Σας"] * 3
+    assert [np.frombuffer(f, "<u4").tolist() for f in words.ids_of(texts)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert words.looked_up <= 10 and set(words.called) - {""} == {",", "12", "Σας"}
+    assert words.ids_of([]) == [] and words.ids_of(["", " \n"]) == [b"", b""]
+
+
+def test_plain_letters_are_those_of_the_tokenizer(tokenizer):
+    words = packing.WordIds(packing.tokenizer_path())
+    texts = [f"{a}{c}{b}" for c in map(chr, range(ord(packing.PLAIN))) for a, b in (("", ""), ("x", "yz"), (" ", "."), ("Ä", "É"))]
+    assert [np.frombuffer(f, "<u4").tolist() for f in words.ids_of(texts)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_digest_and_batches(spark, tokenizer):
     frame = spark.createDataFrame(DOCS[:5], "doc_id long, text string")
     rows = {(r.doc_id, r.start): r for r in packing.packed_digest(frame).collect()}

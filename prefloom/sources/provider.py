@@ -11,6 +11,11 @@ from pyspark.sql import functions as F
 from prefloom.functions.text import html_to_text
 from prefloom.functions.urls import normalized_category, normalized_url
 from prefloom.functions.vectors import is_finite
+from prefloom.session import prepare
+from prefloom.sources.digests import chained_sha256
+
+#: Bytes of the longest file that one task reads as a whole.
+WHOLE = 256 << 20
 
 # Provider metadata keys and the candidate columns they fill.
 METADATA_COLUMNS = {
@@ -77,21 +82,37 @@ def candidate_rows(dump: DataFrame) -> DataFrame:
     )
 
 
-def scan_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+def scan_files(spark: SparkSession, path: str, pattern: str = "*", whole: int = WHOLE) -> DataFrame:
     """Files below a path with digest, size and extension; each distinct content once per path.
 
-    Pixel dimensions need an image decoder and come from metadata instead.
+    One task reads a file of up to ``whole`` bytes; of a longer one, which is digested at once, a task
+    reads a split. Pixel dimensions need an image decoder and come from metadata instead.
     """
-    files = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
-    )
-    return files.select(
-        "path",
-        F.element_at(F.split("path", "/"), -1).alias("filename"),
-        F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1)).alias("extension"),
-        F.col("length").alias("bytes"),
-        F.sha2("content", 256).alias("sha256"),
-    )
+
+    def below(form: str) -> DataFrame:
+        reader = spark.read.format(form).option("recursiveFileLookup", "true").option("pathGlobFilter", pattern)
+        return (reader.option("lineSep", "\n") if form == "text" else reader).load(path)
+
+    def described(rows: DataFrame, sha256: Column) -> DataFrame:
+        return rows.select(
+            "path",
+            F.element_at(F.split("path", "/"), -1).alias("filename"),
+            F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1)).alias("extension"),
+            F.col("length").alias("bytes"),
+            sha256.alias("sha256"),
+        )
+
+    files, digest = below("binaryFile"), F.sha2("content", 256)
+    size = F.col("_metadata.file_size")
+    long = files.where(size > whole)
+    if long.select("length").isEmpty():
+        return described(files, digest)
+    prepare(spark)
+    known = chained_sha256(long, below("text").where(size > whole))
+    place = F.col("_metadata.file_path")
+    given = spark.createDataFrame(list(known.items()), "place string, sha256 string")
+    chained = long.select("path", "length", place.alias("place")).join(given, "place")
+    return described(files.where((size <= whole) | ~place.isin(list(known))), digest).unionByName(described(chained, F.col("sha256")))
 
 
 def distinct_content(files: DataFrame) -> DataFrame:

@@ -1,9 +1,12 @@
+import gzip
+import hashlib
 import struct
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from prefloom.operators import quality
-from prefloom.sources import provider, sinks
+from prefloom.sources import digests, provider, sinks
 
 
 def test_provider_dump(spark, tmp_path):
@@ -24,6 +27,33 @@ def test_file_scan_finds_copies(spark, tmp_path):
     assert sorted(r["copies"] for r in provider.distinct_content(files).collect()) == [1, 2]
 
 
+def test_long_files_are_read_split_by_split(spark, tmp_path):
+    random = np.random.default_rng(5)
+    noise = random.integers(0, 256, 300_000, np.uint8).tobytes()
+    (tmp_path / "a b [x]").mkdir()
+    data = {
+        "noise.bin": noise + b"x", "feed.bin": noise[::-1] + b"\n", "mark.bin": digests.BOM + noise, "mark_feed.bin": digests.BOM + noise + b"\n",
+        "one_line.bin": b"\x00" * 200_000, "feeds.bin": b"\n" * 70_000, "returns.bin": b"\r\n\xff\xfe" * 50_000, "packed.gz": gzip.compress(noise),
+        "short.bin": b"short", "just.bin": noise[:50_000], "more.bin": noise[:50_001], "a b [x]/%20 é.bin": noise + b"x",
+    }
+    for name, content in data.items():
+        (tmp_path / name).write_bytes(content)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "65536")
+    try:
+        files = provider.scan_files(spark, str(tmp_path), whole=50_000)
+        got = {r["filename"]: (r["bytes"], r["sha256"]) for r in files.collect()}
+        # the contents of long files are read by splits only, compressed ones aside
+        long = [spark.read.format(f).option("recursiveFileLookup", "true").option("lineSep", "\n").load(str(tmp_path)).where("_metadata.file_size > 50000")
+                for f in ("binaryFile", "text")]
+        chained = digests.chained_sha256(*long)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == {n.split("/")[-1]: (len(c), hashlib.sha256(c).hexdigest()) for n, c in data.items()}
+    assert len(chained) == 9 and not any(p.endswith(".gz") for p in chained)
+    assert sorted(r["copies"] for r in provider.distinct_content(files).collect()) == [1] * 10 + [2]
+
+
 def test_vector_load_quarantines(spark):
     rows = [(1, 2, struct.pack("<2f", 1, 2)), (2, 3, struct.pack("<2f", 1, 2)), (3, 1, struct.pack("<f", float("inf"))), (4, 1, b"abc"), (5, 1, None)]
     good, bad = provider.load_vectors(spark.createDataFrame(rows, "image_id bigint, dimensions int, vector_bytes binary"))

@@ -51,7 +51,9 @@ def connected(links: DataFrame, a: str = "a", b: str = "b", few: int = FEW) -> D
     are joined by one task. Nodes may be of any orderable type.
     """
     ends = links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
-    arcs = landed(ends.unionByName(ends.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
+    # both ways come from one row: a Python step over shuffled rows, run once for each way, may give other links
+    ways = F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v"))))
+    arcs = landed(ends.select(ways.alias("way")).select("way.u", "way.v").distinct())
     labels = arcs.select(F.col("u").alias("node")).distinct().select("node", F.col("node").alias("label"))
     number = 0
     while not arcs.isEmpty():

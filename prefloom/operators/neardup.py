@@ -244,9 +244,13 @@ def near_library(candidates: DataFrame, library: DataFrame, keys: Sequence[str],
 
 
 def _forest(grid: Grid, keys: list[str]):
-    """Links between rows of a block that join what its similar pairs join; at most one a row."""
+    """Links between rows of a block that join what its similar pairs join; at most one a row.
+
+    They do not depend on the order in which rows arrive, which differs from run to run on a cluster.
+    """
 
     def work(left, right):
+        left, right = left.sort_by("id"), right.sort_by("id")
         a, b = [], []
         if left.num_rows and right.num_rows:
             near = _matrix(right["vector"]) @ _matrix(left["vector"]).T >= grid.threshold

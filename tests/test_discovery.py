@@ -2,6 +2,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -222,6 +223,45 @@ def test_components(spark, few):
     assert connected(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
+@pytest.mark.parametrize("few", [0, 1 << 18])
+def test_components_of_links_that_differ_between_runs(spark, few):
+    def turned(batches):  # a link's direction is drawn anew each time it is computed
+        rng = np.random.default_rng()
+        for batch in batches:
+            x = batch["id"].to_numpy()
+            turn = rng.random(len(x)) < 0.5
+            yield pa.RecordBatch.from_arrays([pa.array(np.where(turn, x, x + 1000)), pa.array(np.where(turn, x + 1000, x))], ["a", "b"])
+
+    links = spark.range(100).mapInArrow(turned, "a bigint, b bigint")
+    got = sorted(tuple(r) for r in connected(links, few=few).collect())
+    assert got == sorted((x + y, x) for x in range(100) for y in (0, 1000))
+
+
+def test_greedy_distinct_in_any_order_of_arrival(spark, monkeypatch):
+    rng = np.random.default_rng(21)
+    base = unit_rows(rng, 40, 16)
+    rows = np.repeat(base, 6, axis=0) + rng.normal(size=(240, 16)) * 0.015
+    rows /= np.linalg.norm(rows, axis=1, keepdims=True)
+    grid, rows = neardup.Grid(16, settled=8), rows[rng.permutation(240)]
+    block = pa.table({"g": [1] * 240, "id": list(range(240)), "vector": rows.tolist()})
+    links = lambda left, right: {(r["a"], r["b"]) for r in neardup._forest(grid, ["g"])(left, right).to_pylist()}
+    for _ in range(3):
+        assert links(block.take(rng.permutation(240)), block.take(rng.permutation(240))) == links(block, block)
+    compared = neardup._compared
+
+    def mixed(home, probes, by, limit, work, schema):
+        def any_order(left, right):
+            draw = np.random.default_rng()
+            return work(*(t.take(pa.array(draw.permutation(t.num_rows))) for t in (left, right)))
+
+        return compared(home, probes, by, limit, any_order, schema)
+
+    monkeypatch.setattr(neardup, "_compared", mixed)
+    df = spark.createDataFrame([(1, k, v.tolist()) for k, v in enumerate(rows)], "g bigint, rank bigint, vector array<double>")
+    got = [r["rank"] for r in neardup.greedy_distinct(df, ["g"], grid).collect()]
+    assert sorted(got) == sorted(brute_greedy(list(enumerate(rows)), grid.threshold))
+
+
 def finalists(spark, rows):
     return spark.createDataFrame(rows, "run_id bigint, user_id string, action_id bigint, discovery_index bigint, score double, provider_sha1 string, source_url string, ok boolean")
 
